@@ -7,7 +7,8 @@ keeping their sum of words and each document's expected copies.  Blocks of
 about BLOCK documents fold independently, each leaving one open document; the
 open ones meet again in the next level, a reduction tree of depth
 log_BLOCK(documents).  What is left open at the root is drawn by its fraction,
-so a source misses its target by less than the size of one document.
+and then, twice, the rounded document nearest in size to what the source is over
+or under its target goes the other way.
 """
 
 from __future__ import annotations
@@ -69,6 +70,21 @@ def source_targets(sizes: DataFrame, most: int = MOST_COPIES) -> DataFrame:
     return s.select("source", "source_size", "n", "weight", F.least("cap", F.coalesce(F.col("level") * F.col("weight"), F.col("cap"))).alias("target"))
 
 
+def _settled(work: Workspace, drawn: DataFrame, targets: DataFrame, turn: str) -> DataFrame:
+    """One more transfer in each source: what the root's residual left it over or
+    under its target, the rounded document whose size comes nearest to that
+    takes over by going the other way, if that is nearer."""
+    change = F.when(F.col("copies") > F.col("item.base"), F.lit(-1)).otherwise(F.lit(1)).cast("long")
+    over = drawn.groupBy("source").agg(F.sum(F.col("item.size") * F.col("copies")).alias("taken")).join(targets.select(F.col("source").alias("t"), "target"), F.col("source").eqNullSafe(F.col("t"))).select(F.col("source").alias("o"), (F.col("target") - F.col("taken")).alias("short"))
+    over = work.write(over, "over" + turn)
+    rest = F.abs(F.col("short") - change * F.col("item.size"))
+    partner = drawn.where((F.col("item.frac") > 0) & (F.col("item.size") > 0)).join(over, F.col("source").eqNullSafe(F.col("o"))).where(rest < F.abs("short"))
+    partner = partner.groupBy("source").agg(F.min(F.struct(rest.alias("rest"), "item.h", "item.doc", "item.text", "item.size", change.alias("change"))).alias("p")).select(F.col("source").alias("p_source"), "p")
+    partner = work.write(partner, "partner" + turn)
+    same = F.col("source").eqNullSafe(F.col("p_source")) & F.col("item.doc").eqNullSafe(F.col("p.doc")) & F.col("item.text").eqNullSafe(F.col("p.text")) & (F.col("item.size") == F.col("p.size"))
+    return drawn.join(partner, same, "left").select("source", "item", (F.col("copies") + F.coalesce("p.change", F.lit(0))).alias("copies"))
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: int = 17, size: Column | None = None, text_key: Column | None = None) -> DataFrame:
     """`docs` with size, source_size, target and copies (0 to MOST_COPIES) of every row.
 
@@ -109,6 +125,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", te
     result = parts[0]
     for part in parts[1:]:
         result = result.union(part)
+    for turn in range(2):
+        result = _settled(work, work.write(result, f"drawn{turn}"), targets, f"{turn}")
     result = work.write(result.select(F.col("source").alias("__r_source"), F.col("item.doc").alias("__r_doc"), F.col("item.size").alias("__r_size"), F.col("item.text").alias("__r_text"), F.col("item.m").alias("__r_m"), F.col("copies").alias("__r_copies")), "copies")
     targets = targets.select(F.col("source").alias("__t_source"), F.col("source_size").alias("__t_size"), F.col("target").alias("__t_target"))
     same = [F.col(n).eqNullSafe(F.col(n.replace("__q", "__r"))) for n in names]
