@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import line_dedup, mixing, ngram_join, url_filters
+from quillon.llm import line_dedup, mixing, ngram_join, token_store, url_filters
+from quillon.llm._store import Workspace
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -34,6 +35,20 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(spark, docs).select("doc_id", "n_lines", "n_removed", "text")
 
 
+def tokenizer_definition(path: str | None = None) -> str:
+    """The JSON of a tokenizer: of the file at `path`, or of the public 49k word vocabulary."""
+    import public_tokenizers
+
+    with open(path or public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        return f.read()
+
+
+def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = Workspace(spark, "tokens").path("store")
+    token_store.write_store(spark, _table(spark, sf_dir, "documents", "doc_id", "text"), path, tokenizer_definition())
+    return token_store.read_digests(spark, path)
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents", "doc_id", "source", "text")
     light = docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("words"), F.xxhash64("text").alias("key"))
@@ -45,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_url_filters": op2_url_filters,
     "op4_line_dedup": op4_line_dedup,
+    "op6_token_store": op6_token_store,
     "op10_mixing": op10_mixing,
 }
 
