@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import line_dedup, mixing, ngram_join, token_store, url_filters
+from quillon.llm import decontamination, line_dedup, mixing, ngram_join, token_store, toxicity, url_filters
 from quillon.llm._store import Workspace
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -35,6 +35,12 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(spark, docs).select("doc_id", "n_lines", "n_removed", "text")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents", "doc_id", "text")
+    model = toxicity.fit(spark, docs, toxicity.severity_labels(docs, _table(spark, sf_dir, "labels", "doc_id", "quality", "toxic")))
+    return toxicity.score(spark, docs, model)
+
+
 def tokenizer_definition(path: str | None = None) -> str:
     """The JSON of a tokenizer: of the file at `path`, or of the public 49k word vocabulary."""
     import public_tokenizers
@@ -49,6 +55,10 @@ def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_digests(spark, path)
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(spark, _table(spark, sf_dir, "documents", "doc_id", "text"), _table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents", "doc_id", "source", "text")
     light = docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("words"), F.xxhash64("text").alias("key"))
@@ -60,7 +70,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_url_filters": op2_url_filters,
     "op4_line_dedup": op4_line_dedup,
+    "op5_toxicity": op5_toxicity,
     "op6_token_store": op6_token_store,
+    "op9_decontamination": op9_decontamination,
     "op10_mixing": op10_mixing,
 }
 
@@ -97,4 +109,12 @@ ORACLE_SQL: dict[str, str] = {
         SELECT d.doc_id, coalesce(k.n_lines, 0) AS n_lines, coalesce(k.n_removed, 0) AS n_removed, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(k.text, '') END AS text
         FROM (SELECT *, row_number() OVER () AS r FROM documents) d LEFT JOIN kept k ON d.r = k.r
     """,
+    "op9_decontamination": f"""
+        WITH {SHINGLES},
+        item_words AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM benchmark),
+        items AS (SELECT DISTINCT item_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE [array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)] END) AS s FROM item_words),
+        sizes AS (SELECT item_id, count(*) AS n_item FROM items GROUP BY item_id),
+        shared AS (SELECT doc_id, item_id, count(*) AS n_shared FROM shingles JOIN items USING (s) GROUP BY 1, 2)
+        SELECT doc_id, item_id, n_item, n_shared, n_shared / n_item AS containment FROM shared JOIN sizes USING (item_id) WHERE 100 * n_shared >= 75 * n_item
+    """,
 }
