@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import decontamination, line_dedup, mixing, ngram_join, token_store, toxicity, url_filters
+from quillon.llm import decontamination, fingerprints, language_id, line_dedup, mixing, ngram_join, token_store, toxicity, url_filters
 from quillon.llm._store import Workspace
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -30,6 +30,10 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge_urls(_table(spark, sf_dir, "pages", "page_id", "url"), rules).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op3_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_documents(spark, _table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents", "doc_id", "source", "text")
     return line_dedup.dedup_lines(spark, docs).select("doc_id", "n_lines", "n_removed", "text")
@@ -55,6 +59,10 @@ def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_digests(spark, path)
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(spark, _table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(spark, _table(spark, sf_dir, "documents", "doc_id", "text"), _table(spark, sf_dir, "benchmark", "item_id", "text"))
 
@@ -69,9 +77,11 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_url_filters": op2_url_filters,
+    "op3_document_fingerprints": op3_document_fingerprints,
     "op4_line_dedup": op4_line_dedup,
     "op5_toxicity": op5_toxicity,
     "op6_token_store": op6_token_store,
+    "op8_language_id": op8_language_id,
     "op9_decontamination": op9_decontamination,
     "op10_mixing": op10_mixing,
 }
