@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import decontamination, fingerprints, language_id, line_dedup, mixing, ngram_join, token_store, toxicity, url_filters
+from quillon.llm import decontamination, fingerprints, language_id, line_dedup, mixing, ngram_join, pii, token_store, toxicity, url_filters
 from quillon.llm._store import Workspace
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -59,6 +59,14 @@ def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_digests(spark, path)
 
 
+#: Of the demonstration; a deployment passes its own secret.
+PII_KEY = "quillon-demonstration-key"
+
+
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymize(_table(spark, sf_dir, "documents", "doc_id", "text"), PII_KEY).select("doc_id", "n_pii", "text")
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(spark, _table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
 
@@ -81,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_line_dedup": op4_line_dedup,
     "op5_toxicity": op5_toxicity,
     "op6_token_store": op6_token_store,
+    "op7_pii": op7_pii,
     "op8_language_id": op8_language_id,
     "op9_decontamination": op9_decontamination,
     "op10_mixing": op10_mixing,
