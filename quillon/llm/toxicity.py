@@ -22,6 +22,8 @@ from quillon.llm import _text
 
 #: Labelled documents and features that the fit sees at most.
 SAMPLE, FEATURES = 20_000, 4096
+#: A feature's share among toxic documents differs from that among clean ones by so many standard errors.
+LEAST_Z = 4.0
 PREFIXES = (4, 5, 6, None)
 #: A document is toxic if it reaches grade 1 with at least this probability.
 REJECT = 0.5
@@ -130,9 +132,10 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int = S
     by_grade = {bool(r["t"]): r["n"] for r in chosen.groupBy((F.col("grade") > 0).alias("t")).agg(F.count("*").alias("n")).collect()}
     if len(by_grade) < 2:
         return Model(np.zeros(0, np.uint64), np.zeros(0), np.full(1, 40.0))
-    p, q = F.col("toxic") / by_grade[True], F.col("clean") / by_grade[False]
-    spread = (p - q) / F.sqrt((F.col("toxic") + F.col("clean") + 1) / float(by_grade[True] + by_grade[False]))
-    best = counts.orderBy(F.desc(F.abs(spread)), "h").limit(features).select("h").toArrow()
+    n1, n0 = by_grade[True], by_grade[False]
+    share = (F.col("toxic") + F.col("clean") + 1) / float(n1 + n0 + 2)
+    z = (F.col("toxic") / n1 - F.col("clean") / n0) / F.sqrt(share * (1 - share) * (1 / n1 + 1 / n0))
+    best = counts.withColumn("z", F.abs(z)).where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "h").limit(features).select("h").toArrow()
     hashes = np.sort(best.column("h").to_numpy().view(np.uint64))
     rows = labelled.mapInArrow(_chosen(hashes), "grade int, x array<int>").toArrow()
     x = [r.values.to_numpy() for r in rows.column("x")]
