@@ -19,7 +19,7 @@ DAYS, DAYS_A, DAYS_B = 73_000, 250, 292
 
 _AFTER = r"(?![0-9A-Za-z])"
 _EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
-_IP = r"\d{1,3}(?:\.\d{1,3}){3}(?![0-9A-Za-z]|\.\d)"
+_IP = r"(?<!\d\.)\d{1,3}(?:\.\d{1,3}){3}(?![0-9A-Za-z]|\.\d)"
 _DATE = r"(?:\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})" + _AFTER
 _SSN = r"\d{3}-\d{2}-\d{4}" + _AFTER
 _CARD = r"\d(?:[ -]?\d){12,18}" + _AFTER
