@@ -1,0 +1,6 @@
+"""Composed queries over the test tables, each with its SQL where SQL can express it."""
+
+from quillon.plans import relational
+
+QUERIES = {**relational.QUERIES}
+ORACLE_SQL = {**relational.ORACLE_SQL}
