@@ -135,3 +135,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", te
     copies = F.expr("__r_copies div __r_m") + (nth <= F.col("__r_copies") % F.col("__r_m")).cast("long")
     out = {"size": F.col("__q_size"), "source_size": F.col("__t_size"), "target": F.col("__t_target"), "copies": copies}
     return joined.withColumns(out).drop(*names, "__r_source", "__r_doc", "__r_size", "__r_text", "__r_m", "__r_copies", "__t_source", "__t_size", "__t_target")
+
+
+def repeat_copies(mixed: DataFrame, columns: list[str]) -> DataFrame:
+    """Each row of `mixed` as often as it has copies, with `columns` only."""
+    repeated = mixed.where(F.col("copies") > 0).withColumn("__q_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    return repeated.select(*columns)

@@ -1,17 +1,17 @@
 """Exact Jaccard self-join of word-shingle sets, down to connected components.
 
-1. A pass over all texts counts the shingles that are frequent within an Arrow
-   batch; the at most FREQUENT most frequent ones go last in the order of
+1. A pass over all texts counts the shingles that are frequent within 4000
+   documents; the at most FREQUENT most frequent ones go last in the order of
    shingles, all others stand in hash order.  Any order gives the same links.
 2. Documents with equal sets are one node.  Two sets can only link if the first
    quarter of each in that order meets, so only those shingles are listed.
 3. Nodes link to the smallest node of the lists they share with it most often;
    what that verifies is joined into first components.  Lists within a single
    component need no further pair.
-4. The other lists are cut into cells of neighbouring size bands and tiles of at
-   most TILE rows.  Tiles meet in pairs: bitmap signatures bound the overlap from
+4. The other lists, one of each set of members, are cut into cells of
+   neighbouring size bands and tiles of about TILE rows.  Tiles meet in pairs: bitmap signatures bound the overlap from
    above (bits that differ are shingles in one set only), what is left is
-   verified by intersecting the sorted shingle arrays.
+   verified by intersecting the sorted arrays of distinct shingles.
 
 Shingles and sets are known by 64-bit hashes.
 """
@@ -49,8 +49,8 @@ def _digest(s: np.ndarray) -> int:
 
 
 def _width(n: int) -> int:
-    """Bits of the signature of n shingles: a power of two, at least 2n, 256 to 32768."""
-    return min(max(256, 1 << (2 * n - 1).bit_length()), 1 << 15)
+    """Bits of the signature of n shingles: a power of two, at least n, 256 to 32768."""
+    return min(max(256, 1 << (n - 1).bit_length()), 1 << 15)
 
 
 def _bitmap(s: np.ndarray) -> bytes:
@@ -62,15 +62,15 @@ def _bitmap(s: np.ndarray) -> bytes:
 
 def _count_frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        got = [s for _, s in _sets(batch)]
-        if got:
+        for lo in range(0, batch.num_rows, 4000):
+            got = [s for _, s in _sets(batch.slice(lo, 4000))]
             h, n = np.unique(np.concatenate(got), return_counts=True)
             often = n >= max(4, len(got) // 500)
             yield pa.record_batch({"h": h[often].view(np.int64), "n": n[often].astype(np.int64)})
 
 
 def frequent_shingles(docs: DataFrame) -> np.ndarray:
-    """Sorted hashes of at most FREQUENT shingles, by count over all documents (batches where one is rare don't count it)."""
+    """Sorted hashes of at most FREQUENT shingles, by count over all documents (where one is rare among 4000 documents it isn't counted)."""
     counts = docs.select("text").mapInArrow(_count_frequent, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
     rows = counts.orderBy(F.desc("n"), "h").limit(FREQUENT).select("h").toArrow()
     return np.sort(rows.column("h").to_numpy().view(np.uint64))
@@ -123,8 +123,9 @@ def _tile_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if b - a < 2 or (label[a:b] == label[a]).all():
                 continue
             maps = [np.frombuffer(x.as_py(), np.uint64) for x in bits[a:b]]
-            width = min(map(len, maps))
-            sig = np.stack([np.bitwise_xor.reduce(m.reshape(-1, width), 0) for m in maps])
+            width = np.array([len(m) for m in maps])
+            # Of each width the signatures that are at least as wide, folded to it.
+            folded = {w: np.stack([np.bitwise_xor.reduce(m.reshape(-1, w), 0) if len(m) >= w else np.zeros(w, np.uint64) for m in maps]) for w in np.unique(width)}
             size, ta, tb = n[a:b], key[a, 2], key[a, 3]
             for i in range(b - a):
                 j = slice(i + 1, b - a)
@@ -133,9 +134,10 @@ def _tile_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     ok &= tile[a:b][j] != tile[a + i]
                 both = size[j] + size[i]
                 ok &= 100 * np.minimum(size[j], size[i]) >= PERCENT * np.maximum(size[j], size[i])
-                at = np.flatnonzero(ok)
-                if len(at):
-                    apart = np.bitwise_count(sig[j][at] ^ sig[i]).sum(1, dtype=np.int64)
+                common = np.minimum(width[j], width[i])
+                for w in np.unique(common[ok]):
+                    at = np.flatnonzero(ok & (common == w))
+                    apart = np.bitwise_count(folded[w][j][at] ^ folded[w][i]).sum(1, dtype=np.int64)
                     at = at[(100 + PERCENT) * apart <= (100 - PERCENT) * both[at]]
                     found.append(np.stack([np.full(len(at), node[a + i]), node[a:b][j][at]], 1))
         got = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
@@ -192,18 +194,6 @@ def _passing(bitmap) -> object:
     return run
 
 
-def _intersect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keep = np.zeros(batch.num_rows, bool)
-        x, y = batch.column("x"), batch.column("y")
-        for i in range(batch.num_rows):
-            p, q = x[i].values.to_numpy().view(np.uint64), y[i].values.to_numpy().view(np.uint64)
-            at = np.searchsorted(q, p)
-            shared = int((q[np.minimum(at, len(q) - 1)] == p).sum())
-            keep[i] = 100 * shared >= PERCENT * (len(p) + len(q) - shared)
-        yield batch.filter(pa.array(keep)).select(["a", "b"])
-
-
 def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """Of the pairs (a, b) of nodes those whose sets are as similar as asked for."""
     spark = docs.sparkSession
@@ -217,7 +207,8 @@ def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     sets = sets.join(wanted, "node", "left_semi").dropDuplicates(["node"])
     x = pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
     x = x.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
-    return x.select("a", "b", "x", "y").mapInArrow(_intersect, "a bigint, b bigint")
+    shared, both = F.size(F.array_intersect("x", "y")), F.size("x") + F.size("y")
+    return x.where((100 + PERCENT) * shared >= PERCENT * both).select("a", "b")
 
 
 def jaccard_components(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -251,8 +242,10 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_
 
     labelled = live.select("h", "node").join(first.withColumnRenamed("component", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
     labelled = work.write(labelled, "labelled")
-    several = labelled.groupBy("h").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("h")
-    open_ = work.write(labelled.join(several, "h", "left_semi"), "open")
+    # Lists of the same nodes (known by two hashes) ask for the same pairs: one of them is enough.
+    lists = labelled.groupBy("h").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("size"), F.bit_xor(F.xxhash64("node")).alias("n1"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("n2"))
+    lists = lists.where("x <> y").groupBy("size", "n1", "n2").agg(F.min("h").alias("h")).select("h", "size")
+    open_ = work.write(labelled.join(work.write(lists, "lists"), "h"), "open")
     work.drop("live", "labelled")
     pairs = work.write(_candidates(open_, nodes), "pairs")
     links = work.write(_verified(docs, pairs), "links")
@@ -271,11 +264,25 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_
 
 def _candidates(open_: DataFrame, nodes: DataFrame) -> DataFrame:
     """Pairs of nodes in one list, of different components, that the bitmaps don't rule out."""
-    rows = open_.join(nodes, "node").withColumn("band", F.floor(F.log(F.col("n")) / F.log(F.lit(100 / PERCENT))))
-    rows = rows.withColumn("cell", F.explode(F.array("band", F.col("band") + 1))).withColumn("own", F.col("band") == F.col("cell"))
-    tiles = F.ceil(F.count("*").over(Window.partitionBy("h", "cell")) / TILE)
-    rows = rows.withColumn("tiles", tiles).withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1))).withColumn("ta", F.least("tile", "other")).withColumn("tb", F.greatest("tile", "other"))
-    rows = rows.select("h", "cell", "ta", "tb", "node", "label", "n", "own", "tile", "bits")
+    rows = open_.join(nodes.select("node", "n"), "node").withColumn("band", F.floor(F.log(F.col("n")) / F.log(F.lit(100 / PERCENT))))
+    # A list that fits into one tile is one cell. Else a node stands in its own band's cell and as a guest in the next one's.
+    small = rows.where(F.col("size") <= TILE).select("h", F.lit(-1).cast("long").alias("cell"), F.lit(0).cast("long").alias("ta"), F.lit(0).cast("long").alias("tb"), "node", "label", F.lit(True).alias("own"), F.lit(0).cast("long").alias("tile"))
+    large = rows.where(F.col("size") > TILE).withColumn("cell", F.explode(F.array("band", F.col("band") + 1))).withColumn("own", F.col("band") == F.col("cell"))
+    cells = large.groupBy("h", "cell").agg(F.ceil(F.count("*") / TILE).alias("tiles"))
+    large = large.join(cells, ["h", "cell"]).withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")))
+    large = large.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
+    large = large.select("h", "cell", F.least("tile", "other").alias("ta"), F.greatest("tile", "other").alias("tb"), "node", "label", "own", "tile")
+    # The signatures come last, so they move once.
+    rows = small.union(large).join(nodes, "node").select("h", "cell", "ta", "tb", "node", "label", "n", "own", "tile", "bits")
     dealt = rows.repartition("h", "cell", "ta", "tb").sortWithinPartitions("h", "cell", "ta", "tb")
     return dealt.mapInArrow(_tile_pairs, "a bigint, b bigint").distinct()
+
+
+def keep_first(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of `docs` that lead their component (the smallest id); those without words all stay.
+
+    Of rows that repeat an id and a component all stay.
+    """
+    led = jaccard_components(spark, docs, doc_id, text).where("n_shingles > 0 AND NOT component_id <=> doc_id")
+    gone = Workspace(spark, "near-copies").write(led.select(F.col("doc_id").alias("__q_gone")).distinct(), "gone")
+    return docs.join(gone, F.col(doc_id).cast("long").eqNullSafe(F.col("__q_gone")), "left_anti")

@@ -20,8 +20,11 @@ checks every digest and root it passes and gives the documents back.
 from __future__ import annotations
 
 import hashlib
+import json
+import unicodedata
 import zlib
 from array import array
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,8 +38,10 @@ WINDOW = 8
 LEAST, MOST = 128, 4096
 #: A chunk ends where these bits of the rolling hash are zero: after 512 ids on average.
 CUT = np.uint64(511)
+#: Documents that a Python worker encodes in one go.
+SLICE = 500
 #: Words whose ids a Python worker keeps.
-MEMO = 400_000
+MEMO = 1_000_000
 _POLY = 0xEDB88320
 
 _memo: dict[str, bytes] = {}
@@ -56,26 +61,97 @@ def merkle(leaves: list[bytes]) -> bytes:
 
 
 class Encoder:
-    """Ids of whole texts. White space parts pre-tokens in the tokenizers this
-    is for, so each piece between blanks is encoded once and remembered."""
+    """Ids of whole texts.
+
+    Where white space parts pre-tokens, closing punctuation is one of its own
+    and case doesn't matter, as probes tell, each piece between blanks is
+    encoded once and remembered.  Words of small ASCII letters are encoded many
+    at a time, without normalising and splitting what needs neither; in a
+    vocabulary with word ends the ids tell where each word stops.  Other
+    tokenizers encode every text as it is.
+    """
+
+    PROBES = ("Wow, a test.", "a b\nc\td\re ,f", "don't x'll, 12 3.5 (y); z?!", "\u00e9 \u00c9t\u00e9 stra\u00dfe: ...", "ab,cd. Ef-g... The END.", "one two, three", "été Łódź straße ñandú, naïve")
 
     def __init__(self, definition: str):
         from tokenizers import Tokenizer
 
+        parts = json.loads(definition)
         self.tokenizer = Tokenizer.from_str(definition)
+        suffix = parts["model"].get("end_of_word_suffix")
+        self.final = self.letters = self.normal = None
+        if suffix:
+            vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+            self.final = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.final[[i for word, i in vocabulary.items() if word.endswith(suffix)]] = True
+            split, bytes_ = {"type": "WhitespaceSplit"}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+            self.letters = Tokenizer.from_str(json.dumps(parts | {"normalizer": None, "pre_tokenizer": split}))
+            self.normal = Tokenizer.from_str(json.dumps(parts | {"normalizer": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": [split, bytes_]}}))
+        self.by_piece = True
+        self.by_piece = self(list(self.PROBES)) == [self._plain([x])[0] for x in self.PROBES]
+        _memo.clear()
+
+    def _plain(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _words(self, words: list[str]) -> None:
+        """Remembers the ids of letter words, all of them ASCII or none."""
+        for i in range(0, len(words), 10_000):
+            part = words[i : i + 10_000]
+            if self.final is not None:
+                joined = " ".join(part)
+                as_is = joined == joined.lower() and unicodedata.is_normalized("NFC", joined)
+                tokenizer = self.tokenizer if not as_is else self.letters if joined.isascii() else self.normal
+                ids = np.array(tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
+                ends = np.flatnonzero(self.final[ids]) + 1
+                if len(ends) == len(part) and len(ids) == ends[-1]:
+                    raw, at = ids.tobytes(), [0, *(4 * ends).tolist()]
+                    _memo.update(zip(part, [raw[x:y] for x, y in zip(at, at[1:])]))
+                    continue
+            _memo.update(zip(part, self._plain(part)))
+
+    def _learn(self, pieces: set[str]) -> list[str]:
+        """Remembers the ids of new pieces; gives back those that are put together from two and needn't be kept."""
+        words, rest, split = set(), set(), []
+        for p in pieces:
+            if p.isalpha():
+                words.add(p)
+            else:
+                core = p.rstrip(".,;:!?")
+                if core.isalpha():
+                    split.append((p, core, p[len(core) :]))
+                else:
+                    rest.add(p)
+        for _, core, tail in split:
+            if core not in _memo:
+                words.add(core)
+            if tail not in _memo:
+                rest.add(tail)
+        self._words([w for w in words if w.isascii()])
+        self._words([w for w in words if not w.isascii()])
+        rest = list(rest)
+        for i in range(0, len(rest), 10_000):
+            _memo.update(zip(rest[i : i + 10_000], self._plain(rest[i : i + 10_000])))
+        for p, core, tail in split:
+            _memo[p] = _memo[core] + _memo[tail]
+        return [p for p, _, _ in split]
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         """Of each text the ids as little-endian unsigned 32-bit integers."""
-        pieces = [x.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") if x else [] for x in texts]
-        new = list({p for ps in pieces for p in ps} - _memo.keys())
+        if not self.by_piece:
+            return self._plain([x or "" for x in texts])
+        # Capital sigma and dotted I are the letters whose small form depends on what is around or is no letter alone.
+        pieces = [(x if "\u03a3" in x or "\u0130" in x else x.lower()).replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") if x else [] for x in texts]
+        used = set().union(*pieces)
+        new = used.difference(_memo)
         if len(_memo) + len(new) > MEMO:
             _memo.clear()
-            new = list({p for ps in pieces for p in ps})
-        for i in range(0, len(new), 10_000):
-            part = new[i : i + 10_000]
-            for p, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                _memo[p] = array("I", e.ids).tobytes()
-        return [b"".join(map(_memo.__getitem__, ps)) for ps in pieces]
+            new = used
+        passing = self._learn(new) if new else []
+        out = [b"".join(map(_memo.__getitem__, ps)) for ps in pieces]
+        for p in passing:
+            del _memo[p]
+        return out
 
 
 def _encoder(definition: str) -> Encoder:
@@ -87,43 +163,50 @@ def _encoder(definition: str) -> Encoder:
     return _made[key]
 
 
-def cuts(ids: np.ndarray) -> list[int]:
-    """Where the chunks of `ids` end: where the hash of the last WINDOW ids says
-    so, at least LEAST and at most MOST ids after the last cut, and at the end."""
+def cuts(texts: list[np.ndarray]) -> list[list[int]]:
+    """Where the chunks of each text's ids end: where the hash of the last
+    WINDOW ids says so, at least LEAST and at most MOST ids after the last cut,
+    and at the end."""
+    gap = np.zeros(WINDOW, np.uint64)
+    ids = np.concatenate([x for t in texts for x in (gap, t)])
     with np.errstate(over="ignore"):
-        h = np.zeros(len(ids), np.uint64)
-        for k in range(min(WINDOW, len(ids))):
-            h[k:] += _text.mix(ids[: len(ids) - k].astype(np.uint64) + np.uint64((k + 1) << 32))
-        at = np.flatnonzero(_text.mix(h) & CUT == 0) + 1
-    out, last, i = [], 0, 0
-    while last < len(ids):
-        i = int(np.searchsorted(at, last + LEAST))
-        end = int(at[i]) if i < len(at) else len(ids)
-        last = min(end, last + MOST, len(ids))
-        out.append(last)
+        random = _text.mix(ids.astype(np.uint64))  # 0 for the ids between two texts
+        h = random.copy()
+        for k in range(1, WINDOW):
+            h[k:] += random[: len(ids) - k] * np.uint64(2 * k + 0x9E3779B9)
+        at = (np.flatnonzero(_text.mix(h) & CUT == 0) + 1).tolist()
+    out, begin = [], 0
+    for t in texts:
+        begin += WINDOW
+        last, end, found = begin, begin + len(t), []
+        while last < end:
+            i = bisect_left(at, last + LEAST)
+            last = min(at[i] if i < len(at) else end, last + MOST, end)
+            found.append(last - begin)
+        out.append(found)
+        begin = end
     return out
 
 
 def _chunked(definition, end_id: int) -> object:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, seen = _encoder(definition.value), set()
+        encode, seen, end = _encoder(definition.value), set(), np.uint32(end_id).tobytes()
         for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                part = batch.slice(lo, 500)
-                rows = []
-                for doc, raw in zip(part.column("doc_id").to_pylist(), encode(part.column("text").to_pylist())):
-                    ids = np.frombuffer(raw + np.uint32(end_id).tobytes(), "<u4")
-                    ends = cuts(ids)
+            for lo in range(0, batch.num_rows, SLICE):
+                part = batch.slice(lo, SLICE)
+                rows, texts = [], [np.frombuffer(raw + end, "<u4") for raw in encode(part.column("text").to_pylist())]
+                for doc, ids, ends in zip(part.column("doc_id").to_pylist(), texts, cuts(texts)):
+                    raw, starts = ids.tobytes(), [0, *ends[:-1]]
+                    short = ids.astype("<u2").tobytes() if ids.max() < 65536 else None
                     digests, payloads = [], []
-                    for a, b in zip([0, *ends], ends):
-                        x = ids[a:b]
-                        d = _digest(x.tobytes())
+                    for a, b in zip(starts, ends):
+                        d = _digest(raw[4 * a : 4 * b])
                         digests.append(d)
                         # Only the first of equal chunks carries its ids, as long as the task remembers it.
-                        payloads.append(None if d in seen else x.astype("<u2").tobytes() if x.max() < 65536 else x.tobytes())
+                        payloads.append(None if d in seen else raw[4 * a : 4 * b] if short is None else short[2 * a : 2 * b])
                         if len(seen) < 200_000:
                             seen.add(d)
-                    rows.append((doc, len(ids), digests, np.diff([0, *ends]).tolist(), payloads, merkle(digests)))
+                    rows.append((doc, len(ids), digests, [b - a for a, b in zip(starts, ends)], payloads, merkle(digests)))
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.list_(pa.binary()), pa.binary()))], ["doc_id", "n_tokens", "digests", "lengths", "payloads", "root"])
 
     return run
