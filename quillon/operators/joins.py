@@ -83,3 +83,11 @@ def common_groups(a: DataFrame, b: DataFrame, keys: list[str], item: str, least:
     """Groups with at least `least` items on both sides, with their number."""
     both = a.select(*keys, item).intersect(b.select(*keys, item))
     return both.groupBy(*keys).agg(F.count("*").alias("n_common")).where(F.col("n_common") >= least)
+
+
+def resolve_windows(segments: DataFrame, windows: DataFrame, segment: str, cam: str, number: str, start: str, end: str) -> DataFrame:
+    """Each segment with start and end of the window it names by camera and number, else of its camera's shortest window (the first of equals), else nulls."""
+    named = segments.join(windows.select(cam, number, F.col(start).alias("__q_s"), F.col(end).alias("__q_e")), [cam, number], "left")
+    shortest = windows.groupBy(cam).agg(F.min(F.struct((F.col(end) - F.col(start)).alias("span"), F.col(number).alias("n"), F.col(start).alias("s"), F.col(end).alias("e"))).alias("__q_w"))
+    joined = named.join(shortest, cam, "left")
+    return joined.withColumns({start: F.coalesce("__q_s", "__q_w.s"), end: F.coalesce("__q_e", "__q_w.e")}).drop("__q_s", "__q_e", "__q_w")

@@ -170,3 +170,21 @@ def saturating_counter(df: DataFrame, keys: list[str], order: str, hit: str, low
     g = df.groupBy(*keys).agg(F.transform(rows, lambda r: r["at"]).alias("__q_at"), folded.alias("__q_steps"))
     steps = F.slice(F.col("__q_steps"), F.lit(2), F.greatest(F.size("__q_steps") - 1, F.lit(0)))
     return g.select(*keys, F.explode(F.arrays_zip(F.col("__q_at").alias("at"), steps.alias("value"))).alias("s")).select(*keys, F.col("s.at").alias(order), F.col("s.value").alias(name))
+
+
+def deal_least_loaded(df: DataFrame, keys: list[str], order: str, load: str, workers: int, name: str = "worker") -> DataFrame:
+    """Rows of a group, one by one in `order`, to the worker with the smallest load so far (the first of equals).
+
+    What is dealt at once is a frame's new objects, so a group is one fold.
+    """
+    rows = F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), F.col(load).cast("bigint").alias("load"))))
+    grouped = df.groupBy(*keys).agg(rows.alias("__q_rows"))
+    start = F.struct(F.array_repeat(F.lit(0).cast("bigint"), workers).alias("loads"), F.array().cast("array<bigint>").alias("to"))
+
+    def step(s: Column, r: Column) -> Column:
+        least = F.array_position(s["loads"], F.array_min(s["loads"])) - 1
+        return F.struct(F.transform(s["loads"], lambda x, i: F.when(i == least, x + r["load"]).otherwise(x)).alias("loads"), F.concat(s["to"], F.array(least)).alias("to"))
+
+    dealt = grouped.withColumn("__q_to", F.aggregate("__q_rows", start, step)["to"])
+    placed = dealt.select(*keys, F.explode(F.arrays_zip(F.transform("__q_rows", lambda r: r["at"]).alias("at"), F.col("__q_to").alias("to"))).alias("z"))
+    return df.join(placed.select(*keys, F.col("z.at").alias(order), F.col("z.to").alias(name)), [*keys, order])

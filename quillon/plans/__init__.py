@@ -1,6 +1,6 @@
 """Composed queries over the test tables, each with its SQL where SQL can express it."""
 
-from quillon.plans import relational
+from quillon.plans import detection, relational, streams  # noqa: F401  each adds its queries
 
-QUERIES = {**relational.QUERIES}
-ORACLE_SQL = {**relational.ORACLE_SQL}
+QUERIES = relational.QUERIES
+ORACLE_SQL = relational.ORACLE_SQL
