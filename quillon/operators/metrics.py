@@ -236,26 +236,35 @@ def teta_sequences(gts: DataFrame, trks: DataFrame, sim: DataFrame, keys: list[s
     mine = classed.join(pool, [*ck, "trk"], "left_semi").select(*ck, t, "gt", "trk", "sim")
     pooled = kc.join(pool, [*keys, "trk"]).select(*ck, t, "trk")
     matched = assign(_alignment(mine, gc, pooled, ck, t), [*ck, t], "gt", "trk", "weight", ["sim", "n_g", "n_k"])
-    sums = _association(matched, ck, levels)
 
-    reached = matched.withColumn("alpha", F.explode(F.filter(_levels(levels), lambda a: F.col("sim") >= a - EPS)))
-    named = reached.join(kc, [*keys, t, "trk"])
-    right = named.groupBy(*ck, "alpha").agg(F.count_if(F.col("trk_cls") == F.col("cls")).alias("cls_tp"), F.count_if(F.col("trk_cls") != F.col("cls")).alias("cls_fn"))
-    wrong = named.where(F.col("trk_cls") != F.col("cls")).groupBy(*keys, F.col("trk_cls").alias("cls"), "alpha").agg(F.count("*").alias("cls_fp"))
+    # Every match as a row of its class, and once more, without ids, of the class that its track wrongly names: one pass counts both.
+    named = matched.join(kc, [*keys, t, "trk"]).join(close.withColumn("__q_near", F.lit(1)), [*ck, t, "trk"], "left")
+    wrong = F.col("trk_cls") != F.col("cls")
+    same = F.struct("cls", "gt", "trk", F.lit(0).alias("fp"))
+    other = F.struct(F.col("trk_cls").alias("cls"), F.lit(None).cast(gts.schema["gt"].dataType).alias("gt"), F.lit(None).cast(trks.schema["trk"].dataType).alias("trk"), F.lit(1).alias("fp"))
+    rows = named.withColumn("__q_wrong", wrong).withColumn("alpha", F.explode(F.filter(_levels(levels), lambda a: F.col("sim") >= a - EPS)))
+    rows = rows.select(*keys, "alpha", "n_g", "n_k", "__q_near", "__q_wrong", F.explode(F.when(F.col("__q_wrong"), F.array(same, other)).otherwise(F.array(same))).alias("r"))
+    own = F.col("r.fp") == 0
+    pair = rows.groupBy(*keys, F.col("r.cls").alias("cls"), "alpha", F.col("r.gt").alias("gt"), F.col("r.trk").alias("trk")).agg(
+        F.count_if(own).alias("m"), F.first("n_g").alias("n_g"), F.first("n_k").alias("n_k"), F.count_if(own & F.col("__q_near").isNotNull()).alias("taken"),
+        F.count_if(own & ~F.col("__q_wrong")).alias("cls_tp"), F.count_if(own & F.col("__q_wrong")).alias("cls_fn"), F.count_if(~own).alias("cls_fp"),
+    )
+    c = F.col("m").cast("double")
+    sums = pair.groupBy(*ck, "alpha").agg(
+        F.sum("m").alias("tp"), F.sum(c * c / F.greatest(F.lit(1), F.col("n_g") + F.col("n_k") - F.col("m"))).alias("ass_a"), F.sum(c * c / F.greatest(F.lit(1), F.col("n_g"))).alias("ass_re"),
+        F.sum(c * c / F.greatest(F.lit(1), F.col("n_k"))).alias("ass_pr"), *[F.sum(x).alias(x) for x in ("taken", "cls_tp", "cls_fn", "cls_fp")],
+    )
     # False positives: tracks close to a class' ground truth in a frame that has one, less the matched.
     n_close = close.groupBy(*ck).agg(F.count("*").alias("__q_close"))
-    taken = reached.join(close, [*ck, t, "trk"], "left_semi").groupBy(*ck, "alpha").agg(F.count("*").alias("__q_taken"))
     n_gt = gc.groupBy(*ck).agg(F.count("*").alias("__q_g"))
     every = n_gt.join(n_close, ck, "left").withColumn("alpha", F.explode(_levels(levels)))
-    for part in (sums, right, taken):
-        every = every.join(part, [*ck, "alpha"], "left")
-    every = every.join(wrong, [*ck, "alpha"], "full").na.fill(0).na.fill(0.0)
+    every = every.join(sums, [*ck, "alpha"], "full").na.fill(0).na.fill(0.0)
     n = F.greatest(F.lit(1), F.col("tp"))
     half = F.col("alpha") >= 0.5 - EPS
     return every.select(
-        *ck, "alpha", F.col("tp").alias("loc_tp"), (F.col("__q_g") - F.col("tp")).alias("loc_fn"), F.when(F.col("__q_close") > 0, F.col("__q_close") - F.col("__q_taken")).otherwise(0).alias("loc_fp"),
+        *ck, "alpha", F.col("tp").alias("loc_tp"), (F.col("__q_g") - F.col("tp")).alias("loc_fn"), F.when(F.col("__q_close") > 0, F.col("__q_close") - F.col("taken")).otherwise(0).alias("loc_fp"),
         (F.col("ass_a") / n).alias("assoc_a"), (F.col("ass_re") / n).alias("assoc_re"), (F.col("ass_pr") / n).alias("assoc_pr"),
-        *[F.when(half, F.col(c)).otherwise(0).cast("long").alias(c) for c in ("cls_tp", "cls_fn", "cls_fp")],
+        *[F.when(half, F.col(x)).otherwise(0).cast("long").alias(x) for x in ("cls_tp", "cls_fn", "cls_fp")],
     )
 
 

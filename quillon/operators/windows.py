@@ -159,17 +159,32 @@ def streak(df: DataFrame, keys: list[str], order: list, hit: str, least: int, ru
     return s.withColumn(status, F.max(F.col(run) >= least).over(w))
 
 
-def saturating_counter(df: DataFrame, keys: list[str], order: str, hit: str, low: int, high: int, start: int, name: str = "keep_alive") -> DataFrame:
-    """One row per group: the counter's steps in order, +1 at a hit and -1 else, held within [low, high].
-
-    Such counters compose (each step is a clamped shift), but a group's steps
-    are folded here in one ordered array, as each key's history is bounded.
+def saturating_counter(df: DataFrame, keys: list[str], order: str, hit: str, low: int, high: int, start: int, name: str = "keep_alive", block: int = 1024) -> DataFrame:
+    """keys, order and the counter after each row: +1 at a hit and -1 else, held within [low, high].
+
+    A step is x -> max(low, min(high, x + d)), and any run of steps is again
+    max(a, min(b, x + s)).  So a key's history is cut into blocks that fold
+    independently, their few numbers give each block its first value, and the
+    rows of a block follow from that: no array is longer than `block` rows or a
+    key's number of blocks.
     """
-    rows = F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), F.col(hit).alias("hit"))))
-    folded = F.aggregate(rows, F.array(F.lit(start).cast("bigint")), lambda s, r: F.concat(s, F.array(F.greatest(F.lit(low), F.least(F.lit(high), F.element_at(s, -1) + F.when(r["hit"], 1).otherwise(-1))))))
-    g = df.groupBy(*keys).agg(F.transform(rows, lambda r: r["at"]).alias("__q_at"), folded.alias("__q_steps"))
-    steps = F.slice(F.col("__q_steps"), F.lit(2), F.greatest(F.size("__q_steps") - 1, F.lit(0)))
-    return g.select(*keys, F.explode(F.arrays_zip(F.col("__q_at").alias("at"), steps.alias("value"))).alias("s")).select(*keys, F.col("s.at").alias(order), F.col("s.value").alias(name))
+    n = F.row_number().over(_ordered(keys, [order])) - 1
+    rows = F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), F.when(F.col(hit), 1).otherwise(-1).cast("bigint").alias("d"))))
+    blocks = df.withColumn("__q_block", F.floor(n / block)).groupBy(*keys, "__q_block").agg(rows.alias("__q_rows"))
+
+    def held(v: Column) -> Column:
+        return F.greatest(F.lit(low).cast("bigint"), F.least(F.lit(high).cast("bigint"), v))
+
+    far = 1 << 60
+    zero = F.struct(F.lit(0).cast("bigint").alias("s"), F.lit(-far).cast("bigint").alias("a"), F.lit(far).cast("bigint").alias("b"))
+    whole = F.aggregate("__q_rows", zero, lambda f, r: F.struct((f["s"] + r["d"]).alias("s"), held(f["a"] + r["d"]).alias("a"), held(f["b"] + r["d"]).alias("b")))
+    steps = blocks.select(*keys, "__q_block", whole.alias("f")).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("__q_block", "f"))).alias("fs"))
+    firsts = F.aggregate("fs", F.array(F.lit(start).cast("bigint")), lambda v, x: F.concat(v, F.array(F.greatest(x["f"]["a"], F.least(x["f"]["b"], F.element_at(v, -1) + x["f"]["s"])))))
+    firsts = steps.select(*keys, F.posexplode(firsts).alias("__q_block", "__q_first")).withColumn("__q_block", F.col("__q_block").cast("bigint"))
+    values = F.aggregate("__q_rows", F.array("__q_first"), lambda v, r: F.concat(v, F.array(held(F.element_at(v, -1) + r["d"]))))
+    done = blocks.join(firsts, [*keys, "__q_block"]).withColumn("__q_values", values)
+    zipped = F.zip_with("__q_rows", F.slice("__q_values", F.lit(2), F.size("__q_rows")), lambda r, v: F.struct(r["at"].alias("at"), v.alias("v")))
+    return done.select(*keys, F.explode(zipped).alias("z")).select(*keys, F.col("z.at").alias(order), F.col("z.v").alias(name))
 
 
 def deal_least_loaded(df: DataFrame, keys: list[str], order: str, load: str, workers: int, name: str = "worker") -> DataFrame:
