@@ -19,6 +19,12 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+def small_batches(spark: SparkSession, most: int = 1000) -> None:
+    """Lowers the session's rows per Arrow batch to `most`: batches that hold whole texts stay small on both sides."""
+    if not 0 < int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= most:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(most))
+
+
 class Workspace:
     """A folder of written tables that cut lineage. `drop` frees one that later steps no longer read."""
 

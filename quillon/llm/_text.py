@@ -18,7 +18,7 @@ _P = 0x9E3779B97F4A7C15 | 1
 _P_INV = pow(_P, -1, 1 << 64)
 _SHINGLE = np.array([pow(0xD6E8FEB86659FD93, k + 1, 1 << 64) for k in range(64)], np.uint64)
 #: Bytes of text that are hashed in one go; a single longer text goes alone.
-SLAB = 1 << 20
+SLAB = 1 << 18
 
 
 def _table(separators: np.ndarray) -> np.ndarray:

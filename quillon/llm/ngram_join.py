@@ -4,14 +4,17 @@
    documents; the at most FREQUENT most frequent ones go last in the order of
    shingles, all others stand in hash order.  Any order gives the same links.
 2. Documents with equal sets are one node.  Two sets can only link if the first
-   quarter of each in that order meets, so only those shingles are listed.
-3. Nodes link to the smallest node of the lists they share with it most often;
-   what that verifies is joined into first components.  Lists within a single
-   component need no further pair.
-4. The other lists, one of each set of members, are cut into cells of
-   neighbouring size bands and tiles of about TILE rows.  Tiles meet in pairs: bitmap signatures bound the overlap from
-   above (bits that differ are shingles in one set only), what is left is
-   verified by intersecting the sorted arrays of distinct shingles.
+   quarter of each in that order meets (of the smaller set the first seventh),
+   so only those shingles are listed.
+3. In rounds, nodes look at hubs, drawn anew for each list, of the lists they
+   are in; what verifies merges components.  Lists within one component need no
+   further pair, and of lists with the same members the first is enough.
+4. What is left is compared exhaustively: lists are cut into cells of
+   neighbouring size bands and tiles of about TILE rows, and tiles meet in
+   pairs, but for tiles of one component.  A pair counts in the first list that
+   its sets share; positions in the lists and bitmap signatures bound the
+   overlap from above (bits that differ are shingles in one set only), and what
+   is left is verified by intersecting the arrays of distinct shingles.
 
 Shingles and sets are known by 64-bit hashes.
 """
@@ -22,19 +25,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillon.llm import _text
 from quillon.llm._components import components
-from quillon.llm._store import Workspace
+from quillon.llm._store import Workspace, small_batches
 
 #: A pair links if PERCENT of the union is shared.
 PERCENT = 75
 FREQUENT = 1 << 16
 TILE = 256
-SEEDS = 2
+#: Hubs drawn for each list, and hubs that a node looks at, in the first round; twice as many in each later one, which has fewer lists.
+HUBS, SEEDS = 2, 4
+#: Rounds before what is left is compared exhaustively.
+ROUNDS = 3
+#: First shingles of a node that tell in which list a pair counts.
+HEADS = 8
 #: Bits of the filter that lets only sets of candidate nodes through (8 MB).
 FILTER_BITS = 1 << 26
 
@@ -61,12 +69,22 @@ def _bitmap(s: np.ndarray) -> bytes:
 
 
 def _count_frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held, n_held = [], 0
+
+    def counted() -> pa.RecordBatch:
+        h, n = np.unique(np.concatenate(held), return_counts=True)
+        often = n >= max(4, len(held) // 500)
+        return pa.record_batch({"h": h[often].view(np.int64), "n": n[often].astype(np.int64)})
+
     for batch in batches:
-        for lo in range(0, batch.num_rows, 4000):
-            got = [s for _, s in _sets(batch.slice(lo, 4000))]
-            h, n = np.unique(np.concatenate(got), return_counts=True)
-            often = n >= max(4, len(got) // 500)
-            yield pa.record_batch({"h": h[often].view(np.int64), "n": n[often].astype(np.int64)})
+        for _, s in _sets(batch):
+            held.append(s)
+            n_held += len(s)
+            if len(held) >= 4000 or n_held >= 1 << 20:
+                yield counted()
+                held, n_held = [], 0
+    if held:
+        yield counted()
 
 
 def frequent_shingles(docs: DataFrame) -> np.ndarray:
@@ -76,48 +94,54 @@ def frequent_shingles(docs: DataFrame) -> np.ndarray:
     return np.sort(rows.column("h").to_numpy().view(np.uint64))
 
 
-def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        n, d, bits = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64), [b""] * batch.num_rows
-        for row, s in _sets(batch):
-            if len(s):
-                n[row], d[row], bits[row] = len(s), _digest(s), _bitmap(s)
-        yield pa.record_batch({"doc_id": batch.column("doc_id"), "n": n, "node": d, "bits": pa.array(bits, pa.binary())})
+def _signed(frequent) -> object:
+    """Per document its set's size, digest, bitmap and first shingles in order (hashes as signed numbers of the
+    same order), `n_early` of which aren't frequent; bitmap and shingles only where the task sees a set first."""
 
-
-def _prefixes(frequent) -> object:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         late, seen = frequent.value, set()
         for batch in batches:
-            nodes, firsts = [], []
-            for _, s in _sets(batch):
-                node = _digest(s) if len(s) else None
-                if node is None or node in seen:
+            n, d, early = (np.zeros(batch.num_rows, np.int64) for _ in range(3))
+            bits, firsts = [None] * batch.num_rows, [None] * batch.num_rows
+            for row, s in _sets(batch):
+                if not len(s):
                     continue
-                if len(seen) < 1_000_000:
-                    seen.add(node)
+                n[row], d[row] = len(s), _digest(s)
+                if int(d[row]) in seen:
+                    continue
+                if len(seen) < 500_000:
+                    seen.add(int(d[row]))
+                bits[row] = _bitmap(s)
                 keep = len(s) - -(-PERCENT * len(s) // 100) + 1
                 if len(late):
                     is_late = late[np.minimum(np.searchsorted(late, s), len(late) - 1)] == s
-                    s = np.concatenate([s[~is_late], s[is_late]])
-                nodes.append(node)
-                firsts.append(s[:keep].view(np.int64))
-            lengths = np.cumsum([0, *map(len, firsts)])
-            values = np.concatenate(firsts) if firsts else np.zeros(0, np.int64)
-            yield pa.record_batch({"node": pa.array(nodes, pa.int64()), "first": pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.array(values))})
+                    s, early[row] = np.concatenate([s[~is_late], s[is_late]]), len(s) - is_late.sum()
+                else:
+                    early[row] = len(s)
+                firsts[row] = (s[:keep] ^ np.uint64(1 << 63)).view(np.int64)
+            yield pa.record_batch({"doc_id": batch.column("doc_id"), "text_hash": batch.column("text_hash"), "n": n, "node": d, "n_early": early, "bits": pa.array(bits, pa.binary()), "first": pa.array(firsts, pa.list_(pa.int64()))})
 
     return run
 
 
+_SIGNED = "doc_id bigint, text_hash bigint, n bigint, node bigint, n_early bigint, bits binary, first array<bigint>"
+
+
+def _shared_before(heads: np.ndarray, late: np.ndarray, h: int, h_late: bool) -> np.ndarray:
+    """`heads` (of one row each) with what doesn't stand before the list's shingle replaced by 0."""
+    before = (late < h_late) | ((late == h_late) & (heads < h))
+    return np.where(before & (heads != 0), heads, 0)
+
+
 def _tile_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of one tile pair that the bitmaps don't rule out. Rows come sorted by (h, cell, ta, tb)."""
+    """Pairs of one tile pair that count in this list and that the bounds don't rule out. Rows come sorted by (h, cell, ta, tb)."""
     held: pa.Table | None = None
 
     def pairs(t: pa.Table, upto: int) -> pa.RecordBatch:
         key = np.stack([t.column(c).to_numpy() for c in ("h", "cell", "ta", "tb")], 1)[:upto]
         starts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(1)])) if upto else np.zeros(0, int)
-        node, label, n, own, tile = (t.column(c).to_numpy()[:upto] for c in ("node", "label", "n", "own", "tile"))
-        bits = t.column("bits").combine_chunks().slice(0, upto)
+        node, label, n, own, tile, pos, late, early = (t.column(c).to_numpy()[:upto] for c in ("node", "label", "n", "own", "tile", "pos", "late", "n_early"))
+        bits, head = t.column("bits").combine_chunks().slice(0, upto), t.column("heads").combine_chunks().slice(0, upto)
         found = []
         for a, b in zip(starts, [*starts[1:], upto]):
             if b - a < 2 or (label[a:b] == label[a]).all():
@@ -126,7 +150,12 @@ def _tile_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             width = np.array([len(m) for m in maps])
             # Of each width the signatures that are at least as wide, folded to it.
             folded = {w: np.stack([np.bitwise_xor.reduce(m.reshape(-1, w), 0) if len(m) >= w else np.zeros(w, np.uint64) for m in maps]) for w in np.unique(width)}
-            size, ta, tb = n[a:b], key[a, 2], key[a, 3]
+            heads = np.zeros((b - a, HEADS), np.int64)
+            for i, x in enumerate(head[a:b].to_pylist()):
+                heads[i, : len(x)] = x
+            heads = _shared_before(heads, np.arange(HEADS) >= early[a:b, None], key[a, 0], late[a])
+            size, ta, tb, left = n[a:b], key[a, 2], key[a, 3], (n - pos)[a:b]
+            shallow = pos[a:b] < shallow_length(size)
             for i in range(b - a):
                 j = slice(i + 1, b - a)
                 ok = (label[a:b][j] != label[a + i]) & (own[a:b][j] | own[a + i])
@@ -134,11 +163,16 @@ def _tile_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     ok &= tile[a:b][j] != tile[a + i]
                 both = size[j] + size[i]
                 ok &= 100 * np.minimum(size[j], size[i]) >= PERCENT * np.maximum(size[j], size[i])
+                ok &= (100 + PERCENT) * np.minimum(left[j], left[i]) >= PERCENT * both
+                ok &= np.where(size[j] < size[i], shallow[j], np.where(size[j] > size[i], shallow[i], shallow[i] & shallow[j]))
                 common = np.minimum(width[j], width[i])
                 for w in np.unique(common[ok]):
                     at = np.flatnonzero(ok & (common == w))
                     apart = np.bitwise_count(folded[w][j][at] ^ folded[w][i]).sum(1, dtype=np.int64)
                     at = at[(100 + PERCENT) * apart <= (100 - PERCENT) * both[at]]
+                    mine = heads[i][heads[i] != 0]
+                    if len(mine) and len(at):
+                        at = at[~np.isin(heads[j][at], mine).any(1)]
                     found.append(np.stack([np.full(len(at), node[a + i]), node[a:b][j][at]], 1))
         got = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
         return pa.record_batch({"a": got.min(1) if len(got) else got[:, 0], "b": got.max(1) if len(got) else got[:, 1]})
@@ -157,6 +191,12 @@ def _tile_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pairs(held, held.num_rows)
 
 
+def shallow_length(n):
+    """How many first shingles of a set of n can be the first that it shares with a set at least as large: the
+    overlap must reach PERCENT / (100 + PERCENT) of both sizes, so 2 PERCENT / (100 + PERCENT) of the smaller."""
+    return n + (-2 * PERCENT * n) // (100 + PERCENT) + 1
+
+
 def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs (a, b) with both sizes and bitmaps that the bounds don't rule out."""
     for batch in batches:
@@ -172,38 +212,39 @@ def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _passing(bitmap) -> object:
-    """(node, shingles) of the texts whose node the filter lets through, once per task."""
+    """(node, shingles) of the texts whose hash the filter lets through, once per task; only those are cut into shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted, seen = bitmap.value, set()
         for batch in batches:
+            at = batch.column("text_hash").to_numpy() % FILTER_BITS
+            part = batch.filter(pa.array((wanted[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)))
             nodes, sets = [], []
-            for _, s in _sets(batch):
+            for _, s in _sets(part):
                 node = _digest(s) if len(s) else None
                 if node is None or node in seen:
                     continue
-                at = (node % FILTER_BITS) >> 3, (node % FILTER_BITS) & 7
-                if wanted[at[0]] >> at[1] & 1:
-                    if len(seen) < 1_000_000:
-                        seen.add(node)
-                    nodes.append(node)
-                    sets.append(s.view(np.int64))
+                if len(seen) < 500_000:
+                    seen.add(node)
+                nodes.append(node)
+                sets.append(s.view(np.int64))
             lengths = np.cumsum([0, *map(len, sets)])
             yield pa.record_batch({"node": pa.array(nodes, pa.int64()), "shingles": pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64)))})
 
     return run
 
 
-def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """Of the pairs (a, b) of nodes those whose sets are as similar as asked for."""
     spark = docs.sparkSession
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    at = F.pmod("node", F.lit(FILTER_BITS))
+    at = F.pmod("text_hash", F.lit(FILTER_BITS))
     filled = np.zeros(FILTER_BITS // 8, np.uint8)
     # At most FILTER_BITS / 32768 rows of 4 KB, however many nodes there are.
-    for bucket, bits in wanted.groupBy(F.bitmap_bucket_number(at + 1).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at + 1))).collect():
+    marks = wanted.join(nodes.select("node", "text_hash"), "node").groupBy(F.bitmap_bucket_number(at + 1).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at + 1)))
+    for bucket, bits in marks.collect():
         filled[(bucket - 1) * 4096 : bucket * 4096] = np.frombuffer(bits, np.uint8)
-    sets = docs.select("text").mapInArrow(_passing(spark.sparkContext.broadcast(filled)), "node bigint, shingles array<bigint>")
+    sets = docs.select("text_hash", "text").mapInArrow(_passing(spark.sparkContext.broadcast(filled)), "node bigint, shingles array<bigint>")
     sets = sets.join(wanted, "node", "left_semi").dropDuplicates(["node"])
     x = pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
     x = x.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
@@ -211,6 +252,41 @@ def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return x.where((100 + PERCENT) * shared >= PERCENT * both).select("a", "b")
 
 
+def _hub_pairs(work: Workspace, rows: DataFrame, nodes: DataFrame, turn: int) -> DataFrame:
+    """Pairs (a, b) of a node and a hub of another label: of each list a few members of smallest hash in this turn are
+    hubs, and a node looks at those hubs that most of its lists name; the bitmaps rule out some."""
+    n_hubs, n_seeds = (HUBS, SEEDS) if not turn else (2 * HUBS, 2 * SEEDS)
+    hubs = rows.groupBy("h").agg(*[F.min(F.struct(F.xxhash64(F.lit(turn), F.lit(k), "node").alias("o"), "node", "label")).alias(f"hub{k}") for k in range(n_hubs)])
+    seen = rows.join(hubs, "h").select("node", "label", F.explode(F.array(*[f"hub{k}" for k in range(n_hubs)])).alias("hub")).where("hub.label <> label")
+    votes = seen.groupBy("node", F.col("hub.node").alias("hub")).agg(F.count("*").alias("votes"))
+    best = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("votes"), "hub"))
+    seeds = votes.withColumn("k", best).where(F.col("k") <= n_seeds).select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+    sides = {s: nodes.select(F.col("node").alias(s), F.col("n").alias(f"n{s}"), F.col("bits").alias(f"bits_{s}")) for s in "ab"}
+    bounded = seeds.join(sides["b"], "b").join(sides["a"], "a").select("a", "b", "na", "nb", "bits_a", "bits_b").mapInArrow(_bounded, "a bigint, b bigint")
+    return work.write(bounded, f"seeds{turn}")
+
+
+def _merged(work: Workspace, labels: DataFrame | None, links: DataFrame, turn: str) -> DataFrame:
+    """(node, label) of all nodes that have ever linked, after these links of nodes."""
+    if labels is None:
+        return work.write(components(work, links, f"cc{turn}").withColumnRenamed("component", "label"), f"labels{turn}")
+    side = {s: labels.select(F.col("node").alias(s), F.col("label").alias(f"l{s}")) for s in "ab"}
+    edges = links.join(side["a"], "a", "left").join(side["b"], "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
+    tops = components(work, edges, f"cc{turn}").select(F.col("node").alias("label"), F.col("component").alias("top"))
+    old = labels.join(tops, "label", "left").select("node", F.coalesce("top", "label").alias("label"))
+    fresh = tops.select(F.col("label").alias("node"), F.col("top").alias("label")).join(labels.select("node"), "node", "left_anti")
+    return work.write(old.union(fresh), f"labels{turn}")
+
+
+def _open_lists(work: Workspace, rows: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
+    """`rows` with new labels, of the lists that still hold several; of lists of the same nodes (known by two hashes)
+    the first in the order of shingles, as that is where their pairs count."""
+    labelled = rows.drop("label").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    lists = labelled.groupBy("h").agg(F.first("late").alias("late"), F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("size"), F.bit_xor(F.xxhash64("node")).alias("n1"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("n2"))
+    lists = lists.where("x <> y").groupBy("size", "n1", "n2").agg(F.min(F.struct("late", "h")).alias("first")).select("first.h", "size")
+    return work.write(labelled.drop("size").join(lists, "h"), f"open{turn}")
+
+
 def jaccard_components(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id (smallest doc_id reachable by links) of every row of `docs`.
 
@@ -222,58 +298,69 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_
     `docs` are not read.
     """
     work = Workspace(spark, "ngrams")
-    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    signed = work.write(docs.mapInArrow(_sign, "doc_id bigint, n bigint, node bigint, bits binary"), "signed")
-    nodes = work.write(signed.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits")), "nodes")
-
+    small_batches(spark)
+    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
     frequent = spark.sparkContext.broadcast(frequent_shingles(docs))
-    firsts = docs.select("text").mapInArrow(_prefixes(frequent), "node bigint, first array<bigint>").dropDuplicates(["node"])
-    rows = firsts.select("node", F.explode("first").alias("h"))
-    mine = Window.partitionBy("h")
-    live = rows.withColumn("hub", F.min("node").over(mine)).withColumn("last", F.max("node").over(mine)).where("hub <> last").drop("last")
-    live = work.write(live, "live")
-
-    votes = live.where("hub <> node").groupBy("node", "hub").agg(F.count("*").alias("votes"))
-    best = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("votes"), "hub"))
-    seeds = votes.withColumn("k", best).where(F.col("k") <= SEEDS).select(F.col("node").alias("a"), F.col("hub").alias("b"))
-    sides = {s: nodes.select(F.col("node").alias(s), F.col("n").alias(f"n{s}"), F.col("bits").alias(f"bits_{s}")) for s in "ab"}
-    seeds = work.write(seeds.join(sides["b"], "b").join(sides["a"], "a").select("a", "b", "na", "nb", "bits_a", "bits_b").mapInArrow(_bounded, "a bigint, b bigint"), "seeds")
-    first = work.write(components(work, work.write(_verified(docs, seeds), "seed-links"), "seeds-cc"), "labels")
-
-    labelled = live.select("h", "node").join(first.withColumnRenamed("component", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
-    labelled = work.write(labelled, "labelled")
-    # Lists of the same nodes (known by two hashes) ask for the same pairs: one of them is enough.
-    lists = labelled.groupBy("h").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("size"), F.bit_xor(F.xxhash64("node")).alias("n1"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("n2"))
-    lists = lists.where("x <> y").groupBy("size", "n1", "n2").agg(F.min("h").alias("h")).select("h", "size")
-    open_ = work.write(labelled.join(work.write(lists, "lists"), "h"), "open")
-    work.drop("live", "labelled")
-    pairs = work.write(_candidates(open_, nodes), "pairs")
-    links = work.write(_verified(docs, pairs), "links")
-    label = {s: first.select(F.col("node").alias(s), F.col("component").alias(f"c{s}")) for s in "ab"}
-    merged = links.join(label["a"], "a", "left").join(label["b"], "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
-    second = work.write(components(work, merged, "rest-cc").select(F.col("node").alias("first"), F.col("component").alias("top")), "tops")
-
-    of_node = first.select("node", F.col("component").alias("first"))
-    result = signed.select("doc_id", "n", "node").join(of_node, "node", "left").withColumn("first", F.coalesce("first", "node"))
-    result = result.join(second, "first", "left").withColumn("top", F.coalesce("top", "first"))
-    result = work.write(result.select("doc_id", "n", "top"), "topped")
+    full = work.write(docs.mapInArrow(_signed(frequent), _SIGNED), "full")
+    listed = work.write(full.where("first IS NOT NULL").drop("doc_id").dropDuplicates(["node"]), "listed")
+    signed = work.write(full.select("doc_id", "n", "node"), "signed")
+    nodes = work.write(listed.select("node", "text_hash", "n", "n_early", "bits", F.slice("first", 1, HEADS).alias("heads")), "nodes")
+    work.drop("full")
+
+    rows = listed.select("node", "n", "n_early", F.posexplode("first").alias("pos", "h"))
+    rows = rows.select("h", "node", "pos", (F.col("pos") >= F.col("n_early")).alias("late"), (F.col("pos") < shallow_length_column(F.col("n"))).alias("shallow"))
+    # A node lists a shingle once, so rows are nodes.
+    shared = rows.groupBy("h").agg(F.count("*").alias("nodes"), F.bool_or("shallow").alias("any")).where("nodes > 1 AND any").select("h")
+    rows = work.write(rows.drop("shallow").join(shared, "h", "left_semi").withColumn("label", F.col("node")).withColumn("size", F.lit(0).cast("long")), "live")
+    work.drop("listed")
+
+    labels = None
+    for turn in range(ROUNDS):
+        links = work.write(_verified(docs, nodes, _hub_pairs(work, rows, nodes, turn)), f"links{turn}")
+        labels = _merged(work, labels, links, str(turn))
+        rows = _open_lists(work, rows, labels, turn)
+        work.drop(f"seeds{turn}", "live" if not turn else f"open{turn - 1}", f"labels{turn - 1}")
+    pairs = work.write(_candidates(rows, nodes), "pairs")
+    labels = _merged(work, labels, work.write(_verified(docs, nodes, pairs), "links"), "last")
+
+    result = signed.join(labels, "node", "left").select("doc_id", "n", F.coalesce("label", "node").alias("top"))
+    result = work.write(result, "topped")
     least = work.write(result.where("n > 0").groupBy("top").agg(F.min("doc_id").alias("least")), "least").withColumnRenamed("top", "t")
     result = result.join(least, (F.col("top") == F.col("t")) & (F.col("n") > 0), "left")
     return result.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def shallow_length_column(n: Column) -> Column:
+    return n - F.ceil(n * (2 * PERCENT) / (100 + PERCENT)) + 1
+
+
 def _candidates(open_: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs of nodes in one list, of different components, that the bitmaps don't rule out."""
+    """Pairs of nodes in one list, of different components, that the bounds don't rule out.
+
+    A list that fits into one tile is one cell.  Else a node stands in its own
+    band's cell and as a guest in the next one's.  A component of more than
+    TILE rows in a cell has tiles of its own, and no two of these meet; all
+    others share tiles.
+    """
     rows = open_.join(nodes.select("node", "n"), "node").withColumn("band", F.floor(F.log(F.col("n")) / F.log(F.lit(100 / PERCENT))))
-    # A list that fits into one tile is one cell. Else a node stands in its own band's cell and as a guest in the next one's.
-    small = rows.where(F.col("size") <= TILE).select("h", F.lit(-1).cast("long").alias("cell"), F.lit(0).cast("long").alias("ta"), F.lit(0).cast("long").alias("tb"), "node", "label", F.lit(True).alias("own"), F.lit(0).cast("long").alias("tile"))
+    zero = F.lit(0).cast("long")
+    small = rows.where(F.col("size") <= TILE).select("h", F.lit(-1).cast("long").alias("cell"), zero.alias("ta"), zero.alias("tb"), "node", "label", "pos", "late", F.lit(True).alias("own"), zero.alias("tile"))
     large = rows.where(F.col("size") > TILE).withColumn("cell", F.explode(F.array("band", F.col("band") + 1))).withColumn("own", F.col("band") == F.col("cell"))
-    cells = large.groupBy("h", "cell").agg(F.ceil(F.count("*") / TILE).alias("tiles"))
-    large = large.join(cells, ["h", "cell"]).withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")))
-    large = large.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
-    large = large.select("h", "cell", F.least("tile", "other").alias("ta"), F.greatest("tile", "other").alias("tb"), "node", "label", "own", "tile")
+    group = F.when(F.col("c") > TILE, F.col("label"))
+    counts = large.groupBy("h", "cell", "label").agg(F.count("*").alias("c")).groupBy("h", "cell", group.alias("g")).agg(F.ceil(F.sum("c") / TILE).alias("tiles"))
+    # At most one entry per TILE rows of the cell.
+    cells = counts.groupBy("h", "cell").agg(F.array_sort(F.collect_list(F.struct("g", "tiles"))).alias("groups"))
+    before = F.transform("groups", lambda _, i: F.aggregate(F.slice("groups", F.lit(1), i), zero, lambda s, x: s + x["tiles"]))
+    cells = cells.withColumn("groups", F.zip_with("groups", before, lambda x, b: F.struct(x["g"].alias("g"), x["tiles"].alias("tiles"), b.alias("before"))))
+    placed = large.join(cells, ["h", "cell"])
+    mine = F.filter("groups", lambda x: x["g"] == F.col("label"))
+    placed = placed.withColumn("mine", F.when(F.size(mine) > 0, F.get(mine, 0)).otherwise(F.get(F.filter("groups", lambda x: x["g"].isNull()), 0)))
+    placed = placed.withColumn("tile", F.col("mine.before") + F.pmod(F.xxhash64("node"), F.col("mine.tiles")))
+    met = F.filter("groups", lambda x: F.col("mine.g").isNull() | ~x["g"].eqNullSafe(F.col("mine.g")))
+    placed = placed.withColumn("other", F.explode(F.flatten(F.transform(met, lambda x: F.sequence(x["before"], x["before"] + x["tiles"] - 1)))))
+    large = placed.select("h", "cell", F.least("tile", "other").alias("ta"), F.greatest("tile", "other").alias("tb"), "node", "label", "pos", "late", "own", "tile")
     # The signatures come last, so they move once.
-    rows = small.union(large).join(nodes, "node").select("h", "cell", "ta", "tb", "node", "label", "n", "own", "tile", "bits")
+    rows = small.union(large).join(nodes, "node").select("h", "cell", "ta", "tb", "node", "label", "pos", "late", "n", "n_early", "own", "tile", "bits", "heads")
     dealt = rows.repartition("h", "cell", "ta", "tb").sortWithinPartitions("h", "cell", "ta", "tb")
     return dealt.mapInArrow(_tile_pairs, "a bigint, b bigint").distinct()
 
