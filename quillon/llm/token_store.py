@@ -21,11 +21,13 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import unicodedata
 import zlib
 from array import array
 from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -33,18 +35,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm import _text
+from quillon.llm._store import small_batches
 
 WINDOW = 8
 LEAST, MOST = 128, 4096
 #: A chunk ends where these bits of the rolling hash are zero: after 512 ids on average.
 CUT = np.uint64(511)
-#: Documents that a Python worker encodes in one go.
-SLICE = 500
-#: Words whose ids a Python worker keeps.
+#: Bytes of text that a Python worker encodes in one go.
+SLICE = 4 << 20
+#: Segments whose ids a Python worker keeps.
 MEMO = 1_000_000
 _POLY = 0xEDB88320
 
-_memo: dict[str, bytes] = {}
 _made: dict[int, object] = {}
 
 
@@ -60,15 +62,76 @@ def merkle(leaves: list[bytes]) -> bytes:
     return level[0]
 
 
+#: Bytes of lower-cased text: white space, letters (all beyond ASCII are taken for such at first), closing punctuation, all else.
+_BLANK, _LETTER, _CLOSING, _OTHER = range(4)
+_KIND = np.full(256, _OTHER, np.uint8)
+_KIND[[0x20, 0x09, 0x0A, 0x0D]] = _BLANK
+_KIND[97:123] = _KIND[128:] = _LETTER
+_KIND[[ord(c) for c in ".,;:!?"]] = _CLOSING
+#: Printable ASCII signs between letters: a segment that wasn't cut from its piece, and means the same alone.
+_WHOLE = re.compile(r"(?=.*[!-`{-~])(?:[!-~]|[^\W\d_])+")
+
+
+def _segments(data: np.ndarray) -> tuple[np.ndarray, pa.StringArray]:
+    """Where the segments of lower-cased text start, and the segments: pieces between white space, cut where letters
+    and closing punctuation meet, unless they hold anything else."""
+    kind = _KIND[data]
+    solid = kind != _BLANK
+    begins = np.flatnonzero(solid & ~np.concatenate([[False], solid[:-1]]))
+    ends = np.flatnonzero(solid & ~np.concatenate([solid[1:], [False]])) + 1
+    if not len(begins):
+        return begins, pa.array([], pa.string())
+    whole = np.logical_or.reduceat(kind == _OTHER, begins)
+    cuts = np.flatnonzero(solid[1:] & solid[:-1] & (kind[1:] != kind[:-1])) + 1
+    cuts = cuts[~whole[np.searchsorted(begins, cuts, "right") - 1]]
+    starts = np.sort(np.concatenate([begins, cuts]))
+    stops = np.minimum(np.concatenate([starts[1:], [len(data)]]), ends[np.searchsorted(begins, starts, "right") - 1])
+    offsets = np.concatenate([[0], np.cumsum(stops - starts)]).astype(np.int32)
+    return starts, pa.StringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(data[solid].tobytes()))
+
+
+class Memo:
+    """Ids of segments: a number for each, and all ids end to end. Beyond MEMO segments the half that texts use least is forgotten."""
+
+    def __init__(self):
+        self.at: dict[str, int] = {}
+        self.ids, self.ends, self.used = np.zeros(0, "<u4"), np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.n_ids = 0
+
+    def add(self, segments: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
+        n, m = len(self.at), len(self.at) + len(segments)
+        if m > len(self.ends):
+            self.ends, self.used = (np.concatenate([x, np.zeros(m, x.dtype)]) for x in (self.ends, self.used))
+        if self.n_ids + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(self.n_ids + len(ids), "<u4")])
+        self.at.update(zip(segments, range(n, m)))
+        self.ids[self.n_ids : self.n_ids + len(ids)] = ids
+        self.ends[n:m] = self.n_ids + np.cumsum(lengths)
+        self.n_ids += len(ids)
+
+    def lists(self) -> pa.ListArray:
+        n = len(self.at)
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([np.zeros(1, np.int32), self.ends[:n]])), pa.array(self.ids[: self.n_ids]))
+
+    def shrink(self) -> None:
+        n = len(self.at)
+        kept = np.sort(np.argpartition(self.used[:n], n // 2)[n // 2 :])
+        names, lists, used = list(self.at), self.lists().take(pa.array(kept)), self.used[kept]
+        self.__init__()
+        self.add([names[i] for i in kept], lists.values.to_numpy(), np.diff(lists.offsets.to_numpy()))
+        self.used[: len(kept)] = used
+
+
 class Encoder:
     """Ids of whole texts.
 
     Where white space parts pre-tokens, closing punctuation is one of its own
-    and case doesn't matter, as probes tell, each piece between blanks is
-    encoded once and remembered.  Words of small ASCII letters are encoded many
-    at a time, without normalising and splitting what needs neither; in a
-    vocabulary with word ends the ids tell where each word stops.  Other
-    tokenizers encode every text as it is.
+    and case doesn't matter, as probes tell, texts are cut into segments, and
+    each distinct one of many texts is encoded once and remembered.  Words of
+    small ASCII letters are encoded many at a time, without normalising and
+    splitting what needs neither; in a vocabulary with word ends the ids tell
+    where each word stops.  Texts with other signs beyond ASCII, and other
+    tokenizers, encode every text as it is.
     """
 
     PROBES = ("Wow, a test.", "a b\nc\td\re ,f", "don't x'll, 12 3.5 (y); z?!", "\u00e9 \u00c9t\u00e9 stra\u00dfe: ...", "ab,cd. Ef-g... The END.", "one two, three", "été Łódź straße ñandú, naïve")
@@ -87,17 +150,21 @@ class Encoder:
             split, bytes_ = {"type": "WhitespaceSplit"}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
             self.letters = Tokenizer.from_str(json.dumps(parts | {"normalizer": None, "pre_tokenizer": split}))
             self.normal = Tokenizer.from_str(json.dumps(parts | {"normalizer": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": [split, bytes_]}}))
-        self.by_piece = True
-        self.by_piece = self(list(self.PROBES)) == [self._plain([x])[0] for x in self.PROBES]
-        _memo.clear()
+        self.memo, self.by_segment = Memo(), True
+        self.by_segment = all(np.array_equal(a, np.frombuffer(b, "<u4")) for a, b in zip(self(list(self.PROBES)), self._plain(list(self.PROBES))))
 
     def _plain(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _remember(self, segments: list[str]) -> None:
+        for i in range(0, len(segments), 10_000):
+            raw = self._plain(segments[i : i + 10_000])
+            self.memo.add(segments[i : i + 10_000], np.frombuffer(b"".join(raw), "<u4"), np.array([len(x) // 4 for x in raw]))
+
     def _words(self, words: list[str]) -> None:
         """Remembers the ids of letter words, all of them ASCII or none."""
-        for i in range(0, len(words), 10_000):
-            part = words[i : i + 10_000]
+        for i in range(0, len(words), 500):
+            part = words[i : i + 500]
             if self.final is not None:
                 joined = " ".join(part)
                 as_is = joined == joined.lower() and unicodedata.is_normalized("NFC", joined)
@@ -105,59 +172,52 @@ class Encoder:
                 ids = np.array(tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
                 ends = np.flatnonzero(self.final[ids]) + 1
                 if len(ends) == len(part) and len(ids) == ends[-1]:
-                    raw, at = ids.tobytes(), [0, *(4 * ends).tolist()]
-                    _memo.update(zip(part, [raw[x:y] for x, y in zip(at, at[1:])]))
+                    self.memo.add(part, ids, np.diff(ends, prepend=0))
                     continue
-            _memo.update(zip(part, self._plain(part)))
-
-    def _learn(self, pieces: set[str]) -> list[str]:
-        """Remembers the ids of new pieces; gives back those that are put together from two and needn't be kept."""
-        words, rest, split = set(), set(), []
-        for p in pieces:
-            if p.isalpha():
-                words.add(p)
-            else:
-                core = p.rstrip(".,;:!?")
-                if core.isalpha():
-                    split.append((p, core, p[len(core) :]))
-                else:
-                    rest.add(p)
-        for _, core, tail in split:
-            if core not in _memo:
-                words.add(core)
-            if tail not in _memo:
-                rest.add(tail)
-        self._words([w for w in words if w.isascii()])
-        self._words([w for w in words if not w.isascii()])
-        rest = list(rest)
-        for i in range(0, len(rest), 10_000):
-            _memo.update(zip(rest[i : i + 10_000], self._plain(rest[i : i + 10_000])))
-        for p, core, tail in split:
-            _memo[p] = _memo[core] + _memo[tail]
-        return [p for p, _, _ in split]
-
-    def __call__(self, texts: list[str | None]) -> list[bytes]:
-        """Of each text the ids as little-endian unsigned 32-bit integers."""
-        if not self.by_piece:
-            return self._plain([x or "" for x in texts])
+            self._remember(part)
+
+    def _numbers(self, segments: list[str]) -> np.ndarray:
+        """The memo's numbers of distinct segments; -1 for one that may have been cut wrong, as its letters of the kind's table aren't all such."""
+        if len(self.memo.at) + len(segments) > MEMO:
+            self.memo.shrink()
+        find, n = self.memo.at.get, len(segments)
+        known = np.fromiter(map(find, segments, repeat(-1)), np.int32, n)
+        new = np.flatnonzero(known < 0).tolist()
+        if new:
+            fresh = [segments[i] for i in new]
+            letters = [x for x in fresh if x.isalpha()]
+            self._words([x for x in letters if x.isascii()])
+            self._words([x for x in letters if not x.isascii()])
+            self._remember([x for x in fresh if not x.isalpha() and (x.isascii() or _WHOLE.fullmatch(x) and x == x.lower())])
+            known[new] = np.fromiter(map(find, fresh, repeat(-1)), np.int32, len(fresh))
+        self.memo.used[known[known >= 0]] += 1
+        return known
+
+    def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Of each text the ids as unsigned 32-bit integers."""
+        if not self.by_segment:
+            return [np.frombuffer(x, "<u4") for x in self._plain([x or "" for x in texts])]
         # Capital sigma and dotted I are the letters whose small form depends on what is around or is no letter alone.
-        pieces = [(x if "\u03a3" in x or "\u0130" in x else x.lower()).replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") if x else [] for x in texts]
-        used = set().union(*pieces)
-        new = used.difference(_memo)
-        if len(_memo) + len(new) > MEMO:
-            _memo.clear()
-            new = used
-        passing = self._learn(new) if new else []
-        out = [b"".join(map(_memo.__getitem__, ps)) for ps in pieces]
-        for p in passing:
-            del _memo[p]
+        small = [(x if "\u03a3" in x or "\u0130" in x else x.lower()).encode() if x else b"" for x in texts]
+        places = np.cumsum([0, *(len(x) + 1 for x in small)])
+        starts, segments = _segments(np.frombuffer(b"\n".join(small) + b"\n", np.uint8))
+        coded = segments.dictionary_encode()
+        number = self._numbers(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
+        odd = number < 0
+        taken = self.memo.lists().take(pa.array(number, mask=odd if odd.any() else None))
+        # Null lists are empty; a text's ids lie between those of its first segment and the next text's.
+        ids, until = taken.values.to_numpy(), taken.offsets.to_numpy()[np.searchsorted(starts, places)]
+        out = [ids[a:b] for a, b in zip(until, until[1:])]
+        # Whole texts where a segment isn't what its bytes made of it.
+        again = np.unique(np.searchsorted(places, starts[odd], "right") - 1)
+        for i, raw in zip(again, self._plain([texts[i] for i in again])):
+            out[i] = np.frombuffer(raw, "<u4")
         return out
 
 
 def _encoder(definition: str) -> Encoder:
     key = hash(definition)
     if key not in _made:
-        _memo.clear()
         _made.clear()
         _made[key] = Encoder(definition)
     return _made[key]
@@ -190,11 +250,11 @@ def cuts(texts: list[np.ndarray]) -> list[list[int]]:
 
 def _chunked(definition, end_id: int) -> object:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, seen, end = _encoder(definition.value), set(), np.uint32(end_id).tobytes()
+        encode, seen, end = _encoder(definition.value), set(), np.array([end_id], "<u4")
         for batch in batches:
-            for lo in range(0, batch.num_rows, SLICE):
-                part = batch.slice(lo, SLICE)
-                rows, texts = [], [np.frombuffer(raw + end, "<u4") for raw in encode(part.column("text").to_pylist())]
+            for lo, hi in _text.slabs(_text.buffers(batch.column("text"))[1], SLICE):
+                part = batch.slice(lo, hi - lo)
+                rows, texts = [], [np.concatenate([ids, end]) for ids in encode(part.column("text").to_pylist())]
                 for doc, ids, ends in zip(part.column("doc_id").to_pylist(), texts, cuts(texts)):
                     raw, starts = ids.tobytes(), [0, *ends[:-1]]
                     short = ids.astype("<u2").tobytes() if ids.max() < 65536 else None
@@ -259,6 +319,7 @@ def write_store(spark: SparkSession, docs: DataFrame, path: str, tokenizer: str,
     repeat an id are documents of their own, next to each other; null ids come
     first.  Other columns are not read.  An empty table gives empty tables.
     """
+    small_batches(spark)
     definition = spark.sparkContext.broadcast(tokenizer)
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     schema = "doc_id bigint, n_tokens bigint, digests array<binary>, lengths array<int>, payloads array<binary>, root binary"

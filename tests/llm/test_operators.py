@@ -194,9 +194,24 @@ def test_tokenizer_texts_are_whole():
     from tokenizers import Tokenizer
 
     encode, plain = token_store.Encoder(definition), Tokenizer.from_str(definition)
-    assert encode.by_piece
+    assert encode.by_segment
     texts = ["Don't stop,  it's 12.5% ... OK?!", "ΣΊΣΥΦΟΣ ΟΔΟΣ. İstanbul", "naïve café, E\u0301te\u0301.", "日本語 テキスト, ok", "<|endoftext|> <|startoftext|>x a<|endoftext|>", "a\u00a0b\u2003c\x0bd\x1ce", "Ünïcode—dash,,. x.y,z", "ﬁne ½ ①"]
-    assert [np.frombuffer(x, "<u4").tolist() for x in encode(texts)] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    r = np.random.default_rng(5)
+    signs = [*"aé ß.,;'s—“1٣ǅİΣςé&$%  !?ABC-", "\u00a0", "\x0b", "\x1c", "\n", "\t", "e\u0301"]
+    texts += ["".join(r.choice(signs, 40)) for _ in range(1000)]
+    assert [x.tolist() for x in encode(texts)] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_encoder_forgets_without_harm(monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(token_store, "MEMO", 50)
+    definition = tokenizer_definition()
+    encode, plain = token_store.Encoder(definition), Tokenizer.from_str(definition)
+    for k in range(12):
+        texts = [" ".join(words(k % 5, 30)), " ".join(words(k, 20)) + "."]
+        assert [x.tolist() for x in encode(texts)] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert len(encode.memo.at) < 200
 
 
 def test_pii(spark, docs, none):
