@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm import _text
+from quillon.llm._store import small_batches
 
 PERCENT = 75
 #: Shingles of items that one broadcast holds (16 MB of hashes); more items are searched in several blocks.
@@ -88,6 +89,7 @@ def _matches(block) -> object:
 def blocks(items: DataFrame, item_id: str = "item_id", text: str = "text", most: int = BLOCK) -> Iterator[Block]:
     """The items in blocks of about `most` shingles, one partition after the other, so the driver holds one block at a time."""
     rows = items.select(F.col(item_id).cast("long").alias("item_id"), F.col(text).alias("text")).mapInArrow(_item_rows, "item_id bigint, n bigint, shingles array<bigint>")
+    small_batches(items.sparkSession)
     held, size = [], 0
     for r in rows.toLocalIterator():
         held.append((r.item_id, np.array(r.shingles, np.int64).view(np.uint64)))
