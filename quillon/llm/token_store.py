@@ -42,7 +42,7 @@ LEAST, MOST = 128, 4096
 #: A chunk ends where these bits of the rolling hash are zero: after 512 ids on average.
 CUT = np.uint64(511)
 #: Bytes of text that a Python worker encodes in one go.
-SLICE = 4 << 20
+SLICE = 2 << 20
 #: Segments whose ids a Python worker keeps.
 MEMO = 1_000_000
 _POLY = 0xEDB88320
