@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quillon.streaming.runs import shared_path
+
 
 def _ordered(keys: list[str], order: list) -> Window:
     return Window.partitionBy(*keys).orderBy(*order)
@@ -22,8 +24,15 @@ def rank_within(df: DataFrame, keys: list[str], order: list, name: str) -> DataF
 
 def rank_globally(df: DataFrame, order: list, name: str, least: str = "__q_part") -> DataFrame:
     """1, 2, ... over the whole table without one task seeing all rows: range
-    partitions are numbered inside and shifted by the sizes of those before."""
-    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(least, F.spark_partition_id())
+    partitions are numbered inside and shifted by the sizes of those before.
+
+    They are written once with their numbers: a plan that dealt the rows again
+    for the sizes could cut the ranges elsewhere.
+    """
+    spark, path = df.sparkSession, shared_path(df.sparkSession, "ranks")
+    dealt = df.repartitionByRange(*order).withColumn(least, F.spark_partition_id())
+    dealt.write.option("compression", "zstd").parquet(path)
+    dealt = spark.read.schema(dealt.schema).parquet(path)
     inside = dealt.withColumn("__q_n", F.row_number().over(_ordered([least], order)))
     # One row per partition.
     sizes = inside.groupBy(least).agg(F.count("*").alias("__q_size"))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import os
 import random
 
 import pytest
 
 from quillon.operators import joins, windows
+from quillon.plans import QUERIES
 
 
 @pytest.mark.parametrize("block", [1, 3, 1000])
@@ -50,6 +52,23 @@ def test_global_rank_over_partitions(spark):
     assert got == list(range(1, 1001))
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="needs the test tables")
+def test_global_rank_with_other_columns(spark):
+    """Several range partitions of rows with a column beyond the order's, against one window over all."""
+    held = {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256k"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        got = QUERIES["rank_global_and_within"](spark, "/root/testdata/sf0.1").collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    orders = spark.read.parquet("/root/testdata/sf0.1/orders.parquet").select("o_orderkey", "o_totalprice").collect()
+    want = sorted(orders, key=lambda r: (-r.o_totalprice, r.o_orderkey))
+    assert sorted((r.rank_global, r.o_orderkey) for r in got) == [(i + 1, r.o_orderkey) for i, r in enumerate(want)]
+
+
 def test_as_of_ties(spark):
     left = spark.createDataFrame([("a", 5, "x"), ("a", 0, "y"), ("b", 5, "z")], "k string, t int, name string")
     right = spark.createDataFrame([("a", 5, 1), ("a", 5, 2), ("a", 3, 9), ("a", 7, 4)], "k string, t int, v int")
