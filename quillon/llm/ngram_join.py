@@ -297,13 +297,18 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_
     id is never a component's name unless it has no other.  Other columns of
     `docs` are not read.
     """
+    return _components(spark, docs, doc_id, text)
+
+
+def _components(spark: SparkSession, docs: DataFrame, doc_id: str, text: str, *more: str) -> DataFrame:
+    """What jaccard_components returns; with "text_hash" in `more` also the hash of each row's text."""
     work = Workspace(spark, "ngrams")
     small_batches(spark)
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
     frequent = spark.sparkContext.broadcast(frequent_shingles(docs))
     full = work.write(docs.mapInArrow(_signed(frequent), _SIGNED), "full")
     listed = work.write(full.where("first IS NOT NULL").drop("doc_id").dropDuplicates(["node"]), "listed")
-    signed = work.write(full.select("doc_id", "n", "node"), "signed")
+    signed = work.write(full.select("doc_id", "n", "node", *more), "signed")
     nodes = work.write(listed.select("node", "text_hash", "n", "n_early", "bits", F.slice("first", 1, HEADS).alias("heads")), "nodes")
     work.drop("full")
 
@@ -323,11 +328,11 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_
     pairs = work.write(_candidates(rows, nodes), "pairs")
     labels = _merged(work, labels, work.write(_verified(docs, nodes, pairs), "links"), "last")
 
-    result = signed.join(labels, "node", "left").select("doc_id", "n", F.coalesce("label", "node").alias("top"))
+    result = signed.join(labels, "node", "left").select("doc_id", "n", F.coalesce("label", "node").alias("top"), *more)
     result = work.write(result, "topped")
     least = work.write(result.where("n > 0").groupBy("top").agg(F.min("doc_id").alias("least")), "least").withColumnRenamed("top", "t")
     result = result.join(least, (F.col("top") == F.col("t")) & (F.col("n") > 0), "left")
-    return result.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+    return result.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"), *more)
 
 
 def shallow_length_column(n: Column) -> Column:
@@ -368,8 +373,10 @@ def _candidates(open_: DataFrame, nodes: DataFrame) -> DataFrame:
 def keep_first(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of `docs` that lead their component (the smallest id); those without words all stay.
 
-    Of rows that repeat an id and a component all stay.
+    Of rows that repeat an id and a component all stay.  A row is known by its
+    id and the hash of its text, so that rows that repeat an id but not the text
+    are judged each by its own component.
     """
-    led = jaccard_components(spark, docs, doc_id, text).where("n_shingles > 0 AND NOT component_id <=> doc_id")
-    gone = Workspace(spark, "near-copies").write(led.select(F.col("doc_id").alias("__q_gone")).distinct(), "gone")
-    return docs.join(gone, F.col(doc_id).cast("long").eqNullSafe(F.col("__q_gone")), "left_anti")
+    led = _components(spark, docs, doc_id, text, "text_hash").where("n_shingles > 0 AND NOT component_id <=> doc_id")
+    gone = Workspace(spark, "near-copies").write(led.select(F.col("doc_id").alias("__q_gone"), F.col("text_hash").alias("__q_hash")).distinct(), "gone")
+    return docs.join(gone, F.col(doc_id).cast("long").eqNullSafe(F.col("__q_gone")) & (F.xxhash64(text) == F.col("__q_hash")), "left_anti")

@@ -80,6 +80,14 @@ def test_jaccard_empty_and_keep_first(spark, docs, none):
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None and r.text and r.text.strip()) == [0, 0, 2, 6, 8, 9, 10]
 
 
+def test_keep_first_with_repeated_and_null_ids(spark):
+    """A row leaves by its own component, whatever other rows of its id do."""
+    a, b, c = words(60, 200), words(61, 200), words(62, 200)
+    rows = [(7, " ".join(a)), (8, " ".join([*a[:90], "x", *a[91:]])), (9, " ".join([*a[:30], "y", *a[31:]])), (3, " ".join(b)), (7, " ".join([*b[:90], "x", *b[91:]])), (None, " ".join([*b[:30], "y", *b[31:]])), (None, " ".join(c)), (None, None)]
+    kept = ngram_join.keep_first(spark, spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert Counter(map(tuple, kept.collect())) == Counter([rows[0], rows[3], rows[6], rows[7]])
+
+
 def test_url_filters(spark):
     urls = ["http://a.Example.com/en/7?x", "http://example.com/en/8", "https://notexample.com/en/", "x://net/de/8", "x://sub.example.net/de/81#a", "x://example.org/es", "x://example.org/es/", None, "", "no-scheme/en/", "://", "x://com", "x://com?/en/", "x://com/en/", "x://com/en/", "http://a..com/en/\n"]
     pages = spark.createDataFrame([(i, u, "old") for i, u in enumerate(urls)], "page_id bigint, url string, rule string")
