@@ -155,12 +155,14 @@ def viterbi(scores: np.ndarray, at: np.ndarray, switch: float = SWITCH) -> np.nd
     `scores` has a row per word, text after text; `at` the n + 1 offsets.  A
     step takes the next word of every text that has one.
     """
+    # As wide as the number of languages asks for.
+    number = np.min_scalar_type(-scores.shape[1])
     n = np.diff(at)
     order = np.argsort(-n, kind="stable")
     first, longest = at[:-1][order], int(n.max()) if len(n) else 0
     alive = np.searchsorted(-n[order], -np.arange(longest), "left")
     best = np.zeros((len(order), scores.shape[1]), np.float32)
-    came = np.zeros(scores.shape, np.int8)
+    came = np.zeros(scores.shape, number)
     for t in range(longest):
         k = alive[t]
         b = best[:k]
@@ -170,8 +172,8 @@ def viterbi(scores: np.ndarray, at: np.ndarray, switch: float = SWITCH) -> np.nd
             came[first[:k] + t] = np.where(b >= jump, np.arange(b.shape[1]), top[:, None])
             b = np.maximum(b, jump)
         best[:k] = b + scores[first[:k] + t]
-    path = np.zeros(len(scores), np.int8)
-    state = best.argmax(1).astype(np.int8)
+    path = np.zeros(len(scores), number)
+    state = best.argmax(1).astype(number)
     last = at[1:][order] - 1
     for t in range(longest):
         k = alive[t]

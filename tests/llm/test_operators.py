@@ -284,6 +284,19 @@ def test_viterbi_matches_brute_force():
             assert np.isclose(total(path[a:b]), max(total(p) for p in product(range(3), repeat=b - a)), atol=1e-4)
 
 
+def test_200_languages(spark):
+    r = np.random.default_rng(6)
+    scores = r.normal(0, 3, (40, 200)).astype(np.float32)
+    assert language_id.viterbi(scores, np.array([0, 15, 40]), 0.0).tolist() == scores.argmax(1).tolist()
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
+    texts = [(i, " ".join("".join(x) for x in letters[r.integers(0, 26, (12, 6))]), f"l{i:03}") for i in range(200)]
+    df = spark.createDataFrame(texts, "doc_id bigint, text string, lang string")
+    model = language_id.fit(df)
+    assert len(model.languages) == 200
+    assert {(x.doc_id, x.lang_pred) for x in language_id.predict(df, model).collect()} == {(i, lang) for i, _, lang in texts}
+    assert {(x.doc_id, x.lang) for x in language_id.spans(df, model).collect()} == {(i, lang) for i, _, lang in texts}
+
+
 def test_decontamination(spark, docs, none):
     items = [(1, " ".join(words(70, 40))), (2, " ".join(words(71, 12))), (3, None), (4, "  "), (5, "a b c"), (1, " ".join(words(70, 40)))]
     item1 = words(70, 40)
