@@ -3,29 +3,34 @@
 1. A pass over all texts counts the shingles that are frequent within 4000
    documents; the at most FREQUENT most frequent ones go last in the order of
    shingles, all others stand in hash order.  Any order gives the same links.
-2. Documents with equal sets are one node.  Two sets can only link if the first
-   quarter of each in that order meets (of the smaller set the first seventh),
-   so only those shingles are listed.
-3. In rounds, nodes look at hubs, drawn anew for each list, of the lists they
-   are in; what verifies merges components.  Lists within one component need no
-   further pair, and of lists with the same members the first is enough.
+2. Documents with equal sets (two 64-bit digests) are one node.  Two sets can
+   only link if the first quarter of each in that order meets (of the smaller
+   set the first seventh), so only those shingles are listed.
+3. Nodes look at hubs, drawn for each list, of the lists they are in; what
+   verifies merges components.  Lists within one component need no further
+   pair, and of lists with the same members the first is enough.  While lists
+   are left that are much longer than a tile, another round draws other hubs.
 4. What is left is compared exhaustively: lists are cut into cells of
-   neighbouring size bands and tiles of about TILE rows, and tiles meet in
-   pairs, but for tiles of one component.  A pair counts in the first list that
-   its sets share; positions in the lists and bitmap signatures bound the
-   overlap from above (bits that differ are shingles in one set only), and what
-   is left is verified by intersecting the arrays of distinct shingles.
-
-Shingles and sets are known by 64-bit hashes.
+   neighbouring size bands and tiles of at most about TILE rows and LOAD
+   shingles, and tiles meet in pairs, but for tiles of one component.  A pair
+   counts in the first list that its sets share; positions in the lists and
+   bitmap signatures bound the overlap from above (bits that differ are
+   shingles in one set only).
+5. The sets of the rows that still have a partner join them in their tile, where
+   sorted arrays are intersected.  A tile gives out a forest: a pair whose
+   components have met there needs no look, so there are fewer links than rows.
+
+Shingles are known by 64-bit hashes.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -36,34 +41,38 @@ from quillon.llm._store import Workspace, small_batches
 #: A pair links if PERCENT of the union is shared.
 PERCENT = 75
 FREQUENT = 1 << 16
-TILE = 256
+#: Rows of a tile, and shingles of all its sets (8 MB).
+TILE, LOAD = 512, 1 << 20
 #: Hubs drawn for each list, and hubs that a node looks at, in the first round; twice as many in each later one, which has fewer lists.
 HUBS, SEEDS = 2, 4
-#: Rounds before what is left is compared exhaustively.
-ROUNDS = 3
-#: First shingles of a node that tell in which list a pair counts.
+#: Rounds of hubs at most, and so many tiles a list of the mean row asks for another.
+ROUNDS, LONG = 3, 4
+#: First lists of a node that tell in which list a pair counts.
 HEADS = 8
-#: Bits of the filter that lets only sets of candidate nodes through (8 MB).
-FILTER_BITS = 1 << 26
+#: Bits of the filter that lets only sets of candidate nodes through, at most (128 MB), and for each node.
+FILTER_BITS, BITS_A_NODE = 1 << 30, 16
 
 
 def _sets(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
     return _text.shingles(*_text.buffers(batch.column("text")))
 
 
-def _digest(s: np.ndarray) -> int:
+def _digests(s: np.ndarray) -> tuple[int, int]:
+    """Two independent 64-bit digests of a set."""
     with np.errstate(over="ignore"):
-        return int(_text.mix((s * np.uint64(0x9DDFEA08EB382D69)).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(s)))[0].view(np.int64))
+        sums = np.stack([s * np.uint64(0x9DDFEA08EB382D69), _text.mix(s ^ np.uint64(0x2545F4914F6CDD1D))]).sum(1, dtype=np.uint64)
+        a, b = _text.mix(sums + np.uint64(len(s))).view(np.int64).tolist()
+        return a, b
 
 
-def _width(n: int) -> int:
-    """Bits of the signature of n shingles: a power of two, at least n, 256 to 32768."""
-    return min(max(256, 1 << (n - 1).bit_length()), 1 << 15)
+def _width(n: int, times: int = 1) -> int:
+    """Bits of the signature of n shingles: a power of two, at least n, 256 to 32768, `times` as wide."""
+    return times * min(max(256, 1 << (n - 1).bit_length()), 1 << 15)
 
 
-def _bitmap(s: np.ndarray) -> bytes:
+def _bitmap(s: np.ndarray, times: int = 1) -> bytes:
     """Bit k says whether an odd number of shingles falls on k; halves fold into each other by xor."""
-    w = _width(len(s))
+    w = _width(len(s), times)
     odd = np.bincount((s & np.uint64(w - 1)).astype(np.int64), minlength=w) & 1
     return np.packbits(odd.astype(bool), bitorder="little").tobytes()
 
@@ -95,22 +104,22 @@ def frequent_shingles(docs: DataFrame) -> np.ndarray:
 
 
 def _signed(frequent) -> object:
-    """Per document its set's size, digest, bitmap and first shingles in order (hashes as signed numbers of the
+    """Per document its set's size, digests, bitmap and first shingles in order (hashes as signed numbers of the
     same order), `n_early` of which aren't frequent; bitmap and shingles only where the task sees a set first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         late, seen = frequent.value, set()
         for batch in batches:
-            n, d, early = (np.zeros(batch.num_rows, np.int64) for _ in range(3))
+            n, d1, d2, early = (np.zeros(batch.num_rows, np.int64) for _ in range(4))
             bits, firsts = [None] * batch.num_rows, [None] * batch.num_rows
             for row, s in _sets(batch):
                 if not len(s):
                     continue
-                n[row], d[row] = len(s), _digest(s)
-                if int(d[row]) in seen:
+                n[row], (d1[row], d2[row]) = len(s), (d := _digests(s))
+                if d in seen:
                     continue
                 if len(seen) < 500_000:
-                    seen.add(int(d[row]))
+                    seen.add(d)
                 bits[row] = _bitmap(s)
                 keep = len(s) - -(-PERCENT * len(s) // 100) + 1
                 if len(late):
@@ -119,12 +128,14 @@ def _signed(frequent) -> object:
                 else:
                     early[row] = len(s)
                 firsts[row] = (s[:keep] ^ np.uint64(1 << 63)).view(np.int64)
-            yield pa.record_batch({"doc_id": batch.column("doc_id"), "text_hash": batch.column("text_hash"), "n": n, "node": d, "n_early": early, "bits": pa.array(bits, pa.binary()), "first": pa.array(firsts, pa.list_(pa.int64()))})
+            yield pa.record_batch({"doc_id": batch.column("doc_id"), "text_hash": batch.column("text_hash"), "n": n, "d1": d1, "d2": d2, "n_early": early, "bits": pa.array(bits, pa.binary()), "first": pa.array(firsts, pa.list_(pa.int64()))})
 
     return run
 
 
-_SIGNED = "doc_id bigint, text_hash bigint, n bigint, node bigint, n_early bigint, bits binary, first array<bigint>"
+_SIGNED = "doc_id bigint, text_hash bigint, n bigint, d1 bigint, d2 bigint, n_early bigint, bits binary, first array<bigint>"
+_TILE_KEY = ("h", "cell", "ta", "tb")
+_TILE_ROW = "h bigint, cell bigint, ta bigint, tb bigint, node bigint, label bigint, pos int, late boolean, n bigint, own boolean, tile bigint, n_early int, heads array<bigint>"
 
 
 def _shared_before(heads: np.ndarray, late: np.ndarray, h: int, h_late: bool) -> np.ndarray:
@@ -133,62 +144,113 @@ def _shared_before(heads: np.ndarray, late: np.ndarray, h: int, h_late: bool) ->
     return np.where(before & (heads != 0), heads, 0)
 
 
-def _tile_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of one tile pair that count in this list and that the bounds don't rule out. Rows come sorted by (h, cell, ta, tb)."""
-    held: pa.Table | None = None
-
-    def pairs(t: pa.Table, upto: int) -> pa.RecordBatch:
-        key = np.stack([t.column(c).to_numpy() for c in ("h", "cell", "ta", "tb")], 1)[:upto]
-        starts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(1)])) if upto else np.zeros(0, int)
-        node, label, n, own, tile, pos, late, early = (t.column(c).to_numpy()[:upto] for c in ("node", "label", "n", "own", "tile", "pos", "late", "n_early"))
-        bits, head = t.column("bits").combine_chunks().slice(0, upto), t.column("heads").combine_chunks().slice(0, upto)
-        found = []
-        for a, b in zip(starts, [*starts[1:], upto]):
-            if b - a < 2 or (label[a:b] == label[a]).all():
+class Tiles:
+    """Rows of whole tile pairs, in arrays."""
+
+    def __init__(self, t: pa.Table):
+        names = ("node", "label", "n", "own", "tile", "pos", "late", "n_early")
+        self.node, self.label, self.n, self.own, self.tile, self.pos, self.late, self.early = (t.column(c).to_numpy() for c in names)
+        self.key = np.stack([t.column(c).to_numpy() for c in _TILE_KEY], 1)
+        heads = t.column("heads").combine_chunks()
+        lengths = heads.value_lengths().to_numpy()
+        self.heads = np.zeros((len(t), HEADS), np.int64)
+        self.heads[np.arange(HEADS) < lengths[:, None]] = heads.flatten().to_numpy()
+
+    def groups(self) -> list[tuple[int, int]]:
+        """First row and end of each tile pair that holds several components."""
+        starts = np.flatnonzero(np.concatenate([[True], (self.key[1:] != self.key[:-1]).any(1)])) if len(self.key) else np.zeros(0, int)
+        return [(a, b) for a, b in zip(starts, [*starts[1:], len(self.key)]) if b - a > 1 and (self.label[a:b] != self.label[a]).any()]
+
+    def partners(self, a: int, b: int, bits: list[bytes]) -> Iterator[tuple[int, np.ndarray]]:
+        """For each row of the tile pair [a, b), counted from a, the later rows that count here and that the bounds don't rule out."""
+        at = slice(a, b)
+        maps = [np.frombuffer(x, np.uint64) for x in bits]
+        width = np.array([len(m) for m in maps])
+        # Of each width the signatures that are at least as wide, folded to it.
+        folded = {w: np.stack([np.bitwise_xor.reduce(m.reshape(-1, w), 0) if len(m) >= w else np.zeros(w, np.uint64) for m in maps]) for w in np.unique(width)}
+        size, label, own, tile, left = self.n[at], self.label[at], self.own[at], self.tile[at], (self.n - self.pos)[at]
+        heads = _shared_before(self.heads[at], np.arange(HEADS) >= self.early[at, None], self.key[a, 0], self.late[a])
+        shallow = self.pos[at] < shallow_length(size)
+        for i in range(b - a - 1):
+            j = slice(i + 1, b - a)
+            ok = (label[j] != label[i]) & (own[j] | own[i])
+            if self.key[a, 2] != self.key[a, 3]:
+                ok &= tile[j] != tile[i]
+            both = size[j] + size[i]
+            ok &= 100 * np.minimum(size[j], size[i]) >= PERCENT * np.maximum(size[j], size[i])
+            ok &= (100 + PERCENT) * np.minimum(left[j], left[i]) >= PERCENT * both
+            ok &= np.where(size[j] < size[i], shallow[j], np.where(size[j] > size[i], shallow[i], shallow[i] & shallow[j]))
+            at_i = np.flatnonzero(ok)
+            mine = heads[i][heads[i] != 0]
+            if len(mine) and len(at_i):
+                at_i = at_i[~np.isin(heads[j][at_i], mine).any(1)]
+            if not len(at_i):
                 continue
-            maps = [np.frombuffer(x.as_py(), np.uint64) for x in bits[a:b]]
-            width = np.array([len(m) for m in maps])
-            # Of each width the signatures that are at least as wide, folded to it.
-            folded = {w: np.stack([np.bitwise_xor.reduce(m.reshape(-1, w), 0) if len(m) >= w else np.zeros(w, np.uint64) for m in maps]) for w in np.unique(width)}
-            heads = np.zeros((b - a, HEADS), np.int64)
-            for i, x in enumerate(head[a:b].to_pylist()):
-                heads[i, : len(x)] = x
-            heads = _shared_before(heads, np.arange(HEADS) >= early[a:b, None], key[a, 0], late[a])
-            size, ta, tb, left = n[a:b], key[a, 2], key[a, 3], (n - pos)[a:b]
-            shallow = pos[a:b] < shallow_length(size)
-            for i in range(b - a):
-                j = slice(i + 1, b - a)
-                ok = (label[a:b][j] != label[a + i]) & (own[a:b][j] | own[a + i])
-                if ta != tb:
-                    ok &= tile[a:b][j] != tile[a + i]
-                both = size[j] + size[i]
-                ok &= 100 * np.minimum(size[j], size[i]) >= PERCENT * np.maximum(size[j], size[i])
-                ok &= (100 + PERCENT) * np.minimum(left[j], left[i]) >= PERCENT * both
-                ok &= np.where(size[j] < size[i], shallow[j], np.where(size[j] > size[i], shallow[i], shallow[i] & shallow[j]))
-                common = np.minimum(width[j], width[i])
-                for w in np.unique(common[ok]):
-                    at = np.flatnonzero(ok & (common == w))
-                    apart = np.bitwise_count(folded[w][j][at] ^ folded[w][i]).sum(1, dtype=np.int64)
-                    at = at[(100 + PERCENT) * apart <= (100 - PERCENT) * both[at]]
-                    mine = heads[i][heads[i] != 0]
-                    if len(mine) and len(at):
-                        at = at[~np.isin(heads[j][at], mine).any(1)]
-                    found.append(np.stack([np.full(len(at), node[a + i]), node[a:b][j][at]], 1))
-        got = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
-        return pa.record_batch({"a": got.min(1) if len(got) else got[:, 0], "b": got.max(1) if len(got) else got[:, 1]})
-
+            common = np.minimum(width[j][at_i], width[i])
+            kept = []
+            for w in np.unique(common):
+                some = at_i[common == w]
+                apart = np.bitwise_count(folded[w][j][some] ^ folded[w][i]).sum(1, dtype=np.int64)
+                kept.append(some[(100 + PERCENT) * apart <= (100 - PERCENT) * both[some]])
+            found = np.concatenate(kept) + i + 1
+            if len(found):
+                yield i, found
+
+
+def _whole_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows that come sorted by tile pair, cut where one ends."""
+    held: list[pa.RecordBatch] = []
+    last = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        t = pa.Table.from_batches([batch])
-        held = t if held is None else pa.concat_tables([held, t])
-        key = np.stack([held.column(c).to_numpy() for c in ("h", "cell", "ta", "tb")], 1)
+        key = np.stack([batch.column(c).to_numpy() for c in _TILE_KEY], 1)
         open_ = int(np.flatnonzero((key == key[-1]).all(1))[0])
-        if open_:
-            yield pairs(held, open_)
-            held = held.slice(open_)
-    if held is not None:
-        yield pairs(held, held.num_rows)
+        if held and (open_ or (key[0] != last).any()):
+            yield pa.Table.from_batches([*held, batch.slice(0, open_)]).combine_chunks()
+            held = []
+        elif open_:
+            yield pa.Table.from_batches([batch.slice(0, open_)]).combine_chunks()
+        held.append(batch.slice(open_))
+        last = key[-1]
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _tile_survivors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows, without their bitmaps, that have a partner in their tile pair which the bounds don't rule out."""
+    for t in _whole_tiles(batches):
+        tiles, bits, keep = Tiles(t), t.column("bits").to_pylist(), np.zeros(len(t), bool)
+        for a, b in tiles.groups():
+            for i, found in tiles.partners(a, b, bits[a:b]):
+                keep[a + i] = True
+                keep[a + found] = True
+        yield from t.drop_columns(["bits"]).filter(pa.array(keep)).to_batches()
+
+
+def linked(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two sorted arrays of distinct shingles are as similar as asked for."""
+    x, y = (x, y) if len(x) <= len(y) else (y, x)
+    shared = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+    return (100 + PERCENT) * shared >= PERCENT * (len(x) + len(y))
+
+
+def _tile_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each tile pair the links (a, b) of nodes that join its components: a forest."""
+    for t in _whole_tiles(batches):
+        tiles, links = Tiles(t), []
+        lists = t.column("shingles").combine_chunks()
+        ends, values = lists.offsets.to_numpy(), lists.values.to_numpy().view(np.uint64)
+        for a, b in tiles.groups():
+            sets = [values[ends[k] : ends[k + 1]] for k in range(a, b)]
+            part = tiles.label[a:b].copy()
+            for i, found in tiles.partners(a, b, [_bitmap(s, 4) for s in sets]):
+                for j in found:
+                    if part[i] != part[j] and linked(sets[i], sets[j]):
+                        part[part == part[j]] = part[i]
+                        links.append((tiles.node[a + i], tiles.node[a + j]))
+        x, y = np.array(links, np.int64).reshape(-1, 2).T
+        yield pa.record_batch({"a": np.minimum(x, y), "b": np.maximum(x, y)})
 
 
 def shallow_length(n):
@@ -211,52 +273,65 @@ def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.filter(pa.array(keep)).select(["a", "b"])
 
 
-def _passing(bitmap) -> object:
-    """(node, shingles) of the texts whose hash the filter lets through, once per task; only those are cut into shingles."""
+def _passing(bitmap, n_bits: int) -> object:
+    """(d1, d2, shingles) of the texts whose hash the filter lets through, once per task; only those are cut into shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted, seen = bitmap.value, set()
         for batch in batches:
-            at = batch.column("text_hash").to_numpy() % FILTER_BITS
+            at = batch.column("text_hash").to_numpy() % n_bits
             part = batch.filter(pa.array((wanted[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)))
-            nodes, sets = [], []
+            digests, sets = [], []
             for _, s in _sets(part):
-                node = _digest(s) if len(s) else None
-                if node is None or node in seen:
+                d = _digests(s)
+                if not len(s) or d in seen:
                     continue
                 if len(seen) < 500_000:
-                    seen.add(node)
-                nodes.append(node)
+                    seen.add(d)
+                digests.append(d)
                 sets.append(s.view(np.int64))
             lengths = np.cumsum([0, *map(len, sets)])
-            yield pa.record_batch({"node": pa.array(nodes, pa.int64()), "shingles": pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64)))})
+            d1, d2 = np.array(digests, np.int64).reshape(-1, 2).T
+            yield pa.record_batch({"d1": d1, "d2": d2, "shingles": pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64)))})
 
     return run
 
 
-def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Of the pairs (a, b) of nodes those whose sets are as similar as asked for."""
-    spark = docs.sparkSession
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    at = F.pmod("text_hash", F.lit(FILTER_BITS))
-    filled = np.zeros(FILTER_BITS // 8, np.uint8)
+def _shingle_sets(work: Workspace, docs: DataFrame, nodes: DataFrame, wanted: DataFrame, name: str) -> DataFrame:
+    """(node, shingles: sorted) of the `wanted` nodes, cut anew from the texts."""
+    seen = Observation(f"{name}-{uuid.uuid4().hex[:8]}")
+    keys = work.write(nodes.join(wanted, "node", "left_semi").select("node", "d1", "d2", "text_hash").observe(seen, F.count("*").alias("n")), name)
+    n_bits = min(max(1 << 16, 1 << (BITS_A_NODE * seen.get["n"]).bit_length()), FILTER_BITS)
+    at = F.pmod("text_hash", F.lit(n_bits))
+    filled = np.zeros(n_bits // 8, np.uint8)
     # At most FILTER_BITS / 32768 rows of 4 KB, however many nodes there are.
-    marks = wanted.join(nodes.select("node", "text_hash"), "node").groupBy(F.bitmap_bucket_number(at + 1).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at + 1)))
+    marks = keys.groupBy(F.bitmap_bucket_number(at + 1).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at + 1)))
     for bucket, bits in marks.collect():
         filled[(bucket - 1) * 4096 : bucket * 4096] = np.frombuffer(bits, np.uint8)
-    sets = docs.select("text_hash", "text").mapInArrow(_passing(spark.sparkContext.broadcast(filled)), "node bigint, shingles array<bigint>")
-    sets = sets.join(wanted, "node", "left_semi").dropDuplicates(["node"])
-    x = pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
-    x = x.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
-    shared, both = F.size(F.array_intersect("x", "y")), F.size("x") + F.size("y")
-    return x.where((100 + PERCENT) * shared >= PERCENT * both).select("a", "b")
+    sets = docs.select("text_hash", "text").mapInArrow(_passing(docs.sparkSession.sparkContext.broadcast(filled), n_bits), "d1 bigint, d2 bigint, shingles array<bigint>")
+    return sets.join(keys.drop("text_hash"), ["d1", "d2"]).select("node", "shingles").dropDuplicates(["node"])
+
+
+def _linked_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs (a, b) whose sorted sets x and y are as similar as asked for."""
+    for batch in batches:
+        x, y = ([v.values.to_numpy().view(np.uint64) for v in batch.column(c)] for c in "xy")
+        yield batch.filter(pa.array([linked(*s) for s in zip(x, y)], pa.bool_())).select(["a", "b"])
+
+
+def _verified(work: Workspace, docs: DataFrame, nodes: DataFrame, pairs: DataFrame, turn: int) -> DataFrame:
+    """Of the pairs (a, b) of nodes those whose sets are as similar as asked for."""
+    sets = _shingle_sets(work, docs, nodes, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), f"seeded{turn}")
+    both = pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b").join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
+    return both.select("a", "b", "x", "y").mapInArrow(_linked_pairs, "a bigint, b bigint")
 
 
 def _hub_pairs(work: Workspace, rows: DataFrame, nodes: DataFrame, turn: int) -> DataFrame:
     """Pairs (a, b) of a node and a hub of another label: of each list a few members of smallest hash in this turn are
     hubs, and a node looks at those hubs that most of its lists name; the bitmaps rule out some."""
     n_hubs, n_seeds = (HUBS, SEEDS) if not turn else (2 * HUBS, 2 * SEEDS)
-    hubs = rows.groupBy("h").agg(*[F.min(F.struct(F.xxhash64(F.lit(turn), F.lit(k), "node").alias("o"), "node", "label")).alias(f"hub{k}") for k in range(n_hubs)])
+    # Written, so that a hot list's join with its hubs is one that adaptive execution can split.
+    hubs = work.write(rows.groupBy("h").agg(*[F.min(F.struct(F.xxhash64(F.lit(turn), F.lit(k), "node").alias("o"), "node", "label")).alias(f"hub{k}") for k in range(n_hubs)]), f"hubs{turn}")
     seen = rows.join(hubs, "h").select("node", "label", F.explode(F.array(*[f"hub{k}" for k in range(n_hubs)])).alias("hub")).where("hub.label <> label")
     votes = seen.groupBy("node", F.col("hub.node").alias("hub")).agg(F.count("*").alias("votes"))
     best = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("votes"), "hub"))
@@ -278,13 +353,15 @@ def _merged(work: Workspace, labels: DataFrame | None, links: DataFrame, turn: s
     return work.write(old.union(fresh), f"labels{turn}")
 
 
-def _open_lists(work: Workspace, rows: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
+def _open_lists(work: Workspace, rows: DataFrame, labels: DataFrame, turn: int) -> tuple[DataFrame, bool]:
     """`rows` with new labels, of the lists that still hold several; of lists of the same nodes (known by two hashes)
-    the first in the order of shingles, as that is where their pairs count."""
+    the first in the order of shingles, as that is where their pairs count.  And whether lists are long for tiles."""
     labelled = rows.drop("label").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    lists = labelled.groupBy("h").agg(F.first("late").alias("late"), F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("size"), F.bit_xor(F.xxhash64("node")).alias("n1"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("n2"))
-    lists = lists.where("x <> y").groupBy("size", "n1", "n2").agg(F.min(F.struct("late", "h")).alias("first")).select("first.h", "size")
-    return work.write(labelled.drop("size").join(lists, "h"), f"open{turn}")
+    lists = labelled.groupBy("h").agg(F.first("late").alias("late"), F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("size"), F.sum("n").alias("load"), F.bit_xor(F.xxhash64("node")).alias("n1"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("n2"))
+    lists = lists.where("x <> y").groupBy("size", "n1", "n2").agg(F.min(F.struct("late", "h", "load")).alias("first")).select("first.h", "size", "first.load")
+    seen = Observation(f"open-{uuid.uuid4().hex[:8]}")
+    open_ = work.write(labelled.drop("size", "load").join(lists, "h").observe(seen, F.count("*").alias("n"), F.sum("size").alias("size")), f"open{turn}")
+    return open_, (seen.get["size"] or 0) > LONG * TILE * seen.get["n"]
 
 
 def jaccard_components(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -307,31 +384,35 @@ def _components(spark: SparkSession, docs: DataFrame, doc_id: str, text: str, *m
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
     frequent = spark.sparkContext.broadcast(frequent_shingles(docs))
     full = work.write(docs.mapInArrow(_signed(frequent), _SIGNED), "full")
-    listed = work.write(full.where("first IS NOT NULL").drop("doc_id").dropDuplicates(["node"]), "listed")
-    signed = work.write(full.select("doc_id", "n", "node", *more), "signed")
-    nodes = work.write(listed.select("node", "text_hash", "n", "n_early", "bits", F.slice("first", 1, HEADS).alias("heads")), "nodes")
+    listed = work.write(full.where("first IS NOT NULL").drop("doc_id").dropDuplicates(["d1", "d2"]).withColumn("node", F.monotonically_increasing_id()), "listed")
+    signed = work.write(full.select("doc_id", "n", "d1", "d2", *more), "signed")
+    nodes = work.write(listed.select("node", "d1", "d2", "text_hash", "n", "bits"), "nodes")
     work.drop("full")
 
     rows = listed.select("node", "n", "n_early", F.posexplode("first").alias("pos", "h"))
-    rows = rows.select("h", "node", "pos", (F.col("pos") >= F.col("n_early")).alias("late"), (F.col("pos") < shallow_length_column(F.col("n"))).alias("shallow"))
+    rows = rows.select("h", "node", "n", "pos", (F.col("pos") >= F.col("n_early")).alias("late"), (F.col("pos") < shallow_length_column(F.col("n"))).alias("shallow"))
     # A node lists a shingle once, so rows are nodes.
     shared = rows.groupBy("h").agg(F.count("*").alias("nodes"), F.bool_or("shallow").alias("any")).where("nodes > 1 AND any").select("h")
-    rows = work.write(rows.drop("shallow").join(shared, "h", "left_semi").withColumn("label", F.col("node")).withColumn("size", F.lit(0).cast("long")), "live")
+    rows = work.write(rows.drop("shallow").join(shared, "h", "left_semi").withColumns({"label": F.col("node"), "size": F.lit(0).cast("long"), "load": F.lit(0).cast("long")}), "live")
     work.drop("listed")
 
-    labels = None
-    for turn in range(ROUNDS):
-        links = work.write(_verified(docs, nodes, _hub_pairs(work, rows, nodes, turn)), f"links{turn}")
+    labels, turn, again = None, 0, True
+    while again and turn < ROUNDS:
+        links = work.write(_verified(work, docs, nodes, _hub_pairs(work, rows, nodes, turn), turn), f"links{turn}")
         labels = _merged(work, labels, links, str(turn))
-        rows = _open_lists(work, rows, labels, turn)
-        work.drop(f"seeds{turn}", "live" if not turn else f"open{turn - 1}", f"labels{turn - 1}")
-    pairs = work.write(_candidates(rows, nodes), "pairs")
-    labels = _merged(work, labels, work.write(_verified(docs, nodes, pairs), "links"), "last")
-
-    result = signed.join(labels, "node", "left").select("doc_id", "n", F.coalesce("label", "node").alias("top"), *more)
+        rows, again = _open_lists(work, rows, labels, turn)
+        work.drop(f"seeds{turn}", f"seeded{turn}", f"hubs{turn}", "live" if not turn else f"open{turn - 1}", f"labels{turn - 1}")
+        turn += 1
+    survivors = work.write(_placed(rows, nodes).mapInArrow(_tile_survivors, _TILE_ROW), "survivors")
+    sets = _shingle_sets(work, docs, nodes, survivors.select("node").distinct(), "compared")
+    links = _dealt(survivors.join(sets, "node").select(*survivors.columns, "shingles")).mapInArrow(_tile_links, "a bigint, b bigint")
+    labels = _merged(work, labels, work.write(links, "links"), "last")
+
+    by_set = labels.join(nodes.select("node", "d1", "d2"), "node").select("d1", "d2", "label")
+    result = signed.join(by_set, ["d1", "d2"], "left").select("doc_id", "n", F.coalesce("label", "d1").alias("top"), F.when(F.col("label").isNull(), F.col("d2")).alias("top2"), *more)
     result = work.write(result, "topped")
-    least = work.write(result.where("n > 0").groupBy("top").agg(F.min("doc_id").alias("least")), "least").withColumnRenamed("top", "t")
-    result = result.join(least, (F.col("top") == F.col("t")) & (F.col("n") > 0), "left")
+    least = work.write(result.where("n > 0").groupBy("top", "top2").agg(F.min("doc_id").alias("least")), "least").select(F.col("top").alias("t"), F.col("top2").alias("t2"), "least")
+    result = result.join(least, (F.col("top") == F.col("t")) & F.col("top2").eqNullSafe(F.col("t2")) & (F.col("n") > 0), "left")
     return result.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"), *more)
 
 
@@ -339,21 +420,27 @@ def shallow_length_column(n: Column) -> Column:
     return n - F.ceil(n * (2 * PERCENT) / (100 + PERCENT)) + 1
 
 
-def _candidates(open_: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs of nodes in one list, of different components, that the bounds don't rule out.
+def _dealt(rows: DataFrame) -> DataFrame:
+    return rows.repartition(*_TILE_KEY).sortWithinPartitions(*_TILE_KEY)
+
+
+def _placed(open_: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The rows of open lists in their tile pairs, with bitmaps and the first open lists of each node.
 
     A list that fits into one tile is one cell.  Else a node stands in its own
     band's cell and as a guest in the next one's.  A component of more than
-    TILE rows in a cell has tiles of its own, and no two of these meet; all
+    a tile in a cell has tiles of its own, and no two of these meet; all
     others share tiles.
     """
-    rows = open_.join(nodes.select("node", "n"), "node").withColumn("band", F.floor(F.log(F.col("n")) / F.log(F.lit(100 / PERCENT))))
+    rows = open_.withColumn("band", F.floor(F.log(F.col("n")) / F.log(F.lit(100 / PERCENT))))
+    fits = (F.col("size") <= TILE) & (F.col("load") <= LOAD)
     zero = F.lit(0).cast("long")
-    small = rows.where(F.col("size") <= TILE).select("h", F.lit(-1).cast("long").alias("cell"), zero.alias("ta"), zero.alias("tb"), "node", "label", "pos", "late", F.lit(True).alias("own"), zero.alias("tile"))
-    large = rows.where(F.col("size") > TILE).withColumn("cell", F.explode(F.array("band", F.col("band") + 1))).withColumn("own", F.col("band") == F.col("cell"))
-    group = F.when(F.col("c") > TILE, F.col("label"))
-    counts = large.groupBy("h", "cell", "label").agg(F.count("*").alias("c")).groupBy("h", "cell", group.alias("g")).agg(F.ceil(F.sum("c") / TILE).alias("tiles"))
-    # At most one entry per TILE rows of the cell.
+    small = rows.where(fits).select("h", F.lit(-1).cast("long").alias("cell"), zero.alias("ta"), zero.alias("tb"), "node", "label", "pos", "late", F.lit(True).alias("own"), zero.alias("tile"))
+    large = rows.where(~fits).withColumn("cell", F.explode(F.array("band", F.col("band") + 1))).withColumn("own", F.col("band") == F.col("cell"))
+    tiles = F.count("*") / TILE + F.sum("n") / LOAD
+    group = F.when(F.col("c") > 1, F.col("label"))
+    counts = large.groupBy("h", "cell", "label").agg(tiles.alias("c")).groupBy("h", "cell", group.alias("g")).agg(F.ceil(F.sum("c")).alias("tiles"))
+    # At most one entry per tile of the cell.
     cells = counts.groupBy("h", "cell").agg(F.array_sort(F.collect_list(F.struct("g", "tiles"))).alias("groups"))
     before = F.transform("groups", lambda _, i: F.aggregate(F.slice("groups", F.lit(1), i), zero, lambda s, x: s + x["tiles"]))
     cells = cells.withColumn("groups", F.zip_with("groups", before, lambda x, b: F.struct(x["g"].alias("g"), x["tiles"].alias("tiles"), b.alias("before"))))
@@ -365,9 +452,10 @@ def _candidates(open_: DataFrame, nodes: DataFrame) -> DataFrame:
     placed = placed.withColumn("other", F.explode(F.flatten(F.transform(met, lambda x: F.sequence(x["before"], x["before"] + x["tiles"] - 1)))))
     large = placed.select("h", "cell", F.least("tile", "other").alias("ta"), F.greatest("tile", "other").alias("tb"), "node", "label", "pos", "late", "own", "tile")
     # The signatures come last, so they move once.
-    rows = small.union(large).join(nodes, "node").select("h", "cell", "ta", "tb", "node", "label", "pos", "late", "n", "n_early", "own", "tile", "bits", "heads")
-    dealt = rows.repartition("h", "cell", "ta", "tb").sortWithinPartitions("h", "cell", "ta", "tb")
-    return dealt.mapInArrow(_tile_pairs, "a bigint, b bigint").distinct()
+    first = F.slice(F.array_sort(F.collect_list(F.struct("late", "h"))), 1, HEADS)
+    heads = open_.groupBy("node").agg(first.alias("first")).select("node", F.size(F.filter("first", lambda x: ~x["late"])).alias("n_early"), F.col("first.h").alias("heads"))
+    rows = small.union(large).join(nodes.select("node", "n", "bits").join(heads, "node"), "node")
+    return _dealt(rows.select(*_TILE_KEY, "node", "label", "pos", "late", "n", "own", "tile", "n_early", "heads", "bits"))
 
 
 def keep_first(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
