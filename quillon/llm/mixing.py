@@ -1,14 +1,17 @@
 """Mixing sources to target weights by pivotal dependent rounding.
 
 A source's documents all have the same fractional number of copies, its target
-over its size.  The fractional parts meet in pairs: a random transfer moves
-words from one document to the other until one has a whole number of copies,
-keeping their sum of words and each document's expected copies.  Blocks of
-about BLOCK documents fold independently, each leaving one open document; the
-open ones meet again in the next level, a reduction tree of depth
-log_BLOCK(documents).  What is left open at the root is drawn by its fraction,
-and then, twice, the rounded document nearest in size to what the source is over
-or under its target goes the other way.
+over its size.  Each document in turn, from the longest to the shortest, meets
+the pool of those after it: a random transfer moves words between it and all of
+the pool alike until the document has a whole number of copies (or the pool
+can't give or take more), keeping their sum of words and each document's
+expected copies.  Documents of like size meet first: each band of sizes folds in
+blocks of about BLOCK documents, each leaving its shortest open, level by level,
+until at most KEEP open ones are left in a band, and the root folds what all
+bands of a source left open.  What is open at the end is short, unless a
+document outweighs all others, and is drawn by its fraction.  A root that would
+end more than NEAR off its source's target, as happens to sources of a few
+dozen documents, is drawn anew, DRAWS times in all at most.
 """
 
 from __future__ import annotations
@@ -22,36 +25,41 @@ from pyspark.sql.window import Window
 from quillon.llm._sql import uniform, word_count
 from quillon.llm._store import Workspace
 
-BLOCK = 64
+BLOCK, KEEP = 64, 16
+#: Share of a target that a root may be off before it is drawn anew, and draws; with one draw the expected copies are exact.
+NEAR, DRAWS = 0.01, 8
+#: Sizes of a band differ by less than this factor.
+BAND = 1.25
 MOST_COPIES = 3
-_ITEM = "struct<h: bigint, doc: bigint, text: bigint, size: bigint, m: bigint, base: bigint, frac: double>"
+#: Sorts by falling size.
+_OF = "struct<o: bigint, h: bigint, doc: bigint, text: bigint, size: bigint, m: bigint, base: bigint>"
+_ITEM = f"struct<of: {_OF}, frac: double>"
 
-#: One step: the open document a meets b; up and down are how far a can rise and fall, in copies.
+#: A pool's item has alpha * frac + beta copies by now; mass and words are sums over the pool, without that change.
+#: One step: x has f copies and rises by up or falls by down words, which the pool gives (of `held`) or takes (into `room`).
 _FOLD = f"""
-aggregate(items, named_struct('open', cast(null as {_ITEM}), 'done', cast(array() as array<struct<item: {_ITEM}, copies: bigint>>)),
-  (s, x) -> CASE WHEN s.open IS NULL THEN named_struct('open', x, 'done', s.done) ELSE
-    transform(array(named_struct('a', s.open, 'b', x,
-        'up', least(1 - s.open.frac, x.frac * x.size / s.open.size),
-        'down', least(s.open.frac, (1 - x.frac) * x.size / s.open.size),
-        'u', pmod(xxhash64({{seed}}, {{level}}, s.open.h, x.h), 4503599627370496) / 4503599627370496D)),
-      v -> CASE
-        WHEN v.u * (v.up + v.down) < v.down AND v.up >= 1 - v.a.frac THEN named_struct(
-          'open', named_struct('h', v.b.h, 'doc', v.b.doc, 'text', v.b.text, 'size', v.b.size, 'm', v.b.m, 'base', v.b.base, 'frac', greatest(0D, v.b.frac - v.up * v.a.size / v.b.size)),
-          'done', concat(s.done, array(named_struct('item', v.a, 'copies', v.a.base + 1))))
-        WHEN v.u * (v.up + v.down) < v.down THEN named_struct(
-          'open', named_struct('h', v.a.h, 'doc', v.a.doc, 'text', v.a.text, 'size', v.a.size, 'm', v.a.m, 'base', v.a.base, 'frac', least(1D, v.a.frac + v.up)),
-          'done', concat(s.done, array(named_struct('item', v.b, 'copies', v.b.base))))
-        WHEN v.down >= v.a.frac THEN named_struct(
-          'open', named_struct('h', v.b.h, 'doc', v.b.doc, 'text', v.b.text, 'size', v.b.size, 'm', v.b.m, 'base', v.b.base, 'frac', least(1D, v.b.frac + v.down * v.a.size / v.b.size)),
-          'done', concat(s.done, array(named_struct('item', v.a, 'copies', v.a.base))))
-        ELSE named_struct(
-          'open', named_struct('h', v.a.h, 'doc', v.a.doc, 'text', v.a.text, 'size', v.a.size, 'm', v.a.m, 'base', v.a.base, 'frac', greatest(0D, v.a.frac - v.down)),
-          'done', concat(s.done, array(named_struct('item', v.b, 'copies', v.b.base + 1)))) END)[0] END)
+aggregate(items, named_struct('alpha', 1D, 'beta', 0D, 'mass', aggregate(items, 0D, (n, x) -> n + x.frac * x.of.size), 'words', aggregate(items, 0L, (n, x) -> n + x.of.size),
+    'open', cast(null as {_ITEM}), 'done', cast(array() as array<struct<of: {_OF}, copies: bigint>>)),
+  (s, x) -> transform(transform(transform(array(named_struct('f', greatest(0D, least(1D, s.alpha * x.frac + s.beta)), 'mass', s.mass - x.frac * x.of.size, 'words', s.words - x.of.size)),
+    v -> named_struct('f', v.f, 'mass', v.mass, 'words', v.words, 'held', greatest(0D, least(cast(v.words as double), s.alpha * v.mass + s.beta * v.words)))),
+    v -> named_struct('f', v.f, 'mass', v.mass, 'words', v.words, 'held', v.held, 'room', v.words - v.held, 'up', least((1 - v.f) * x.of.size, v.held), 'down', least(v.f * x.of.size, v.words - v.held),
+        'u', pmod(xxhash64({{seed}}, {{level}}, x.of.h), 4503599627370496) / 4503599627370496D)),
+    v -> CASE
+      WHEN s.open IS NOT NULL THEN named_struct('alpha', s.alpha, 'beta', s.beta, 'mass', v.mass, 'words', v.words, 'open', s.open, 'done', concat(s.done, array(named_struct('of', x.of, 'copies', x.of.base + cast(round(v.f) as bigint)))))
+      WHEN v.words <= 0 THEN named_struct('alpha', s.alpha, 'beta', s.beta, 'mass', v.mass, 'words', v.words, 'open', named_struct('of', x.of, 'frac', v.f), 'done', s.done)
+      WHEN v.u * (v.up + v.down) < v.down THEN named_struct(
+        'alpha', s.alpha * if(v.held > 0, 1 - v.up / v.held, 1D), 'beta', s.beta * if(v.held > 0, 1 - v.up / v.held, 1D), 'mass', v.mass, 'words', v.words,
+        'open', if(v.up < (1 - v.f) * x.of.size, named_struct('of', x.of, 'frac', v.f + v.up / x.of.size), cast(null as {_ITEM})),
+        'done', if(v.up < (1 - v.f) * x.of.size, s.done, concat(s.done, array(named_struct('of', x.of, 'copies', x.of.base + 1)))))
+      ELSE named_struct(
+        'alpha', s.alpha * if(v.room > 0, 1 - v.down / v.room, 1D), 'beta', s.beta * if(v.room > 0, 1 - v.down / v.room, 1D) + if(v.room > 0, v.down / v.room, 0D), 'mass', v.mass, 'words', v.words,
+        'open', if(v.down < v.f * x.of.size, named_struct('of', x.of, 'frac', v.f - v.down / x.of.size), cast(null as {_ITEM})),
+        'done', if(v.down < v.f * x.of.size, s.done, concat(s.done, array(named_struct('of', x.of, 'copies', x.of.base))))) END)[0])
 """
 
 
 def source_targets(sizes: DataFrame, most: int = MOST_COPIES) -> DataFrame:
-    """source, source_size, n, weight, target from one row (source, source_size, n) per source.
+    """source, source_size, weight, target from one row (source, source_size) per source.
 
     Weights 1, 2, 3 repeat over the sources by code point, null last.  A target
     is the smaller of `most` times the source's size and weight times one
@@ -67,22 +75,13 @@ def source_targets(sizes: DataFrame, most: int = MOST_COPIES) -> DataFrame:
     level = left / (F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(before), F.lit(0)))
     s = s.withColumn("level", level)
     s = s.withColumn("level", F.min(F.when(F.col("level") <= F.col("ratio"), F.struct("k", "level"))).over(every)["level"])
-    return s.select("source", "source_size", "n", "weight", F.least("cap", F.coalesce(F.col("level") * F.col("weight"), F.col("cap"))).alias("target"))
+    return s.select("source", "source_size", "weight", F.least("cap", F.coalesce(F.col("level") * F.col("weight"), F.col("cap"))).alias("target"))
 
 
-def _settled(work: Workspace, drawn: DataFrame, targets: DataFrame, turn: str) -> DataFrame:
-    """One more transfer in each source: what the root's residual left it over or
-    under its target, the rounded document whose size comes nearest to that
-    takes over by going the other way, if that is nearer."""
-    change = F.when(F.col("copies") > F.col("item.base"), F.lit(-1)).otherwise(F.lit(1)).cast("long")
-    over = drawn.groupBy("source").agg(F.sum(F.col("item.size") * F.col("copies")).alias("taken")).join(targets.select(F.col("source").alias("t"), "target"), F.col("source").eqNullSafe(F.col("t"))).select(F.col("source").alias("o"), (F.col("target") - F.col("taken")).alias("short"))
-    over = work.write(over, "over" + turn)
-    rest = F.abs(F.col("short") - change * F.col("item.size"))
-    partner = drawn.where((F.col("item.frac") > 0) & (F.col("item.size") > 0)).join(over, F.col("source").eqNullSafe(F.col("o"))).where(rest < F.abs("short"))
-    partner = partner.groupBy("source").agg(F.min(F.struct(rest.alias("rest"), "item.h", "item.doc", "item.text", "item.size", change.alias("change"))).alias("p")).select(F.col("source").alias("p_source"), "p")
-    partner = work.write(partner, "partner" + turn)
-    same = F.col("source").eqNullSafe(F.col("p_source")) & F.col("item.doc").eqNullSafe(F.col("p.doc")) & F.col("item.text").eqNullSafe(F.col("p.text")) & (F.col("item.size") == F.col("p.size"))
-    return drawn.join(partner, same, "left").select("source", "item", (F.col("copies") + F.coalesce("p.change", F.lit(0))).alias("copies"))
+def _folded(open_: DataFrame, seed: int, level: int, *block: str) -> DataFrame:
+    """Per source and block (band and n, which are its band's, are kept): the open item and those done."""
+    items = open_.groupBy("source", *block).agg(F.first("n").alias("n"), F.array_sort(F.collect_list("item")).alias("items"))
+    return items.select("source", *block, "n", F.expr(_FOLD.format(seed=seed, level=level)).alias("s"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: int = 17, size: Column | None = None, text_key: Column | None = None) -> DataFrame:
@@ -96,44 +95,52 @@ def mix_sources(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", te
     others stay.  The outcome depends on the rows and `seed` only.
     """
     work = Workspace(spark, "mixing")
-    names = ["__q_doc", "__q_source", "__q_size", "__q_text"]
-    keyed = docs.withColumns({"__q_doc": F.col(doc_id).cast("long"), "__q_source": F.col(source).cast("string"), "__q_size": word_count(F.col(text)) if size is None else size, "__q_text": F.xxhash64(text) if text_key is None else text_key})
-    items = work.write(keyed.groupBy(*names).agg(F.count("*").alias("m")), "items")
-    sizes = items.groupBy(F.col("__q_source").alias("source")).agg(F.sum(F.col("__q_size") * F.col("m")).alias("source_size"), F.count("*").alias("n"))
+    names = ["__q_doc", "__q_source", "__q_text"]
+    keyed = docs.withColumns({"__q_doc": F.col(doc_id).cast("long"), "__q_source": F.col(source).cast("string"), "__q_text": F.xxhash64(text) if text_key is None else text_key})
+    items = work.write(keyed.withColumn("__q_size", word_count(F.col(text)) if size is None else size).groupBy(*names).agg(F.max("__q_size").alias("__q_size"), F.count("*").alias("m")), "items")
+    sizes = items.groupBy(F.col("__q_source").alias("source")).agg(F.sum(F.col("__q_size") * F.col("m")).alias("source_size"))
     targets = work.write(source_targets(sizes), "targets")
 
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    total = rate * F.col("m")
     h = F.xxhash64(F.lit(seed), "__q_doc", "__q_text", "__q_size")
-    item = F.struct(h.alias("h"), F.col("__q_doc").alias("doc"), F.col("__q_text").alias("text"), F.col("__q_size").alias("size"), "m", F.floor("total").alias("base"), (F.col("total") - F.floor("total")).alias("frac"))
-    rated = items.join(targets, F.col("__q_source").eqNullSafe(F.col("source"))).withColumn("total", total).select("source", "n", item.alias("item"))
-    whole = (F.col("item.frac") <= 0) | (F.col("item.size") <= 0)
-    drawn = F.col("item.base") + (uniform(F.lit(seed + 1), F.col("item.h")) < F.col("item.frac")).cast("long")
-    parts = [rated.where(whole).select("source", "item", drawn.alias("copies"))]
-    open_, most, level = rated.where(~whole), targets.agg(F.max("n")).first()[0] or 0, 0
-    while True:
-        blocks = F.greatest(F.ceil(F.col("n") / F.lit(float(BLOCK) ** (level + 1))), F.lit(1))
-        dealt = open_.withColumn("block", F.pmod(F.xxhash64(F.lit(level), "item.h"), blocks))
-        folded = dealt.groupBy("source", "block").agg(F.first("n").alias("n"), F.array_sort(F.collect_list("item")).alias("items")).select("source", "n", F.expr(_FOLD.format(seed=seed, level=level)).alias("s"))
-        folded = work.write(folded, f"level{level}")
-        parts.append(folded.select("source", F.explode("s.done").alias("d")).select("source", "d.item", "d.copies"))
-        open_ = folded.select("source", "n", F.col("s.open").alias("item"))
-        level += 1
-        if most <= BLOCK**level:
-            break
-    parts.append(open_.select("source", "item", drawn.alias("copies")))
+    of = F.struct((-F.col("__q_size")).alias("o"), h.alias("h"), F.col("__q_doc").alias("doc"), F.col("__q_text").alias("text"), F.col("__q_size").alias("size"), "m", F.floor("total").alias("base"))
+    rated = items.join(targets, F.col("__q_source").eqNullSafe(F.col("source"))).withColumn("total", rate * F.col("m"))
+    rated = rated.select("source", F.struct(of.alias("of"), (F.col("total") - F.floor("total")).alias("frac")).alias("item"))
+    whole = (F.col("item.frac") <= 0) | (F.col("item.of.size") <= 0)
+    drawn = F.col("item.of.base") + (uniform(F.lit(seed + 1), F.col("item.of.h")) < F.col("item.frac")).cast("long")
+    parts = [rated.where(whole).select("source", "item.of", drawn.alias("copies"))]
+    open_ = rated.where(~whole).withColumn("band", F.floor(F.log(F.col("item.of.size")) / math.log(BAND)))
+    counts = work.write(open_.groupBy("source", "band").agg(F.count("*").alias("n")), "bands")
+    most, level = counts.agg(F.max("n")).first()[0] or 0, 0
+    counts = counts.select(F.col("source").alias("c"), F.col("band").alias("c_band"), "n")
+    open_ = open_.join(counts, F.col("source").eqNullSafe(F.col("c")) & (F.col("band") == F.col("c_band"))).select("source", "band", "n", "item")
+    while most > KEEP:
+        fold = F.col("n") > KEEP
+        dealt = open_.where(fold).withColumn("n", F.greatest(F.ceil(F.col("n") / BLOCK), F.lit(KEEP // 2)))
+        dealt = dealt.withColumn("block", F.pmod(F.xxhash64(F.lit(level), "item.of.h"), F.col("n")))
+        folded = work.write(_folded(dealt, seed, level, "band", "block"), f"level{level}")
+        parts.append(folded.select("source", F.explode("s.done").alias("d")).select("source", "d.of", "d.copies"))
+        open_ = open_.where(~fold).union(folded.select("source", "band", "n", F.col("s.open").alias("item")))
+        most, level = max(math.ceil(most / BLOCK), KEEP // 2), level + 1
+    # At most KEEP items a band, so some hundreds a source.
+    items = open_.groupBy("source").agg(F.array_sort(F.collect_list("item")).alias("items")).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(DRAWS - 1))))
+    root = items.select("source", "draw", "items", F.expr(_FOLD.format(seed=f"{seed} + 1000003 * draw", level=level)).alias("s"))
+    last = F.struct(F.col("s.open.of").alias("of"), (F.col("s.open.of.base") + (uniform(F.lit(seed + 1), F.col("draw"), F.col("s.open.of.h")) < F.col("s.open.frac")).cast("long")).alias("copies"))
+    root = root.select("source", "draw", "items", F.concat("s.done", F.array(last)).alias("done"))
+    over = F.aggregate("done", F.lit(0.0), lambda n, x: n + x["copies"] * x["of"]["size"]) - F.aggregate("items", F.lit(0.0), lambda n, x: n + (x["of"]["base"] + x["frac"]) * x["of"]["size"])
+    near = root.withColumn("off", F.abs(over)).join(targets.select(F.col("source").alias("t"), "target"), F.col("source").eqNullSafe(F.col("t"))).withColumn("off", F.when(F.col("off") > NEAR * F.col("target"), F.col("off")).otherwise(0.0))
+    root = work.write(near.groupBy("source").agg(F.min_by("done", F.struct("off", "draw")).alias("done")), "root")
+    parts.append(root.select("source", F.explode("done").alias("d")).select("source", "d.of", "d.copies"))
     result = parts[0]
     for part in parts[1:]:
         result = result.union(part)
-    for turn in range(2):
-        result = _settled(work, work.write(result, f"drawn{turn}"), targets, f"{turn}")
-    result = work.write(result.select(F.col("source").alias("__r_source"), F.col("item.doc").alias("__r_doc"), F.col("item.size").alias("__r_size"), F.col("item.text").alias("__r_text"), F.col("item.m").alias("__r_m"), F.col("copies").alias("__r_copies")), "copies")
+    result = work.write(result.select(F.col("source").alias("__r_source"), F.col("of.doc").alias("__r_doc"), F.col("of.size").alias("__r_size"), F.col("of.text").alias("__r_text"), F.col("of.m").alias("__r_m"), F.col("copies").alias("__r_copies")), "copies")
     targets = targets.select(F.col("source").alias("__t_source"), F.col("source_size").alias("__t_size"), F.col("target").alias("__t_target"))
     same = [F.col(n).eqNullSafe(F.col(n.replace("__q", "__r"))) for n in names]
     joined = keyed.join(result, same).join(targets, F.col("__q_source").eqNullSafe(F.col("__t_source")))
     nth = F.row_number().over(Window.partitionBy(*names).orderBy(F.lit(0)))
     copies = F.expr("__r_copies div __r_m") + (nth <= F.col("__r_copies") % F.col("__r_m")).cast("long")
-    out = {"size": F.col("__q_size"), "source_size": F.col("__t_size"), "target": F.col("__t_target"), "copies": copies}
+    out = {"size": F.col("__r_size"), "source_size": F.col("__t_size"), "target": F.col("__t_target"), "copies": copies}
     return joined.withColumns(out).drop(*names, "__r_source", "__r_doc", "__r_size", "__r_text", "__r_m", "__r_copies", "__t_source", "__t_size", "__t_target")
 
 
