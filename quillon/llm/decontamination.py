@@ -1,18 +1,20 @@
 """Benchmark decontamination by size-partitioned MinHash containment search.
 
-A test item is short and a document long, so MinHash signatures of both hardly
-ever agree.  Only the item is sketched: it keeps its smallest shingle hashes,
-and the search asks which of them a document contains.  Items are partitioned
-by size; an item of n shingles keeps floor(n/4) + 1 of them, so a document that
-contains 75 % of the item contains at least one of its sketch: the search
-misses nothing.  A partition is only asked for documents that have enough
-shingles for its smallest item.  What it finds is verified by counting the
-item's shingles in the document.
+A test item is short and a document long, so their Jaccard similarity says
+little; what is searched is containment.  One random order of shingles gives
+both sides MinHash values.  Items are partitioned by size, and an item of n
+shingles keeps its floor(n/4) + 1 smallest values: a document that contains 75 %
+of the item contains at least one of them, so the search misses nothing.  Of a
+document only the values up to a partition's largest kept one are looked up
+there, in the sorted values of all its items at once, so a document's cost
+follows its own length (times the logarithm of the items).  What meets is
+verified by intersecting the sorted shingles of item and document.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +25,8 @@ from quillon.llm import _text
 from quillon.llm._store import small_batches
 
 PERCENT = 75
-#: Shingles of items that one broadcast holds (16 MB of hashes); more items are searched in several blocks.
-BLOCK = 1 << 20
+#: Shingles of items that one broadcast holds (some 50 MB of hashes at most); more items are searched in several blocks.
+BLOCK = 1 << 22
 _PAIRS = "doc_id bigint, item_id bigint, n_item bigint, n_shared bigint, containment double"
 
 
@@ -36,40 +38,55 @@ def _item_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch({"item_id": pa.array(ids, pa.int64()), "n": pa.array(n, pa.int64()), "shingles": pa.array(list(sets), pa.list_(pa.int64()))})
 
 
+@dataclass
+class Partition:
+    """Items of like size: the shingles that the smallest needs, the distinct sketch values in order, and of each its items."""
+
+    least: int
+    values: np.ndarray
+    ends: np.ndarray
+    owners: np.ndarray
+
+
 class Block:
-    """Some items in arrays: their sketches by size partition and their full shingle sets."""
+    """Some items in arrays: their sketches by size partition and their sorted shingle sets."""
 
     def __init__(self, items: list[tuple[int | None, np.ndarray]]):
         self.ids = [i for i, _ in items]
         self.n = np.array([len(s) for _, s in items], np.int64)
         self.need = -(-PERCENT * self.n // 100)
-        hashes, owners = np.concatenate([s for _, s in items]), np.repeat(np.arange(len(items)), self.n)
-        order = np.argsort(hashes, kind="stable")
-        self.hashes, self.owners = hashes[order], owners[order]
-        # Sketch: the smallest floor(n/4) + 1 hashes after mixing; the partition is the size's power of two.
-        keep = [np.sort(_text.mix(s))[: len(s) - need + 1] for (_, s), need in zip(items, self.need)]
+        self.shingles, self.at = np.concatenate([s for _, s in items]), np.concatenate([[0], np.cumsum(self.n)])
+        keep = self.n - self.need + 1
         band = np.log2(self.n).astype(int)
         self.partitions = []
         for b in np.unique(band):
-            at = np.flatnonzero(band == b)
-            sketch = np.concatenate([keep[i] for i in at])
-            owner = np.repeat(at, [len(keep[i]) for i in at])
+            of = np.flatnonzero(band == b)
+            sketch = np.concatenate([np.sort(_text.mix(items[i][1]))[: keep[i]] for i in of])
             order = np.argsort(sketch, kind="stable")
-            self.partitions.append((int(self.need[at].min()), sketch[order], owner[order]))
+            values, counts = np.unique(sketch, return_counts=True)
+            self.partitions.append(Partition(int(self.need[of].min()), values, np.concatenate([[0], np.cumsum(counts)]), np.repeat(of, keep[of])[order]))
 
-    def search(self, s: np.ndarray) -> dict[int, int]:
-        """Items found in the document of shingles `s`, with the shingles shared."""
+    def candidates(self, s: np.ndarray) -> list[int]:
+        """Items whose sketch meets the document of shingles `s`."""
         found: set[int] = set()
         mixed = np.sort(_text.mix(s))
-        for least, sketch, owner in self.partitions:
-            if len(s) >= least:
-                at = np.searchsorted(mixed, sketch)
-                found.update(owner[mixed[np.minimum(at, len(mixed) - 1)] == sketch].tolist())
-        if not found:
-            return {}
-        at = np.searchsorted(s, self.hashes)
-        shared = np.bincount(self.owners[s[np.minimum(at, len(s) - 1)] == self.hashes], minlength=len(self.ids))
-        return {i: int(shared[i]) for i in sorted(found) if shared[i] >= self.need[i]}
+        for p in self.partitions:
+            if len(s) >= p.least:
+                low = mixed[: np.searchsorted(mixed, p.values[-1], "right")]
+                at = np.searchsorted(p.values, low)
+                for k in at[p.values[at] == low]:
+                    found.update(p.owners[p.ends[k] : p.ends[k + 1]].tolist())
+        return sorted(found)
+
+    def search(self, s: np.ndarray) -> dict[int, int]:
+        """Items found in the document of shingles `s`, with the shingles shared."""
+        out = {}
+        for i in self.candidates(s):
+            item = self.shingles[self.at[i] : self.at[i + 1]]
+            shared = int((s[np.minimum(np.searchsorted(s, item), len(s) - 1)] == item).sum())
+            if shared >= self.need[i]:
+                out[i] = shared
+        return out
 
 
 def _matches(block) -> object:
@@ -86,7 +103,7 @@ def _matches(block) -> object:
     return run
 
 
-def blocks(items: DataFrame, item_id: str = "item_id", text: str = "text", most: int = BLOCK) -> Iterator[Block]:
+def blocks(items: DataFrame, item_id: str = "item_id", text: str = "text", most: int = 0) -> Iterator[Block]:
     """The items in blocks of about `most` shingles, one partition after the other, so the driver holds one block at a time."""
     rows = items.select(F.col(item_id).cast("long").alias("item_id"), F.col(text).alias("text")).mapInArrow(_item_rows, "item_id bigint, n bigint, shingles array<bigint>")
     small_batches(items.sparkSession)
@@ -94,7 +111,7 @@ def blocks(items: DataFrame, item_id: str = "item_id", text: str = "text", most:
     for r in rows.toLocalIterator():
         held.append((r.item_id, np.array(r.shingles, np.int64).view(np.uint64)))
         size += r.n
-        if size >= most:
+        if size >= (most or BLOCK):
             yield Block(held)
             held, size = [], 0
     if held:
