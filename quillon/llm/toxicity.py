@@ -26,7 +26,7 @@ SAMPLE, FEATURES = 20_000, 4096
 #: A feature's share among toxic documents differs from that among clean ones by so many standard errors.
 LEAST_Z = 4.0
 PREFIXES = (4, 5, 6, None)
-#: A document is toxic if it reaches grade 1 with at least this probability.
+#: A document has a grade, and is toxic if that is 1 or more, if it reaches it with at least this probability.
 REJECT = 0.5
 
 
@@ -152,15 +152,15 @@ def _scored(model) -> object:
             reach = np.tile(m.reach(np.zeros(0, np.uint64)), (batch.num_rows, 1))
             for row, s in _features(*_text.buffers(batch.column("text"))):
                 reach[row] = m.reach(s)
-            grade = 1 + (-np.diff(np.concatenate([np.ones((batch.num_rows, 1)), reach, np.zeros((batch.num_rows, 1))], 1), axis=1)).argmax(1) - 1
+            grade = (reach >= REJECT).sum(1)
             yield pa.record_batch([batch.column("doc_id"), pa.array(grade.astype(np.int32)), pa.array(reach.sum(1)), pa.array(reach[:, 0]), pa.array(reach[:, 0] >= REJECT)], ["doc_id", "grade", "severity", "p_toxic", "toxic"])
 
     return run
 
 
 def score(spark: SparkSession, docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, grade (the likeliest), severity (expected grade), p_toxic and toxic of every row; a null or
-    letterless text has no feature and the base severity. Other columns are not read."""
+    """doc_id, grade (the median: the highest that is as likely reached as not), severity (expected grade), p_toxic
+    and toxic of every row; a null or letterless text has no feature and the base severity. Other columns are not read."""
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     return source.mapInArrow(_scored(spark.sparkContext.broadcast(model)), "doc_id bigint, grade int, severity double, p_toxic double, toxic boolean")
 
