@@ -32,6 +32,7 @@ SWITCH = 6.0
 WORD_LIMIT = 8.0
 MEMO = 200_000
 
+#: Letters, and numbers that are no decimal digits.
 _LETTERS = re.compile(r"[^\W\d_]+")
 #: Ranges of scripts: Latin, Greek, Cyrillic, Hebrew, Arabic, Devanagari, Thai, Kana, Hangul, Han. Fixed values of the Unicode blocks.
 SCRIPTS = {
@@ -48,6 +49,14 @@ SCRIPTS = {
 }
 
 
+def letter_words(text: str | None) -> list[str]:
+    """Runs of letters in the lower-cased text; signs of numbers (such as one half) are no letters."""
+    found = _LETTERS.findall((text or "").lower())
+    if all(map(str.isalpha, found)):
+        return found
+    return "".join(c if c.isalpha() else " " for c in " ".join(found)).split()
+
+
 _STARTS = np.array(sorted(a for ranges in SCRIPTS.values() for a, _ in ranges))
 _ENDS = np.array([dict(r for ranges in SCRIPTS.values() for r in ranges)[a] for a in _STARTS])
 _SCRIPT = np.array([next(i for i, ranges in enumerate(SCRIPTS.values()) if any(a == x for x, _ in ranges)) for a in _STARTS])
@@ -109,7 +118,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         words: dict[str, Counter] = {}
         for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist()):
-            words.setdefault(lang, Counter()).update(_LETTERS.findall((text or "").lower()))
+            words.setdefault(lang, Counter()).update(letter_words(text))
         for lang, counts in words.items():
             if counts:
                 n = np.fromiter(counts.values(), np.int64)
@@ -125,10 +134,11 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, most: int = GRAMS) -> Model:
 
     It learns from the `sample` different texts of smallest hash and keeps the
     `most` n-grams that occur most often; without any text it has no language.
+    Of several languages of one text the first by code point counts.
     """
     rows = labelled.where("text IS NOT NULL AND lang IS NOT NULL").select(F.xxhash64("text").alias("h"), "text", F.col("lang").cast("string").alias("lang"))
     last = rows.select("h").distinct().orderBy("h").limit(sample).agg(F.max("h")).first()[0]
-    rows = rows.where(F.col("h") <= F.lit(last)).dropDuplicates(["h"])
+    rows = rows.where(F.col("h") <= F.lit(last)).groupBy("h").agg(F.any_value("text").alias("text"), F.min("lang").alias("lang"))
     counts = rows.select("text", "lang").mapInArrow(_counted, "gram bigint, kind bigint, lang string, n bigint").groupBy("gram", "kind", "lang").agg(F.sum("n").alias("n"))
     by_gram = counts.groupBy("gram", "kind").agg(F.sum("n").alias("all"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("lang", "n")))).alias("by"))
     kept = by_gram.orderBy((F.col("kind") == 0).desc(), F.desc("all"), "gram").limit(most).collect()
@@ -190,7 +200,7 @@ _memo_of = [""]
 
 def _labelled(batch: pa.RecordBatch, model: Model) -> tuple[list[list[str]], np.ndarray, np.ndarray, np.ndarray]:
     """Letter words of each text, offsets, languages and letters of the words."""
-    texts = [_LETTERS.findall((x or "").lower()) for x in batch.column("text").to_pylist()]
+    texts = [letter_words(x) for x in batch.column("text").to_pylist()]
     at = np.cumsum([0, *map(len, texts)])
     used = list(set().union(*texts))
     if not used or not model.languages:
