@@ -43,8 +43,21 @@ LEAST, MOST = 128, 4096
 CUT = np.uint64(511)
 #: Bytes of text that a Python worker encodes in one go.
 SLICE = 2 << 20
-#: Segments whose ids a Python worker keeps.
-MEMO = 1_000_000
+#: Segments whose ids a Python worker keeps, and bytes of these segments and their ids.
+MEMO, MEMO_BYTES = 1_000_000, 64 << 20
+#: The normalizer and pre-tokenizer of the definitions whose texts may be cut into segments.  White space
+#: parts pre-tokens, so do letters and closing punctuation, and small letters are the only form, so a segment's ids
+#: don't depend on what stands beside it.
+SEGMENTED = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
 _POLY = 0xEDB88320
 
 _made: dict[int, object] = {}
@@ -91,12 +104,12 @@ def _segments(data: np.ndarray) -> tuple[np.ndarray, pa.StringArray]:
 
 
 class Memo:
-    """Ids of segments: a number for each, and all ids end to end. Beyond MEMO segments the half that texts use least is forgotten."""
+    """Ids of segments: a number for each, and all ids end to end. Beyond MEMO segments or MEMO_BYTES the half that texts use least is forgotten."""
 
     def __init__(self):
         self.at: dict[str, int] = {}
-        self.ids, self.ends, self.used = np.zeros(0, "<u4"), np.zeros(0, np.int32), np.zeros(0, np.int32)
-        self.n_ids = 0
+        self.ids, self.ends, self.used = np.zeros(0, "<u4"), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.n_ids = self.n_bytes = 0
 
     def add(self, segments: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
         n, m = len(self.at), len(self.at) + len(segments)
@@ -108,10 +121,11 @@ class Memo:
         self.ids[self.n_ids : self.n_ids + len(ids)] = ids
         self.ends[n:m] = self.n_ids + np.cumsum(lengths)
         self.n_ids += len(ids)
+        self.n_bytes += 4 * len(ids) + sum(map(len, segments))
 
-    def lists(self) -> pa.ListArray:
+    def lists(self) -> pa.LargeListArray:
         n = len(self.at)
-        return pa.ListArray.from_arrays(pa.array(np.concatenate([np.zeros(1, np.int32), self.ends[:n]])), pa.array(self.ids[: self.n_ids]))
+        return pa.LargeListArray.from_arrays(pa.array(np.concatenate([np.zeros(1, np.int64), self.ends[:n]])), pa.array(self.ids[: self.n_ids]))
 
     def shrink(self) -> None:
         n = len(self.at)
@@ -125,17 +139,15 @@ class Memo:
 class Encoder:
     """Ids of whole texts.
 
-    Where white space parts pre-tokens, closing punctuation is one of its own
-    and case doesn't matter, as probes tell, texts are cut into segments, and
-    each distinct one of many texts is encoded once and remembered.  Words of
+    By a definition whose normalizer and pre-tokenizer are SEGMENTED, texts are
+    cut into segments, and each distinct one of many texts is encoded once and
+    remembered.  Words of
     small ASCII letters are encoded many at a time, without normalising and
     splitting what needs neither; in a vocabulary with word ends the ids tell
     where each word stops.  Texts with other signs beyond ASCII, and other
     tokenizers, encode every text as it is.
     """
 
-    PROBES = ("Wow, a test.", "a b\nc\td\re ,f", "don't x'll, 12 3.5 (y); z?!", "\u00e9 \u00c9t\u00e9 stra\u00dfe: ...", "ab,cd. Ef-g... The END.", "one two, three", "été Łódź straße ñandú, naïve")
-
     def __init__(self, definition: str):
         from tokenizers import Tokenizer
 
@@ -150,8 +162,10 @@ class Encoder:
             split, bytes_ = {"type": "WhitespaceSplit"}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
             self.letters = Tokenizer.from_str(json.dumps(parts | {"normalizer": None, "pre_tokenizer": split}))
             self.normal = Tokenizer.from_str(json.dumps(parts | {"normalizer": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": [split, bytes_]}}))
-        self.memo, self.by_segment = Memo(), True
-        self.by_segment = all(np.array_equal(a, np.frombuffer(b, "<u4")) for a, b in zip(self(list(self.PROBES)), self._plain(list(self.PROBES))))
+        model = parts["model"]
+        plain_bpe = model["type"] == "BPE" and not any(model.get(x) for x in ("dropout", "unk_token", "continuing_subword_prefix", "byte_fallback"))
+        cut = parts.get("truncation") or parts.get("padding") or any(x["normalized"] for x in parts.get("added_tokens", []))
+        self.memo, self.by_segment = Memo(), plain_bpe and not cut and all(parts[k] == v for k, v in SEGMENTED.items())
 
     def _plain(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -178,7 +192,7 @@ class Encoder:
 
     def _numbers(self, segments: list[str]) -> np.ndarray:
         """The memo's numbers of distinct segments; -1 for one that may have been cut wrong, as its letters of the kind's table aren't all such."""
-        if len(self.memo.at) + len(segments) > MEMO:
+        if self.memo.at and (len(self.memo.at) + len(segments) > MEMO or self.memo.n_bytes > MEMO_BYTES):
             self.memo.shrink()
         find, n = self.memo.at.get, len(segments)
         known = np.fromiter(map(find, segments, repeat(-1)), np.int32, n)
