@@ -18,7 +18,8 @@ ROUNDS = 8
 DAYS, DAYS_A, DAYS_B = 73_000, 250, 292
 
 _AFTER = r"(?![0-9A-Za-z])"
-_EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
+#: Local parts of at most 64 characters and domains of at most 127 labels, as mail allows; a repeated group without a bound would recurse in Java for each label.
+_EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++){0,125}\.[A-Za-z]{2,}"
 _IP = r"(?<!\d\.)\d{1,3}(?:\.\d{1,3}){3}(?![0-9A-Za-z]|\.\d)"
 _DATE = r"(?:\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})" + _AFTER
 _SSN = r"\d{3}-\d{2}-\d{4}" + _AFTER
@@ -133,7 +134,10 @@ def pseudonymize(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     fails its check digit, an octet over 255, a 31st of June) stay.  A null
     text stays null with n_pii 0.  Rows are independent, so repeated rows stay
     alike.  Columns named n_pii are replaced, others stay.  Dates come back
-    with two-digit days and months.
+    with two-digit days and months.  An address whose local part has over 64
+    characters is none; of one with over 127 labels the first 127 count.  The
+    key is a literal of the plan: where plans are logged, name it in
+    spark.sql.redaction.string.regex.
     """
     found = docs.withColumns({"__q_key": F.lit(key), "__q_hits": F.when(F.col(text).rlike("[0-9@]"), F.regexp_extract_all(F.col(text), F.lit(PATTERN), F.lit(0)))})
     found = found.withColumn("__q_new", F.when(F.size("__q_hits") > 0, F.expr(_pseudonym())))
