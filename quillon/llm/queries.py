@@ -124,7 +124,7 @@ ORACLE_SQL: dict[str, str] = {
     """,
     "op4_line_dedup": """
         WITH lines AS (SELECT rowid AS r, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM (SELECT *, row_number() OVER () AS rowid FROM documents)),
-        bad AS (SELECT line FROM lines WHERE trim(line) <> '' GROUP BY line HAVING count(DISTINCT source) >= 5),
+        bad AS (SELECT line FROM lines WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY line HAVING count(DISTINCT source) >= 5),
         kept AS (SELECT r, count(*) AS n_lines, count(b.line) AS n_removed, coalesce(string_agg(l.line, chr(10) ORDER BY pos) FILTER (WHERE b.line IS NULL), '') AS text FROM lines l LEFT JOIN bad b ON l.line = b.line GROUP BY r)
         SELECT d.doc_id, coalesce(k.n_lines, 0) AS n_lines, coalesce(k.n_removed, 0) AS n_removed, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(k.text, '') END AS text
         FROM (SELECT *, row_number() OVER () AS r FROM documents) d LEFT JOIN kept k ON d.r = k.r
