@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where it is unset (local tests) an own one."""
+    """The folder named by spark.checkpoint.dir; where it is unset in local mode an own one."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
         at = spark.conf.get("quillon.shared.dir", None)
         if not at:
+            if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
             at = "file://" + tempfile.mkdtemp(prefix="spark-quillon-")
             spark.conf.set("quillon.shared.dir", at)
     return at.rstrip("/")
