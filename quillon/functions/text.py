@@ -39,9 +39,11 @@ def strip_fences(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.trim(text), r"^```(?:json)?\s*", ""), r"\s*```\z", ""))
 
 
-def variants(text: Column) -> Column:
-    """The text, its small form and, where it has an underscore, the form with blanks; distinct, in this order."""
-    return F.array_distinct(F.array_compact(F.array(text, F.lower(text), F.when(F.contains(text, F.lit("_")), F.replace(text, F.lit("_"), F.lit(" "))))))
+def variants(text: Column, additions: dict[str, list[str]] | None = None) -> Column:
+    """The trimmed text, its small form, and what `additions` lists for each word that the small form holds; without empty ones, distinct, in this order."""
+    base = F.trim(text)
+    more = [F.when(F.contains(F.lower(base), F.lit(word)), F.array(*map(F.lit, added))).otherwise(F.array().cast("array<string>")) for word, added in (additions or {}).items()]
+    return F.array_distinct(F.filter(F.concat(F.array(base, F.lower(base)), *more), lambda v: v != ""))
 
 
 def safe_text(text: Column, default: str = "-") -> Column:

@@ -1,17 +1,20 @@
 """One-to-one assignment per group, greedy threshold matching and associations.
 
 The relation of pairs is made, filtered and grouped by Spark; what no
-expression can say, the optimum of one group's matrix, is solved group by group
-in NumPy.  A group is one frame or one image and phrase.
+expression can say, the optimum of a matrix with conflicts, is solved in NumPy.
+A group is one frame or one image and phrase.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def best_assignment(weight: np.ndarray) -> np.ndarray:
@@ -46,24 +49,74 @@ def best_assignment(weight: np.ndarray) -> np.ndarray:
     return row_of if flip else column_of
 
 
+def _parts(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Number of the connected part of each edge (i, j) of a bipartite graph: the smallest edge in it."""
+    part = np.arange(len(i))
+    while True:
+        low = part
+        for ends in (i, j):
+            least = np.full(ends.max() + 1, len(i))
+            np.minimum.at(least, ends, low)
+            low = least[ends]
+        if (low == part).all():
+            return part
+        part = low
+
+
 def assign(pairs: DataFrame, keys: list[str], a: str, b: str, weight: str, carry: list[str] = ()) -> DataFrame:
     """The rows of `pairs` (one per group and pair, positive weights) of each group's best one-to-one assignment.
 
     Pairs that are missing weigh 0; chosen ones of weight 0 make no row.  Of
-    several optima one is taken, the same for the same rows.
+    several optima one is taken, the same for the same rows.  A pair whose sides
+    have no other is chosen as it is, without a matrix; those of
+    all others, one per connected part of a group, are solved many groups a batch.
     """
-    columns = [*keys, a, b, weight, *carry]
-    source = pairs.select(*columns).where(F.col(weight) > 0)
-
-    def solve(group: pa.Table) -> pa.Table:
-        group = group.sort_by([(a, "ascending"), (b, "ascending")])
-        rows, i = np.unique(group.column(a).to_numpy(), return_inverse=True)
-        cols, j = np.unique(group.column(b).to_numpy(), return_inverse=True)
-        matrix = np.zeros((len(rows), len(cols)))
-        matrix[i, j] = group.column(weight).to_numpy()
-        return group.filter(pa.array(best_assignment(matrix)[i] == j))
-
-    return source.groupBy(*keys).applyInArrow(solve, source.schema)
+    source = pairs.select(*keys, a, b, weight, *carry).where(F.col(weight) > 0)
+    n_a, n_b = (F.count("*").over(Window.partitionBy(*keys, x)) for x in (a, b))
+    # Dealt by group once: both counts find their rows there.
+    dealt = source.repartition(*keys).withColumn("__q_a", n_a).withColumn("__q_alone", (n_b == 1) & (F.col("__q_a") == 1)).drop("__q_a")
+    group = F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}) if keys else F.lit("")
+    grouped = dealt.withColumn("__q_group", F.when(F.col("__q_alone"), "").otherwise(group)).sortWithinPartitions("__q_alone", "__q_group", a, b)
+
+    def solved(t: pa.Table) -> pa.RecordBatch:
+        group = t.column("__q_group").combine_chunks().dictionary_encode()
+        g = group.indices.to_numpy()
+        _, i = np.unique(t.column(a).to_numpy(), return_inverse=True)
+        _, j = np.unique(t.column(b).to_numpy(), return_inverse=True)
+        w, keep = t.column(weight).to_numpy(), np.array(t.column("__q_alone").to_numpy(zero_copy_only=False), bool)
+        some = np.flatnonzero(~keep)
+        if len(some):
+            # Sides of different groups are different nodes.
+            _, x = np.unique(np.stack([g[some], i[some]]), axis=1, return_inverse=True)
+            _, y = np.unique(np.stack([g[some], j[some]]), axis=1, return_inverse=True)
+            part = _parts(x, y)
+            order = np.argsort(part, kind="stable")
+            for edges in np.split(order, np.flatnonzero(np.diff(part[order])) + 1):
+                rows, p = np.unique(x[edges], return_inverse=True)
+                cols, q = np.unique(y[edges], return_inverse=True)
+                matrix = np.zeros((len(rows), len(cols)))
+                matrix[p, q] = w[some[edges]]
+                keep[some[edges]] = best_assignment(matrix)[p] == q
+        kept = t.filter(pa.array(keep)).drop_columns(["__q_alone", "__q_group"]).combine_chunks()
+        return kept.to_batches()[0] if kept.num_rows else pa.RecordBatch.from_pylist([], schema=kept.schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            # The last group may go on in the next batch; rows without conflicts go as they come.
+            names = batch.column("__q_group")
+            open_ = names.index(names[-1]).as_py() if batch.num_rows and names[-1].as_py() else batch.num_rows
+            if held and batch.num_rows and (open_ or names[0] != held[-1].column("__q_group")[-1]):
+                yield solved(pa.Table.from_batches([*held, batch.slice(0, open_)]))
+                held = []
+            elif open_:
+                yield solved(pa.Table.from_batches([batch.slice(0, open_)]))
+            if open_ < batch.num_rows:
+                held.append(batch.slice(open_))
+        if held:
+            yield solved(pa.Table.from_batches(held))
+
+    return grouped.mapInArrow(run, source.schema)
 
 
 def greedy_match(truth: DataFrame, found: DataFrame, overlaps: DataFrame, keys: list[str], thresholds: list[float], most: int = 100) -> DataFrame:
@@ -76,49 +129,55 @@ def greedy_match(truth: DataFrame, found: DataFrame, overlaps: DataFrame, keys:
     ignored comes first, a crowd stays free.  A detection on an ignored ground
     truth is ignored itself.
     """
-    best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("o"), "det", "score"))), 1, most)
-    dets = found.groupBy(*keys).agg(best.alias("dets"))
-    sides = truth.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("gt", "ignore", "crowd"))).alias("gts"))
-    pairs = overlaps.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("det", "gt", "iou"))).alias("pairs"))
-    grouped = dets.join(sides, keys, "left").join(pairs, keys, "left")
-    types = {f.name: f.dataType.simpleString() for f in grouped.schema}
-    det_type = dict(found.dtypes)["det"]
-    schema = ", ".join([*[f"{k} {types[k]}" for k in keys], f"det {det_type}", "score double, threshold double, hit boolean, ignored boolean"])
-
-    def run(batches):
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("score"), "det"))
+    found = found.select(*keys, "det", "score").withColumn("__q_n", place).where(F.col("__q_n") <= most).drop("__q_n")
+    truth = truth.select(*keys, "gt", "ignore", "crowd")
+    least = min(*thresholds, 1 - 1e-10)
+    near = overlaps.where(F.col("iou") >= least).join(found.select(*keys, "det"), [*keys, "det"], "left_semi").join(truth, [*keys, "gt"])
+    # Where every detection and ground truth has one partner at most, nothing has to be taken in order.
+    counts = near.groupBy(*keys).agg(F.count("*").alias("n"), F.size(F.collect_set("det")).alias("n_d"), F.size(F.collect_set("gt")).alias("n_g"))
+    contested = counts.where("n > n_d OR n > n_g").select(*keys)
+    levels = F.explode(F.array(*[F.lit(float(t)) for t in thresholds]))
+    alone = found.join(contested, keys, "left_anti").join(near.select(*keys, "det", "iou", "ignore"), [*keys, "det"], "left").withColumn("threshold", levels)
+    hit = F.coalesce(F.col("iou") >= F.least(F.col("threshold"), F.lit(1 - 1e-10)), F.lit(False))
+    score = F.col("score").cast("double").alias("score")
+    alone = alone.select(*keys, "det", score, "threshold", hit.alias("hit"), (hit & F.coalesce(F.col("ignore").cast("boolean"), F.lit(False))).alias("ignored"))
+
+    dets = found.join(contested, keys, "left_semi").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("o"), "det", "score"))).alias("dets"))
+    pairs = near.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("det", "gt", "iou", "ignore", "crowd"))).alias("pairs"))
+    grouped = dets.join(pairs, keys)
+    schema = alone.schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = {k: [] for k in [*keys, "det", "score", "threshold", "hit", "ignored"]}
             for row in batch.to_pylist():
-                gts = sorted(row["gts"] or [], key=lambda g: (bool(g["ignore"]), g["gt"]))
-                at = {g["gt"]: k for k, g in enumerate(gts)}
-                iou = {(p["det"], at[p["gt"]]): p["iou"] for p in row["pairs"] or [] if p["gt"] in at}
+                by_det: dict = {}
+                for p in sorted(row["pairs"], key=lambda p: (bool(p["ignore"]), p["gt"])):
+                    by_det.setdefault(p["det"], []).append((p["gt"], p["iou"], bool(p["ignore"]), bool(p["crowd"])))
                 for tau in thresholds:
                     taken = set()
                     for d in row["dets"]:
-                        least, chosen = min(tau, 1 - 1e-10), None
-                        for k, g in enumerate(gts):
-                            if k in taken and not g["crowd"]:
+                        best, chosen = min(tau, 1 - 1e-10), None
+                        for gt, iou, ignore, crowd in by_det.get(d["det"], ()):
+                            if gt in taken and not crowd:
                                 continue
-                            if chosen is not None and not gts[chosen]["ignore"] and g["ignore"]:
+                            if chosen is not None and not chosen[1] and ignore:
                                 break
-                            if (value := iou.get((d["det"], k), 0.0)) >= least:
-                                least, chosen = value, k
+                            if iou >= best:
+                                best, chosen = iou, (gt, ignore)
                         if chosen is not None:
-                            taken.add(chosen)
+                            taken.add(chosen[0])
                         for k in keys:
                             out[k].append(row[k])
-                        out["det"].append(d["det"])
-                        out["score"].append(float(d["score"]))
-                        out["threshold"].append(tau)
-                        out["hit"].append(chosen is not None)
-                        out["ignored"].append(chosen is not None and bool(gts[chosen]["ignore"]))
-            yield pa.record_batch([pc.cast(pa.array(v), t) for v, t in zip(out.values(), target)], list(out)) if out["det"] else pa.record_batch([pa.array([], t) for t in target], list(out))
+                        for k, v in (("det", d["det"]), ("score", float(d["score"])), ("threshold", tau), ("hit", chosen is not None), ("ignored", chosen is not None and chosen[1])):
+                            out[k].append(v)
+            yield pa.record_batch([pc.cast(pa.array(v), t) if v else pa.array([], t) for v, t in zip(out.values(), target)], list(out))
 
     from pyspark.sql.pandas.types import to_arrow_type
-    from pyspark.sql.types import _parse_datatype_string
 
-    target = [to_arrow_type(f.dataType) for f in _parse_datatype_string(schema).fields]
-    return grouped.mapInArrow(run, schema)
+    target = [to_arrow_type(f.dataType) for f in schema.fields]
+    return alone.union(grouped.mapInArrow(run, schema))
 
 
 def associate(dets: DataFrame, tracks: DataFrame, overlaps: DataFrame, keys: list[str], new_score: float, new_overlap: float, track_overlap: float, recondition: float = 0.8, sure: float = 0.8) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -144,17 +203,22 @@ def associate(dets: DataFrame, tracks: DataFrame, overlaps: DataFrame, keys: lis
 
 
 def one_to_many(pairs: DataFrame, keys: list[str], truth: str, score: str, k: int, threshold: float) -> DataFrame:
-    """Per ground truth the rows whose score exceeds `threshold` and its k-th best, ties included."""
-    from pyspark.sql.window import Window
+    """Per ground truth of n rows those whose score exceeds `threshold` and the quantile 1 - k / n of its scores.
 
-    place = F.rank().over(Window.partitionBy(*keys, truth).orderBy(F.desc(score)))
-    return pairs.withColumn("__q_n", place).where((F.col("__q_n") <= k) & (F.col(score) > threshold)).drop("__q_n")
+    The quantile lies between two scores where it falls between them; with no
+    more than k rows it is the least score, which itself isn't exceeded.
+    """
+    of = Window.partitionBy(*keys, truth)
+    n, at = F.count("*").over(of), F.row_number().over(of.orderBy(score)) - 1
+    place = F.greatest(F.lit(0.0), 1 - k / F.col("__q_n")) * (F.col("__q_n") - 1)
+    ranked = pairs.withColumns({"__q_n": n, "__q_at": at}).withColumn("__q_place", place)
+    low, high = (F.max(F.when(F.col("__q_at") == f("__q_place"), F.col(score))).over(of) for f in (F.floor, F.ceil))
+    ranked = ranked.withColumn("__q_cut", low + (F.col("__q_place") - F.floor("__q_place")) * (high - low))
+    return ranked.where((F.col(score) > F.col("__q_cut")) & (F.col(score) > threshold)).drop("__q_n", "__q_at", "__q_place", "__q_cut")
 
 
 def within_cap(new: DataFrame, current: DataFrame, keys: list[str], score: str, ties: list[str], cap: int) -> DataFrame:
     """New detections that still fit under `cap` objects, best first; `current`: keys, n."""
-    from pyspark.sql.window import Window
-
     n = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(score), *ties))
     room = F.lit(cap) - F.coalesce(F.col("n"), F.lit(0))
     return new.withColumn("__q_n", n).join(current, keys, "left").where(F.col("__q_n") <= room).drop("__q_n", "n")

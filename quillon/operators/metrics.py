@@ -97,7 +97,7 @@ def video_summary_f1(tp: Column, fp: Column, fn: Column) -> Column:
 # Average precision
 
 
-def average_precision(matches: DataFrame, n_truth: DataFrame, keys: list[str], points: int = 101) -> DataFrame:
+def average_precision(matches: DataFrame, n_truth: DataFrame, keys: list[str], thresholds: list[float], points: int = 101) -> DataFrame:
     """keys, threshold, ap, recall over all images, from `matching.greedy_match` rows that carry `keys` (a category).
 
     `n_truth`: keys, n (ground truths that aren't ignored); where that is 0 or
@@ -111,7 +111,8 @@ def average_precision(matches: DataFrame, n_truth: DataFrame, keys: list[str], p
     m = matches.where(~F.col("ignored")).join(n_truth.where("n > 0"), keys)
     m = m.withColumns({"tp": F.count_if("hit").over(so_far), "k": F.row_number().over(order)})
     m = m.withColumns({"recall": F.col("tp") / F.col("n"), "precision": F.col("tp") / F.col("k")})
-    after = Window.partitionBy(*keys, "threshold").orderBy("k").rowsBetween(0, Window.unboundedFollowing)
+    # From the right: a frame that is unbounded ahead would be summed up anew for each row.
+    after = Window.partitionBy(*keys, "threshold").orderBy(F.desc("k")).rowsBetween(Window.unboundedPreceding, 0)
     m = m.withColumn("envelope", F.max("precision").over(after))
     # Each recall point is read at the first row that reaches it: the rows where recall steps up hold the points in between.
     before = F.coalesce(F.lag("tp").over(order), F.lit(0))
@@ -120,7 +121,7 @@ def average_precision(matches: DataFrame, n_truth: DataFrame, keys: list[str], p
     # Points r / steps with before < r n / steps <= tp; the first step also holds point 0.
     held = F.floor(F.col("tp") * steps / F.col("n") + 1e-9) - F.floor(F.col("before") * steps / F.col("n") + 1e-9) + F.when(F.col("before") == 0, 1).otherwise(0)
     scored = m.groupBy(*keys, "threshold").agg((F.sum(held * F.col("envelope")) / points).alias("ap"), F.max("recall").alias("recall"))
-    every = n_truth.where("n > 0").select(*keys).crossJoin(F.broadcast(matches.select("threshold").distinct()))
+    every = n_truth.where("n > 0").select(*keys, F.explode(_levels(thresholds)).alias("threshold"))
     return every.join(scored, [*keys, "threshold"], "left").na.fill(0.0, ["ap", "recall"])
 
 

@@ -111,11 +111,6 @@ def track_nms(boxes: DataFrame, scores: DataFrame, keys: list[str], track: str,
     return out.select(*boxes.columns)
 
 
-def close_to_border(df: DataFrame, keep: Column) -> DataFrame:
-    """Rows for which `keep`, a predicate such as `boxes.away_from_border`, holds."""
-    return df.where(keep)
-
-
 def arbitrate(df: DataFrame, keys: list[str], owner: str, score: str) -> DataFrame:
     """Each contested place (`keys`) goes to the owner of the highest score, the smallest owner of equals."""
     return df.groupBy(*keys).agg(F.min_by(owner, F.struct((-F.col(score)).alias("s"), owner)).alias(owner))

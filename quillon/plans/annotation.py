@@ -41,14 +41,14 @@ def first_seen_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", F.col("index").cast("long").alias("index"))
 
 
-@query("""WITH b AS (SELECT p_brand, p_partkey % 20 AS x, p_partkey % 30 AS y, 1 + p_size % 12 AS w, 1 + p_size % 9 AS h FROM part WHERE p_partkey % 4 = 0), c AS (SELECT p_brand, y, h, unnest(range(x, x + w)) AS px FROM b), p AS (SELECT DISTINCT p_brand, px, unnest(range(y, y + h)) AS py FROM c)
-  SELECT p_brand, count(*) AS pixels FROM p GROUP BY 1""")
+@query("""WITH b AS (SELECT p_partkey // 20 AS grp, p_partkey % 20 AS x, p_partkey % 30 AS y, 1 + p_size % 12 AS w, 1 + p_size % 9 AS h FROM part), c AS (SELECT grp, y, h, unnest(range(x, x + w)) AS px FROM b), p AS (SELECT DISTINCT grp, px, unnest(range(y, y + h)) AS py FROM c)
+  SELECT grp, count(*) AS pixels FROM p GROUP BY 1""")
 def mask_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Boxes as run-length masks in 40 by 40 images, united per brand."""
-    p = table(spark, sf_dir, "part", "p_partkey", "p_brand", "p_size").where("p_partkey % 4 = 0")
+    """Boxes as run-length masks in 40 by 40 images, united per twenty keys."""
+    p = table(spark, sf_dir, "part", "p_partkey", "p_size").withColumn("grp", F.floor(F.col("p_partkey") / 20))
     k, s = F.col("p_partkey").cast("int"), F.col("p_size").cast("int")
     runs = C.box_runs(k % 20, k % 30, 1 + s % 12, 1 + s % 9, 40, 40)
-    return C.mask_union(p.select("p_brand", runs.alias("runs")), ["p_brand"], "runs")
+    return C.mask_union(p.select("grp", runs.alias("runs")), ["grp"], "runs")
 
 
 @query("""SELECT p_partkey, (1 + p_size % 12) * (1 + p_size % 9) AS area, [p_partkey % 20, p_partkey % 30, p_partkey % 20 + p_size % 12, p_partkey % 30 + p_size % 9] AS bounds FROM part""")

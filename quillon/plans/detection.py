@@ -86,15 +86,13 @@ def frame_nms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """part as tracks: video the size's residue, track the brand, frame the key's residue; the first part of a place."""
-    p = part_boxes(spark, sf_dir).join(table(spark, sf_dir, "part", "p_partkey", "p_brand", "p_size").withColumnRenamed("p_partkey", "id"), "id")
-    p = p.select("id", "b", "score", (F.col("p_size") % 5).alias("video"), F.col("p_brand").alias("track"), (F.col("id") % 8).alias("t"))
-    return p.groupBy("video", "track", "t").agg(F.min_by("b", "id").alias("b"), F.min_by("score", "id").alias("score"))
+    """part as tracks: 128 keys are a video of sixteen tracks over eight frames."""
+    k = F.col("id")
+    return part_boxes(spark, sf_dir).select("b", "score", F.floor(k / 128).alias("video"), (F.floor(k / 8) % 16).alias("track"), (k % 8).alias("t"))
 
 
-_TRACKS_SQL = """p AS (SELECT p_partkey AS id, p_size % 5 AS video, p_brand AS track, p_partkey % 8 AS t, p_retailprice AS score, CAST(p_partkey % 97 AS DOUBLE) AS x1, CAST((p_partkey * 31) % 89 AS DOUBLE) AS y1,
+_TRACKS_SQL = """tracks AS (SELECT p_partkey // 128 AS video, p_partkey // 8 % 16 AS track, p_partkey % 8 AS t, p_retailprice AS score, CAST(p_partkey % 97 AS DOUBLE) AS x1, CAST((p_partkey * 31) % 89 AS DOUBLE) AS y1,
     CAST(p_partkey % 97 + 10 + p_size AS DOUBLE) AS x2, CAST((p_partkey * 31) % 89 + 12 + p_partkey % 17 AS DOUBLE) AS y2 FROM part),
-  tracks AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY video, track, t ORDER BY id) = 1),
   pairs AS (SELECT a.video, a.t, a.track AS a, b.track AS b, greatest(least(a.x2, b.x2) - greatest(a.x1, b.x1), 0) * greatest(least(a.y2, b.y2) - greatest(a.y1, b.y1), 0) AS i,
     (a.x2 - a.x1) * (a.y2 - a.y1) AS aa, (b.x2 - b.x1) * (b.y2 - b.y1) AS ab FROM tracks a JOIN tracks b ON a.video = b.video AND a.t = b.t AND a.track < b.track)"""
 
@@ -136,26 +134,28 @@ QUERIES["assignment_total"] = assignment_total
 
 # Ground truth k of an image lies at (100 k, 0), 40 wide and high; its detection is shifted by s both ways.
 _IOU = "(40.0 - s) * (40.0 - s) / (3200.0 - (40.0 - s) * (40.0 - s))"
-_GRID_SQL = f"""g AS (SELECT l_orderkey % 200 AS image, l_partkey % 3 AS phrase, l_suppkey % 11 AS gt FROM lineitem WHERE l_linenumber < 3 GROUP BY ALL),
-  d0 AS (SELECT l_orderkey % 200 AS image, l_partkey % 3 AS phrase, l_suppkey % 11 AS dt, CAST(max(l_quantity) / 50.0 AS DOUBLE) AS score FROM lineitem WHERE l_linenumber BETWEEN 2 AND 4 GROUP BY 1, 2, 3),
+_GRID_SQL = f"""g AS (SELECT DISTINCT l_orderkey AS image, l_partkey % 3 AS phrase, l_suppkey % 11 AS gt FROM lineitem),
+  d0 AS (SELECT l_orderkey AS image, l_partkey % 3 AS phrase, (l_suppkey + CASE WHEN l_linenumber % 3 = 0 THEN 1 ELSE 0 END) % 11 AS dt, CAST(max(l_quantity) / 50.0 AS DOUBLE) AS score FROM lineitem GROUP BY 1, 2, 3),
   d AS (SELECT *, (image * 7 + dt * 5 + phrase) % 23 AS s FROM d0),
   o AS (SELECT g.image, g.phrase, g.gt, d.dt, d.score, {_IOU} AS iou FROM g JOIN d ON g.image = d.image AND g.phrase = d.phrase AND g.gt = d.dt)"""
 
 
 def _grid(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Ground truths, detections and the overlaps of those that meet."""
-    rows = table(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity").select((F.col("l_orderkey") % 200).alias("image"), (F.col("l_partkey") % 3).alias("phrase"), (F.col("l_suppkey") % 11).alias("item"), "l_linenumber", (F.col("l_quantity") / 50.0).alias("q"))
+    """Ground truths, detections (every third line's beside its ground truth) and the overlaps of those that meet."""
+    l = table(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity")
+    beside = F.when(F.col("l_linenumber") % 3 == 0, 1).otherwise(0)
+    rows = l.select(F.col("l_orderkey").alias("image"), (F.col("l_partkey") % 3).alias("phrase"), (F.col("l_suppkey") % 11).alias("item"), ((F.col("l_suppkey") + beside) % 11).alias("found"), (F.col("l_quantity") / 50.0).alias("q"))
     place = B.from_xywh(F.col("item") * 100.0, F.lit(0.0), F.lit(40.0), F.lit(40.0))
-    g = rows.where("l_linenumber < 3").select("image", "phrase", F.col("item").alias("gt"), place.alias("b")).distinct()
+    g = rows.select("image", "phrase", F.col("item").alias("gt"), place.alias("b")).distinct()
     shift = ((F.col("image") * 7 + F.col("item") * 5 + F.col("phrase")) % 23).cast("double")
-    d = rows.where("l_linenumber BETWEEN 2 AND 4").groupBy("image", "phrase", "item").agg(F.max("q").alias("score"))
+    d = rows.groupBy("image", "phrase", F.col("found").alias("item")).agg(F.max("q").alias("score"))
     d = d.select("image", "phrase", F.col("item").alias("dt"), "score", B.from_xywh(F.col("item") * 100.0 + shift, shift, F.lit(40.0), F.lit(40.0)).alias("d"))
     o = g.join(d, ["image", "phrase"]).withColumn("iou", B.iou(F.col("b"), F.col("d"))).where("iou > 0").select("image", "phrase", "gt", "dt", "score", "iou")
     return g.drop("b"), d.drop("d"), o
 
 
 _LEVELS = ", ".join(f"{x:.2f}" for x in E.BOX_LEVELS)
-_UNITS_SQL = f"""{_GRID_SQL}, f AS (SELECT * FROM d WHERE score >= 0.5), u AS (SELECT DISTINCT l_orderkey % 200 AS image, l_partkey % 3 AS phrase FROM lineitem),
+_UNITS_SQL = f"""{_GRID_SQL}, f AS (SELECT * FROM d WHERE score >= 0.5), u AS (SELECT DISTINCT l_orderkey AS image, l_partkey % 3 AS phrase FROM lineitem),
   levels AS (SELECT CAST(unnest([{_LEVELS}]) AS DOUBLE) AS threshold),
   n AS (SELECT u.*, (SELECT count(*) FROM g WHERE g.image = u.image AND g.phrase = u.phrase) AS n_gt, (SELECT count(*) FROM f WHERE f.image = u.image AND f.phrase = u.phrase) AS n_dt FROM u),
   c AS (SELECT n.*, threshold, (SELECT count(*) FROM o WHERE o.score >= 0.5 AND o.image = n.image AND o.phrase = n.phrase AND o.iou >= threshold) AS tp FROM n CROSS JOIN levels),
@@ -164,7 +164,7 @@ _UNITS_SQL = f"""{_GRID_SQL}, f AS (SELECT * FROM d WHERE score >= 0.5), u AS (S
 
 def _units(spark: SparkSession, sf_dir: str) -> DataFrame:
     g, d, o = _grid(spark, sf_dir)
-    units = table(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey").select((F.col("l_orderkey") % 200).alias("image"), (F.col("l_partkey") % 3).alias("phrase"))
+    units = table(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey").select(F.col("l_orderkey").alias("image"), (F.col("l_partkey") % 3).alias("phrase"))
     return E.phrase_units(units, g, d.where("score >= 0.5"), o.where("score >= 0.5"), ["image", "phrase"])
 
 
@@ -202,7 +202,7 @@ def average_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = H.greedy_match(truth, found, o.select("image", "phrase", "gt", F.col("dt").alias("det"), "iou"), ["image", "phrase"], [0.5, 0.75])
     m = m.withColumnRenamed("phrase", "category").withColumn("ord", F.col("image") * 100 + F.col("det"))
     n = g.groupBy(F.col("phrase").alias("category")).agg(F.count("*").alias("n"))
-    return E.average_precision(m, n, ["category"]).select("category", "threshold", *_round("ap", "recall"))
+    return E.average_precision(m, n, ["category"], [0.5, 0.75]).select("category", "threshold", *_round("ap", "recall"))
 
 
 # events as detections: sequence the user, time the day, ids the hour's residue; ids correspond with a switch on day 15.
@@ -279,13 +279,13 @@ def teta_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.teta_scores(_teta(spark, sf_dir), ["cls"]).select(F.col("cls").cast("long").alias("cls"), *_round("loc_a", "assoc_a", "cls_a", "teta"))
 
 
-@query("""WITH d AS (SELECT l_orderkey % 300 AS frame, l_partkey % 13 AS det, max(l_extendedprice) / 100000.0 AS score FROM lineitem WHERE l_linenumber <= 3 GROUP BY 1, 2), k AS (SELECT l_orderkey % 300 AS frame, l_suppkey % 13 AS trk, bool_or(l_tax > 0.01) AS nonempty FROM lineitem WHERE l_linenumber > 3 GROUP BY 1, 2),
+@query("""WITH d AS (SELECT l_orderkey AS frame, l_partkey % 13 AS det, max(l_extendedprice) / 100000.0 AS score FROM lineitem WHERE l_linenumber <= 3 GROUP BY 1, 2), k AS (SELECT l_orderkey AS frame, l_suppkey % 13 AS trk, bool_or(l_tax > 0.01) AS nonempty FROM lineitem WHERE l_linenumber > 3 GROUP BY 1, 2),
   o AS (SELECT d.frame, det, trk, ((d.frame * 3 + det * 7 + trk * 11) % 20) / 20.0 AS iou FROM d JOIN k ON d.frame = k.frame), f AS (SELECT frame, det FROM d WHERE score >= 0.7 AND NOT EXISTS (SELECT 1 FROM o WHERE o.frame = d.frame AND o.det = d.det AND iou >= 0.9)),
   u AS (SELECT frame, trk FROM k WHERE nonempty AND NOT EXISTS (SELECT 1 FROM o WHERE o.frame = k.frame AND o.trk = k.trk AND iou >= 0.9)),
   s AS (SELECT *, count(*) OVER (PARTITION BY frame, det) AS nd, count(*) OVER (PARTITION BY frame, trk) AS nk FROM o WHERE iou >= 0.8)
   SELECT 'new' AS kind, frame, det AS item FROM f UNION ALL SELECT 'unmatched', frame, trk FROM u UNION ALL SELECT 'recondition', s.frame, s.trk FROM s JOIN d ON d.frame = s.frame AND d.det = s.det WHERE nd = 1 AND nk = 1 AND d.score >= 0.8 AND NOT EXISTS (SELECT 1 FROM f WHERE f.frame = d.frame AND f.det = d.det)""")
 def associate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    l = table(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_tax").withColumn("frame", F.col("l_orderkey") % 300)
+    l = table(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_tax").withColumn("frame", F.col("l_orderkey"))
     d = l.where("l_linenumber <= 3").groupBy("frame", (F.col("l_partkey") % 13).alias("det")).agg((F.max("l_extendedprice") / 100000.0).alias("score")).withColumn("kept", F.lit(True))
     k = l.where("l_linenumber > 3").groupBy("frame", (F.col("l_suppkey") % 13).alias("trk")).agg(F.bool_or(F.col("l_tax") > 0.01).alias("nonempty"))
     o = d.select("frame", "det").join(k.select("frame", "trk"), "frame").withColumn("iou", ((F.col("frame") * 3 + F.col("det") * 7 + F.col("trk") * 11) % 20) / 20.0)
@@ -306,13 +306,13 @@ def run_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("user_id", M.area(F.col("runs")).alias("n_set"), F.size("runs").cast("long").alias("n_runs"), F.get("runs", 0).alias("first_run"))
 
 
-@query("""WITH m AS (SELECT p_partkey AS id, p_brand AS grp, p_partkey % 40 AS a, 20 + p_size AS b FROM part WHERE p_partkey % 3 = 0), p AS (SELECT x.grp, x.id AS a, y.id AS b, greatest(least(x.a + x.b, y.a + y.b) - greatest(x.a, y.a), 0) AS i, x.b AS aa, y.b AS ab FROM m x JOIN m y ON x.grp = y.grp AND x.id < y.id)
+@query("""WITH m AS (SELECT p_partkey AS id, p_partkey // 50 AS grp, p_partkey % 40 AS a, 20 + p_size AS b FROM part), p AS (SELECT x.grp, x.id AS a, y.id AS b, greatest(least(x.a + x.b, y.a + y.b) - greatest(x.a, y.a), 0) AS i, x.b AS aa, y.b AS ab FROM m x JOIN m y ON x.grp = y.grp AND x.id < y.id)
   SELECT a, b, i AS shared, round(i / greatest(aa + ab - i, 1), 6) AS iou, round(i / (least(aa, ab) + 1e-8), 6) AS iom FROM p WHERE i > 0""")
 def mask_overlap_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Masks of one run each, compared by their runs."""
-    p = table(spark, sf_dir, "part", "p_partkey", "p_brand", "p_size").where("p_partkey % 3 = 0")
+    p = table(spark, sf_dir, "part", "p_partkey", "p_size").withColumn("grp", F.floor(F.col("p_partkey") / 50))
     runs = F.array(F.col("p_partkey") % 40, (F.col("p_size") + 20).cast("long"), F.lit(500).cast("long"))
-    pairs = S.group_pairs(p.select("p_brand", "p_partkey", runs.alias("runs")), ["p_brand"], "p_partkey", ["runs"])
+    pairs = S.group_pairs(p.select("grp", "p_partkey", runs.alias("runs")), ["grp"], "p_partkey", ["runs"])
     a, b = F.col("a.runs"), F.col("b.runs")
     out = pairs.withColumns({"shared": M.intersection(a, b), "iou": M.iou(a, b), "iom": M.iom(a, b)})
     return out.where("shared > 0").select(F.col("a.item").alias("a"), F.col("b.item").alias("b"), "shared", *_round("iou", "iom"))
@@ -368,11 +368,11 @@ def filter_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT doc_id, CASE WHEN length(trim(t)) = 0 THEN '-' ELSE trim(t) END AS shown, regexp_replace(regexp_replace('```json' || chr(10) || lang || chr(10) || '```', '^```(json)?\\s*', ''), '\\s*```$', '') AS bare, coalesce(nullif(source, ''), lang, 'none') AS first_known
-  FROM (SELECT doc_id, lang, source, coalesce(left(source, 3), '') AS t FROM documents)""")
+  FROM (SELECT doc_id, lang, source, coalesce(source, '') AS t FROM documents)""")
 def text_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents", "doc_id", "lang", "source")
     fenced = F.concat(F.lit("```json\n"), F.col("lang"), F.lit("\n```"))
-    return d.select("doc_id", X.safe_text(F.substring("source", 1, 3)).alias("shown"), X.strip_fences(fenced).alias("bare"), X.first_nonempty(F.col("source"), F.col("lang"), default="none").alias("first_known"))
+    return d.select("doc_id", X.safe_text(F.col("source")).alias("shown"), X.strip_fences(fenced).alias("bare"), X.first_nonempty(F.col("source"), F.col("lang"), default="none").alias("first_known"))
 
 
 @query("""WITH w AS (SELECT l_orderkey AS k, l_partkey AS owner, max(l_extendedprice) AS s FROM lineitem GROUP BY 1, 2) SELECT k AS place, owner FROM w QUALIFY row_number() OVER (PARTITION BY k ORDER BY s DESC, owner) = 1""")
@@ -389,17 +389,23 @@ def recent_occlusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.most_recently_hidden(p.select("frame", F.col("a.item").alias("a"), F.col("a.last").alias("last_a"), F.col("b.item").alias("b"), F.col("b.last").alias("last_b")), ["frame"])
 
 
-@query("""WITH p AS (SELECT c_nationkey AS img, c_custkey % 5 AS gt, c_custkey AS det, c_acctbal / 10000.0 AS score FROM customer) SELECT img, gt, det FROM p WHERE score > 0.2 QUALIFY rank() OVER (PARTITION BY img, gt ORDER BY score DESC) <= 3""")
+@query("""WITH p AS (SELECT o_custkey AS img, o_orderkey % 2 AS gt, o_orderkey AS det, o_totalprice AS score, row_number() OVER (PARTITION BY o_custkey, o_orderkey % 2 ORDER BY o_totalprice) - 1 AS i, count(*) OVER (PARTITION BY o_custkey, o_orderkey % 2) AS n FROM orders),
+  q AS (SELECT *, greatest(0.0, 1 - CAST(3 AS DOUBLE) / n) * (n - 1) AS pl FROM p), c AS (SELECT img, gt, any_value(pl) AS pl, max(score) FILTER (WHERE i = floor(pl)) AS low, max(score) FILTER (WHERE i = ceil(pl)) AS high FROM q GROUP BY 1, 2)
+  SELECT q.img, q.gt, q.det FROM q JOIN c ON c.img = q.img AND c.gt = q.gt WHERE score > low + (c.pl - floor(c.pl)) * (high - low) AND score > 50000""")
 def one_to_many(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "customer", "c_custkey", "c_nationkey", "c_acctbal").select(F.col("c_nationkey").alias("img"), (F.col("c_custkey") % 5).alias("gt"), F.col("c_custkey").alias("det"), (F.col("c_acctbal") / 10000.0).alias("score"))
-    return H.one_to_many(c, ["img"], "gt", "score", 3, 0.2).select("img", "gt", "det")
+    """Customers as images with two ground truths, orders as detections."""
+    o = table(spark, sf_dir, "orders", "o_custkey", "o_orderkey", "o_totalprice").select(F.col("o_custkey").alias("img"), (F.col("o_orderkey") % 2).alias("gt"), F.col("o_orderkey").alias("det"), F.col("o_totalprice").alias("score"))
+    return H.one_to_many(o, ["img"], "gt", "score", 3, 50000.0).select("img", "gt", "det")
 
 
-@query("""WITH n AS (SELECT s_nationkey, s_suppkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC, s_suppkey) AS r FROM supplier) SELECT n.s_nationkey, n.s_suppkey FROM n JOIN (SELECT c_nationkey, count(*) AS c FROM customer WHERE c_custkey % 20 = 0 GROUP BY 1) k ON k.c_nationkey = n.s_nationkey WHERE r <= 6 - k.c UNION ALL SELECT s_nationkey, s_suppkey FROM n WHERE r <= 6 AND s_nationkey NOT IN (SELECT c_nationkey FROM customer WHERE c_custkey % 20 = 0)""")
+@query("""WITH n AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS r FROM orders WHERE o_orderpriority = '1-URGENT'), k AS (SELECT o_custkey, count(*) AS c FROM orders WHERE o_orderpriority <> '1-URGENT' GROUP BY 1)
+  SELECT n.o_custkey, n.o_orderkey FROM n LEFT JOIN k USING (o_custkey) WHERE r <= 9 - coalesce(k.c, 0)""")
 def within_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = table(spark, sf_dir, "supplier", "s_suppkey", "s_nationkey", "s_acctbal")
-    now = table(spark, sf_dir, "customer", "c_custkey", "c_nationkey").where("c_custkey % 20 = 0").groupBy(F.col("c_nationkey").alias("s_nationkey")).agg(F.count("*").alias("n"))
-    return H.within_cap(s, now, ["s_nationkey"], "s_acctbal", ["s_suppkey"], 6).select("s_nationkey", "s_suppkey")
+    """Urgent orders as new detections beside a customer's others, at most nine in all."""
+    o = table(spark, sf_dir, "orders", "o_custkey", "o_orderkey", "o_totalprice", "o_orderpriority")
+    urgent = F.col("o_orderpriority") == "1-URGENT"
+    now = o.where(~urgent).groupBy("o_custkey").agg(F.count("*").alias("n"))
+    return H.within_cap(o.where(urgent), now, ["o_custkey"], "o_totalprice", ["o_orderkey"], 9).select("o_custkey", "o_orderkey")
 
 
 def least_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -441,16 +447,16 @@ def same_object_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.even_sample(kept, ["g"], ["o_orderdate", "item"], 12).select("item")
 
 
-@query("""WITH w AS (SELECT row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i, user_id AS cam, event_id AS s, event_id + 7 + event_id % 5 AS e FROM events), q AS (SELECT o_orderkey AS seg, o_custkey % 15 AS cam, CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey % 7 END AS i FROM orders WHERE o_orderkey % 50 = 0),
-  a AS (SELECT q.seg, w.s FROM q JOIN w ON w.cam = q.cam AND w.i = q.i), b AS (SELECT q.seg, w.s FROM q JOIN w ON w.cam = q.cam QUALIFY row_number() OVER (PARTITION BY q.seg ORDER BY w.e - w.s, w.i) = 1)
-  SELECT q.seg, coalesce(a.s, b.s) AS start FROM q LEFT JOIN a USING (seg) LEFT JOIN b USING (seg)""")
+@query("""WITH w AS (SELECT row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i, user_id AS cam, event_id AS s, event_id + 7 + event_id % 5 AS e FROM events), q AS (SELECT o_orderkey AS seg, o_custkey % 15 AS cam, CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey % 7 END AS i FROM orders),
+  b AS (SELECT cam, arg_min(s, (e - s, i)) AS s FROM w GROUP BY cam)
+  SELECT q.seg, coalesce(w.s, b.s) AS start FROM q LEFT JOIN w ON w.cam = q.cam AND w.i = q.i LEFT JOIN b ON b.cam = q.cam""")
 def window_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A segment's window: the one it names, else the shortest of its camera, the first of equals, else none."""
     from quillon.operators.joins import resolve_windows
 
     e = table(spark, sf_dir, "events", "event_id", "user_id").select(F.col("user_id").alias("cam"), F.col("event_id").alias("start"), (F.col("event_id") + 7 + F.col("event_id") % 5).alias("end"))
     w = W.rank_within(e, ["cam"], ["start"], "i").withColumn("i", F.col("i") - 1)
-    q = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey").where("o_orderkey % 50 = 0").select(F.col("o_orderkey").alias("seg"), (F.col("o_custkey") % 15).alias("cam"), F.when(F.col("o_orderkey") % 3 == 0, F.col("o_orderkey") % 7).alias("i"))
+    q = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey").select(F.col("o_orderkey").alias("seg"), (F.col("o_custkey") % 15).alias("cam"), F.when(F.col("o_orderkey") % 3 == 0, F.col("o_orderkey") % 7).alias("i"))
     return resolve_windows(q, w, "seg", "cam", "i", "start", "end").select("seg", "start")
 
 

@@ -268,13 +268,13 @@ def lookahead_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(r"""SELECT p_partkey, left(coalesce(nullif(regexp_replace(regexp_replace(regexp_replace(trim(n), '[^A-Za-z0-9._-]', '_', 'g'), '_+', '_', 'g'), '^[_.]+|[_.]+$', '', 'g'), ''), 'object'), 80) AS slug,
     CAST(nullif(regexp_extract(n, '(\d+)[^0-9]*$', 1), '') AS BIGINT) AS digits, CASE WHEN instr(k, '_') > 0 THEN left(k, length(k) - length(string_split(k, '_')[-1]) - 1) ELSE k END AS head, CASE WHEN instr(k, '_') > 0 THEN string_split(k, '_')[-1] END AS tail,
     replace(regexp_replace(k, '_0$', ''), '_', ' ') AS cleaned, list_distinct_in_order AS variants FROM (SELECT p_partkey, p_name || ' #' || p_partkey || ' (' || p_type || ')' AS n, replace(p_name, ' ', '_') || '_' || p_partkey % 3 AS k,
-      CASE WHEN lower(p_brand) = p_brand THEN [p_brand] ELSE [p_brand, lower(p_brand)] END || CASE WHEN contains(p_brand, '_') THEN [replace(p_brand, '_', ' ')] ELSE [] END AS list_distinct_in_order FROM part)""")
+      CASE WHEN lower(p_type) = p_type THEN [p_type] ELSE [p_type, lower(p_type)] END || CASE WHEN contains(lower(p_type), 'steel') THEN ['metal part', 'part'] ELSE [] END AS list_distinct_in_order FROM part)""")
 def text_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part", "p_partkey", "p_name", "p_type", "p_brand")
     n = F.concat("p_name", F.lit(" #"), F.col("p_partkey").cast("string"), F.lit(" ("), F.col("p_type"), F.lit(")"))
     k = F.concat(F.replace("p_name", F.lit(" "), F.lit("_")), F.lit("_"), (F.col("p_partkey") % 3).cast("string"))
     head, tail = X.split_key(k)
-    return p.select("p_partkey", X.slugify(n).alias("slug"), X.last_digits(n).alias("digits"), head.alias("head"), tail.alias("tail"), X.clean_target(k).alias("cleaned"), X.variants(F.col("p_brand")).alias("variants"))
+    return p.select("p_partkey", X.slugify(n).alias("slug"), X.last_digits(n).alias("digits"), head.alias("head"), tail.alias("tail"), X.clean_target(k).alias("cleaned"), X.variants(F.concat(F.lit(" "), "p_type"), {"steel": ["metal part", "part"]}).alias("variants"))
 
 
 @query("""WITH t AS (SELECT conv_id, max(turn) FILTER (WHERE role = 'assistant' AND contains(text, 'a')) AS last FROM conversations GROUP BY conv_id)

@@ -28,14 +28,14 @@ FRAMES_SQL = "frames AS (SELECT DISTINCT user_id AS cam, CAST(floor(epoch(ts) /
 
 
 def part_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """part as scored boxes of groups: `grp` the brand and size, `b` the box."""
-    p = table(spark, sf_dir, "part", "p_partkey", "p_brand", "p_size", "p_retailprice")
+    """part as scored boxes of frames: `grp` a block of fifty keys, `b` the box."""
+    p = table(spark, sf_dir, "part", "p_partkey", "p_size", "p_retailprice")
     x, y = F.col("p_partkey") % 97, (F.col("p_partkey") * 31) % 89
     w, h = 10 + F.col("p_size"), 12 + F.col("p_partkey") % 17
-    return p.select(F.col("p_partkey").alias("id"), F.concat_ws("/", "p_brand", (F.col("p_size") % 5).cast("string")).alias("grp"), F.col("p_retailprice").alias("score"), boxes.from_xywh(x.cast("double"), y.cast("double"), w.cast("double"), h.cast("double")).alias("b"))
+    return p.select(F.col("p_partkey").alias("id"), F.floor(F.col("p_partkey") / 50).alias("grp"), F.col("p_retailprice").alias("score"), boxes.from_xywh(x.cast("double"), y.cast("double"), w.cast("double"), h.cast("double")).alias("b"))
 
 
-BOXES_SQL = """boxes AS (SELECT p_partkey AS id, concat_ws('/', p_brand, CAST(p_size % 5 AS VARCHAR)) AS grp, p_retailprice AS score,
+BOXES_SQL = """boxes AS (SELECT p_partkey AS id, p_partkey // 50 AS grp, p_retailprice AS score,
     CAST(p_partkey % 97 AS DOUBLE) AS x1, CAST((p_partkey * 31) % 89 AS DOUBLE) AS y1,
     CAST(p_partkey % 97 + 10 + p_size AS DOUBLE) AS x2, CAST((p_partkey * 31) % 89 + 12 + p_partkey % 17 AS DOUBLE) AS y2 FROM part),
   pairs AS (SELECT a.grp, a.id AS a, b.id AS b, a.score AS sa, b.score AS sb,

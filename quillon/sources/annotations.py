@@ -109,7 +109,7 @@ def category_queries(images: DataFrame, annotations: DataFrame, categories: Data
     """
     a = annotations.join(images.select(F.col("id").alias("image_id"), "width", "height"), "image_id")
     a = a.groupBy("image_id", "category_id").agg(F.array_sort(F.collect_list(F.struct("id", normalized_xywh("bbox", "width", "height").alias("box")))).alias("objects"))
-    labels = F.broadcast(categories.select(F.col("id").alias("category_id"), "name"))
+    labels = categories.select(F.col("id").alias("category_id"), "name")
     if negatives:
         q = images.select(F.col("id").alias("image_id")).crossJoin(labels).join(a, ["image_id", "category_id"], "left")
     else:

@@ -82,10 +82,11 @@ def shuffled_batches(df: DataFrame, key: str, size: int, seed: int = 0, shards:
 def find_item(documents: DataFrame, text: str, wanted: DataFrame, order: list[str]) -> DataFrame:
     """For each wanted (exact, view, take) the first document that holds the exact id, else the view, else the take.
 
-    `wanted` is a bounded list of look-ups; it is repeated beside each document.
+    An id stands in a document where characters outside `[A-Za-z0-9_.-]`, or its
+    ends, bound it, so documents and look-ups meet by their words.
     """
-    pairs = documents.crossJoin(F.broadcast(wanted))
-    level = F.when(F.contains(text, F.col("exact")), 0).when(F.contains(text, F.col("view")), 1).when(F.contains(text, F.col("take")), 2)
-    hits = pairs.withColumn("tier", level).where(F.col("tier").isNotNull())
+    names = wanted.select("exact", "view", "take", F.explode(F.array(*[F.struct(F.lit(i).alias("tier"), F.col(c).alias("name")) for i, c in enumerate(("exact", "view", "take"))])).alias("w")).select("exact", "view", "take", "w.*").where("name IS NOT NULL")
+    words = documents.withColumn("name", F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(r"[A-Za-z0-9_.-]+"), F.lit(0)))))
+    hits = words.join(names, "name").drop("name")
     n = F.row_number().over(Window.partitionBy("exact").orderBy("tier", *order))
     return hits.withColumn("__q_n", n).where("__q_n = 1").drop("__q_n")

@@ -11,8 +11,10 @@ from pyspark.sql.window import Window
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir, which all executors share; where that is unset (local tests), an own one."""
+    """A new folder below spark.checkpoint.dir, which all executors share; where that is unset in local mode, an own one."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not at and not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     at = at or "file://" + tempfile.mkdtemp(prefix="spark-quillon-")
     return f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
