@@ -39,8 +39,8 @@ from quillon.llm._store import small_batches
 
 WINDOW = 8
 LEAST, MOST = 128, 4096
-#: A chunk ends where these bits of the rolling hash are zero: after 512 ids on average.
-CUT = np.uint64(511)
+#: A chunk ends where so many bits of the rolling hash are zero: after 512 ids on average.
+CUT_BITS = 9
 #: Bytes of text that a Python worker encodes in one go.
 SLICE = 2 << 20
 #: Segments whose ids a Python worker keeps, and bytes of these segments and their ids.
@@ -242,13 +242,17 @@ def cuts(texts: list[np.ndarray]) -> list[list[int]]:
     WINDOW ids says so, at least LEAST and at most MOST ids after the last cut,
     and at the end."""
     gap = np.zeros(WINDOW, np.uint64)
-    ids = np.concatenate([x for t in texts for x in (gap, t)])
+    ids = np.concatenate([x for t in texts for x in (gap, t)], dtype=np.uint64)
     with np.errstate(over="ignore"):
-        random = _text.mix(ids.astype(np.uint64))  # 0 for the ids between two texts
-        h = random.copy()
-        for k in range(1, WINDOW):
-            h[k:] += random[: len(ids) - k] * np.uint64(2 * k + 0x9E3779B9)
-        at = (np.flatnonzero(_text.mix(h) & CUT == 0) + 1).tolist()
+        # A random number for each id, 0 for those between two texts, and its sum over the window.
+        random = ids * np.uint64(0x9E3779B97F4A7C15)
+        random ^= random >> np.uint64(32)
+        random *= np.uint64(0xD6E8FEB86659FD93)
+        h = np.cumsum(random, dtype=np.uint64)
+        h[WINDOW:] -= h[:-WINDOW].copy()
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(0xD6E8FEB86659FD93)
+        at = (np.flatnonzero(h >> np.uint64(64 - CUT_BITS) == 0) + 1).tolist()
     out, begin = [], 0
     for t in texts:
         begin += WINDOW
