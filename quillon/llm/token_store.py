@@ -31,6 +31,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -103,6 +104,13 @@ def _segments(data: np.ndarray) -> tuple[np.ndarray, pa.StringArray]:
     return starts, pa.StringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(data[solid].tobytes()))
 
 
+def _listed(segments: pa.StringArray) -> list[str]:
+    """The segments, which hold no line feed, as Python strings: one long string split is cheaper than many made."""
+    if not len(segments):
+        return []
+    return pc.binary_join(pa.ListArray.from_arrays([0, len(segments)], segments), "\n")[0].as_py().split("\n")
+
+
 class Memo:
     """Ids of segments: a number for each, and all ids end to end. Beyond MEMO segments or MEMO_BYTES the half that texts use least is forgotten."""
 
@@ -216,7 +224,7 @@ class Encoder:
         places = np.cumsum([0, *(len(x) + 1 for x in small)])
         starts, segments = _segments(np.frombuffer(b"\n".join(small) + b"\n", np.uint8))
         coded = segments.dictionary_encode()
-        number = self._numbers(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
+        number = self._numbers(_listed(coded.dictionary))[coded.indices.to_numpy()]
         odd = number < 0
         taken = self.memo.lists().take(pa.array(number, mask=odd if odd.any() else None))
         # Null lists are empty; a text's ids lie between those of its first segment and the next text's.
