@@ -97,32 +97,42 @@ def video_summary_f1(tp: Column, fp: Column, fn: Column) -> Column:
 # Average precision
 
 
-def average_precision(matches: DataFrame, n_truth: DataFrame, keys: list[str], thresholds: list[float], points: int = 101) -> DataFrame:
-    """keys, threshold, ap, recall over all images, from `matching.greedy_match` rows that carry `keys` (a category).
+def average_precision(matches: DataFrame, n_truth: DataFrame, keys: list[str], thresholds: list[float], points: int = 101, blocks: int = 64) -> DataFrame:
+    """keys, threshold, ap, recall over all images, from `matching.greedy_match` rows that carry `keys` (a category) and `ord`, which parts equal scores.
 
     `n_truth`: keys, n (ground truths that aren't ignored); where that is 0 or
-    missing there is no row.  Running counts by descending score need a
-    category's detections in one order, so the window's key is category and
-    threshold; precision is made non-increasing from the right and read at
-    `points` recalls, 0 beyond the last.
+    missing there is no row.  Precision is made non-increasing from the right
+    and read at `points` recalls, 0 beyond the last.
+
+    A category's detections are counted in `blocks` ranges of its scores, each
+    a window of its own; what stands before and after a range comes from one
+    row per range.  Equal scores are of one range.
     """
-    order = Window.partitionBy(*keys, "threshold").orderBy(F.desc("score"), F.asc("ord"))
+    m = matches.where(~F.col("ignored")).join(n_truth.where("n > 0").select(*keys, "n"), keys)
+    cuts = m.groupBy(*keys).agg(F.percentile_approx("score", F.array(*[F.lit(i / blocks) for i in range(1, blocks)]), 1000).alias("__q_cuts"))
+    m = m.join(cuts, keys).withColumn("__q_block", F.size(F.filter("__q_cuts", lambda c: c > F.col("score")))).drop("__q_cuts")
+    group = [*keys, "threshold"]
+    order = Window.partitionBy(*group, "__q_block").orderBy(F.desc("score"), F.asc("ord"))
     so_far = order.rowsBetween(Window.unboundedPreceding, 0)
-    m = matches.where(~F.col("ignored")).join(n_truth.where("n > 0"), keys)
-    m = m.withColumns({"tp": F.count_if("hit").over(so_far), "k": F.row_number().over(order)})
+    m = m.withColumns({"__q_tp": F.count_if("hit").over(so_far), "__q_k": F.row_number().over(order)})
+    # One row per range: `blocks` at most in a group.
+    sizes = m.groupBy(*group, "__q_block").agg(F.count_if("hit").alias("tp"), F.count("*").alias("k"))
+    above = Window.partitionBy(*group).orderBy("__q_block").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select(*group, "__q_block", *[F.coalesce(F.sum(c).over(above), F.lit(0)).alias(f"__q_{c}0") for c in ("tp", "k")])
+    m = m.where("hit").join(sizes, [*group, "__q_block"]).withColumns({"tp": F.col("__q_tp") + F.col("__q_tp0"), "k": F.col("__q_k") + F.col("__q_k0")})
     m = m.withColumns({"recall": F.col("tp") / F.col("n"), "precision": F.col("tp") / F.col("k")})
     # From the right: a frame that is unbounded ahead would be summed up anew for each row.
-    after = Window.partitionBy(*keys, "threshold").orderBy(F.desc("k")).rowsBetween(Window.unboundedPreceding, 0)
-    m = m.withColumn("envelope", F.max("precision").over(after))
-    # Each recall point is read at the first row that reaches it: the rows where recall steps up hold the points in between.
-    before = F.coalesce(F.lag("tp").over(order), F.lit(0))
+    after = Window.partitionBy(*group, "__q_block").orderBy(F.desc("k")).rowsBetween(Window.unboundedPreceding, 0)
+    below = Window.partitionBy(*group).orderBy(F.desc("__q_block")).rowsBetween(Window.unboundedPreceding, -1)
+    rest = m.groupBy(*group, "__q_block").agg(F.max("precision").alias("__q_best"))
+    rest = rest.select(*group, "__q_block", F.max("__q_best").over(below).alias("__q_rest"))
+    m = m.withColumn("envelope", F.max("precision").over(after)).join(rest, [*group, "__q_block"]).withColumn("envelope", F.greatest("envelope", "__q_rest"))
+    # Each recall point is read at the first hit that reaches it: points r / steps with tp - 1 < r n / steps <= tp; the first hit also holds point 0.
     steps = float(points - 1)
-    m = m.withColumn("before", before).where("hit")
-    # Points r / steps with before < r n / steps <= tp; the first step also holds point 0.
-    held = F.floor(F.col("tp") * steps / F.col("n") + 1e-9) - F.floor(F.col("before") * steps / F.col("n") + 1e-9) + F.when(F.col("before") == 0, 1).otherwise(0)
-    scored = m.groupBy(*keys, "threshold").agg((F.sum(held * F.col("envelope")) / points).alias("ap"), F.max("recall").alias("recall"))
+    held = F.floor(F.col("tp") * steps / F.col("n") + 1e-9) - F.floor((F.col("tp") - 1) * steps / F.col("n") + 1e-9) + F.when(F.col("tp") == 1, 1).otherwise(0)
+    scored = m.groupBy(*group).agg((F.sum(held * F.col("envelope")) / points).alias("ap"), F.max("recall").alias("recall"))
     every = n_truth.where("n > 0").select(*keys, F.explode(_levels(thresholds)).alias("threshold"))
-    return every.join(scored, [*keys, "threshold"], "left").na.fill(0.0, ["ap", "recall"])
+    return every.join(scored, group, "left").na.fill(0.0, ["ap", "recall"])
 
 
 # Higher order tracking accuracy
