@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillon.operators.matching import assign
+from quillon.streaming.runs import shared_path
 
 #: Overlaps of the box metrics, of the association metric and of the tracking metric by class.
 BOX_LEVELS = [0.50, 0.55, 0.60, 0.65, 0.70, 0.75, 0.80, 0.85, 0.90, 0.95]
@@ -106,9 +107,13 @@ def average_precision(matches: DataFrame, n_truth: DataFrame, keys: list[str], t
 
     A category's detections are counted in `blocks` ranges of its scores, each
     a window of its own; what stands before and after a range comes from one
-    row per range.  Equal scores are of one range.
+    row per range.  Equal scores are of one range.  The matches are written
+    once, so that the ranges' rows don't match all images again.
     """
-    m = matches.where(~F.col("ignored")).join(n_truth.where("n > 0").select(*keys, "n"), keys)
+    spark, path = matches.sparkSession, shared_path(matches.sparkSession, "matches")
+    m = matches.where(~F.col("ignored")).join(n_truth.where("n > 0").select(*keys, "n"), keys).select(*keys, "threshold", "score", "ord", "hit", "n")
+    m.write.option("compression", "zstd").parquet(path)
+    m = spark.read.schema(m.schema).parquet(path)
     cuts = m.groupBy(*keys).agg(F.percentile_approx("score", F.array(*[F.lit(i / blocks) for i in range(1, blocks)]), 1000).alias("__q_cuts"))
     m = m.join(cuts, keys).withColumn("__q_block", F.size(F.filter("__q_cuts", lambda c: c > F.col("score")))).drop("__q_cuts")
     group = [*keys, "threshold"]
