@@ -62,6 +62,19 @@ def configurations(spark: SparkSession, path: str, name: str, section: str, keys
     return rows.select("path", *[value(k).alias(k) for k in keys])
 
 
+def index_rows(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
+    """The named columns of CSV files with a header, as strings: quoted fields may hold commas, quotes and line ends; a column that a file lacks is null, empty fields too."""
+    rows = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("mode", "PERMISSIVE").csv(path)
+    return rows.select(*[F.col(f"`{c}`") if c in rows.columns else F.lit(None).cast("string").alias(c) for c in columns])
+
+
+def detailed_rows(spark: SparkSession, path: str, key: str, combined: str = "COMBINED") -> tuple[DataFrame, DataFrame]:
+    """(scores per sequence, combined scores) of a detailed CSV report: the key, and all other columns as doubles."""
+    rows = spark.read.option("header", True).csv(path)
+    rows = rows.select(key, *[F.expr(f"try_cast(`{c}` AS double)").alias(c) for c in rows.columns if c != key])
+    return rows.where(F.col(key) != combined), rows.where(F.col(key) == combined).drop(key)
+
+
 def result_scan(spark: SparkSession, path: str, suffix: str) -> DataFrame:
     """subset (the document's folder), metric and value: of each JSON map those entries whose key ends in `suffix`."""
     d = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(path, wholetext=True)
