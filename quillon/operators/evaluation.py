@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quillon.functions import boxes as B
+from quillon.operators import suppression as N
 from quillon.operators.matching import greedy_match
-from quillon.operators.metrics import BOX_LEVELS, average_precision
+from quillon.operators.metrics import BOX_LEVELS, average_precision, teta_scores, teta_sequences
 
 #: Area ranges as shares of the image, and in pixels of videos; both ends belong to a range.
 SHARE_AREAS = {"all": (0, 1e5), "tiny": (0, 0.001), "small": (0.001, 0.01), "medium": (0.01, 0.1), "large": (0.1, 0.5), "huge": (0.5, 0.95), "whole_image": (0.95, 1e5)}
@@ -112,3 +114,64 @@ def metric_values(scores: DataFrame, wanted: DataFrame) -> DataFrame:
     """`wanted` (metric, threshold) with its value; a null threshold finds the score that has none, an unknown name null."""
     s = scores.select(F.col("metric").alias("__q_m"), F.col("threshold").alias("__q_t"), "value")
     return wanted.join(s, (F.col("metric") == F.col("__q_m")) & F.col("threshold").eqNullSafe(F.col("__q_t")), "left").drop("__q_m", "__q_t")
+
+
+# Reports of tracks, from boxes to scores
+
+
+def suppressed(found: DataFrame, keys: list[str], strategy: str, overlap: float, least_score: float, t: str = "t") -> DataFrame:
+    """Rows of `found` (keys, t, trk, score, box) of tracks that score at least `least_score`, less what `strategy`
+    suppresses: `none`, `track` (whole tracks, by their overlap over frames) or `frame` (boxes, frame by frame).
+
+    A track's score is the mean of its rows'; ties go to the smaller id.
+    """
+    mean = found.groupBy(*keys, "trk").agg(F.avg("score").alias("__q_score")).where(F.col("__q_score") >= least_score)
+    rows = found.join(mean, [*keys, "trk"]).where(F.col("box").isNotNull())
+    if strategy == "track":
+        rows = N.track_nms(rows, mean, keys, "trk", t, "box", "__q_score", B.intersection, B.area, overlap).where(F.col("box").isNotNull())
+    elif strategy == "frame":
+        frame = [*keys, t]
+        rows = N.ranked(rows, frame, "__q_score", ["trk"], "__q_rank")
+        rows = N.greedy_nms(rows, frame, "trk", "__q_rank", N.conflicts(rows, frame, "trk", "__q_rank", "box", B.iou, overlap, True))
+    elif strategy != "none":
+        raise ValueError(f"strategy {strategy} is none of none, track, frame")
+    return rows.select(*found.columns)
+
+
+def frame_similarity(truth: DataFrame, found: DataFrame, keys: list[str], t: str = "t") -> DataFrame:
+    """keys, t, gt, trk, sim of the boxes that overlap in a frame."""
+    pairs = truth.select(*keys, t, "gt", F.col("box").alias("__q_g")).join(found.select(*keys, t, "trk", F.col("box").alias("__q_k")), [*keys, t])
+    return pairs.select(*keys, t, "gt", "trk", B.iou(F.col("__q_g"), F.col("__q_k")).alias("sim")).where("sim > 0")
+
+
+def video_teta(truth: DataFrame, found: DataFrame, keys: list[str], strategy: str = "none", overlap: float = 0.5, least_score: float = 0.5, t: str = "t", by: list[str] = ()) -> DataFrame:
+    """`metrics.teta_scores` of `found` (keys, t, trk, cls, score, box) against `truth` (keys, t, gt, cls, box), by the
+    columns `by` (cls, keys): thresholds, suppression, similarities and counts one after the other."""
+    kept = suppressed(found, keys, strategy, overlap, least_score, t)
+    there = truth.where(F.col("box").isNotNull())
+    counts = teta_sequences(there.select(*keys, t, "gt", "cls"), kept.select(*keys, t, "trk", "cls"), frame_similarity(there, kept, keys, t), keys, t)
+    return teta_scores(counts, list(by))
+
+
+def volume_overlaps(truth: DataFrame, found: DataFrame, keys: list[str], t: str = "t") -> DataFrame:
+    """keys, gt, det, iou of tracks that meet: shared areas over all frames by the areas of either."""
+    g, k = truth.where(F.col("box").isNotNull()), found.where(F.col("box").isNotNull())
+    met = g.select(*keys, t, "gt", F.col("box").alias("__q_g")).join(k.select(*keys, t, "det", F.col("box").alias("__q_k")), [*keys, t])
+    shared = met.groupBy(*keys, "gt", "det").agg(F.sum(B.intersection(F.col("__q_g"), F.col("__q_k"))).alias("__q_i")).where("__q_i > 0")
+    whole = lambda df, c, n: df.groupBy(*keys, c).agg(F.sum(B.area(F.col("box"))).alias(n))
+    both = shared.join(whole(g, "gt", "__q_ga"), [*keys, "gt"]).join(whole(k, "det", "__q_ka"), [*keys, "det"])
+    return both.select(*keys, "gt", "det", (F.col("__q_i") / (F.col("__q_ga") + F.col("__q_ka") - F.col("__q_i"))).alias("iou"))
+
+
+def video_precision(truth: DataFrame, found: DataFrame, video: str, category: str, areas: dict[str, tuple[float, float]] = PIXEL_AREAS, thresholds: list[float] = BOX_LEVELS, t: str = "t") -> DataFrame:
+    """`precision_recall` of tracks per category and area range (of the mean area over a track's frames).
+
+    `truth`: video, category, t, gt, box; `found`: video, category, t, det, score, box; a track's score is its rows' mean.
+    """
+    keys = [video, category]
+    area = F.avg(B.area(F.col("box"))).alias("area")
+    g = truth.groupBy(*keys, "gt").agg(area).withColumns({"ignore": F.lit(False), "crowd": F.lit(False)})
+    d = found.groupBy(*keys, "det").agg(F.avg("score").alias("score"), area)
+    m = area_matches(g, d, volume_overlaps(truth, found, keys, t), keys, areas, thresholds)
+    m = m.withColumn("ord", F.struct(video, "det"))
+    return precision_recall(m, area_truths(g.drop(video), [category], areas), [category, "area_range"], thresholds)

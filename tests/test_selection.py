@@ -110,3 +110,41 @@ def test_csv_files(spark, tmp_path):
     (tmp_path / "detailed.csv").write_text("seq,HOTA,IDF1\na,0.5,\nCOMBINED,0.75,0.25\n")
     each, whole = text_tables.detailed_rows(spark, str(tmp_path / "detailed.csv"), "seq")
     assert [tuple(r) for r in each.collect()] == [("a", 0.5, None)] and [tuple(r) for r in whole.collect()] == [(0.75, 0.25)]
+
+
+def tracks(spark, rows, name):
+    """Rows (video, cls, t, id, score, x): boxes ten wide and high."""
+    df = spark.createDataFrame(rows, f"video int, cls int, t int, {name} int, score double, x double")
+    return df.withColumn("box", F.when(F.col("x").isNotNull(), B.from_xywh(F.col("x"), F.lit(0.0), F.lit(10.0), F.lit(10.0)))).drop("x")
+
+
+def test_suppression_strategies(spark):
+    # Track 2 lies on 1 in all frames, 3 in one of two; 4 scores too low; 5 has no box in frame 1.
+    at = {1: (0.0, 0.0), 2: (1.0, 1.0), 3: (2.0, 50.0), 4: (90.0, 90.0), 5: (70.0, None)}
+    score = {1: 0.9, 2: 0.8, 3: 0.7, 4: 0.2, 5: 0.6}
+    found = tracks(spark, [(1, 0, t, k, score[k], x[t]) for k, x in at.items() for t in (0, 1)], "trk")
+    got = lambda s: sorted((r.trk, r.t) for r in V.suppressed(found, ["video"], s, 0.5, 0.5).collect())
+    assert got("none") == [(1, 0), (1, 1), (2, 0), (2, 1), (3, 0), (3, 1), (5, 0)]
+    assert got("track") == [(1, 0), (1, 1), (3, 0), (3, 1), (5, 0)]
+    assert got("frame") == [(1, 0), (1, 1), (3, 1), (5, 0)]
+    with pytest.raises(ValueError, match="best"):
+        V.suppressed(found, ["video"], "best", 0.5, 0.5)
+
+
+def test_video_scores(spark):
+    gt = [(v, v % 2, t, 1, 1.0, 20.0 * v) for v in range(3) for t in range(4)]
+    truth = tracks(spark, gt, "gt").drop("score")
+    same = tracks(spark, [(v, c, t, 7, 0.9, x) for v, c, t, _, _, x in gt], "trk")
+    # A copy that is a little off makes each class imprecise until suppression takes it out.
+    doubled = same.union(tracks(spark, [(v, c, t, 8, 0.6, x + 1) for v, c, t, _, _, x in gt], "trk"))
+    scores = {s: V.video_teta(truth, doubled, ["video"], s).first() for s in ("none", "track")}
+    assert scores["track"].teta == pytest.approx(1)
+    assert scores["none"].loc_a == pytest.approx(0.5) and scores["none"].assoc_a == pytest.approx(1)
+
+    found = doubled.withColumnRenamed("trk", "det")
+    over = {(r.video, r.det): r.iou for r in V.volume_overlaps(truth, found, ["video", "cls"]).collect()}
+    assert over == {(v, d): pytest.approx(1 if d == 7 else 90 / 110) for v in range(3) for d in (7, 8)}
+    got = {(r.cls, r.area_range, r.threshold): (r.ap, r.recall_1) for r in V.video_precision(truth, found, "video", "cls", thresholds=[0.5, 0.95]).collect()}
+    assert got == {(c, a, x): (pytest.approx(1), 1) for c in (0, 1) for a in ("all", "small") for x in (0.5, 0.95)}
+    late = V.video_precision(truth, found.where("det = 8"), "video", "cls", thresholds=[0.5, 0.95]).collect()
+    assert {(r.threshold, round(r.ap, 9)) for r in late} == {(0.5, 1.0), (0.95, 0.0)}
