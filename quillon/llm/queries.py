@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import decontamination, fingerprints, language_id, lexical_search, line_dedup, mixing, ngram_join, pii, token_store, toxicity, url_filters
+from quillon.llm import conversation_repair, decontamination, external_shuffle, fingerprints, language_id, lexical_search, line_dedup, mixing, ngram_join, pii, token_store, toxicity, url_filters
 from quillon.llm._store import Workspace
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -83,6 +83,18 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source", "copies")
 
 
+def op11_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = Workspace(spark, "shuffled").path("shards")
+    rows = external_shuffle.write_shards(spark, _table(spark, sf_dir, "documents", "doc_id", "text"), path, shards=40)
+    text = F.col("record.text")
+    return rows.select("record.doc_id", external_shuffle.record_size(text).alias("size"), F.crc32(F.coalesce(text, F.lit(""))).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    return conversation_repair.repair(spark, conversation_repair.damage(rows), rows.select("conv_id"))
+
+
 def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.search(spark, _table(spark, sf_dir, "documents", "doc_id", "text"), _table(spark, sf_dir, "benchmark", "item_id", "text"))
 
@@ -98,6 +110,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_decontamination": op9_decontamination,
     "op10_mixing": op10_mixing,
+    "op11_external_shuffle": op11_external_shuffle,
+    "op12_conversation_repair": op12_conversation_repair,
     "op13_lexical_search": op13_lexical_search,
 }
 
@@ -142,6 +156,41 @@ ORACLE_SQL: dict[str, str] = {
         shared AS (SELECT doc_id, item_id, count(*) AS n_shared FROM shingles JOIN items USING (s) GROUP BY 1, 2)
         SELECT doc_id, item_id, n_item, n_shared, n_shared / n_item AS containment FROM shared JOIN sizes USING (item_id) WHERE 100 * n_shared >= 75 * n_item
     """,
+    "op12_conversation_repair": r"""
+        WITH RECURSIVE crc_table AS (SELECT list(list_reduce([0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda c, b: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) ORDER BY i) AS t FROM range(256) r(i)),
+        kinds AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+            xor(4294967295, list_reduce(list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda x: ord(x)::BIGINT), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295)) % 20 AS kind FROM conversations, crc_table),
+        damaged AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+            unnest(CASE WHEN kind = 3 THEN [0, 1] ELSE [0] END) AS copy FROM kinds WHERE kind <> 0),
+        placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i FROM damaged),
+        judged AS (SELECT *, left(role, 1) AS r, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before,
+            CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'b' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'd'
+                WHEN regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) NOT IN ('.', '!', '?') THEN 't' ELSE '-' END AS fault FROM placed),
+        counted AS (SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated,
+            count(*) FILTER (before IS NOT NULL AND before || r NOT IN ('su', 'ua', 'au')) AS illegal FROM judged GROUP BY conv_id),
+        added(a, b, path) AS (VALUES ('0', '0', ''), ('s', 's', ''), ('u', 'u', ''), ('a', 'a', ''), ('0', 'u', 'u'), ('0', 'a', 'ua'), ('s', 'u', 'u'), ('s', 'a', 'ua'), ('u', 'a', 'a'), ('a', 'u', 'u')),
+        moves(a, b) AS (VALUES ('0', 's'), ('0', 'u'), ('s', 'u'), ('u', 'a'), ('a', 'u')),
+        walk AS (
+            SELECT conv_id, 0::BIGINT AS i, '0' AS state, {'cost': 0::BIGINT, 'audit': '', 'path': ''} AS best FROM counted
+            UNION ALL
+            SELECT conv_id, i, state, min({'cost': cost, 'audit': audit, 'path': path}) FROM (
+                SELECT w.conv_id, j.i, CASE WHEN e.edit = 'D' THEN p.b ELSE m.b END AS state,
+                    w.best.cost + 3 * length(p.path) + CASE e.edit WHEN 'D' THEN 4 WHEN 'K' THEN 0 ELSE 3 END + CASE WHEN e.edit <> 'D' AND j.fault = 't' THEN 3 ELSE 0 END AS cost,
+                    w.best.audit || repeat('I', length(p.path)) || e.edit AS audit,
+                    w.best.path || p.path || CASE WHEN e.edit = 'R' THEN upper(m.b) ELSE e.edit END AS path
+                FROM walk w JOIN judged j ON j.conv_id = w.conv_id AND j.i = w.i + 1 JOIN added p ON p.a = w.state
+                    JOIN (VALUES ('D'), ('K'), ('R')) e(edit) ON e.edit = 'D' OR j.fault NOT IN ('b', 'd') LEFT JOIN moves m ON m.a = p.b AND e.edit <> 'D'
+                WHERE e.edit = 'D' OR e.edit = 'K' AND m.b = j.r OR e.edit = 'R' AND m.b IN ('u', 'a') AND m.b <> j.r)
+            GROUP BY conv_id, i, state),
+        ended AS (SELECT w.conv_id, min({'cost': best.cost + 3 * length(p.path), 'audit': best.audit || repeat('I', length(p.path)), 'path': best.path || p.path}) AS best
+            FROM walk w JOIN counted c ON c.conv_id = w.conv_id AND c.n = w.i JOIN added p ON p.a = w.state WHERE p.b IN ('0', 'a') GROUP BY w.conv_id),
+        tokens AS (SELECT conv_id, unnest(t) AS edits, generate_subscripts(t, 1) AS i FROM (SELECT conv_id, regexp_extract_all(best.path, '[ua]*[KDUA]|[ua]+$') AS t FROM ended)),
+        lines AS (SELECT t.conv_id, t.i, list_concat(list_transform(string_split(regexp_extract(edits, '^[ua]*'), ''), lambda x: CASE x WHEN 'u' THEN 'user:' WHEN 'a' THEN 'assistant:' END),
+            [CASE right(edits, 1) WHEN 'K' THEN role || ':' || text WHEN 'U' THEN 'user:' || text WHEN 'A' THEN 'assistant:' || text END]) AS l FROM tokens t LEFT JOIN judged j ON j.conv_id = t.conv_id AND j.i = t.i),
+        hashed AS (SELECT conv_id, sha256(array_to_string(flatten(list(list_filter(l, lambda x: x IS NOT NULL) ORDER BY i)), chr(10))) AS h FROM lines GROUP BY conv_id)
+        SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(best.cost, 0) AS cost, coalesce(best.audit, '') AS audit, coalesce(h, sha256('')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counted USING (conv_id) LEFT JOIN ended USING (conv_id) LEFT JOIN hashed USING (conv_id)
+    """,
     "op13_lexical_search": r"""
         WITH docs AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
         sizes AS (SELECT r, doc_id, len(w)::BIGINT AS n FROM docs WHERE len(w) > 0),
