@@ -260,7 +260,7 @@ def repair(spark: SparkSession, rows: DataFrame, ids: DataFrame | None = None) -
     blank, duplicate, truncated, illegal, cost, audit, repaired_sha256.
 
     Rows go by turn, nulls first, ties by role and text; null roles and texts
-    count as one space; rows with a null conv_id are one conversation.  A row's
+    count as one space, an empty role has no legal place; rows with a null conv_id are one conversation.  A row's
     first fault counts: blank (no character but white space), duplicate (role and
     text seen before), truncated (the last other character is none of `.!?`).  Of
     equally cheap repairs the least audit counts.  A conversation of `ids` without

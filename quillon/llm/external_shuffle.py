@@ -22,6 +22,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillon.llm._store import Workspace, bounded_batches
 
@@ -96,9 +97,9 @@ def write_shards(spark: SparkSession, docs: DataFrame, path: str, shards: int =
     before = counts.select("bucket", F.coalesce(F.sum("count").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(buckets // 4, TASKS))
     dealt = rows.repartition(tasks, "bucket").join(before, "bucket")
-    kind = rows.schema["record"].dataType.simpleString()
+    kind = T.StructType([T.StructField("record", rows.schema["record"].dataType), T.StructField("place", T.LongType())])
     with bounded_batches(spark):
-        mixed = dealt.groupBy("bucket").applyInArrow(_shuffled(seed), f"record {kind}, place bigint")
+        mixed = dealt.groupBy("bucket").applyInArrow(_shuffled(seed), kind)
         least, more = divmod(total.rows, shards)
         wide, place = more * (least + 1), F.col("place")
         # The first `more` shards have one row more.
