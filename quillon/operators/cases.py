@@ -34,11 +34,6 @@ def first_success(df: DataFrame, keys: list[str], order: str, ok: Column, value:
     return g.select(*keys, F.col("__q_w.v").alias("value"), F.when(F.size(before) > 0, F.element_at(before, -1)["e"]).alias("error"))
 
 
-def mask_fallback(rle: Column, polygon: Column, box: Column) -> Column:
-    """Which kind of mask an item offers: runs, else a polygon of at least three points, else a box of four numbers; null without any."""
-    return F.when(rle.isNotNull() & (F.length(rle) > 0), "rle").when(F.coalesce(F.size(polygon), F.lit(0)) >= 6, "polygon").when(F.coalesce(F.size(box), F.lit(0)) == 4, "box")
-
-
 def box_runs(x: Column, y: Column, w: Column, h: Column, height: int, width: int) -> Column:
     """Run lengths, column-major, of a box of whole pixels inside its image: closed form, no raster."""
     lead = x * height + y
