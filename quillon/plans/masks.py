@@ -1,62 +1,55 @@
 """Queries of run-length masks as relations, with their SQL over pixels.
 
-Every customer is a mask of 24 by 32 pixels: its orders in turn give a run of
-zeros and a run of ones until the image is full.  Truth and found masks differ
-in the lengths.
+Every vector is a mask of 24 by 32 pixels: its numbers in turn give runs of
+zeros and of ones until the image is full.  Truth and found masks scale them
+differently.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from quillon.operators import runs as R
 from quillon.plans.relational import query
 from quillon.plans.tables import table
 
 _H, _W = 24, 32
-_TRUTH, _FOUND = ("1 + o_orderkey % 37", "1 + o_orderkey * 13 % 29"), ("2 + o_orderkey % 37", "1 + o_orderkey * 13 % 27")
+#: Lengths of runs of zeros and of ones for a number of size 1.
+_TRUTH, _FOUND = (100, 80), (95, 86)
 
 
-def _counts(spark: SparkSession, sf_dir: str, lengths: tuple[str, str]) -> DataFrame:
-    """c and the mask's run lengths; orders beyond the image are left out before they are gathered."""
-    rows = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey").selectExpr("o_custkey AS c", "o_orderkey AS k", f"{lengths[0]} AS z", f"{lengths[1]} AS o")
-    start = F.sum(F.col("z") + F.col("o")).over(Window.partitionBy("c").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)) - F.col("z") - F.col("o")
-    kept = rows.withColumn("start", start).where(F.col("start") < _H * _W)
-    return kept.groupBy("c").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", "z", "o"))), lambda r: F.array(r["z"], r["o"]))).alias("counts"))
+def _masks(spark: SparkSession, sf_dir: str, scales: tuple[int, int]) -> DataFrame:
+    counts = F.transform("embedding", lambda v, i: F.lit(1) + F.floor(F.abs(v.cast("double")) * F.when(i % 2 == 0, scales[0]).otherwise(scales[1])))
+    return R.segments(table(spark, sf_dir, "embeddings", "vec_id", "embedding").select(F.col("vec_id").alias("c"), counts.alias("counts")), ["c"], "counts", _H, _W)
 
 
-def _masks(spark: SparkSession, sf_dir: str, lengths: tuple[str, str]) -> DataFrame:
-    return R.segments(_counts(spark, sf_dir, lengths), ["c"], "counts", _H, _W)
+def _every(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings", "vec_id").select(F.col("vec_id").alias("c"))
 
 
-def _customers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders", "o_custkey").select(F.col("o_custkey").alias("c")).distinct()
+def _pixels_sql(name: str, scales: tuple[int, int]) -> str:
+    return f"""{name} AS (SELECT c, p // {_H} AS x, p % {_H} AS y, p FROM (SELECT c, unnest(range(e - n, least(e, {_H * _W}))) AS p
+    FROM (SELECT c, i, n, CAST(sum(n) OVER (PARTITION BY c ORDER BY i) AS BIGINT) AS e FROM (SELECT c, i, CAST(1 + floor(abs(v::DOUBLE) * CASE WHEN i % 2 = 1 THEN {scales[0]} ELSE {scales[1]} END) AS BIGINT) AS n FROM (SELECT vec_id AS c, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS i FROM embeddings))) WHERE i % 2 = 0 AND e - n < {_H * _W}))"""
 
 
-def _pixels_sql(name: str, lengths: tuple[str, str]) -> str:
-    return f"""{name} AS (SELECT c, p // {_H} AS x, p % {_H} AS y, p FROM (SELECT c, unnest(range(CAST(s + z AS BIGINT), CAST(least(s + z + o, {_H * _W}) AS BIGINT))) AS p
-    FROM (SELECT o_custkey AS c, {lengths[0]} AS z, {lengths[1]} AS o, sum({lengths[0]} + {lengths[1]}) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - ({lengths[0]} + {lengths[1]}) AS s FROM orders) WHERE s + z < {_H * _W}))"""
-
-
-_PIXELS = f"{_pixels_sql('g', _TRUTH)}, {_pixels_sql('d', _FOUND)}, cs AS (SELECT DISTINCT o_custkey AS c FROM orders)"
+_PIXELS = f"{_pixels_sql('g', _TRUTH)}, {_pixels_sql('d', _FOUND)}, cs AS (SELECT vec_id AS c FROM embeddings)"
 
 
 @query(f"""WITH {_PIXELS}, u AS (SELECT DISTINCT c, p FROM (SELECT c, p FROM g UNION ALL SELECT c, p FROM d)), i AS (SELECT c, p, p - row_number() OVER (PARTITION BY c ORDER BY p) AS k FROM u),
   r AS (SELECT c, min(p) AS a, max(p) + 1 AS b FROM i GROUP BY c, k), t AS (SELECT c, a - lag(b, 1, 0) OVER (PARTITION BY c ORDER BY a) AS z, b - a AS o, a, b FROM r)
   SELECT cs.c, CASE WHEN max(b) IS NULL THEN [{_H * _W}] WHEN max(b) < {_H * _W} THEN list_append(flatten(list([z, o] ORDER BY a)), {_H * _W} - max(b)) ELSE flatten(list([z, o] ORDER BY a)) END AS counts FROM cs LEFT JOIN t ON t.c = cs.c GROUP BY cs.c""")
 def united_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The run lengths of the union of both masks of each customer."""
+    """The run lengths of the union of both masks of each vector."""
     both = _masks(spark, sf_dir, _TRUTH).unionByName(_masks(spark, sf_dir, _FOUND))
-    return R.to_counts(R.union(both, ["c"]), _customers(spark, sf_dir), ["c"], _H, _W)
+    return R.to_counts(R.union(both, ["c"]), _every(spark, sf_dir), ["c"], _H, _W)
 
 
 @query(f"""WITH {_PIXELS}, n AS (SELECT coalesce(g.c, d.c) AS c, g.p IS NOT NULL AS a, d.p IS NOT NULL AS b FROM g FULL JOIN d ON g.c = d.c AND g.p = d.p)
   SELECT cs.c, count(*) FILTER (a AND b) AS both, count(*) FILTER (a AND NOT b) AS missed, count(*) FILTER (b AND NOT a) AS wrong, count(*) FILTER (a <> b) AS differ, {_H * _W} - count(*) FILTER (a) AS outside FROM cs LEFT JOIN n ON n.c = cs.c GROUP BY 1""")
 def mask_algebra(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pixels of intersection, differences, exclusive or and complement."""
-    a, b, every = _masks(spark, sf_dir, _TRUTH), _masks(spark, sf_dir, _FOUND), _customers(spark, sf_dir)
+    a, b, every = _masks(spark, sf_dir, _TRUTH), _masks(spark, sf_dir, _FOUND), _every(spark, sf_dir)
     out = every
     for name, rule in {"both": lambda a, b: a & b, "missed": lambda a, b: a & ~b, "wrong": lambda a, b: b & ~a, "differ": lambda a, b: a != b}.items():
         out = out.join(R.areas(R.combined(a, b, ["c"], rule), ["c"], name), "c", "left")
@@ -72,12 +65,12 @@ _SCORES = f"""{_PIXELS}, k AS (SELECT * FROM (VALUES (0, 0), (0, 1), (1, 0), (1,
 
 
 def _boundary_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.boundary_scores(_masks(spark, sf_dir, _TRUTH), _masks(spark, sf_dir, _FOUND), _customers(spark, sf_dir), ["c"], _H, _W, _RADIUS)
+    return R.boundary_scores(_masks(spark, sf_dir, _TRUTH), _masks(spark, sf_dir, _FOUND), _every(spark, sf_dir), ["c"], _H, _W, _RADIUS)
 
 
 @query(f"WITH {_SCORES} SELECT c, round(p, 6) AS precision, round(r, 6) AS recall, round(f, 6) AS f FROM f")
 def boundary_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Boundary precision, recall and F of each customer's masks."""
+    """Boundary precision, recall and F of each vector's masks."""
     return _boundary_scores(spark, sf_dir).select("c", *[F.round(n, 6).alias(n) for n in ("precision", "recall", "f")])
 
 
@@ -87,7 +80,7 @@ _IOU = "iou AS (SELECT g.c, count(*) AS i FROM g JOIN d USING (c, p) GROUP BY 1)
 @query(f"""WITH {_SCORES}, {_IOU}, u AS (SELECT c // 20 AS unit, avg(iou) AS j, sum(f) / (count(*) + 1e-9) AS f FROM j JOIN f USING (c) GROUP BY 1)
   SELECT unit, round(j, 6) AS j, round(f, 6) AS f, round((j + f) / 2, 6) AS jf FROM u""")
 def jf_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """J, F and J&F of units of twenty customers: matched masks by overlap and boundary."""
+    """J, F and J&F of units of twenty vectors: matched masks by overlap and boundary."""
     pairs = R.overlaps(_masks(spark, sf_dir, _TRUTH).withColumn("g", F.col("c")), _masks(spark, sf_dir, _FOUND).withColumn("d", F.col("c")), ["c"], "g", "d")
     matched = pairs.select("c", "iou", F.floor(F.col("c") / 20).alias("unit"))
     return R.jf_scores(matched, _boundary_scores(spark, sf_dir), ["c"], ["unit"]).select("unit", *[F.round(n, 6).alias(n) for n in ("j", "f", "jf")])
@@ -120,7 +113,7 @@ def mask_components(spark: SparkSession, sf_dir: str) -> DataFrame:
   kept AS (SELECT c, p, size, count(*) OVER (PARTITION BY c) AS n FROM parts) SELECT c, count(*) AS pixels, CAST(sum(p) AS BIGINT) AS place FROM kept WHERE size > least(n // 2, 9) GROUP BY 1""")
 def clean_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Masks without holes and specks of nine pixels or fewer: pixels left and the sum of their numbers."""
-    clean = R.without_specks(spark, _masks(spark, sf_dir, _TRUTH), _customers(spark, sf_dir), ["c"], _H, _W, 9)
+    clean = R.without_specks(spark, _masks(spark, sf_dir, _TRUTH), _every(spark, sf_dir), ["c"], _H, _W, 9)
     n, first = F.col("y1") - F.col("y0"), F.col("x") * _H + F.col("y0")
     return clean.groupBy("c").agg(F.sum(n).alias("pixels"), F.sum(first * n + F.expr("(y1 - y0) * (y1 - y0 - 1) div 2")).alias("place"))
 
@@ -134,7 +127,7 @@ def _depth_sql(name: str, a: str, b: str) -> str:
   best AS (SELECT * FROM deep QUALIFY row_number() OVER (PARTITION BY c ORDER BY d DESC, kind) = 1) SELECT cs.c, coalesce(x, 0) AS x, coalesce(y, 0) AS y, coalesce(kind, 0) = 1 AS positive FROM cs LEFT JOIN best ON best.c = cs.c""")
 def error_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where the next click corrects most: the deepest pixel of what is missed or wrongly found."""
-    return R.error_points(_masks(spark, sf_dir, _TRUTH), _masks(spark, sf_dir, _FOUND), _customers(spark, sf_dir), ["c"])
+    return R.error_points(_masks(spark, sf_dir, _TRUTH), _masks(spark, sf_dir, _FOUND), _every(spark, sf_dir), ["c"])
 
 
 @query(f"WITH {_PIXELS}, {_depth_sql('n', 'g', 'd')} SELECT c, count(*) AS pixels, CAST(sum(d) AS BIGINT) AS d2, CAST(max(d) AS BIGINT) AS deepest FROM n_d GROUP BY 1")
@@ -144,16 +137,16 @@ def distance_transform(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.squared_distances(missed, ["c"]).groupBy("c").agg(F.count("*").alias("pixels"), F.sum("d2").alias("d2"), F.max("d2").alias("deepest"))
 
 
-@query(f"""WITH v AS (SELECT l_orderkey // 3 AS item, l_orderkey AS o, list(l_partkey % 37 - 2 ORDER BY l_linenumber, l_partkey % 37, (l_suppkey * 7 + l_partkey) % 29) AS xs, list((l_suppkey * 7 + l_partkey) % 29 - 2 ORDER BY l_linenumber, l_partkey % 37, (l_suppkey * 7 + l_partkey) % 29) AS ys FROM lineitem GROUP BY ALL), e AS (SELECT item, o, xs[i] AS xa, ys[i] AS ya, xs[i % len(xs) + 1] AS xb, ys[i % len(xs) + 1] AS yb FROM (SELECT *, unnest(range(1, len(xs) + 1)) AS i FROM v WHERE len(xs) >= 3)),
+@query(f"""WITH v AS (SELECT vec_id // 3 AS item, vec_id AS o, [CAST(floor(embedding[2 * k - 1]::DOUBLE * 70) AS BIGINT) + 15 FOR k IN range(1, 13)] AS xs, [CAST(floor(embedding[2 * k]::DOUBLE * 60) AS BIGINT) + 11 FOR k IN range(1, 13)] AS ys FROM embeddings), e AS (SELECT item, o, xs[i] AS xa, ys[i] AS ya, xs[i % 12 + 1] AS xb, ys[i % 12 + 1] AS yb FROM (SELECT *, unnest(range(1, 13)) AS i FROM v)),
   cr AS (SELECT item, o, s, x, list_sort(list(ya + (x - xa) * (yb - ya) / (xb - xa)::DOUBLE)) AS y FROM e, range({_W}) r(x), range(2) q(s) WHERE CASE WHEN s = 0 THEN x >= least(xa, xb) AND x < greatest(xa, xb) ELSE x > least(xa, xb) AND x <= greatest(xa, xb) END GROUP BY ALL),
   sp AS (SELECT item, x, unnest([[y[2 * k - 1], y[2 * k]] FOR k IN range(1, len(y) // 2 + 1)]) AS ab FROM cr UNION ALL SELECT item, xa, [least(ya, yb)::DOUBLE, greatest(ya, yb)::DOUBLE] FROM e WHERE xa = xb AND xa BETWEEN 0 AND {_W - 1}),
   px AS (SELECT DISTINCT item, x, y FROM sp, range({_H}) r(y) WHERE y >= floor(ab[1] + 0.5) AND y <= ceil(ab[2] - 0.5))
   SELECT item, count(*) AS pixels, CAST(sum(x * {_H} + y) AS BIGINT) AS place, min(x) AS left_most, max(y) AS lowest FROM px GROUP BY 1""")
 def polygon_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders' lines as vertices of polygons, three polygons an item, filled and united."""
-    rows = table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
-    point = F.array(F.col("l_partkey") % 37 - 2, (F.col("l_suppkey") * 7 + F.col("l_partkey")) % 29 - 2)
-    polygons = rows.groupBy(F.floor(F.col("l_orderkey") / 3).alias("item"), "l_orderkey").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", point.alias("p")))), lambda r: r["p"])).alias("points"))
+    """Vectors as polygons of twelve vertices, three an item, filled and united."""
+    point = lambda v, i: F.floor(v.cast("double") * F.when(i % 2 == 0, 70).otherwise(60)) + F.when(i % 2 == 0, 15).otherwise(11)
+    vectors = table(spark, sf_dir, "embeddings", "vec_id", "embedding")
+    polygons = vectors.select(F.floor(F.col("vec_id") / 3).alias("item"), F.transform(F.slice("embedding", 1, 24), point).alias("points"))
     filled = R.polygon_segments(polygons, ["item"], "points", _H, _W)
     n, first = F.col("y1") - F.col("y0"), F.col("x") * _H + F.col("y0")
     return filled.groupBy("item").agg(F.sum(n).alias("pixels"), F.sum(first * n + F.expr("(y1 - y0) * (y1 - y0 - 1) div 2")).alias("place"), F.min("x").alias("left_most"), (F.max("y1") - 1).alias("lowest"))
