@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.plans.relational import ORACLE_SQL, QUERIES, query
-from quillon.streaming import runs, states
+from quillon.streaming import runs, sessions, states
 
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
@@ -84,3 +84,42 @@ def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["stream_upsert"] = stream_upsert
 ORACLE_SQL["stream_upsert"] = "SELECT user_id, event_type, arg_max(value, event_id) AS value FROM events GROUP BY 1, 2"
+
+
+# Conversations as tracking sessions: a turn is a frame and brings an object of its number, long texts lose what is there.
+_SESSIONS_SQL = """f AS (SELECT conv_id AS k, turn AS f, length(text) % 3 = 0 AS lost, length(text) % 4 = 0 AS drops, turn = max(turn) OVER (PARTITION BY conv_id) AS final FROM conversations)"""
+
+
+def _sessions(spark: SparkSession, sf_dir: str, **columns) -> DataFrame:
+    """The frames, written to a folder and read as they would grow."""
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.col("conv_id").alias("k"), F.col("turn").alias("f"), F.expr("timestamp'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, turn)").alias("at"), F.length("text").alias("n"))
+    last = rows.groupBy("k").agg(F.max("f").alias("final"))
+    rows = rows.join(last, "k").select("k", "f", "at", *[v.alias(c) for c, v in columns.items()])
+    at = runs.shared_path(spark, "frames")
+    rows.write.parquet(at)
+    return runs.read_growing(spark, at, rows.schema)
+
+
+@query(f"""WITH {_SESSIONS_SQL}, o AS (SELECT a.k, a.f AS object, b.f, sum(CASE WHEN b.lost AND b.f > a.f THEN 1 ELSE 0 END) OVER w AS missed, sum(CASE WHEN b.f = a.f THEN 1 WHEN b.lost THEN -1 ELSE 1 END) OVER w AS alive FROM f a JOIN f b ON a.k = b.k AND b.f >= a.f WINDOW w AS (PARTITION BY a.k, a.f ORDER BY b.f)),
+  gone AS (SELECT k, object, min(f) AS at FROM o WHERE missed >= 2 AND f < object + 5 GROUP BY 1, 2)
+  SELECT f.k, f.f, coalesce((SELECT list(object ORDER BY object) FROM gone WHERE gone.k = f.k AND gone.at = f.f), []) AS removed,
+    coalesce((SELECT list(o.object ORDER BY o.object) FROM o LEFT JOIN gone g ON g.k = o.k AND g.object = o.object WHERE o.k = f.k AND o.f = f.f AND o.missed > 0 AND o.alive <= 0 AND (g.at IS NULL OR g.at > f.f)), []) AS suppressed FROM f""")
+def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Objects that a session removes and suppresses, frame by frame, with typed state."""
+    none, earlier = F.array().cast("array<bigint>"), F.when(F.col("f") > 0, F.sequence(F.lit(0).cast("long"), F.col("f") - 1)).otherwise(F.array().cast("array<bigint>"))
+    lost = F.col("n") % 3 == 0
+    frames = _sessions(spark, sf_dir, new=F.array("f"), matched=F.when(lost, none).otherwise(earlier), missed=F.when(lost, earlier).otherwise(none), empty=none, occluded=none, gone=none, groups=F.array().cast("array<array<bigint>>"))
+    rules = sessions.Rules(delay=5, unmatched=2, low=-(1 << 20), high=1 << 20, start=1)
+    with sessions.typed_state(spark):
+        return runs.run_available(sessions.hot_start(frames, "k", "f", "at", rules), "sessions").select("k", "f", "removed", "suppressed")
+
+
+@query(f"""WITH {_SESSIONS_SQL}, e AS (SELECT k, f, least(f + 2, (SELECT max(f) FROM f m WHERE m.k = f.k)) AS emitted_at FROM f),
+  x AS (SELECT k, f, emitted_at, unnest([f, f + 1, f + 2]) AS object FROM e), y AS (SELECT x.*, EXISTS (SELECT 1 FROM f d WHERE d.k = x.k AND d.drops AND d.f <= x.emitted_at AND d.f + 1 = x.object) AS gone FROM x)
+  SELECT k, f, emitted_at, coalesce(list(object ORDER BY object) FILTER (NOT gone), []) AS objects FROM y GROUP BY ALL""")
+def stream_delayed_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames that go out two later, without what was removed meanwhile, with typed state."""
+    f = F.col("f")
+    frames = _sessions(spark, sf_dir, objects=F.array(f, f + 1, f + 2), removed=F.when(F.col("n") % 4 == 0, F.array(f + 1)), last=f == F.col("final"))
+    with sessions.typed_state(spark):
+        return runs.run_available(sessions.delayed_output(frames, "k", "f", "at", delay=3), "delayed").select("k", "f", "emitted_at", "objects")
