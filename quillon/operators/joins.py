@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quillon.operators import windows as W
+
 
 def as_of(left: DataFrame, right: DataFrame, keys: list[str], at: str, value: str, direction: str = "backward", name: str | None = None) -> DataFrame:
     """`left` with the `value` of the last right row at or before `at` (backward) or the first at or after it (forward).
@@ -25,15 +27,38 @@ def as_of(left: DataFrame, right: DataFrame, keys: list[str], at: str, value: st
     return both.select(*keys, at, *[F.col("__q_row")[c].alias(c) for c in extra], out)
 
 
-def nearest_k(left: DataFrame, right: DataFrame, keys: list[str], at: str, right_at: str, right_id: str, k: int, within: Column | None = None) -> DataFrame:
-    """For each left row its k nearest right rows of the same key by |time difference|, the earlier first on ties, then the smaller id."""
-    joined = left.join(right, keys)
-    if within is not None:
-        joined = joined.where(within)
-    gap = F.abs(F.col(at).cast("double") - F.col(right_at).cast("double"))
-    names = left.columns
-    rank = F.row_number().over(Window.partitionBy(*names).orderBy(gap, right_at, right_id))
-    return joined.withColumn("nearest_rank", rank).where(F.col("nearest_rank") <= k)
+def nearest_k(left: DataFrame, right: DataFrame, keys: list[str], at: str, right_at: str, right_id: str, k: int, most: float | None = None) -> DataFrame:
+    """For each left row its k nearest right rows of the same key by |time difference|, the earlier first on ties, then the smaller id; none beyond `most`.
+
+    One union per key tells each left row how many right rows are at or before
+    it, so the k before and the k after are known by number and an equi-join on
+    key and number fetches them: work and rows grow with the rows of both sides
+    times k, and a hot key is dealt by number.  Rows without a key or a time find
+    nothing.
+    """
+    kinds = {c: left.schema[c].dataType for c in left.columns}
+    row = F.struct(*[F.col(c) for c in left.columns])
+    l = left.where(F.col(at).isNotNull()).select(*keys, F.col(at).alias("__q_at"), F.lit(1).alias("__q_side"), F.monotonically_increasing_id().alias("__q_id"), row.alias("__q_row"))
+    shape = l.schema["__q_row"].dataType
+    there = right.where(F.col(right_at).isNotNull())
+    r = there.select(*keys, F.col(right_at).cast(kinds[at]).alias("__q_at"), F.lit(0).alias("__q_side"), F.lit(None).cast("long").alias("__q_id"), F.lit(None).cast(shape).alias("__q_row"))
+    placed = W.running_within(l.union(r), keys, ["__q_at", "__q_side", "__q_id"], {"__q_before": (1 - F.col("__q_side")).cast("long")}).where("__q_side = 1")
+    # Numbered so that the last before a time are those of the smallest ids, and so are the first after it.
+    numbers = {"__q_down": [F.asc(right_at), F.desc(right_id)], "__q_up": [F.asc(right_at), F.asc(right_id)]}
+    names = {c: f"__q_r_{c}" for c in right.columns}
+    found = None
+    for name, order in numbers.items():
+        first = F.col("__q_before") - k + 1 if name == "__q_down" else F.col("__q_before") + 1
+        asked = placed.withColumn(name, F.explode(F.sequence(first, first + k - 1)))
+        there_n = W.rank_within_ranges(there, keys, order, name).withColumnsRenamed(names)
+        met = asked.join(there_n, [*[F.col(c) == F.col(names[c]) for c in keys], asked[name] == there_n[name]]).select("__q_id", "__q_row", *names.values())
+        found = met if found is None else found.unionByName(met)
+    gap = F.abs(F.col(f"__q_row.{at}").cast("double") - F.col(names[right_at]).cast("double"))
+    if most is not None:
+        found = found.where(gap <= most)
+    rank = F.row_number().over(Window.partitionBy("__q_id").orderBy(gap, names[right_at], names[right_id]))
+    best = found.withColumn("nearest_rank", rank).where(F.col("nearest_rank") <= k)
+    return best.select(*[F.col("__q_row")[c].alias(c) for c in left.columns], *[F.col(n).alias(c) for c, n in names.items() if c not in keys], "nearest_rank")
 
 
 def fill_from(df: DataFrame, dim: DataFrame, key: str, columns: list[str], default: dict | None = None) -> DataFrame:

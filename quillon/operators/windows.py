@@ -41,6 +41,32 @@ def rank_globally(df: DataFrame, order: list, name: str, least: str = "__q_part"
     return inside.join(F.broadcast(sizes), least).withColumn(name, F.col("__q_n") + F.col("__q_before")).drop(least, "__q_n", "__q_before")
 
 
+def running_within(df: DataFrame, keys: list[str], order: list, sums: dict[str, Column]) -> DataFrame:
+    """Running sums of each group of `keys` by `order`, without one task seeing all rows of a group.
+
+    Ranges of (keys, order) are written once, summed inside and shifted by what
+    the group has in the ranges before: a row per group and range that it is in.
+    """
+    spark, path = df.sparkSession, shared_path(df.sparkSession, "running")
+    dealt = df.withColumns({f"__q_v_{n}": v for n, v in sums.items()}).repartitionByRange(*keys, *order).withColumn("__q_part", F.spark_partition_id())
+    dealt.write.option("compression", "zstd").parquet(path)
+    dealt = spark.read.schema(dealt.schema).parquet(path)
+    inside = _ordered(["__q_part", *keys], order).rowsBetween(Window.unboundedPreceding, 0)
+    totals = dealt.groupBy("__q_part", *keys).agg(*[F.sum(f"__q_v_{n}").alias(f"__q_t_{n}") for n in sums])
+    before = _ordered(keys, ["__q_part"]).rowsBetween(Window.unboundedPreceding, -1)
+    shifts = totals.select(F.col("__q_part").alias("__q_p"), *[F.col(k).alias(f"__q_k{i}") for i, k in enumerate(keys)], *[F.coalesce(F.sum(f"__q_t_{n}").over(before), F.lit(0)).alias(f"__q_b_{n}") for n in sums])
+    same = F.col("__q_part") == F.col("__q_p")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"__q_k{i}"))
+    summed = dealt.withColumns({n: F.sum(f"__q_v_{n}").over(inside) for n in sums}).join(shifts, same)
+    return summed.select(*[c for c in df.columns if c not in sums], *[(F.col(n) + F.col(f"__q_b_{n}")).alias(n) for n in sums])
+
+
+def rank_within_ranges(df: DataFrame, keys: list[str], order: list, name: str) -> DataFrame:
+    """`rank_within` for few or large groups."""
+    return running_within(df, keys, order, {name: F.lit(1).cast("long")})
+
+
 def first_per_group(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     return rank_within(df, keys, order, "__q_n").where("__q_n = 1").drop("__q_n")
 

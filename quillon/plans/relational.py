@@ -66,7 +66,7 @@ def temporal_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rank_global_and_within(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders", "o_orderkey", "o_totalprice", "o_orderpriority")
     order = [F.desc("o_totalprice"), F.asc("o_orderkey")]
-    return W.rank_within(W.rank_globally(o, order, "rank_global"), ["o_orderpriority"], order, "rank_within").select("o_orderkey", F.col("rank_global").cast("long").alias("rank_global"), F.col("rank_within").cast("long").alias("rank_within"))
+    return W.rank_within_ranges(W.rank_globally(o, order, "rank_global"), ["o_orderpriority"], order, "rank_within").select("o_orderkey", F.col("rank_global").cast("long").alias("rank_global"), F.col("rank_within").cast("long").alias("rank_within"))
 
 
 @query("""WITH n AS (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events),
