@@ -11,14 +11,16 @@ pixel, as its result does.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from quillon.streaming.runs import shared_path
-
 #: Rows of a tile: segments of neighbouring columns meet by tile, so that a column of many runs isn't joined all against all.
 TILE = 64
 
@@ -166,65 +168,94 @@ def overlaps(a: DataFrame, b: DataFrame, keys: list[str], a_id: str, b_id: str)
     return whole.select(*keys, F.col("__q_a").alias(a_id), F.col("__q_b").alias(b_id), "shared", (s / F.greatest(one + two - s, F.lit(1))).alias("iou"), (s / (F.least(one, two) + 1e-8)).alias("iom"))
 
 
-def neighbours(segs: DataFrame, keys: list[str], corners: bool = True) -> DataFrame:
-    """keys, (x, y0) and (nx, ny0) of segments that touch in neighbouring columns, over corners too."""
-    more = 1 if corners else 0
-    low, high = F.greatest(F.col("y0") - more, F.lit(0).cast("long")), F.col("y1") + more
-    a = segs.select(*keys, "x", "y0", (F.col("x") + 1).alias("nx"), low.alias("__q_a0"), high.alias("__q_a1"), _tiles(low, high).alias("__q_t"))
-    b = segs.select(*keys, F.col("x").alias("nx"), F.col("y0").alias("ny0"), F.col("y1").alias("__q_b1"), _tiles(F.col("y0"), F.col("y1")).alias("__q_t"))
-    met = a.join(b, [*keys, "nx", "__q_t"]).where("__q_a0 < __q_b1 AND ny0 < __q_a1")
-    # A pair may meet in several tiles; that of its first shared row counts.
-    return met.where(F.floor(F.greatest("__q_a0", "ny0") / TILE) == F.col("__q_t")).select(*keys, "x", "y0", "nx", "ny0")
-
+def _labels(mask: np.ndarray, x: np.ndarray, y0: np.ndarray, y1: np.ndarray, corners: bool) -> np.ndarray:
+    """Of runs in the order of (mask, x, y0) the first one that each is connected with.
 
-def components(spark: SparkSession, segs: DataFrame, keys: list[str], height: int, corners: bool = True) -> DataFrame:
+    Runs of a column are disjoint and in order, so what touches a run in the next
+    column is a stretch that two look-ups find; one that touches it from below is
+    the next.  Labels fall to the least of both
+    ends of every edge, and to their label's label, until none falls.
+    """
+    span = int(y1.max()) + 2
+    column = (mask * (int(x.max()) + 2) + x) * span
+    more = 0 if corners else 1
+    low = np.searchsorted(column + y1, column + span + y0 + more)
+    high = np.searchsorted(column + y0, column + span + y1 - more, "right")
+    n = np.maximum(high - low, 0)
+    left = np.repeat(np.arange(len(x)), n)
+    right = low[left] + np.arange(len(left)) - np.repeat(np.cumsum(n) - n, n)
+    below = np.flatnonzero((column[1:] == column[:-1]) & (y0[1:] == y1[:-1]))
+    left, right = np.concatenate([left, below]), np.concatenate([right, below + 1])
+    labels = np.arange(len(x))
+    while True:
+        least = np.minimum(labels[left], labels[right])
+        new = labels.copy()
+        for end in (left, right):
+            np.minimum.at(new, end, least)
+            np.minimum.at(new, labels[end], least)
+        new = new[new]
+        if (new == labels).all():
+            return labels
+        labels = new
+
+
+def _labelled(keys: list[str], height: int, corners: bool) -> Callable:
+    """Masks, whole and in order, with the label and size of each run's component."""
+
+    def solve(table: pa.Table) -> pa.RecordBatch:
+        new = np.zeros(table.num_rows, bool)
+        for k in keys:
+            codes = table.column(k).combine_chunks().dictionary_encode("encode").indices.to_numpy(zero_copy_only=False)
+            new[1:] |= codes[1:] != codes[:-1]
+        x, y0, y1 = (table.column(c).to_numpy() for c in ("x", "y0", "y1"))
+        labels = _labels(np.cumsum(new), x, y0, y1, corners)
+        size = np.bincount(labels, weights=y1 - y0, minlength=len(x)).astype(np.int64)
+        out = table.append_column("label", pa.array((x * height + y0)[labels])).append_column("size", pa.array(size[labels]))
+        return out.combine_chunks().to_batches()[0]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            held = table if held is None else pa.concat_tables([held, table])
+            # The last mask may go on in the next batch.
+            last = pa.array(np.ones(held.num_rows, bool))
+            for k in keys:
+                value, column = held.column(k)[-1], held.column(k)
+                last = pc.and_(last, column.is_null() if not value.is_valid else pc.fill_null(pc.equal(column, value), False))
+            first = int(pc.index(last.combine_chunks() if isinstance(last, pa.ChunkedArray) else last, True).as_py())
+            if first:
+                yield solve(held.slice(0, first))
+                held = held.slice(first)
+        if held is not None:
+            yield solve(held)
+
+    return run
+
+
+def components(segs: DataFrame, keys: list[str], height: int, corners: bool = True) -> DataFrame:
     """The segments with `label`, the first pixel (column-major) of their connected component, and `size`, its pixels.
 
-    Segments are nodes of a graph of touching runs.  In each round a node's
-    label becomes the least among its neighbours' labels, its label's label takes
-    part, and paths are halved, so rounds grow with the logarithm of a chain;
-    each round's labels are written in the folder that executors share.
+    Masks are dealt by key and come sorted, a mask's runs being a graph whose
+    edges are touching runs of neighbouring columns; many masks contract their
+    labels at once.  A task holds one batch and one mask's runs, which the image
+    bounds.
     """
-    number = lambda x, y: F.col(x) * height + F.col(y)
-    at = shared_path(spark, "components")
-    nodes = segs.select(*keys, "x", "y0", "y1", number("x", "y0").alias("node"))
-    nodes.write.parquet(f"{at}/nodes")
-    nodes = spark.read.schema(nodes.schema).parquet(f"{at}/nodes")
-    met = neighbours(nodes, keys, corners).select(*keys, number("x", "y0").alias("u"), number("nx", "ny0").alias("v"))
-    edges = met.unionByName(met.select(*keys, F.col("v").alias("u"), F.col("u").alias("v")))
-    edges.write.parquet(f"{at}/edges")
-    edges = spark.read.schema(edges.schema).parquet(f"{at}/edges")
-    labels = nodes.select(*keys, F.col("node").alias("u"), F.col("node").alias("label"))
-    turn, before = 0, None
-    while True:
-        # Every label with the label of its own node.
-        parents = labels.select(*keys, F.col("u").alias("label"), F.col("label").alias("top"))
-        raised = labels.join(parents, [*keys, "label"]).select(*keys, "u", "label", "top")
-        least = edges.join(raised.select(*keys, F.col("u").alias("v"), "top"), [*keys, "v"]).groupBy(*keys, "u").agg(F.min("top").alias("least"))
-        hooked = raised.join(least, [*keys, "u"], "left").withColumn("least", F.least("least", "top"))
-        news = hooked.select(*keys, F.explode(F.array(F.struct("u", F.col("least").alias("label")), F.struct(F.col("label").alias("u"), F.col("least").alias("label")))).alias("n"))
-        seen = Observation()
-        turn += 1
-        best = news.groupBy(*keys, F.col("n.u").alias("u")).agg(F.min("n.label").alias("label")).observe(seen, F.sum("label").alias("sum"))
-        best.write.parquet(f"{at}/labels-{turn}")
-        labels = spark.read.schema(labels.schema).parquet(f"{at}/labels-{turn}")
-        total = seen.get["sum"]
-        # Labels only ever fall, so an equal sum is an equal state.
-        if total in (before, None):
-            break
-        before = total
-    labelled = nodes.join(labels.withColumnRenamed("u", "node"), [*keys, "node"])
-    sizes = labelled.groupBy(*keys, "label").agg(F.sum(F.col("y1") - F.col("y0")).alias("size"))
-    return labelled.join(sizes, [*keys, "label"]).select(*keys, "x", "y0", "y1", "label", "size")
-
-
-def without_specks(spark: SparkSession, segs: DataFrame, masks: DataFrame, keys: list[str], height: int, width: int, most: int) -> DataFrame:
+    rows = segs.select(*keys, *[F.col(c).cast("long").alias(c) for c in ("x", "y0", "y1")])
+    kind = T.StructType([*rows.schema.fields, T.StructField("label", T.LongType()), T.StructField("size", T.LongType())])
+    kind = T.StructType([T.StructField(f.name, f.dataType) for f in kind])
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "x", "y0").mapInArrow(_labelled(keys, height, corners), kind)
+
+
+def without_specks(segs: DataFrame, masks: DataFrame, keys: list[str], height: int, width: int, most: int) -> DataFrame:
     """The masks with holes of at most `most` pixels filled, then without components of at most `most` pixels that are no more than half of the mask."""
     if most <= 0:
         return segs
-    holes = components(spark, complement(segs, masks, keys, height, width), keys, height).where(F.col("size") <= most)
+    holes = components(complement(segs, masks, keys, height, width), keys, height).where(F.col("size") <= most)
     filled = union(segs.select(*keys, "x", "y0", "y1").unionByName(holes.select(*keys, "x", "y0", "y1")), keys)
-    parts = components(spark, filled, keys, height)
+    parts = components(filled, keys, height)
     limit = F.least(F.floor(F.col("__q_whole") / 2), F.lit(most).cast("long"))
     return parts.join(areas(filled, keys, "__q_whole"), keys).where(F.col("size") > limit).select(*keys, "x", "y0", "y1")
 

@@ -106,14 +106,14 @@ def _components_sql(name: str, source: str) -> str:
 @query(f"WITH RECURSIVE {_PIXELS}, {_components_sql('parts', 'g')} SELECT c, label, count(*) AS size FROM parts GROUP BY 1, 2")
 def mask_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Connected components of each mask: their first pixel and their size."""
-    return R.components(spark, _masks(spark, sf_dir, _TRUTH), ["c"], _H).select("c", "label", "size").distinct()
+    return R.components(_masks(spark, sf_dir, _TRUTH), ["c"], _H).select("c", "label", "size").distinct()
 
 
 @query(f"""WITH RECURSIVE {_PIXELS}, off AS (SELECT cs.c, p FROM cs CROSS JOIN range({_H * _W}) r(p) ANTI JOIN g USING (c, p)), {_components_sql('gaps', 'off')}, filled AS (SELECT c, p FROM g UNION ALL SELECT c, p FROM gaps WHERE size <= 9), {_components_sql('parts', 'filled')},
   kept AS (SELECT c, p, size, count(*) OVER (PARTITION BY c) AS n FROM parts) SELECT c, count(*) AS pixels, CAST(sum(p) AS BIGINT) AS place FROM kept WHERE size > least(n // 2, 9) GROUP BY 1""")
 def clean_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Masks without holes and specks of nine pixels or fewer: pixels left and the sum of their numbers."""
-    clean = R.without_specks(spark, _masks(spark, sf_dir, _TRUTH), _every(spark, sf_dir), ["c"], _H, _W, 9)
+    clean = R.without_specks(_masks(spark, sf_dir, _TRUTH), _every(spark, sf_dir), ["c"], _H, _W, 9)
     n, first = F.col("y1") - F.col("y0"), F.col("x") * _H + F.col("y0")
     return clean.groupBy("c").agg(F.sum(n).alias("pixels"), F.sum(first * n + F.expr("(y1 - y0) * (y1 - y0 - 1) div 2")).alias("place"))
 

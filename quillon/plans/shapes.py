@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillon.functions import boxes
 from quillon.functions import rotated as Q
 from quillon.operators import suppression as S
+from quillon.operators import transforms as T
 from quillon.plans.relational import query
 from quillon.plans.tables import table
 
@@ -30,3 +32,23 @@ def rotated_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pairs.select(F.col("a.item").alias("i"), F.col("b.item").alias("j"), Q.intersection(F.col("a.r"), F.col("b.r")).alias("n"), (Q.area(F.col("a.r")) + Q.area(F.col("b.r"))).alias("both"))
     iou = F.col("n") / (F.col("both") - F.col("n"))
     return out.where(iou > 0.001).select(F.col("i").alias("a"), F.col("j").alias("b"), F.round("n", 4).alias("shared"), F.round(iou, 6).alias("iou"))
+
+
+_DRAW_SQL = lambda name, key: f"(('0x' || substr(md5('7:{name}:' || {key}), 1, 8))::BIGINT / 4294967296.0)"
+
+
+@query(f"""WITH b AS (SELECT vec_id AS id, 50 + 120 * embedding[1]::DOUBLE AS x1, 40 + 120 * embedding[2]::DOUBLE AS y1, 20 + 100 * abs(embedding[3]::DOUBLE) AS w, 10 + 100 * abs(embedding[4]::DOUBLE) AS h,
+    40 + floor({_DRAW_SQL('width', 'vec_id // 4')} * 41) AS cw, 30 + floor({_DRAW_SQL('height', 'vec_id // 4')} * 31) AS ch, {_DRAW_SQL('left', 'vec_id // 4')} AS ul, {_DRAW_SQL('top', 'vec_id // 4')} AS ut, {_DRAW_SQL('flip', 'vec_id')} < 0.5 AS flips FROM embeddings),
+  c AS (SELECT *, floor(ul * (100 - cw + 1)) AS l, floor(ut * (80 - ch + 1)) AS t FROM b), k AS (SELECT id, flips, cw, ch, greatest(0, least(cw, greatest(0, x1) - l)) AS x1, greatest(0, least(cw, least(100, x1 + w) - l)) AS x2, greatest(0, least(ch, greatest(0, y1) - t)) AS y1, greatest(0, least(ch, least(80, y1 + h) - t)) AS y2 FROM c),
+  f AS (SELECT id, cw, ch, CASE WHEN flips THEN cw - x2 ELSE x1 END AS x1, CASE WHEN flips THEN cw - x1 ELSE x2 END AS x2, y1, y2 FROM k WHERE x2 > x1 AND y2 > y1), z AS (SELECT *, least(cw, ch) AS lo, greatest(cw, ch) AS hi FROM f), s AS (SELECT *, CASE WHEN hi / lo * 64 > 100 THEN 100 * lo / hi ELSE 64 END AS short FROM z),
+  n AS (SELECT *, CASE WHEN lo = short THEN cw ELSE round_even(short * cw / lo, 0) END AS nw, CASE WHEN lo = short THEN ch ELSE round_even(short * ch / lo, 0) END AS nh FROM s)
+  SELECT id, round(x1 * nw / cw + 3, 6) AS x1, round(y1 * nh / ch + 2, 6) AS y1, round(x2 * nw / cw + 3, 6) AS x2, round(y2 * nh / ch + 2, 6) AS y2, nw + 4 AS w, nh + 2 AS h FROM n""")
+def transform_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes through a crop drawn per datapoint of four frames, a flip drawn per frame, a resize and a padding."""
+    v, point, one = (lambda i: F.col("embedding")[i].cast("double")), F.floor(F.col("vec_id") / 4), F.col("vec_id")
+    u = lambda name, key: T.drawn(7, name, key)
+    rows = table(spark, sf_dir, "embeddings", "vec_id", "embedding").withColumns({"cw": T.drawn_between(u("width", point), 40, 80), "ch": T.drawn_between(u("height", point), 30, 60), "b": boxes.from_xywh(50 + 120 * v(0), 40 + 120 * v(1), 20 + 100 * F.abs(v(2)), 10 + 100 * F.abs(v(3)))})
+    rows = rows.withColumns({"l": T.drawn_between(u("left", point), 0, 100 - F.col("cw")), "t": T.drawn_between(u("top", point), 0, 80 - F.col("ch"))})
+    steps = T.chain(T.crop(F.col("t"), F.col("l"), F.col("ch"), F.col("cw")), T.flip(u("flip", one) < 0.5), T.resize_shorter(64, 100), T.pad(3, 2, 1, 0))
+    out = rows.withColumn("m", T.composed(steps, 100, 80)).select(one.alias("id"), "m", T.map_box(F.col("m"), F.col("b")).alias("o")).where("o IS NOT NULL")
+    return out.select("id", *[F.round(F.col("o")[c], 6).alias(c) for c in ("x1", "y1", "x2", "y2")], F.col("m.w").alias("w"), F.col("m.h").alias("h"))

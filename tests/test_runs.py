@@ -125,15 +125,33 @@ def test_components(spark, size, corners):
     masks[20] = comb
     segs, _ = relation(spark, masks)
     got: dict = {}
-    for r in R.components(spark, segs, ["id"], size[0], corners).collect():
+    for r in R.components(segs, ["id"], size[0], corners).collect():
         got.setdefault((r.id, r.label, r.size), set()).update((y, r.x) for y in range(r.y0, r.y1))
     want = {(i, min(x * size[0] + y for y, x in p), len(p)): p for i, m in masks.items() for p in parts(m, corners)}
     assert got == want
 
 
+def test_components_of_split_runs(spark):
+    """Runs without a gap between them are one component."""
+    df = spark.createDataFrame([(1, "x", [1, 2, 0, 2, 1, 1])], MASKS)
+    got = R.components(R.segments(df, ["id"], "counts", 7, 1), ["id"], 7).collect()
+    assert {(r.y0, r.label, r.size) for r in got} == {(1, 1, 4), (3, 1, 4), (6, 6, 1)}
+
+
+def test_components_over_batches(spark):
+    """Masks that end anywhere in a batch, with a null among their keys."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        rows = [(k, j, x, 0, 2) for k in (None, 1, 2) for j in (None, 3) for x in range(4)]
+        df = spark.createDataFrame(rows, "k int, j int, x long, y0 long, y1 long")
+        assert sorted(((r.k, r.j, r.label, r.size) for r in R.components(df, ["k", "j"], 9).select("k", "j", "label", "size").distinct().collect()), key=str) == sorted(((k, j, 0, 8) for k in (None, 1, 2) for j in (None, 3)), key=str)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_components_of_nothing(spark):
     segs, _ = relation(spark, {1: np.zeros((3, 3), bool)})
-    assert R.components(spark, segs, ["id"], 3).count() == 0
+    assert R.components(segs, ["id"], 3).count() == 0
 
 
 def test_specks(spark):
@@ -151,8 +169,8 @@ def test_specks(spark):
             if len(p) <= limit:
                 m[tuple(zip(*p))] = False
         want[i] = m
-    same(R.without_specks(spark, segs, every, ["id"], *size, 3), want)
-    assert R.without_specks(spark, segs, every, ["id"], *size, 0) is segs
+    same(R.without_specks(segs, every, ["id"], *size, 3), want)
+    assert R.without_specks(segs, every, ["id"], *size, 0) is segs
 
 
 def distances(m: np.ndarray) -> dict:
