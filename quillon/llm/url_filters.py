@@ -27,6 +27,9 @@ def url_path(url: Column) -> Column:
     """What follows the host up to `?`, `#` or the end; else empty."""
     return F.regexp_extract(_rest(url), "^[^/?#]*([^?#]*)", 1)
 
+#: Stands between host and path where they are hashed; a URL's host and path end before it.
+MARK = "#"
+
 
 def _rest(url: Column) -> Column:
     at = F.instr(url, "://")
@@ -49,7 +52,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
     path, rule or verdict are replaced, all others stay.  Rules with a null
     host, path or verdict are void.
     """
-    rules = _hashed(rules.select("host", "path", "verdict").dropna().select(F.translate("host", UPPER, LOWER).alias("__q_host"), F.col("path").alias("__q_path"), F.col("verdict").alias("__q_verdict")).withColumn("__q_rule", F.concat("__q_host", "__q_path")), "__q_rule")
+    rules = _hashed(rules.select("host", "path", "verdict").dropna().select(F.translate("host", UPPER, LOWER).alias("__q_host"), F.col("path").alias("__q_path"), F.col("verdict").alias("__q_verdict")).withColumn("__q_rule", F.concat("__q_host", "__q_path")).withColumn("__q_expression", F.concat("__q_host", F.lit(MARK), "__q_path")), "__q_expression").drop("__q_expression")
     # At most as many numbers as the longest path has characters.
     lengths = sorted(r[0] for r in rules.select(F.length("__q_path")).distinct().toLocalIterator())
     host, path, parts = F.col("__q_h"), F.col("__q_p"), F.split("__q_h", r"\.")
@@ -57,7 +60,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
     prefixes = F.array_compact(F.array(*[F.when(F.length(path) >= n, F.substring(path, 1, n)) for n in lengths])) if lengths else F.array().cast("array<string>")
     each = pages.select(F.col(url).alias("__q_url")).where(F.col(url).isNotNull()).distinct()
     each = each.select("__q_url", url_host(F.col("__q_url")).alias("__q_h"), url_path(F.col("__q_url")).alias("__q_p")).where(host != "")
-    each = each.select("__q_url", F.explode(F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: F.concat(s, p))))).alias("__q_expression"))
+    each = each.select("__q_url", F.explode(F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: F.concat(s, F.lit(MARK), p))))).alias("__q_expression"))
     each = _hashed(each, "__q_expression").drop("__q_expression")
     found = each.join(rules.withColumnRenamed("__q_digest", "__q_full"), "__q_short").where(F.col("__q_digest") == F.col("__q_full"))
     best = found.groupBy("__q_url").agg(F.max(F.struct(F.length("__q_rule").alias("n"), F.length("__q_host").alias("h"), F.col("__q_verdict").alias("verdict"), F.col("__q_rule").alias("rule"))).alias("__q_best"))
