@@ -4,7 +4,7 @@ E-mail local parts, IPv4 addresses, dates, social security numbers, payment
 card numbers and North American phone numbers are found by one pattern and
 validated.  A keyed Feistel network permutes each within its own format: equal
 values get equal pseudonyms in all documents, different values different ones,
-and separators, lengths and check digits stay valid.  Everything is Catalyst
+and separators and check digits stay valid.  Everything is Catalyst
 expressions; the round function is SHA-256 of key, kind, round and half.
 """
 
@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 ROUNDS = 8
 #: Dates of these days (from 1900-01-01; 250 x 292 of them) are permuted among themselves.
 DAYS, DAYS_A, DAYS_B = 73_000, 250, 292
+#: So are the dates before this one whose day is the 13th or later (28 x 1579 of them), where a slash date has the day first.
+LATE_END, LATE_A, LATE_B = "2099-11-01", 28, 1579
 
 _AFTER = r"(?![0-9A-Za-z])"
 #: Local parts of at most 64 characters and domains of at most 127 labels, as mail allows; a repeated group without a bound would recurse in Java for each label.
@@ -84,12 +86,23 @@ def _ip() -> str:
     return _let("o", octets, f"if(exists(o, x -> x > 255), m, {_let('v', _feistel(value, '65536', '65536', 'ip'), back)})")
 
 
+_BASE = "date'1900-01-01'"
+
+
 def _date() -> str:
-    day = """CASE WHEN m like '____-%' THEN try_to_date(m, 'yyyy-MM-dd') WHEN m like '%/%' THEN coalesce(try_to_date(m, 'M/d/yyyy'), try_to_date(m, 'd/M/yyyy')) ELSE try_to_date(m, 'd.M.yyyy') END"""
-    moved = f"date_format(date_add(date'1900-01-01', cast({_feistel('datediff(d, date' + chr(39) + '1900-01-01' + chr(39) + ')', str(DAYS_A), str(DAYS_B), 'date')} as int)), {{form}})"
-    by_form = f"""CASE WHEN m like '____-%' THEN {moved.format(form="'yyyy-MM-dd'")} WHEN m like '%/%' AND try_to_date(m, 'M/d/yyyy') IS NOT NULL THEN {moved.format(form="'MM/dd/yyyy'")}
-        WHEN m like '%/%' THEN {moved.format(form="'dd/MM/yyyy'")} ELSE {moved.format(form="'dd.MM.yyyy'")} END"""
-    return _let("d", day, f"if(d IS NULL OR d < date'1900-01-01' OR datediff(d, date'1900-01-01') >= {DAYS}, m, {by_form})")
+    """Slash dates are month first where they can be, and in another space where only the day can come first: both stay what they are."""
+    day = """CASE WHEN m like '____-%' THEN try_to_date(m, 'yyyy-MM-dd') WHEN m like '%/%' THEN try_to_date(m, 'M/d/yyyy') ELSE try_to_date(m, 'd.M.yyyy') END"""
+    moved = f"date_format(date_add({_BASE}, cast({_feistel(f'datediff(d, {_BASE})', str(DAYS_A), str(DAYS_B), 'date')} as int)), f)"
+    form = """CASE WHEN m like '____-%' THEN 'yyyy-MM-dd' WHEN m rlike '^[0-9]/|/[0-9]/' THEN 'M/d/yyyy' WHEN m like '%/%' THEN 'MM/dd/yyyy' WHEN m rlike '^[0-9][.]|[.][0-9][.]' THEN 'd.M.yyyy' ELSE 'dd.MM.yyyy' END"""
+    any_day = f"if(d IS NULL OR d < {_BASE} OR datediff(d, {_BASE}) >= {DAYS}, m, {_let('f', form, moved)})"
+    # Days from the 13th on are numbered: g(k) of them lie before the k-th month since 1900.
+    g = lambda k: f"(datediff(add_months({_BASE}, {k}), {_BASE}) - 12 * {k})"
+    number = f"datediff(d, {_BASE}) - 12 * (cast(months_between(trunc(d, 'MM'), {_BASE}) as int) + 1)"
+    month = f"array_max(filter(sequence(cast(i / 18.437 as int) - 2, cast(i / 18.437 as int) + 2), k -> k >= 0 AND {g('k')} <= i))"
+    back = _let("k", month, f"date_format(date_add(add_months({_BASE}, k), cast(12 + i - {g('k')} as int)), if(m rlike '/[0-9]/', 'd/M/yyyy', 'dd/MM/yyyy'))")
+    late_day = f"if(d IS NULL OR d < {_BASE} OR d >= date'{LATE_END}', m, {_let('i', _feistel(number, str(LATE_A), str(LATE_B), 'late'), back)})"
+    day_first = "m like '%/%' AND try_to_date(m, 'M/d/yyyy') IS NULL"
+    return f"if({day_first}, {_let('d', 'try_to_date(m, ' + chr(39) + 'd/M/yyyy' + chr(39) + ')', late_day)}, {_let('d', day, any_day)})"
 
 
 def _ssn() -> str:
@@ -133,8 +146,11 @@ def pseudonymize(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     Values that look like one of the kinds but aren't valid (a card number that
     fails its check digit, an octet over 255, a 31st of June) stay.  A null
     text stays null with n_pii 0.  Rows are independent, so repeated rows stay
-    alike.  Columns named n_pii are replaced, others stay.  Dates come back
-    with two-digit days and months.  An address whose local part has over 64
+    alike.  Columns named n_pii are replaced, others stay.  A date without
+    leading zeros comes back without them, so it may become a digit longer or
+    shorter; a slash date is month first unless only the day can be, and the
+    same day written in that way has a pseudonym of its own.  Dates before 1900
+    and from 13 November 2099 on (1 November, day first) stay.  An address whose local part has over 64
     characters is none; of one with over 127 labels the first 127 count.  The
     key is a literal of the plan: where plans are logged, name it in
     spark.sql.redaction.string.regex.
