@@ -32,7 +32,11 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """As many copies of each document as the mix takes."""
-    return mixing.repeat_copies(mixing.mix_sources(spark, docs), docs.columns)
+    # The operator's own columns stand aside for documents' columns of these names.
+    kept = {c: f"__kept_{c}" for c in docs.columns if c.lower() in ("size", "source_size", "target", "copies")}
+    mixed = mixing.mix_sources(spark, docs.withColumnsRenamed(kept))
+    copies = mixing.repeat_copies(mixed, [kept.get(c, c) for c in docs.columns])
+    return copies.withColumnsRenamed({v: k for k, v in kept.items()})
 
 
 def store_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -109,6 +109,13 @@ def test_url_filters(spark):
     assert not any(x in url_filters.judge_urls(pages, rules)._jdf.queryExecution().executedPlan().toString() for x in ("Python", "Arrow"))
 
 
+def test_url_rules_keep_host_and_path_apart(spark):
+    """Rules whose paths begin in other ways than with a slash don't fit a longer host."""
+    pages = spark.createDataFrame([(1, "x://a.comen/zz"), (2, "x://a.com/en"), (3, "x://b.org"), (4, "x://com#en")], "page_id int, url string")
+    rules = spark.createDataFrame([("com", "en", "block"), ("org", "", "block")], "host string, path string, verdict string")
+    assert {r.page_id: (r.verdict, r.rule) for r in url_filters.judge_urls(pages, rules).collect()} == {1: ("allow", None), 2: ("allow", None), 3: ("block", "org"), 4: ("allow", None)}
+
+
 def test_fingerprints(spark, docs, rows, none):
     order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1] or ""))
     want = Counter()
@@ -321,6 +328,30 @@ def test_pii_permutes(spark):
     assert out.count() == out.distinct().count() and out.where("n_pii = 1").count() >= out.count() - 2
 
 
+def test_pii_slash_dates(spark):
+    """Every slash date of two years, month first and day first, with and without zeros: no two days share a pseudonym, and each keeps its form."""
+    import datetime
+
+    days = [datetime.date(y, 1, 1) + datetime.timedelta(i) for y in (1900, 2024, 2099) for i in range(366) if (datetime.date(y, 1, 1) + datetime.timedelta(i)).year == y]
+    forms = {"md": "{1}/{2}/{0}", "dm": "{2}/{1}/{0}", "zmd": "{1:02}/{2:02}/{0}", "zdm": "{2:02}/{1:02}/{0}", "dots": "{2}.{1}.{0}"}
+    rows = [(f, d.isoformat(), form.format(d.year, d.month, d.day)) for d in days for f, form in forms.items() if d.day > 12 or "dm" not in f]
+    got = {(r.form, r.day): r.text for r in pii.pseudonymize(spark.createDataFrame(rows, "form string, day string, text string"), "key").collect()}
+    for f in forms:
+        new = [v for (g, _), v in got.items() if g == f]
+        assert len(set(new)) == len(new)
+    for (f, day), v in got.items():
+        y, (a, b) = v[-4:], map(int, re.split("[/.]", v)[:2])
+        if f == "zdm" and day < "2099-11-01" or f == "dm" and day < "2099-11-01":
+            assert a > 12 and 1 <= b <= 12 and datetime.date(int(y), b, a)
+        if f == "zmd" and day < "2099-11-13":
+            assert re.fullmatch(r"\d\d/\d\d/\d{4}", v) and datetime.date(int(y), a, b)
+        if f == "md" and day < "2099-11-13" and not re.match(r"\d\d/\d\d/", f"{int(day[5:7])}/{int(day[8:])}/"):
+            assert "/0" not in f"/{v}"
+    md, dm = {v for (f, _), v in got.items() if f == "zmd"}, {v for (f, d), v in got.items() if f == "zdm" and d < "2099-11-01"}
+    assert not md & dm
+    assert {got["zmd", d.isoformat()] for d in days if d.isoformat() >= "2099-11-13"} == {d.strftime("%m/%d/%Y") for d in days if d.isoformat() >= "2099-11-13"}
+
+
 def test_language_id(spark, docs, none):
     vocabulary = {"en": ["the", "and", "house", "water", "with", "thing"], "de": ["der", "und", "haus", "wasser", "mit", "straße"], "ru": ["дом", "вода", "и", "с", "вещь"]}
     train = [(f"{' '.join((v * 8)[i : i + 20])}", lang) for lang, v in vocabulary.items() for i in range(6)] + [(None, "en"), ("x", None)]
