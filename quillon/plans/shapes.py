@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import boxes
 from quillon.functions import rotated as Q
+from quillon.operators import structure as G
 from quillon.operators import suppression as S
 from quillon.operators import transforms as T
 from quillon.plans.relational import query
@@ -52,3 +53,35 @@ def transform_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     steps = T.chain(T.crop(F.col("t"), F.col("l"), F.col("ch"), F.col("cw")), T.flip(u("flip", one) < 0.5), T.resize_shorter(64, 100), T.pad(3, 2, 1, 0))
     out = rows.withColumn("m", T.composed(steps, 100, 80)).select(one.alias("id"), "m", T.map_box(F.col("m"), F.col("b")).alias("o")).where("o IS NOT NULL")
     return out.select("id", *[F.round(F.col("o")[c], 6).alias(c) for c in ("x1", "y1", "x2", "y2")], F.col("m.w").alias("w"), F.col("m.h").alias("h"))
+
+
+_DOCUMENTS_SQL = """docs AS (SELECT CASE WHEN turn % 3 = 2 THEN to_json({'conv': conv_id, 'turn': {'no': turn, 'role': role, 'words': w, 'note': NULL}})
+    ELSE to_json({'conv': conv_id, 'turn': {'no': turn, 'role': role, 'words': w, 'note': {'score': turn / 2, 'first': turn = 0}}, 'tags': [role, NULL, role]}) END AS j FROM (SELECT *, [{'n': len(x), 'long': CASE WHEN len(x) > 4 THEN true END} FOR x IN string_split(text, ' ')] AS w FROM conversations))"""
+_TREE_SQL = f"""{_DOCUMENTS_SQL}, t AS (SELECT regexp_replace(fullkey, '\\[\\d+\\]', '[]', 'g') AS path, CASE type WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' WHEN 'VARCHAR' THEN 'text' WHEN 'NULL' THEN 'null' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'DOUBLE' THEN 'number' ELSE 'integer' END AS kind,
+    CASE type WHEN 'OBJECT' THEN len(json_keys(value)) WHEN 'ARRAY' THEN json_array_length(value) WHEN 'VARCHAR' THEN length(value ->> '$') END AS size FROM docs, json_tree(docs.j) x)"""
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn as a nested document."""
+    rows = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    words = F.transform(F.split("text", " "), lambda w: F.struct(F.length(w).alias("n"), F.when(F.length(w) > 4, True).alias("long")))
+    turn = lambda note: F.struct(F.col("turn").alias("no"), "role", words.alias("words"), note.alias("note"))
+    note = F.struct((F.col("turn") / 2).alias("score"), (F.col("turn") == 0).alias("first"))
+    with_nulls = {"ignoreNullFields": "false"}
+    short = F.to_json(F.struct(F.col("conv_id").alias("conv"), turn(F.lit(None).cast("string")).alias("turn")), with_nulls)
+    full = F.to_json(F.struct(F.col("conv_id").alias("conv"), turn(note).alias("turn"), F.array("role", F.lit(None), "role").alias("tags")), with_nulls)
+    return rows.select(F.when(F.col("turn") % 3 == 2, short).otherwise(full).alias("j"))
+
+
+@query(f"WITH {_TREE_SQL} SELECT path, kind, count(*) AS n, CAST(min(size) AS BIGINT) AS least, CAST(max(size) AS BIGINT) AS most, CAST(sum(size) AS BIGINT) AS total FROM t GROUP BY 1, 2")
+def document_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths, kinds, counts and sizes of nested documents, one a turn."""
+    return G.sketch(_documents(spark, sf_dir), "j")
+
+
+@query(f"""WITH {_TREE_SQL}, w AS (SELECT path, list_sort(list(DISTINCT kind)) AS kinds, count(*) AS n, count(*) FILTER (kind = 'null') AS nulls, avg(size) AS mean_size, count(*) FILTER (kind = 'object') AS objects FROM t GROUP BY 1)
+  SELECT w.path, w.kinds, w.n, round(w.nulls / w.n, 6) AS null_share, round(w.n / u.objects, 6) AS present_share, round(w.mean_size, 6) AS mean_size FROM w LEFT JOIN w u ON NOT ends_with(w.path, '[]') AND w.path = u.path || '.' || string_split(w.path, '.')[-1]""")
+def document_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the documents look like: kinds, shares of nulls and of presence, mean sizes."""
+    out = G.summary(G.sketch(_documents(spark, sf_dir), "j"))
+    return out.select("path", "kinds", "n", *[F.round(c, 6).alias(c) for c in ("null_share", "present_share", "mean_size")])

@@ -116,3 +116,22 @@ def test_points_leave_with_the_crop(spark):
     df = spark.createDataFrame([(5.0, 5.0), (30.0, 5.0)], "x double, y double").withColumn("m", T.composed(T.chain(T.crop(0, 0, 20, 20), T.flip(), T.pad(10, 0, 0, 0)), 100, 80))
     got = [(r.p.x, r.p.y, r.p.visible) for r in df.select(T.map_point(F.col("m"), F.col("x"), F.col("y")).alias("p")).collect()]
     assert got == [(25.0, 5.0, True), (0.0, 5.0, False)]
+
+
+def test_structure(spark, monkeypatch):
+    from quillon.operators import structure as G
+
+    monkeypatch.setattr(G, "HELD", 2)
+    docs = ['{"a": [1, 2.5, null, {"b": "xyz"}], "c": {}}', '{"a": [], "d": true}', "[]", "{broken", None, '"text"', '{"a": null}', "[" * 3000 + "]" * 3000, "[" * 200_000 + "]" * 200_000]
+    df = spark.createDataFrame([(d, 1) for d in docs], "j string, path int")
+    got = {(r.path, r.kind): (r.n, r.least, r.most, r.total) for r in G.sketch(df, "j").collect() if "[][]" not in r.path}
+    assert got == {
+        ("$", "object"): (3, 1, 2, 5), ("$", "array"): (2, 0, 1, 1), ("$", "text"): (1, 4, 4, 4), ("$", "invalid"): (2, None, None, None), ("$", "missing"): (1, None, None, None), ("$[]", "array"): (1, 1, 1, 1),
+        ("$.a", "array"): (2, 0, 4, 4), ("$.a", "null"): (1, None, None, None), ("$.a[]", "integer"): (1, None, None, None), ("$.a[]", "number"): (1, None, None, None), ("$.a[]", "null"): (1, None, None, None), ("$.a[]", "object"): (1, 1, 1, 1),
+        ("$.a[].b", "text"): (1, 3, 3, 3), ("$.c", "object"): (1, 0, 0, 0), ("$.d", "boolean"): (1, None, None, None),
+    }
+    half = G.merged(G.sketch(df.where("j LIKE '{%'"), "j").unionByName(G.sketch(df.where("j NOT LIKE '{%' OR j IS NULL"), "j")))
+    assert sorted(map(tuple, half.collect()), key=str) == sorted(map(tuple, G.sketch(df, "j").collect()), key=str)
+    out = {r.path: r for r in G.summary(G.sketch(df, "j")).collect()}
+    assert out["$.a"].kinds == ["array", "null"] and out["$.a"].null_share == pytest.approx(1 / 3) and out["$.a"].present_share == 1.0 and out["$.d"].present_share == pytest.approx(1 / 3)
+    assert G.sketch(df.limit(0), "j").count() == 0
