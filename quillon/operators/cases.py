@@ -28,10 +28,18 @@ def page_bounds(df: DataFrame, keys: list[str], order: list[str], frame: str, si
 
 
 def first_success(df: DataFrame, keys: list[str], order: str, ok: Column, value: Column, error: Column) -> DataFrame:
-    """keys, value of the first variant that went well (null if none did), error of the last one before it that didn't."""
-    g = df.groupBy(*keys).agg(F.min(F.when(ok, F.struct(F.col(order).alias("o"), value.alias("v")))).alias("__q_w"), F.array_sort(F.collect_list(F.when(~ok, F.struct(F.col(order).alias("o"), error.alias("e"))))).alias("__q_e"))
-    before = F.filter("__q_e", lambda x: F.col("__q_w").isNull() | (x["o"] < F.col("__q_w.o")))
-    return g.select(*keys, F.col("__q_w.v").alias("value"), F.when(F.size(before) > 0, F.element_at(before, -1)["e"]).alias("error"))
+    """keys, value of the first variant that went well (null if none did), error of the last one before it that didn't.
+
+    Two sums of fixed size per key, however many variants failed; rows with a null key are one group.
+    """
+    rows = df.select(*keys, F.col(order).alias("__q_o"), F.coalesce(ok, F.lit(False)).alias("__q_ok"), value.alias("__q_v"), error.alias("__q_e"))
+    won = rows.groupBy(*keys).agg(F.min(F.when(F.col("__q_ok"), F.struct("__q_o", "__q_v"))).alias("__q_w"))
+    won = won.select(*[F.col(k).alias(f"__q_k_{k}") for k in keys], "__q_w")
+    same = [F.col(k).eqNullSafe(F.col(f"__q_k_{k}")) for k in keys]
+    met = rows.join(won, same)
+    before = ~F.col("__q_ok") & (F.col("__q_w").isNull() | (F.col("__q_o") < F.col("__q_w.__q_o")))
+    last = F.max(F.when(before, F.struct("__q_o", "__q_e")))
+    return met.groupBy(*keys).agg(F.first("__q_w").alias("__q_w"), last.alias("__q_l")).select(*keys, F.col("__q_w.__q_v").alias("value"), F.col("__q_l.__q_e").alias("error"))
 
 
 def box_runs(x: Column, y: Column, w: Column, h: Column, height: int, width: int) -> Column:

@@ -75,10 +75,7 @@ def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = runs.shared_path(spark, "upsert")
     e = _events(spark, sf_dir).groupBy("user_id", "event_type").agg(F.max_by("value", "event_id").alias("value"))
 
-    def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{at}/out/version={number}")
-
-    e.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+    runs.upsert_into(e, f"{at}/out", f"{at}/state", ["user_id", "event_type"], every=1, mode="update").awaitTermination()
     return runs.current(spark, f"{at}/out", ["user_id", "event_type"]).select("user_id", "event_type", "value")
 
 

@@ -6,6 +6,8 @@ that section's columns; nothing is built that a join doesn't already do.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -161,11 +163,13 @@ def ranked_masks(masks: DataFrame, images: DataFrame) -> DataFrame:
 def json_strings(df: DataFrame, key: str, column: str) -> DataFrame:
     """key, path, value of every leaf of a JSON document, however deep it is nested."""
     spark = df.sparkSession
-    view = "__q_json_strings"
+    view = f"__q_json_{uuid.uuid4().hex}"
     df.select(F.col(key).alias("k"), F.try_parse_json(F.col(column)).alias("v")).createOrReplaceTempView(view)
-    return spark.sql(f"""
+    leaves = spark.sql(f"""
         WITH RECURSIVE walk(k, path, v) AS (
           SELECT k, '$', v FROM {view} WHERE v IS NOT NULL
           UNION ALL
           SELECT w.k, w.path || coalesce('.' || c.key, '[' || c.pos || ']'), c.value FROM walk w, LATERAL variant_explode(w.v) c)
         SELECT k AS {key}, path, try_cast(v AS string) AS value FROM walk WHERE schema_of_variant(v) NOT LIKE 'OBJECT%' AND schema_of_variant(v) NOT LIKE 'ARRAY%'""")
+    spark.catalog.dropTempView(view)
+    return leaves
