@@ -141,3 +141,16 @@ def polygon_area(xs: Column, ys: Column) -> Column:
     n = F.size(xs)
     cross = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(xs, i) * F.get(ys, (i + 1) % n) - F.get(xs, (i + 1) % n) * F.get(ys, i))
     return F.abs(F.aggregate(cross, F.lit(0.0), lambda s, v: s + v)) / 2
+
+
+def edge_distances(b: Column, x: Column, y: Column) -> Column:
+    """How far a point is inside of the left, upper, right and lower edge; negative beyond it."""
+    return F.array(x - b["x1"], y - b["y1"], b["x2"] - x, b["y2"] - y)
+
+
+def rescaled(b: Column, factor: Column | float, width: Column | None = None, height: Column | None = None) -> Column:
+    """A box of `factor` times the sides around the same centre, cut to an image if there is one."""
+    cx, cy = (b["x1"] + b["x2"]) / 2, (b["y1"] + b["y2"]) / 2
+    w, h = (b["x2"] - b["x1"]) * factor / 2, (b["y2"] - b["y1"]) * factor / 2
+    cut = lambda v, most: v if most is None else F.greatest(F.lit(0.0), F.least(most.cast("double"), v))
+    return box(cut(cx - w, width), cut(cy - h, height), cut(cx + w, width), cut(cy + h, height))

@@ -202,6 +202,28 @@ def associate(dets: DataFrame, tracks: DataFrame, overlaps: DataFrame, keys: lis
     return fresh, lost, best.join(eligible, [*keys, "det"], "left_semi").select(*keys, "det", "trk", "iou")
 
 
+def associate_both(dets: DataFrame, tracks: DataFrame, overlaps: DataFrame, keys: list[str], overlap: float = 0.5, track_overlap: float = 0.5, new_score: float = 0.0) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(new detections, unmatched tracks, all tracks of each detection, the one-to-one match of each track).
+
+    `dets`: keys, det, score; `tracks`: keys, trk; `overlaps`: keys, det, trk, iou
+    of the pairs that overlap.  A detection without a track of `overlap` is new
+    at a score of `new_score`; where there are no tracks every one is.  A track is
+    unmatched unless the best one-to-one assignment gives it a detection of
+    `track_overlap`; where there are no detections none is.  The last table has
+    keys, trk, det, iou, det_score and det_score times iou for all assigned pairs
+    that overlap at all.
+    """
+    many = overlaps.where(F.col("iou") >= overlap).select(*keys, "det", "trk", "iou")
+    some_tracks = tracks.select(*keys).distinct().withColumn("__q_tracks", F.lit(True))
+    free = dets.join(many.select(*keys, "det").distinct(), [*keys, "det"], "left_anti").join(some_tracks, keys, "left")
+    fresh = free.where(F.col("__q_tracks").isNull() | (F.col("score") >= new_score)).select(*keys, "det")
+    best = assign(overlaps, keys, "det", "trk", "iou").join(dets.select(*keys, "det", "score"), [*keys, "det"])
+    best = best.select(*keys, "trk", "det", "iou", F.col("score").alias("det_score"), (F.col("score") * F.col("iou")).alias("weighted"))
+    held = best.where(F.col("iou") >= track_overlap).select(*keys, "trk")
+    lost = tracks.join(dets.select(*keys).distinct(), keys, "left_semi").join(held, [*keys, "trk"], "left_anti").select(*keys, "trk")
+    return fresh, lost, many, best
+
+
 def one_to_many(pairs: DataFrame, keys: list[str], truth: str, score: str, k: int, threshold: float) -> DataFrame:
     """Per ground truth of n rows those whose score exceeds `threshold` and the quantile 1 - k / n of its scores.
 

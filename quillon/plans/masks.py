@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillon.operators import points as P
 from quillon.operators import runs as R
 from quillon.plans.relational import query
 from quillon.plans.tables import table
@@ -162,3 +163,25 @@ def resized_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
         one = R.resized(masks, ["c"], _H, _W, h, w).groupBy("c").agg(F.sum(n).alias("pixels"), F.sum(first * n + F.expr("(y1 - y0) * (y1 - y0 - 1) div 2")).alias("place")).withColumn("h", F.lit(h))
         out = one if out is None else out.unionByName(one)
     return out
+
+
+@query(f"""WITH {_PIXELS} SELECT cs.c, CASE WHEN count(p) = 0 THEN [0, 0, 0, 0]::BIGINT[] ELSE [min(x), min(y), max(x), max(y)]::BIGINT[] END AS box FROM cs LEFT JOIN d ON d.c = cs.c AND d.x >= 4 AND d.y < 20 GROUP BY 1""")
+def mask_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes of masks in a part of the image, four zeros for what has no pixel there."""
+    part = _masks(spark, sf_dir, _FOUND).where("x >= 4 AND y0 < 20").withColumn("y1", F.least("y1", F.lit(20).cast("long")))
+    return P.mask_boxes(part, _every(spark, sf_dir), ["c"], empty=F.array_repeat(F.lit(0).cast("long"), 4))
+
+
+_DRAWS_SQL = "(('0x' || substr(md5('5:' || kind || ':' || c || ':' || i), 1, 8))::BIGINT / 4294967296.0)"
+
+
+@query(f"""WITH {_PIXELS}, n AS (SELECT c, x, y, row_number() OVER (PARTITION BY c ORDER BY p) - 1 AS place, count(*) OVER (PARTITION BY c) AS n FROM g), a AS (SELECT DISTINCT c, i, n, 'mask' AS kind FROM n, range(3) r(i)),
+  e AS (SELECT coalesce(g.c, d.c) AS c, coalesce(g.p, d.p) AS p, g.p IS NOT NULL AS positive FROM g FULL JOIN d ON g.c = d.c AND g.p = d.p WHERE g.p IS NULL OR d.p IS NULL), en AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY p) - 1 AS place, count(*) OVER (PARTITION BY c) AS n FROM e), b AS (SELECT DISTINCT c, i, n, 'error' AS kind FROM en, range(3) r(i))
+  SELECT 'mask' AS kind, a.c, a.i::INTEGER AS i, x, y, true AS positive FROM a JOIN n ON n.c = a.c AND n.place = CAST(floor({_DRAWS_SQL.replace('c ||', 'a.c ||')} * a.n) AS BIGINT)
+  UNION ALL SELECT 'error', b.c, b.i::INTEGER, p // {_H}, p % {_H}, positive FROM b JOIN en ON en.c = b.c AND en.place = CAST(floor({_DRAWS_SQL.replace('c ||', 'b.c ||')} * b.n) AS BIGINT)""")
+def sampled_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three pixels of each mask and three of what it has wrong, drawn by a keyed hash."""
+    g, d = _masks(spark, sf_dir, _TRUTH), _masks(spark, sf_dir, _FOUND)
+    one = P.from_masks(g, ["c"], 3, 5).withColumn("kind", F.lit("mask"))
+    two = P.from_errors(g, d, _every(spark, sf_dir), ["c"], 3, 5, _H, _W).withColumn("kind", F.lit("error"))
+    return one.unionByName(two)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.operators import mask_evaluation as M
+from quillon.operators import matching as H
 from quillon.operators import metrics as E
 from quillon.plans.masks import _FOUND, _PIXELS, _TRUTH, _masks
 from quillon.plans.relational import QUERIES, query
@@ -92,3 +93,21 @@ def mask_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["mask_report"] = mask_report
+
+
+@query(f"""WITH {_TRACKS_SQL}, s AS (SELECT sh.video, sh.t, sh.gt, sh.trk, sh.n / (ga.n + da.n - sh.n) AS sim FROM sh JOIN ga USING (video, t, gt) JOIN da USING (video, t, trk)), tot AS (SELECT video, t, pid, sum(sim) AS total FROM s JOIN perms USING (gt, trk) GROUP BY ALL), best AS (SELECT video, t, arg_max(pid, total) AS pid FROM tot GROUP BY ALL),
+  one AS (SELECT s.* FROM s JOIN best USING (video, t) JOIN perms p ON p.pid = best.pid AND p.gt = s.gt AND p.trk = s.trk), f AS (SELECT DISTINCT video, t FROM ga), h AS (SELECT DISTINCT video, t FROM da)
+  SELECT 'new' AS kind, da.video, da.t, trk AS det, NULL::BIGINT AS trk FROM da LEFT JOIN f USING (video, t) WHERE f.t IS NULL OR NOT EXISTS (SELECT 1 FROM s WHERE s.video = da.video AND s.t = da.t AND s.trk = da.trk AND sim >= 0.55) AND da.trk >= 1
+  UNION ALL SELECT 'lost', ga.video, ga.t, NULL, gt FROM ga JOIN h USING (video, t) WHERE NOT EXISTS (SELECT 1 FROM one WHERE one.video = ga.video AND one.t = ga.t AND one.gt = ga.gt AND sim >= 0.58)
+  UNION ALL SELECT 'many', video, t, trk, gt FROM s WHERE sim >= 0.55 UNION ALL SELECT 'one', video, t, trk, gt FROM one""")
+def mask_association(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Detections and tracks of masks, frame by frame: new ones, lost ones, all pairs that overlap enough, and the best one-to-one match."""
+    g, d = _tracks(spark, sf_dir)
+    keys = ["video", "t"]
+    dets = d.select(*keys, F.col("trk").alias("det")).distinct().withColumn("score", F.col("det").cast("double"))
+    tracks = g.select(*keys, F.col("gt").alias("trk")).distinct()
+    pairs = M.similarity(g, d, ["video"]).select(*keys, F.col("trk").alias("det"), F.col("gt").alias("trk"), F.col("sim").alias("iou"))
+    fresh, lost, many, one = H.associate_both(dets, tracks, pairs, keys, 0.55, 0.58, 1.0)
+    none = F.lit(None).cast("long")
+    named = lambda k, df: df.select(F.lit(k).alias("kind"), *keys, *[F.col(c) if c in df.columns else none.alias(c) for c in ("det", "trk")])
+    return named("new", fresh).unionByName(named("lost", lost)).unionByName(named("many", many)).unionByName(named("one", one))

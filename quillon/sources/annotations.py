@@ -173,3 +173,35 @@ def json_strings(df: DataFrame, key: str, column: str) -> DataFrame:
         SELECT k AS {key}, path, try_cast(v AS string) AS value FROM walk WHERE schema_of_variant(v) NOT LIKE 'OBJECT%' AND schema_of_variant(v) NOT LIKE 'ARRAY%'""")
     spark.catalog.dropTempView(view)
     return leaves
+
+
+def without_failures(images: DataFrame, outputs: DataFrame, key: str) -> DataFrame:
+    """`images` without those that no output of any run names, once an output has failed (its key is null); all of them while none has.
+
+    All outputs decide, not those of the last file alone.
+    """
+    failed = outputs.agg(F.coalesce(F.bool_or(F.col(key).isNull()), F.lit(False)).alias("__q_failed"))
+    made = outputs.where(F.col(key).isNotNull()).select(key).distinct().withColumn("__q_made", F.lit(True))
+    # One row: the broadcast's size is fixed.
+    return images.join(made, key, "left").crossJoin(F.broadcast(failed)).where("NOT __q_failed OR __q_made").drop("__q_made", "__q_failed").select(*images.columns)
+
+
+def image_count(messages: DataFrame, keys: list[str], parts: str = "content") -> DataFrame:
+    """keys and how many parts of type image the messages (an array of parts with a type, or null) hold."""
+    n = F.coalesce(F.size(F.filter(parts, lambda p: p["type"] == "image")), F.lit(0))
+    return messages.groupBy(*keys).agg(F.sum(F.when(F.col(parts).isNull(), 0).otherwise(n)).alias("images"))
+
+
+def with_side_car(datapoints: DataFrame, files: DataFrame, side: DataFrame, path: str, frame: str = "frame") -> DataFrame:
+    """Datapoints (with an address `file@frame`, or a file) with their file's columns and, where there is one, the row of the side-car for that file and frame.
+
+    `files` has path; `side` path, frame (null for an image's own) and what it adds.
+    """
+    from quillon.sources.frames import addressed
+
+    file, number = addressed(F.col(path))
+    rows = datapoints.withColumns({"__q_file": file, frame: number})
+    f = files.withColumnRenamed("path", "__q_path")
+    s = side.withColumnsRenamed({"path": "__q_side", frame: "__q_frame"})
+    met = rows.join(f, F.col("__q_file") == F.col("__q_path"), "left").join(s, (F.col("__q_file") == F.col("__q_side")) & F.col(frame).eqNullSafe(F.col("__q_frame")), "left")
+    return met.withColumn("found", F.col("__q_path").isNotNull()).drop("__q_file", "__q_path", "__q_side", "__q_frame")
