@@ -7,13 +7,13 @@ A group is one frame or one image and phrase.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 
@@ -130,10 +130,10 @@ def greedy_match(truth: DataFrame, found: DataFrame, overlaps: DataFrame, keys:
     truth is ignored itself.
     """
     place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("score"), "det"))
-    found = found.select(*keys, "det", "score").withColumn("__q_n", place).where(F.col("__q_n") <= most).drop("__q_n")
-    truth = truth.select(*keys, "gt", "ignore", "crowd")
+    found = found.select(*keys, "det", "score").withColumn("__q_n", place).where(F.col("__q_n") <= most)
+    truth = truth.select(*keys, "gt", *[F.coalesce(F.col(c).cast("boolean"), F.lit(False)).alias(c) for c in ("ignore", "crowd")])
     least = min(*thresholds, 1 - 1e-10)
-    near = overlaps.where(F.col("iou") >= least).join(found.select(*keys, "det"), [*keys, "det"], "left_semi").join(truth, [*keys, "gt"])
+    near = overlaps.where(F.col("iou") >= least).join(found.select(*keys, "det", "__q_n"), [*keys, "det"]).join(truth, [*keys, "gt"])
     # Where every detection and ground truth has one partner at most, nothing has to be taken in order.
     counts = near.groupBy(*keys).agg(F.count("*").alias("n"), F.size(F.collect_set("det")).alias("n_d"), F.size(F.collect_set("gt")).alias("n_g"))
     contested = counts.where("n > n_d OR n > n_g").select(*keys)
@@ -141,43 +141,64 @@ def greedy_match(truth: DataFrame, found: DataFrame, overlaps: DataFrame, keys:
     alone = found.join(contested, keys, "left_anti").join(near.select(*keys, "det", "iou", "ignore"), [*keys, "det"], "left").withColumn("threshold", levels)
     hit = F.coalesce(F.col("iou") >= F.least(F.col("threshold"), F.lit(1 - 1e-10)), F.lit(False))
     score = F.col("score").cast("double").alias("score")
-    alone = alone.select(*keys, "det", score, "threshold", hit.alias("hit"), (hit & F.coalesce(F.col("ignore").cast("boolean"), F.lit(False))).alias("ignored"))
+    alone = alone.select(*keys, "det", score, "threshold", hit.alias("hit"), (hit & F.coalesce("ignore", F.lit(False))).alias("ignored"))
 
-    dets = found.join(contested, keys, "left_semi").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("o"), "det", "score"))).alias("dets"))
-    pairs = near.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("det", "gt", "iou", "ignore", "crowd"))).alias("pairs"))
+    # A contested group is one row: its detections in order, and its pairs with places of either side.
+    dets = found.join(contested, keys, "left_semi").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("__q_n", "det", score))).alias("dets"))
+    number = F.dense_rank().over(Window.partitionBy(*keys).orderBy("gt")) - 1
+    pairs = near.withColumn("__q_g", number).groupBy(*keys).agg(F.collect_list(F.struct(F.col("__q_n").alias("place"), F.col("__q_g").alias("gt"), F.col("iou").cast("double").alias("iou"), "ignore", "crowd")).alias("pairs"))
     grouped = dets.join(pairs, keys)
-    schema = alone.schema
+    fields = {f.name: f.dataType for f in alone.schema}
+    outcome = T.StructType([T.StructField("hit", T.ArrayType(T.BooleanType())), T.StructField("ignored", T.ArrayType(T.BooleanType()))])
+    schema = T.StructType([*[T.StructField(k, fields[k]) for k in keys], T.StructField("dets", grouped.schema["dets"].dataType), T.StructField("outcome", T.ArrayType(outcome))])
+    done = grouped.mapInArrow(_greedy(keys, np.minimum(thresholds, 1 - 1e-10)), schema)
+    rows = done.select(*keys, F.explode(F.arrays_zip("dets", "outcome")).alias("__q_z"))
+    by_level = F.arrays_zip(F.array(*[F.lit(float(t)) for t in thresholds]).alias("threshold"), F.col("__q_z.outcome.hit").alias("hit"), F.col("__q_z.outcome.ignored").alias("ignored"))
+    rows = rows.select(*keys, "__q_z.dets.det", "__q_z.dets.score", F.explode(by_level).alias("__q_t"))
+    return alone.unionByName(rows.select(*keys, "det", "score", "__q_t.*"))
+
+
+def _greedy(keys: list[str], levels: np.ndarray) -> Callable:
+    """The outcome of each group's detections at each level, all groups of a batch and all levels at once: first every group's best detection takes its ground truth, then every second one, and so on."""
+
+    def solve(dets: pa.ListArray, pairs: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+        first = dets.offsets.to_numpy() - dets.offsets[0].as_py()
+        sizes = np.diff(pairs.offsets.to_numpy())
+        values = pairs.flatten()
+        group = np.repeat(np.arange(len(sizes)), sizes)
+        place, gt, iou = (values.field(c).to_numpy(zero_copy_only=False) for c in ("place", "gt", "iou"))
+        ignore, crowd = (values.field(c).to_numpy(zero_copy_only=False).astype(bool) for c in ("ignore", "crowd"))
+        # By detection, then by what it would rather take: not ignored, the higher overlap, the later ground truth.
+        order = np.lexsort((gt, iou, ~ignore, group, place))
+        group, place, gt, iou, ignore, crowd = (v[order] for v in (group, place, gt, iou, ignore, crowd))
+        gt = gt + group * (int(gt.max(initial=0)) + 1)
+        taken = np.zeros((int(gt.max(initial=0)) + 1, len(levels)), bool)
+        hit, ignored = (np.zeros((int(first[-1]), len(levels)), bool) for _ in range(2))
+        ends = np.flatnonzero(np.diff(place)) + 1
+        for start, end in zip([0, *ends], [*ends, len(place)]) if len(place) else ():
+            at = slice(start, end)
+            free = (iou[at, None] >= levels) & (~taken[gt[at]] | crowd[at, None])
+            firsts = np.flatnonzero(np.concatenate([[True], np.diff(group[at]) != 0]))
+            best = np.maximum.reduceat(np.where(free, np.arange(start + 1, end + 1)[:, None], 0), firsts, axis=0) - 1
+            some = best >= 0
+            row = first[group[at][firsts]] + place[start] - 1
+            hit[row], ignored[row] = some, some & ignore[best]
+            _, level = np.nonzero(some)
+            taken[gt[best[some]], level] = True
+        return hit, ignored
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = {k: [] for k in [*keys, "det", "score", "threshold", "hit", "ignored"]}
-            for row in batch.to_pylist():
-                by_det: dict = {}
-                for p in sorted(row["pairs"], key=lambda p: (bool(p["ignore"]), p["gt"])):
-                    by_det.setdefault(p["det"], []).append((p["gt"], p["iou"], bool(p["ignore"]), bool(p["crowd"])))
-                for tau in thresholds:
-                    taken = set()
-                    for d in row["dets"]:
-                        best, chosen = min(tau, 1 - 1e-10), None
-                        for gt, iou, ignore, crowd in by_det.get(d["det"], ()):
-                            if gt in taken and not crowd:
-                                continue
-                            if chosen is not None and not chosen[1] and ignore:
-                                break
-                            if iou >= best:
-                                best, chosen = iou, (gt, ignore)
-                        if chosen is not None:
-                            taken.add(chosen[0])
-                        for k in keys:
-                            out[k].append(row[k])
-                        for k, v in (("det", d["det"]), ("score", float(d["score"])), ("threshold", tau), ("hit", chosen is not None), ("ignored", chosen is not None and chosen[1])):
-                            out[k].append(v)
-            yield pa.record_batch([pc.cast(pa.array(v), t) if v else pa.array([], t) for v, t in zip(out.values(), target)], list(out))
-
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    target = [to_arrow_type(f.dataType) for f in schema.fields]
-    return alone.union(grouped.mapInArrow(run, schema))
+            dets = batch.column("dets")
+            hit, ignored = solve(dets, batch.column("pairs"))
+            width = pa.array(np.arange(len(hit) + 1) * len(levels), pa.int32())
+            lists = [pa.ListArray.from_arrays(width, pa.array(v.reshape(-1))) for v in (hit, ignored)]
+            rows = pa.StructArray.from_arrays(lists, ["hit", "ignored"])
+            offsets = pa.array(dets.offsets.to_numpy() - dets.offsets[0].as_py(), pa.int32())
+            columns = [*[batch.column(k) for k in keys], dets, pa.ListArray.from_arrays(offsets, rows)]
+            yield pa.record_batch(columns, [*keys, "dets", "outcome"])
+
+    return run
 
 
 def associate(dets: DataFrame, tracks: DataFrame, overlaps: DataFrame, keys: list[str], new_score: float, new_overlap: float, track_overlap: float, recondition: float = 0.8, sure: float = 0.8) -> tuple[DataFrame, DataFrame, DataFrame]:

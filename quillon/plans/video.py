@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillon.operators import mask_evaluation as M
 from quillon.operators import matching as H
 from quillon.operators import metrics as E
+from quillon.operators import runs as R
 from quillon.plans.masks import _FOUND, _PIXELS, _TRUTH, _masks
 from quillon.plans.relational import QUERIES, query
 from quillon.plans.tables import table
@@ -111,3 +112,24 @@ def mask_association(spark: SparkSession, sf_dir: str) -> DataFrame:
     none = F.lit(None).cast("long")
     named = lambda k, df: df.select(F.lit(k).alias("kind"), *keys, *[F.col(c) if c in df.columns else none.alias(c) for c in ("det", "trk")])
     return named("new", fresh).unionByName(named("lost", lost)).unionByName(named("many", many)).unionByName(named("one", one))
+
+
+@query(f"""WITH RECURSIVE {_TRACKS_SQL}, r AS (SELECT sh.video, sh.t, sh.trk, sh.gt, ga.gt = 2 AND sh.video % 3 = 0 AS crowd, ga.gt = 3 AND sh.video % 2 = 0 AS skip, CASE WHEN ga.gt = 2 AND sh.video % 3 = 0 THEN sh.n / da.n ELSE sh.n / (ga.n + da.n - sh.n) END AS iou FROM sh JOIN ga USING (video, t, gt) JOIN da USING (video, t, trk)),
+  c AS (SELECT video, t, trk, list({{'iou': iou, 'gt': gt, 'crowd': crowd, 'ign': crowd OR skip}} ORDER BY crowd OR skip, iou DESC, gt DESC) AS o FROM r GROUP BY ALL), levels AS (SELECT unnest([0.5, 0.55, 0.6])::DOUBLE AS threshold),
+  e AS (SELECT vec_id // 16 AS video, (vec_id // 4) % 4 AS t, CASE WHEN (vec_id // 4) % 4 = 3 AND vec_id % 4 < 2 THEN 1 - vec_id % 4 ELSE vec_id % 4 END AS trk, abs(embedding[64]::DOUBLE) AS score FROM embeddings WHERE vec_id // 16 % 7 <> 3),
+  dk AS (SELECT e.*, row_number() OVER (PARTITION BY video, t ORDER BY score DESC, trk) AS k, coalesce(o, []) AS o FROM e LEFT JOIN c USING (video, t, trk)),
+  walk AS (SELECT video, t, threshold, 0::BIGINT AS k, []::BIGINT[] AS taken, false AS hit, false AS ign FROM (SELECT DISTINCT video, t FROM dk), levels
+    UNION ALL SELECT w.video, w.t, w.threshold, dk.k, CASE WHEN len(f) > 0 THEN list_append(w.taken, f[1].gt) ELSE w.taken END, len(f) > 0, len(f) > 0 AND f[1].ign FROM walk w JOIN dk ON dk.video = w.video AND dk.t = w.t AND dk.k = w.k + 1, LATERAL (SELECT [x FOR x IN dk.o IF x.iou >= w.threshold AND (x.crowd OR NOT list_contains(w.taken, x.gt))] AS f))
+  SELECT video, threshold, count(*) FILTER (hit AND NOT ign) AS hits, count(*) FILTER (ign) AS ignored, count(*) AS n FROM walk WHERE k > 0 GROUP BY 1, 2""")
+def crowd_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Masks of a frame that compete for its truths, some of which are ignored and some crowds, by the public protocol."""
+    g, d = _tracks(spark, sf_dir)
+    keys, crowd, skip = ["video", "t"], (F.col("gt") == 2) & (F.col("video") % 3 == 0), (F.col("gt") == 3) & (F.col("video") % 2 == 0)
+    truth = g.select(*keys, "gt").distinct().select(*keys, "gt", (crowd | skip).alias("ignore"), crowd.alias("crowd"))
+    c = F.col("vec_id")
+    t, o = F.floor(c / 4) % 4, c % 4
+    scores = table(spark, sf_dir, "embeddings", "vec_id", "embedding").select(F.floor(c / 16).alias("video"), t.alias("t"), F.when((t == 3) & (o < 2), 1 - o).otherwise(o).alias("det"), F.abs(F.col("embedding")[63].cast("double")).alias("score")).where("video % 7 <> 3")
+    pairs = R.overlaps(g.drop("phrase"), d.drop("phrase"), keys, "gt", "trk").join(R.areas(d, [*keys, "trk"], "size"), [*keys, "trk"])
+    pairs = pairs.select(*keys, "gt", F.col("trk").alias("det"), F.when(crowd, F.col("shared") / F.col("size")).otherwise(F.col("iou")).alias("iou"))
+    m = H.greedy_match(truth, scores, pairs, keys, [0.5, 0.55, 0.6])
+    return m.groupBy("video", F.round("threshold", 2).alias("threshold")).agg(F.count_if(F.col("hit") & ~F.col("ignored")).alias("hits"), F.count_if("ignored").alias("ignored"), F.count("*").alias("n"))
