@@ -1,4 +1,9 @@
-"""Run-length masks: arrays of run lengths in column-major order, the first run of zeros; and packed bit words."""
+"""Run-length masks: arrays of run lengths in column-major order, the first run of zeros; and packed bit words.
+
+Expressions over one array, for masks of some hundred runs; what sums prefixes
+here takes time with the square of their number.  `operators.runs` has the same
+algebra as relations, for any number.
+"""
 
 from __future__ import annotations
 
@@ -54,13 +59,14 @@ def bounds(counts: Column, height: Column, exclusive: bool = False) -> Column:
 
 
 def encode_bits(bits: Column) -> Column:
-    """Run lengths of an array of 0/1, the first run of zeros (0 where the array starts with a one)."""
-    state = F.aggregate(
-        bits,
-        F.struct(F.array().cast("array<bigint>").alias("done"), F.lit(0).cast("long").alias("run"), F.lit(0).cast("int").alias("value")),
-        lambda s, b: F.when(b.cast("int") == s["value"], F.struct(s["done"].alias("done"), (s["run"] + 1).alias("run"), s["value"].alias("value"))).otherwise(F.struct(F.concat(s["done"], F.array(s["run"])).alias("done"), F.lit(1).cast("long").alias("run"), (1 - s["value"]).alias("value"))),
-    )
-    return F.concat(state["done"], F.array(state["run"]))
+    """Run lengths of an array of 0/1, the first run of zeros (0 where the array starts with a one or is empty).
+
+    The bits as one string, cut where they change: linear in their number.
+    """
+    text = F.array_join(F.transform(bits, lambda b: b.cast("int").cast("string")), "")
+    runs = F.transform(F.regexp_extract_all(text, F.lit("0+|1+"), F.lit(0)), lambda r: F.length(r).cast("long"))
+    zero = F.array(F.lit(0).cast("long"))
+    return F.when((F.size(bits) == 0) | (F.get(bits, 0).cast("int") == 1), F.concat(zero, runs)).otherwise(runs)
 
 
 def decode_text(counts: str) -> Column:

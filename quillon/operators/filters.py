@@ -133,3 +133,19 @@ def violations(checks: dict[str, DataFrame]) -> DataFrame:
     for p in parts[1:]:
         out = out.union(p)
     return out
+
+
+def renumbered_stages(df: DataFrame, keys: list[str], stage: str, wanted: list[int], reverse: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(rows of the wanted stages, numbered anew from 0 in their order or, `reverse`, from the last back; keys and stage of those that a group lacks)."""
+    order = sorted(set(wanted), reverse=reverse)
+    kept = df.where(F.col(stage).isin(order))
+    place = (F.array_position(F.array(*[F.lit(s) for s in order]), F.col(stage)) - 1).cast(df.schema[stage].dataType)
+    there = df.select(*keys).distinct().withColumn(stage, F.explode(F.array(*[F.lit(s) for s in order])).cast(df.schema[stage].dataType))
+    return kept.withColumn(stage, place), there.join(kept.select(*keys, stage).distinct(), [*keys, stage], "left_anti")
+
+
+def tagged_sequences(df: DataFrame, sequence: str, tags: str, tag: str) -> tuple[DataFrame, DataFrame]:
+    """(rows of the sequences that carry the tag, sequences whose rows disagree about it: an empty result is the assertion)."""
+    has = F.coalesce(F.array_contains(tags, tag), F.lit(False))
+    seen = df.groupBy(sequence).agg(F.bool_or(has).alias("__q_some"), F.bool_and(has).alias("__q_all"))
+    return df.join(seen.where("__q_some").select(sequence), sequence, "left_semi"), seen.where("__q_some AND NOT __q_all").select(sequence)

@@ -68,6 +68,10 @@ def rank_within_ranges(df: DataFrame, keys: list[str], order: list, name: str) -
 
 
 def first_per_group(df: DataFrame, keys: list[str], order: list) -> DataFrame:
+    """The first row of each group; by names of columns it is a minimum, which sums up before anything moves, however large a group is."""
+    if all(isinstance(o, str) for o in order):
+        best = df.groupBy(*keys).agg(F.min_by(F.struct(*[F.col(c) for c in df.columns]), F.struct(*order)).alias("__q_row"))
+        return best.select("__q_row.*")
     return rank_within(df, keys, order, "__q_n").where("__q_n = 1").drop("__q_n")
 
 

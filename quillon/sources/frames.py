@@ -90,3 +90,24 @@ def find_item(documents: DataFrame, text: str, wanted: DataFrame, order: list[st
     hits = words.join(names, "name").drop("name")
     n = F.row_number().over(Window.partitionBy("exact").orderBy("tier", *order))
     return hits.withColumn("__q_n", n).where("__q_n = 1").drop("__q_n")
+
+
+def cases(files: DataFrame, name: str, ids: list[str] | None = None, most: int | None = None) -> DataFrame:
+    """case, path: the folders that hold a file of that name, those listed in `ids` if given, the first `most` by their names if given; of a folder name that occurs twice every one."""
+    parts = F.split("path", "/")
+    found = files.where(F.element_at(parts, -1) == name).select(F.element_at(parts, -2).alias("case"), "path")
+    if ids is not None:
+        found = found.where(F.col("case").isin(ids))
+    return found if most is None else found.orderBy("case", "path").limit(most)
+
+
+def lone_files(files: DataFrame, suffix: str) -> tuple[DataFrame, DataFrame]:
+    """(folder, path of folders with exactly one file of the suffix; folder, n of those with more)."""
+    folder = F.regexp_extract("path", r"^(.*)/[^/]*\z", 1)
+    counts = files.where(F.lower(F.element_at(F.split("path", r"\."), -1)) == suffix.lower()).groupBy(folder.alias("folder")).agg(F.count("*").alias("n"), F.min("path").alias("path"))
+    return counts.where("n = 1").select("folder", "path"), counts.where("n > 1").select("folder", "n")
+
+
+def unknown_classes(rows: DataFrame, column: str, known: list[str]) -> DataFrame:
+    """The distinct classes of the rows that the list doesn't hold: an empty result is the assertion."""
+    return rows.select(column).distinct().where(F.col(column).isNull() | ~F.col(column).isin(known))

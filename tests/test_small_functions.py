@@ -137,3 +137,24 @@ def test_upserted_stream_stays_small(spark, tmp_path):
     for i in range(7):
         want |= {j: i * 10 + j for j in range(i % 3 + 1)}
     assert {k: v for k, v in rows(runs.current(spark, f"{at}/out", ["k"]))}.keys() == want.keys()
+
+
+def test_stages_and_tags(spark):
+    df = spark.createDataFrame([("a", 2, "x"), ("a", 5, "y"), ("a", 7, "z"), ("b", 5, "u"), ("c", 7, "v")], "g string, stage int, v string")
+    kept, missing = filters.renumbered_stages(df, ["g"], "stage", [5, 2])
+    assert rows(kept) == [("a", 0, "x"), ("a", 1, "y"), ("b", 1, "u")] and rows(missing) == [("b", 2), ("c", 2), ("c", 5)]
+    assert rows(filters.renumbered_stages(df, ["g"], "stage", [5, 2], reverse=True)[0]) == [("a", 0, "y"), ("a", 1, "x"), ("b", 0, "u")]
+    seqs = spark.createDataFrame([("s", ["hard"]), ("s", ["hard", "far"]), ("t", ["hard"]), ("t", None), ("u", [])], "seq string, tags array<string>")
+    kept, odd = filters.tagged_sequences(seqs, "seq", "tags", "hard")
+    assert sorted(r.seq for r in kept.collect()) == ["s", "s", "t", "t"] and rows(odd) == [("t",)]
+
+
+def test_cases_and_files(spark):
+    from quillon.sources import frames
+
+    files = spark.createDataFrame([("/d/c2/annotation.json",), ("/d/c1/annotation.json",), ("/d/c1/other.json",), ("/d/c3/image.png",), ("/e/c1/annotation.json",)], "path string")
+    assert rows(frames.cases(files, "annotation.json")) == [("c1", "/d/c1/annotation.json"), ("c1", "/e/c1/annotation.json"), ("c2", "/d/c2/annotation.json")]
+    assert rows(frames.cases(files, "annotation.json", ids=["c2", "c9"])) == [("c2", "/d/c2/annotation.json")] and frames.cases(files, "annotation.json", most=2).count() == 2
+    lone, many = frames.lone_files(files, "JSON")
+    assert rows(lone) == [("/d/c2", "/d/c2/annotation.json"), ("/e/c1", "/e/c1/annotation.json")] and rows(many) == [("/d/c1", 2)]
+    assert rows(frames.unknown_classes(spark.createDataFrame([("cat",), ("dog",), ("cow",), (None,)], "cls string"), "cls", ["cat", "dog"])) == [("cow",), (None,)]
