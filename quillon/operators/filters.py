@@ -140,7 +140,7 @@ def renumbered_stages(df: DataFrame, keys: list[str], stage: str, wanted: list[i
     order = sorted(set(wanted), reverse=reverse)
     kept = df.where(F.col(stage).isin(order))
     place = (F.array_position(F.array(*[F.lit(s) for s in order]), F.col(stage)) - 1).cast(df.schema[stage].dataType)
-    there = df.select(*keys).distinct().withColumn(stage, F.explode(F.array(*[F.lit(s) for s in order])).cast(df.schema[stage].dataType))
+    there = df.select(*keys).distinct().withColumn(stage, F.explode(F.array(*[F.lit(s).cast(df.schema[stage].dataType) for s in order])))
     return kept.withColumn(stage, place), there.join(kept.select(*keys, stage).distinct(), [*keys, stage], "left_anti")
 
 
