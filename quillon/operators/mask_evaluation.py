@@ -9,12 +9,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.operators import metrics as E
 from quillon.operators import runs as R
 from quillon.operators.evaluation import PIXEL_AREAS, area_matches, area_truths, precision_recall
+from quillon.streaming.runs import shared_path
 
 
 def similarity(truth: DataFrame, found: DataFrame, keys: list[str], t: str = "t") -> DataFrame:
@@ -68,7 +69,14 @@ def precision(truth: DataFrame, found: DataFrame, scores: DataFrame, video: str,
     return precision_recall(m, area_truths(g.drop(video), [category], areas), [category, "area_range"], thresholds)
 
 
-def joined_report(parts: dict[str, DataFrame]) -> DataFrame:
-    """evaluator, metric, value: the (metric, value) rows of several evaluators, each under its name."""
-    named = [df.select(F.lit(n).alias("evaluator"), "metric", F.col("value").cast("double").alias("value")) for n, df in parts.items()]
+def joined_report(spark: SparkSession, parts: dict[str, DataFrame]) -> DataFrame:
+    """evaluator, metric, value: the (metric, value) rows of several evaluators, each under its name.
+
+    Every part is written before the next one is planned, so that a report of
+    many doesn't become one plan of all of them.
+    """
+    at, named = shared_path(spark, "report"), []
+    for n, df in parts.items():
+        df.select(F.lit(n).alias("evaluator"), "metric", F.col("value").cast("double").alias("value")).write.parquet(f"{at}/{n}")
+        named.append(spark.read.schema("evaluator string, metric string, value double").parquet(f"{at}/{n}"))
     return reduce(DataFrame.unionByName, named)

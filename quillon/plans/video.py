@@ -12,6 +12,7 @@ from quillon.operators import runs as R
 from quillon.plans.masks import _FOUND, _PIXELS, _TRUTH, _masks
 from quillon.plans.relational import QUERIES, query
 from quillon.plans.tables import table
+from quillon.streaming.runs import shared_path
 
 _TRACKS_SQL = f"""{_PIXELS}, gm AS (SELECT c // 16 AS video, c // 16 % 5 AS phrase, (c // 4) % 4 AS t, c % 4 AS gt, p FROM g WHERE c // 16 % 6 <> 2), dm AS (SELECT c // 16 AS video, c // 16 % 5 AS phrase, (c // 4) % 4 AS t, CASE WHEN (c // 4) % 4 = 3 AND c % 4 < 2 THEN 1 - c % 4 ELSE c % 4 END AS trk, p FROM d WHERE c // 16 % 7 <> 3),
   ga AS (SELECT video, phrase, t, gt, count(*) AS n FROM gm GROUP BY ALL), da AS (SELECT video, phrase, t, trk, count(*) AS n FROM dm GROUP BY ALL), sh AS (SELECT gm.video, gm.phrase, gm.t, gt, trk, count(*) AS n FROM gm JOIN dm ON gm.video = dm.video AND gm.t = dm.t AND gm.p = dm.p GROUP BY ALL),
@@ -82,14 +83,17 @@ def mask_video_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mask_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One report of several evaluators over the same tracks; its parts have their own queries and SQL."""
-    g, d = _tracks(spark, sf_dir)
+    at, both = shared_path(spark, "tracks"), _tracks(spark, sf_dir)
+    for name, df in zip("gd", both):
+        df.write.parquet(f"{at}/{name}")
+    g, d = (spark.read.schema(df.schema).parquet(f"{at}/{name}") for name, df in zip("gd", both))
     units = table(spark, sf_dir, "embeddings", "vec_id").select(F.floor(F.col("vec_id") / 16).alias("video")).distinct().withColumn("phrase", F.col("video") % 5)
     phrases = E.phrase_summary(M.phrase_rows(units, g, d, ["video", "phrase"])).agg(F.avg("cgf1").alias("cgf1"), F.avg("positive_f1").alias("positive_f1"), F.avg("il_mcc").alias("il_mcc"))
     precision = M.precision(g, d, _scores(spark, sf_dir), "video", "phrase", {"all": (0, 1e10)}).agg(F.avg("ap").alias("map"))
     classed = lambda s: s.withColumn("cls", F.col("phrase"))
     teta = M.teta(classed(g), classed(d), ["video"])
     parts = {"hota": E.long_form(M.hota(g, d, ["video", "phrase"]), [], E.HOTA_FIELDS), "teta": E.long_form(teta, [], ["teta", "loc_a", "assoc_a", "cls_a"]), "phrases": E.long_form(phrases, [], ["cgf1", "positive_f1", "il_mcc"]), "precision": E.long_form(precision, [], ["map"])}
-    return M.joined_report(parts).select("evaluator", "metric", F.round("value", 6).alias("value"))
+    return M.joined_report(spark, parts).select("evaluator", "metric", F.round("value", 6).alias("value"))
 
 
 

@@ -136,5 +136,5 @@ def test_tracks_of_masks(spark):
     scores = spark.createDataFrame([("v", "c", 1, 0.9), ("v", "c", 2, 0.8), ("v", "c", 9, 0.7)], "video string, cls string, trk long, score double")
     ap = {round(r.threshold, 2): r.ap for r in M.precision(g, d, scores, "video", "cls", {"all": (0, 1e10)}).collect()}
     assert ap[0.5] == pytest.approx(1.0) and ap[0.55] == pytest.approx(51 / 101)
-    report = M.joined_report({"a": spark.createDataFrame([("x", 1.0)], "metric string, value double"), "b": spark.createDataFrame([("x", 2)], "metric string, value int")})
+    report = M.joined_report(spark, {"a": spark.createDataFrame([("x", 1.0)], "metric string, value double"), "b": spark.createDataFrame([("x", 2)], "metric string, value int")})
     assert sorted(map(tuple, report.collect())) == [("a", "x", 1.0), ("b", "x", 2.0)]
