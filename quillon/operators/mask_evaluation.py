@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from quillon.operators import metrics as E
 from quillon.operators import runs as R
-from quillon.operators.evaluation import PIXEL_AREAS, area_matches, area_truths, precision_recall
+from quillon.operators.evaluation import PIXEL_AREAS, area_flags, area_truths, precision_recall
 from quillon.streaming.runs import shared_path
 
 
@@ -64,9 +64,9 @@ def precision(truth: DataFrame, found: DataFrame, scores: DataFrame, video: str,
 
     g = tracks(truth, "gt").withColumns({"ignore": F.lit(False), "crowd": F.lit(False)})
     d = tracks(found, "trk").join(scores.select(*keys, "trk", "score"), [*keys, "trk"]).withColumnRenamed("trk", "det")
-    m = area_matches(g, d, volumes(truth, found, keys, t).withColumnRenamed("trk", "det"), keys, areas, thresholds)
+    m = area_flags(g, d, volumes(truth, found, keys, t).withColumnRenamed("trk", "det"), keys, areas, thresholds)
     m = m.withColumn("ord", F.struct(video, "det"))
-    return precision_recall(m, area_truths(g.drop(video), [category], areas), [category, "area_range"], thresholds)
+    return precision_recall(m, area_truths(g.drop(video), [category], areas), [category], areas, thresholds)
 
 
 def joined_report(spark: SparkSession, parts: dict[str, DataFrame]) -> DataFrame:

@@ -33,10 +33,10 @@ def _area_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     image = F.col("image")
     truth = g.withColumns({"area": (image * 13 + F.col("gt") * 7) % 10 * 9000 + 100, "ignore": (image + F.col("gt")) % 10 == 0, "crowd": F.lit(False)})
     found = d.withColumnRenamed("dt", "det").withColumn("area", (image * 13 + F.col("det") * 7 + 3) % 10 * 9000 + 100)
-    m = V.area_matches(truth, found, o.select(*by, "gt", F.col("dt").alias("det"), "iou"), by, V.PIXEL_AREAS, _LEVELS)
+    m = V.area_flags(truth, found, o.select(*by, "gt", F.col("dt").alias("det"), "iou"), by, V.PIXEL_AREAS, _LEVELS)
     m = m.withColumn("ord", image * 100 + F.col("det")).withColumnRenamed("phrase", "category")
     n = V.area_truths(truth.withColumnRenamed("phrase", "category"), ["category"])
-    return V.precision_recall(m, n, ["category", "area_range"], _LEVELS)
+    return V.precision_recall(m, n, ["category"], V.PIXEL_AREAS, _LEVELS)
 
 
 @query(f"WITH {_AREA_SQL} SELECT category, area_range, threshold, round(ap, 6) AS ap, round(recall_1, 6) AS recall_1, round(recall_10, 6) AS recall_10, round(recall_100, 6) AS recall_100 FROM s")

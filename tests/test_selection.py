@@ -148,3 +148,17 @@ def test_video_scores(spark):
     assert got == {(c, a, x): (pytest.approx(1), 1) for c in (0, 1) for a in ("all", "small") for x in (0.5, 0.95)}
     late = V.video_precision(truth, found.where("det = 8"), "video", "cls", thresholds=[0.5, 0.95]).collect()
     assert {(r.threshold, round(r.ap, 9)) for r in late} == {(0.5, 1.0), (0.95, 0.0)}
+
+
+def test_flags_carry_all_ranges_in_one_row(spark):
+    truth = spark.createDataFrame([(1, 0, False, False, 100.0), (2, 0, False, False, 20000.0)], "i int, gt int, ignore boolean, crowd boolean, area double")
+    found = spark.createDataFrame([(1, 0, 0.9, 100.0), (1, 1, 0.8, 90000.0), (2, 0, 0.7, 20000.0)], "i int, det int, score double, area double")
+    over = spark.createDataFrame([(1, 0, 0, 0.6), (2, 0, 0, 0.9)], "i int, gt int, det int, iou double")
+    flags = V.area_flags(truth, found, over, ["i"], thresholds=[0.5, 0.75])
+    # all, small, medium, large; two thresholds each.
+    assert {(r.i, r.det): r.flags for r in flags.collect()} == {(1, 0): "21213030", (1, 1): "11000011", (2, 0): "22332233"}
+    rows = flags.withColumn("cls", F.lit(0)).withColumn("ord", F.col("det"))
+    got = {(r.area_range, r.threshold): (r.ap, r.recall_1) for r in V.precision_recall(rows, V.area_truths(truth.withColumn("cls", F.lit(0)), ["cls"]), ["cls"], thresholds=[0.5, 0.75]).collect()}
+    assert got["medium", 0.5] == got["medium", 0.75] == got["small", 0.5] == (pytest.approx(1.0), 1.0)
+    assert got["small", 0.75] == (0.0, 0.0) and ("large", 0.5) not in got
+    assert got["all", 0.5] == (pytest.approx((51 + 50 * 2 / 3) / 101), 1.0) and got["all", 0.75] == (pytest.approx(51 / 3 / 101), 0.5)
