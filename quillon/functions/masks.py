@@ -22,11 +22,20 @@ def area_ratio(counts: Column, height: Column, width: Column) -> Column:
 
 def run_intervals(counts: Column) -> Column:
     """Array of {first, end} of the runs of ones, end exclusive, over the column-major pixel numbers."""
-    ends = F.transform(counts, lambda _, i: F.aggregate(F.slice(counts, F.lit(1), i + 1), F.lit(0).cast("long"), lambda s, v: s + v))
-    runs = F.transform(counts, lambda x, i: F.struct((F.get(ends, i) - x).alias("first"), F.get(ends, i).alias("end")))
+    kind = "array<struct<first: bigint, end: bigint>>"
+    # One fold: what a lambda takes from outside is computed anew for each element.
+    start = F.struct(F.lit(0).cast("long").alias("end"), F.array().cast(kind).alias("runs"))
+    step = lambda s, x: F.struct((s["end"] + x.cast("long")).alias("end"), F.concat(s["runs"], F.array(F.struct(s["end"].alias("first"), (s["end"] + x.cast("long")).alias("end")))).alias("runs"))
+    runs = F.aggregate(counts, start, step, lambda s: s["runs"])
     return F.filter(runs, lambda r, i: (i % 2 == 1) & (r["end"] > r["first"]))
 
 
+def shared_pixels(a: Column, b: Column) -> Column:
+    """Pixels in both of two arrays of `run_intervals`."""
+    both = lambda s, r: F.aggregate(b, s, lambda t, q: t + F.greatest(F.least(r["end"], q["end"]) - F.greatest(r["first"], q["first"]), F.lit(0).cast("long")))
+    return F.aggregate(a, F.lit(0).cast("long"), both)
+
+
 def intersection(a: Column, b: Column) -> Column:
     """Pixels that both run-length masks set."""
     both = F.flatten(F.transform(run_intervals(a), lambda r: F.transform(run_intervals(b), lambda q: F.greatest(F.least(r["end"], q["end"]) - F.greatest(r["first"], q["first"]), F.lit(0).cast("long")))))
@@ -48,7 +57,11 @@ def bounds(counts: Column, height: Column, exclusive: bool = False) -> Column:
 
     A run that goes on into another column spans all rows.
     """
-    runs = run_intervals(counts)
+    # The runs as an element, so that they are made once.
+    return F.get(F.transform(F.array(run_intervals(counts)), lambda runs: _bounds(runs, height, exclusive)), 0)
+
+
+def _bounds(runs: Column, height: Column, exclusive: bool) -> Column:
     x1 = F.array_min(F.transform(runs, lambda r: F.floor(r["first"] / height)))
     x2 = F.array_max(F.transform(runs, lambda r: F.floor((r["end"] - 1) / height)))
     spans = lambda r: F.floor(r["first"] / height) != F.floor((r["end"] - 1) / height)

@@ -182,3 +182,13 @@ def test_greedy_match_against_plain_version(spark):
     frames_ = [spark.createDataFrame(x, s) for x, s in ((truth, "i int, gt int, ignore boolean, crowd boolean"), (found, "i int, det int, score double"), (over, "i int, gt int, det int, iou double"))]
     got = matching.greedy_match(*frames_, ["i"], [0.3, 0.6], 3).collect()
     assert {(x.i, x.det, x.threshold, x.hit, x.ignored) for x in got} == want and len(got) == len(want)
+
+
+def test_runs_of_long_masks_take_one_fold(spark):
+    # The plan names the array once for its runs: a look-up of ends for each element would make the time cubic.
+    df = spark.createDataFrame([([0, 2] * 1500,), ([3, 1, 2],), ([5],)], "c array<int>")
+    got = [list(map(tuple, r[0])) for r in df.select(M.run_intervals(F.col("c"))).collect()]
+    assert got == [[(2 * i, 2 * i + 2) for i in range(1500)], [(3, 4)], []]
+    assert [r[0] for r in df.select(M.bounds(F.col("c"), F.lit(4))).collect()] == [[0, 0, 749, 3], [0, 3, 0, 3], None]
+    a, b = M.run_intervals(F.col("c")), M.run_intervals(F.lit([0, 4]))
+    assert [r[0] for r in df.select(M.shared_pixels(a, b)).collect()] == [4, 1, 0]
