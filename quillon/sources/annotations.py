@@ -6,13 +6,14 @@ that section's columns; nothing is built that a join doesn't already do.
 
 from __future__ import annotations
 
-import uuid
+import itertools
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillon.functions.boxes import clamp01
+from quillon.streaming.runs import shared_path
 
 _RLE = "struct<counts: string, size: array<int>>"
 IMAGE_TRUTH = f"""
@@ -161,18 +162,25 @@ def ranked_masks(masks: DataFrame, images: DataFrame) -> DataFrame:
 
 
 def json_strings(df: DataFrame, key: str, column: str) -> DataFrame:
-    """key, path, value of every leaf of a JSON document, however deep it is nested."""
-    spark = df.sparkSession
-    view = f"__q_json_{uuid.uuid4().hex}"
-    df.select(F.col(key).alias("k"), F.try_parse_json(F.col(column)).alias("v")).createOrReplaceTempView(view)
-    leaves = spark.sql(f"""
-        WITH RECURSIVE walk(k, path, v) AS (
-          SELECT k, '$', v FROM {view} WHERE v IS NOT NULL
-          UNION ALL
-          SELECT w.k, w.path || coalesce('.' || c.key, '[' || c.pos || ']'), c.value FROM walk w, LATERAL variant_explode(w.v) c)
-        SELECT k AS {key}, path, try_cast(v AS string) AS value FROM walk WHERE schema_of_variant(v) NOT LIKE 'OBJECT%' AND schema_of_variant(v) NOT LIKE 'ARRAY%'""")
-    spark.catalog.dropTempView(view)
-    return leaves
+    """key, path, value of every leaf of a JSON document, however deep it is nested.
+
+    One level after the other, each written once, until nothing is nested: a
+    recursive query ends in an error at a fixed number of rows.
+    """
+    spark, at = df.sparkSession, shared_path(df.sparkSession, "leaves")
+    kind = F.schema_of_variant("v")
+    nested = F.startswith(kind, F.lit("OBJECT")) | F.startswith(kind, F.lit("ARRAY"))
+    level = df.select(F.col(key).alias("k"), F.lit("$").alias("path"), F.try_parse_json(F.col(column)).alias("v")).where("v IS NOT NULL").withColumn("nested", nested)
+    leaves = None
+    for depth in itertools.count():
+        found = level.where("NOT nested").select(F.col("k").alias(key), "path", F.expr("try_cast(v AS string)").alias("value"))
+        leaves = found if leaves is None else leaves.unionByName(found)
+        inner = level.where("nested")
+        if depth and inner.isEmpty():
+            return leaves
+        inner = inner.lateralJoin(spark.tvf.variant_explode(F.col("v").outer())).select("k", F.concat("path", F.coalesce(F.concat(F.lit("."), "key"), F.concat(F.lit("["), "pos", F.lit("]")))).alias("path"), F.col("value").alias("v")).withColumn("nested", nested)
+        inner.write.parquet(f"{at}/{depth}")
+        level = spark.read.schema(inner.schema).parquet(f"{at}/{depth}")
 
 
 def without_failures(images: DataFrame, outputs: DataFrame, key: str) -> DataFrame:

@@ -168,3 +168,13 @@ def test_sinks(spark, tmp_path):
     v = spark.createDataFrame([(0.123456789,), (0.0,)], "v double").select(sinks.percent(F.col("v")).alias("p")).collect()
     assert [r.p for r in v] == [12.346, 0.0]
     assert {r.status: r.n for r in sinks.status_counts(spark.createDataFrame([("ok",), ("ok",), ("bad",)], "status string")).collect()} == {"ok": 2, "bad": 1, "all": 3}
+
+
+def test_json_strings_of_more_rows_than_a_recursion_may_have(spark):
+    df = spark.range(40).selectExpr("id", """'{"a": {"b": [1, "x"]}, "c": null}' AS j""")
+    spark.conf.set("spark.sql.cteRecursionRowLimit", 10)
+    try:
+        got = annotations.json_strings(df, "id", "j").collect()
+    finally:
+        spark.conf.unset("spark.sql.cteRecursionRowLimit")
+    assert len(got) == 120 and {(r.path, r.value) for r in got} == {("$.a.b[0]", "1"), ("$.a.b[1]", "x"), ("$.c", None)}
