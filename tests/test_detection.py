@@ -200,3 +200,12 @@ def test_zero_boxes_become_null(spark):
     df = spark.createDataFrame([([[0.0] * 4, [1.0, 1.0, 2.0, 2.0], None], ["a", "b", "c"], [3.0, 4.0, 5.0])], "b array<array<double>>, m array<string>, a array<double>")
     r = filters.null_empty_boxes(df, "b", "m", "a").first()
     assert (r.b, r.m, r.a) == ([None, [1.0, 1.0, 2.0, 2.0], None], [None, "b", None], [None, 4.0, None])
+
+
+def test_best_annotator_of_equal_means_in_any_order(spark):
+    # 0.1 + 0.2 + 0.3 and 0.3 + 0.2 + 0.1 differ in their last bit.
+    level = {0.5: 0.1, 0.6: 0.2, 0.7: 0.3}
+    rows = [(1, 2, t, level[t]) for t in (0.5, 0.6, 0.7)] + [(1, 1, t, level[t]) for t in (0.7, 0.6, 0.5)]
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, "u int, a int, threshold double, f1 double").coalesce(1)
+        assert {r.a for r in metrics.best_annotator(df, ["u"], "a").collect()} == {1}
