@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from quillon.operators.partitions import dealt
+
 #: Rows of a tile: segments of neighbouring columns meet by tile, so that a column of many runs isn't joined all against all.
 TILE = 64
 
@@ -29,10 +31,12 @@ def segments(masks: DataFrame, keys: list[str], counts: str, height: Column | in
     """Rows of masks given as run lengths in column-major order, the first run of zeros.
 
     Null and empty arrays are empty masks and have no rows, nor have runs of no
-    length; what lies beyond the last column is dropped.
+    length; what lies beyond the last column is dropped.  Masks are dealt before
+    their runs become rows; what combines masks of equal keys finds them dealt.
     """
     h, w = (x if isinstance(x, Column) else F.lit(x) for x in (height, width))
-    runs = masks.select(*keys, h.cast("long").alias("__q_h"), w.cast("long").alias("__q_w"), F.posexplode(counts).alias("__q_i", "__q_n"))
+    masks = dealt(masks.select(*keys, F.col(counts).alias("__q_counts"), h.cast("long").alias("__q_h"), w.cast("long").alias("__q_w")), *keys)
+    runs = masks.select(*keys, "__q_h", "__q_w", F.posexplode("__q_counts").alias("__q_i", "__q_n"))
     end = F.sum(F.col("__q_n").cast("long")).over(Window.partitionBy(*keys).orderBy("__q_i").rowsBetween(Window.unboundedPreceding, 0))
     ends = runs.withColumn("__q_end", end).where("__q_i % 2 = 1 AND __q_n > 0").withColumn("__q_first", F.col("__q_end") - F.col("__q_n"))
     x = F.expr("sequence(__q_first div __q_h, least((__q_end - 1) div __q_h, __q_w - 1))")
@@ -58,16 +62,28 @@ def to_counts(segs: DataFrame, masks: DataFrame, keys: list[str], height: int, w
 
 def swept(segs: DataFrame, keys: list[str], depths: dict[str, Column], keep: Callable[..., Column]) -> DataFrame:
     """Where `keep` holds for the depths: each of `depths` says what a row adds to it, `keep` gets the sums by name and must not hold for zeros."""
+    down = Window.partitionBy(*keys, "x").orderBy("y")
+    state = keep(*[F.col(f"__q_{n}") for n in depths])
+    turned = _summed(segs, keys, depths).withColumn("__q_in", state).withColumn("__q_was", F.coalesce(F.lag("__q_in").over(down), F.lit(False))).where("__q_in <> __q_was")
+    return turned.withColumn("y1", F.lead("y").over(down)).where("__q_in").select(*keys, "x", F.col("y").alias("y0"), "y1")
+
+
+def _summed(segs: DataFrame, keys: list[str], depths: dict[str, Column]) -> DataFrame:
+    """keys, x, y, __q_next and the depths from y up to there (null in the last row of a column)."""
     sides = list(depths)
     events = segs.select(*keys, "x", F.explode(F.array(F.struct(F.col("y0").alias("y"), F.lit(1).alias("s")), F.struct(F.col("y1").alias("y"), F.lit(-1).alias("s")))).alias("__q_e"), *[v.cast("int").alias(f"__q_d_{n}") for n, v in depths.items()])
     down = Window.partitionBy(*keys, "x").orderBy("y")
     summed = events.select(*keys, "x", F.col("__q_e.y").alias("y"), *[(F.col("__q_e.s") * F.col(f"__q_d_{n}")).alias(n) for n in sides])
     # With rows of equal y summed up by the last of them, one order serves every step.
     rows = down.rowsBetween(Window.unboundedPreceding, 0)
-    summed = summed.withColumns({**{f"__q_{n}": F.sum(n).over(rows) for n in sides}, "__q_next": F.lead("y").over(down)}).where("__q_next IS NULL OR __q_next <> y")
-    state = keep(*[F.col(f"__q_{n}") for n in sides])
-    turned = summed.withColumn("__q_in", state).withColumn("__q_was", F.coalesce(F.lag("__q_in").over(down), F.lit(False))).where("__q_in <> __q_was")
-    return turned.withColumn("y1", F.lead("y").over(down)).where("__q_in").select(*keys, "x", F.col("y").alias("y0"), "y1")
+    return summed.withColumns({**{f"__q_{n}": F.sum(n).over(rows) for n in sides}, "__q_next": F.lead("y").over(down)}).where("__q_next IS NULL OR __q_next <> y")
+
+
+def measured(segs: DataFrame, keys: list[str], depths: dict[str, Column], rules: dict[str, Callable[..., Column]]) -> DataFrame:
+    """keys and per rule the pixels whose depths satisfy it, all of one sweep; rules are as `keep` of `swept`. Masks without rows have none."""
+    pixels = F.col("__q_next") - F.col("y")
+    sums = {n: F.coalesce(F.sum(F.when(rule(*[F.col(f"__q_{d}") for d in depths]), pixels)), F.lit(0).cast("long")) for n, rule in rules.items()}
+    return _summed(segs, keys, depths).groupBy(*keys).agg(*[v.alias(n) for n, v in sums.items()])
 
 
 def union(segs: DataFrame, keys: list[str]) -> DataFrame:
@@ -81,6 +97,13 @@ def combined(a: DataFrame, b: DataFrame, keys: list[str], rule: Callable[[Column
     return swept(both, keys, {"a": F.col("__q_a"), "b": 1 - F.col("__q_a")}, lambda a, b: rule(a > 0, b > 0))
 
 
+def compared(a: DataFrame, b: DataFrame, keys: list[str], rules: dict[str, Callable[[Column, Column], Column]]) -> DataFrame:
+    """keys and per rule the pixels of `combined`, all of one sweep; masks that set none on either side have no row."""
+    both = a.select(*keys, "x", "y0", "y1", F.lit(1).alias("__q_a")).unionByName(b.select(*keys, "x", "y0", "y1", F.lit(0).alias("__q_a")))
+    of = {n: (lambda a, b, rule=rule: rule(a > 0, b > 0)) for n, rule in rules.items()}
+    return measured(both, keys, {"a": F.col("__q_a"), "b": 1 - F.col("__q_a")}, of)
+
+
 def frame(masks: DataFrame, keys: list[str], height: int, width: int) -> DataFrame:
     """Masks that set every pixel."""
     return masks.select(*keys, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(width - 1).cast("long"))).alias("x"), F.lit(0).cast("long").alias("y0"), F.lit(height).cast("long").alias("y1"))
@@ -127,13 +150,17 @@ def boundary_scores(truth: DataFrame, found: DataFrame, pairs: DataFrame, keys:
 
     Where only one side has a boundary its share is 0 and the other 1; where none has, both are 1.
     """
-    g, d = (boundary(s, keys, height, width) for s in (truth, found))
-    both = lambda a, b: a & b
-    hit_g = combined(g, dilated(d, keys, radius, height, width), keys, both)
-    hit_d = combined(d, dilated(g, keys, radius, height, width), keys, both)
-    out = pairs.select(*keys)
-    for part, name in ((g, "__q_g"), (d, "__q_d"), (hit_g, "__q_hg"), (hit_d, "__q_hd")):
-        out = out.join(areas(part, keys, name), keys, "left")
+    side = lambda s, of: s.select(*keys, F.lit(of).alias("__q_side"), "x", "y0", "y1")
+    own = boundary(side(truth, 0).unionByName(side(found, 1)), [*keys, "__q_side"], height, width)
+    # Each boundary is itself and, of 2 radius + 1 columns, what the other may hit: one sweep of four depths counts all.
+    r, zero, last = (F.lit(v).cast("long") for v in (radius, 0, width - 1))
+    reach = lambda x: F.struct(x.alias("x"), F.greatest(F.col("y0") - r, zero).alias("y0"), F.least(F.col("y1") + r, F.lit(height).cast("long")).alias("y1"), F.lit(True).alias("__q_near"))
+    places = F.concat(F.array(F.struct("x", "y0", "y1", F.lit(False).alias("__q_near"))), F.transform(F.sequence(F.greatest(F.col("x") - r, zero), F.least(F.col("x") + r, last)), reach))
+    rows = own.select(*keys, "__q_side", F.explode(places).alias("__q_p")).select(*keys, "__q_side", "__q_p.*")
+    depth = lambda of, near: (F.col("__q_side") == of) & (F.col("__q_near") == near)
+    depths = {"g": depth(0, False), "d": depth(1, False), "ng": depth(0, True), "nd": depth(1, True)}
+    rules = {"__q_g": lambda g, d, ng, nd: g > 0, "__q_d": lambda g, d, ng, nd: d > 0, "__q_hg": lambda g, d, ng, nd: (g > 0) & (nd > 0), "__q_hd": lambda g, d, ng, nd: (d > 0) & (ng > 0)}
+    out = pairs.select(*keys).join(measured(rows, keys, depths, rules), keys, "left")
     out = out.na.fill(0, ["__q_g", "__q_d", "__q_hg", "__q_hd"])
     share = lambda hit, own, other: F.when(F.col(own) > 0, F.when(F.col(other) > 0, F.col(hit) / F.col(own)).otherwise(0.0)).otherwise(1.0)
     out = out.select(*keys, share("__q_hd", "__q_d", "__q_g").alias("precision"), share("__q_hg", "__q_g", "__q_d").alias("recall"))
