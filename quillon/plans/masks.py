@@ -51,9 +51,8 @@ def united_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mask_algebra(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pixels of intersection, differences, exclusive or and complement."""
     a, b, every = _masks(spark, sf_dir, _TRUTH), _masks(spark, sf_dir, _FOUND), _every(spark, sf_dir)
-    out = every
-    for name, rule in {"both": lambda a, b: a & b, "missed": lambda a, b: a & ~b, "wrong": lambda a, b: b & ~a, "differ": lambda a, b: a != b}.items():
-        out = out.join(R.areas(R.combined(a, b, ["c"], rule), ["c"], name), "c", "left")
+    rules = {"both": lambda a, b: a & b, "missed": lambda a, b: a & ~b, "wrong": lambda a, b: b & ~a, "differ": lambda a, b: a != b}
+    out = every.join(R.compared(a, b, ["c"], rules), "c", "left")
     return out.join(R.areas(R.complement(a, every, ["c"], _H, _W), ["c"], "outside"), "c", "left").na.fill(0)
 
 

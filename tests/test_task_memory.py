@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 from test_runs import images, relation
 
 from quillon.operators import runs as R
@@ -21,3 +20,17 @@ def test_boundary_scores_sort_few_times(spark):
     (a, every), (b, _) = relation(spark, images(9, 8)), relation(spark, images(9, 8, seed=4))
     # Runs of either side, boundaries and hits; the rest is the join with all pairs.
     assert plan(R.boundary_scores(a, b, every, ["id"], 9, 8, 1)).count("Sort [") <= 6
+
+
+def test_jf_report_shares_the_boundary_sweep(spark):
+    from quillon.plans import QUERIES
+
+    assert plan(QUERIES["jf_report"](spark, "/root/testdata/sf0.001")).count("Sort [") <= 20
+
+
+def test_compared_counts_all_rules_in_one_sweep(spark):
+    a, b = images(7, 9), images(7, 9, seed=9)
+    (sa, _), (sb, _) = relation(spark, a), relation(spark, b)
+    got = R.compared(sa, sb, ["id"], {"both": lambda p, q: p & q, "differ": lambda p, q: p != q})
+    assert plan(got).count("Sort [") <= 3
+    assert {r.id: (r.both, r.differ) for r in got.collect()} == {i: ((a[i] & b[i]).sum(), (a[i] ^ b[i]).sum()) for i in a if (a[i] | b[i]).any()}
