@@ -33,12 +33,15 @@ def group_pairs(df: DataFrame, keys: list[str], item: str, columns: list[str], c
     def span(low: Column, high: Column) -> Column:
         return F.sequence(F.floor(low / cell), F.floor(high / cell))
 
-    placed = df.select(*keys, F.struct(F.col(item).alias("item"), *columns).alias("s"), F.col(box).alias("__q_b"))
-    placed = placed.withColumn("__q_x", F.explode(span(F.col("__q_b.x1"), F.col("__q_b.x2")))).withColumn("__q_y", F.explode(span(F.col("__q_b.y1"), F.col("__q_b.y2"))))
+    # The boxes of a side are some columns of files, small on disk; as rows per cell they are too many to broadcast.
+    placed = df.select(*keys, F.struct(F.col(item).alias("item"), *columns).alias("s"), *([] if box in columns else [F.col(box).alias("__q_b")]))
+    at = F.col("s")[box] if box in columns else F.col("__q_b")
+    placed = placed.withColumn("__q_x", F.explode(span(at["x1"], at["x2"]))).withColumn("__q_y", F.explode(span(at["y1"], at["y2"])))
     a = placed.withColumnsRenamed({"s": "a", "__q_b": "__q_ba"})
     b = placed.withColumnsRenamed({"s": "b", "__q_b": "__q_bb"})
-    met = a.join(b, [*keys, "__q_x", "__q_y"]).where("a.item < b.item")
-    first = (F.col("__q_x") == F.floor(F.greatest("__q_ba.x1", "__q_bb.x1") / cell)) & (F.col("__q_y") == F.floor(F.greatest("__q_ba.y1", "__q_bb.y1") / cell))
+    met = a.join(b.hint("merge"), [*keys, "__q_x", "__q_y"]).where("a.item < b.item")
+    box_a, box_b = (F.col(n)[box] if box in columns else F.col(f"__q_b{n}") for n in "ab")
+    first = (F.col("__q_x") == F.floor(F.greatest(box_a["x1"], box_b["x1"]) / cell)) & (F.col("__q_y") == F.floor(F.greatest(box_a["y1"], box_b["y1"]) / cell))
     return met.where(first).select(*keys, "a", "b")
 
 

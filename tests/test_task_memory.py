@@ -34,3 +34,15 @@ def test_compared_counts_all_rules_in_one_sweep(spark):
     got = R.compared(sa, sb, ["id"], {"both": lambda p, q: p & q, "differ": lambda p, q: p != q})
     assert plan(got).count("Sort [") <= 3
     assert {r.id: (r.both, r.differ) for r in got.collect()} == {i: ((a[i] & b[i]).sum(), (a[i] ^ b[i]).sum()) for i in a if (a[i] | b[i]).any()}
+
+
+def test_boxes_per_cell_are_not_broadcast(spark):
+    from quillon.functions import boxes as B
+    from quillon.operators import suppression as S
+    from quillon.plans import QUERIES
+    from quillon.plans.detection import _ranked_boxes
+
+    at = "/root/testdata/sf0.001"
+    found = S.conflicts(_ranked_boxes(spark, at), ["grp"], "id", "rank", "b", B.iou, 0.4, cell=24.0)
+    for df in (QUERIES["box_overlap_pairs"](spark, at), QUERIES["assignment_total"](spark, at), found):
+        assert "SortMergeJoin" in plan(df) and "BroadcastHashJoin" not in plan(df)
