@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quillon.operators.partitions import dealt
+
 Overlap = Callable[[Column, Column], Column]
 
 
@@ -33,10 +35,11 @@ def group_pairs(df: DataFrame, keys: list[str], item: str, columns: list[str], c
     def span(low: Column, high: Column) -> Column:
         return F.sequence(F.floor(low / cell), F.floor(high / cell))
 
-    # The boxes of a side are some columns of files, small on disk; as rows per cell they are too many to broadcast.
+    # The boxes of a side are some columns of files, small on disk; as rows per cell they are too many to broadcast, or for a task per core.
     placed = df.select(*keys, F.struct(F.col(item).alias("item"), *columns).alias("s"), *([] if box in columns else [F.col(box).alias("__q_b")]))
     at = F.col("s")[box] if box in columns else F.col("__q_b")
     placed = placed.withColumn("__q_x", F.explode(span(at["x1"], at["x2"]))).withColumn("__q_y", F.explode(span(at["y1"], at["y2"])))
+    placed = dealt(placed, *keys, "__q_x", "__q_y")
     a = placed.withColumnsRenamed({"s": "a", "__q_b": "__q_ba"})
     b = placed.withColumnsRenamed({"s": "b", "__q_b": "__q_bb"})
     met = a.join(b.hint("merge"), [*keys, "__q_x", "__q_y"]).where("a.item < b.item")

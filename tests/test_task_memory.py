@@ -46,3 +46,11 @@ def test_boxes_per_cell_are_not_broadcast(spark):
     found = S.conflicts(_ranked_boxes(spark, at), ["grp"], "id", "rank", "b", B.iou, 0.4, cell=24.0)
     for df in (QUERIES["box_overlap_pairs"](spark, at), QUERIES["assignment_total"](spark, at), found):
         assert "SortMergeJoin" in plan(df) and "BroadcastHashJoin" not in plan(df)
+
+
+def test_boxes_per_cell_stay_dealt(spark):
+    from quillon.operators import suppression as S
+    from quillon.plans.tables import part_boxes
+
+    pairs = S.group_pairs(part_boxes(spark, "/root/testdata/sf0.001"), ["grp"], "id", ["b"], 24.0, "b")
+    assert pairs.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
