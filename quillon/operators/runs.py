@@ -187,9 +187,11 @@ def overlaps(a: DataFrame, b: DataFrame, keys: list[str], a_id: str, b_id: str)
     """
     left = a.select(*keys, F.col(a_id).alias("__q_a"), "x", F.col("y0").alias("__q_a0"), F.col("y1").alias("__q_a1"), _tiles(F.col("y0"), F.col("y1")).alias("__q_t"))
     right = b.select(*keys, F.col(b_id).alias("__q_b"), "x", F.col("y0").alias("__q_b0"), F.col("y1").alias("__q_b1"), _tiles(F.col("y0"), F.col("y1")).alias("__q_t"))
+    # Segments are small in files, and as rows too many to broadcast or for a task per core.
+    by = [*keys, "x", "__q_t"]
     t = F.col("__q_t") * TILE
     length = F.least("__q_a1", "__q_b1", t + TILE) - F.greatest("__q_a0", "__q_b0", t)
-    shared = left.join(right, [*keys, "x", "__q_t"]).withColumn("__q_n", length).where("__q_n > 0").groupBy(*keys, "__q_a", "__q_b").agg(F.sum("__q_n").alias("shared"))
+    shared = dealt(left, *by).join(dealt(right, *by).hint("merge"), by).withColumn("__q_n", length).where("__q_n > 0").groupBy(*keys, "__q_a", "__q_b").agg(F.sum("__q_n").alias("shared"))
     whole = shared.join(areas(a.withColumnRenamed(a_id, "__q_a"), [*keys, "__q_a"], "__q_s"), [*keys, "__q_a"]).join(areas(b.withColumnRenamed(b_id, "__q_b"), [*keys, "__q_b"], "__q_r"), [*keys, "__q_b"])
     s, one, two = F.col("shared"), F.col("__q_s"), F.col("__q_r")
     return whole.select(*keys, F.col("__q_a").alias(a_id), F.col("__q_b").alias(b_id), "shared", (s / F.greatest(one + two - s, F.lit(1))).alias("iou"), (s / (F.least(one, two) + 1e-8)).alias("iom"))

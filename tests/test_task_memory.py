@@ -54,3 +54,14 @@ def test_boxes_per_cell_stay_dealt(spark):
 
     pairs = S.group_pairs(part_boxes(spark, "/root/testdata/sf0.001"), ["grp"], "id", ["b"], 24.0, "b")
     assert pairs.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_segments_are_not_broadcast(spark, tmp_path):
+    (a, _), (b, _) = relation(spark, images(7, 9)), relation(spark, images(7, 9, seed=9))
+    for n, segs in (("a", a), ("b", b)):
+        segs.withColumn(n, segs["id"]).write.parquet(f"{tmp_path}/{n}")
+    met = R.overlaps(*(spark.read.parquet(f"{tmp_path}/{n}") for n in "ab"), ["id"], "a", "b")
+    lines = plan(met).splitlines()
+    sides = [i for i, x in enumerate(lines) if "Join" in x and "__q_t" in x]
+    assert sides and all("SortMergeJoin" in lines[i] for i in sides)
+    assert sum("REPARTITION_BY_NUM" in x for x in lines) == 2
