@@ -65,3 +65,10 @@ def test_segments_are_not_broadcast(spark, tmp_path):
     sides = [i for i, x in enumerate(lines) if "Join" in x and "__q_t" in x]
     assert sides and all("SortMergeJoin" in lines[i] for i in sides)
     assert sum("REPARTITION_BY_NUM" in x for x in lines) == 2
+
+
+def test_units_are_shuffled_once_for_all_thresholds(spark):
+    from quillon.plans import QUERIES
+
+    made = plan(QUERIES["phrase_units"](spark, "/root/testdata/sf0.001")).splitlines()
+    assert not [x for x in made if "Exchange" in x and "threshold" in x]
