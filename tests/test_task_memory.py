@@ -72,3 +72,12 @@ def test_units_are_shuffled_once_for_all_thresholds(spark):
 
     made = plan(QUERIES["phrase_units"](spark, "/root/testdata/sf0.001")).splitlines()
     assert not [x for x in made if "Exchange" in x and "threshold" in x]
+
+
+def test_assigned_groups_stay_dealt(spark):
+    from quillon.operators.matching import assign
+
+    pairs = spark.createDataFrame([(i, a, b, 0.5) for i in range(8) for a in range(2) for b in range(2)], "grp long, a long, b long, w double")
+    got = assign(pairs, ["grp"], "a", "b", "w")
+    assert got.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert got.groupBy("grp").count().where("count = 2").count() == 8
