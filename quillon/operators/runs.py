@@ -27,15 +27,16 @@ from quillon.operators.partitions import dealt
 TILE = 64
 
 
-def segments(masks: DataFrame, keys: list[str], counts: str, height: Column | int, width: Column | int) -> DataFrame:
+def segments(masks: DataFrame, keys: list[str], counts: str, height: Column | int, width: Column | int, tasks: int = 0) -> DataFrame:
     """Rows of masks given as run lengths in column-major order, the first run of zeros.
 
     Null and empty arrays are empty masks and have no rows, nor have runs of no
     length; what lies beyond the last column is dropped.  Masks are dealt before
-    their runs become rows; what combines masks of equal keys finds them dealt.
+    their runs become rows, over `tasks` tasks at least; what combines masks of
+    equal keys finds them dealt.
     """
     h, w = (x if isinstance(x, Column) else F.lit(x) for x in (height, width))
-    masks = dealt(masks.select(*keys, F.col(counts).alias("__q_counts"), h.cast("long").alias("__q_h"), w.cast("long").alias("__q_w")), *keys)
+    masks = dealt(masks.select(*keys, F.col(counts).alias("__q_counts"), h.cast("long").alias("__q_h"), w.cast("long").alias("__q_w")), *keys, tasks=tasks)
     runs = masks.select(*keys, "__q_h", "__q_w", F.posexplode("__q_counts").alias("__q_i", "__q_n"))
     end = F.sum(F.col("__q_n").cast("long")).over(Window.partitionBy(*keys).orderBy("__q_i").rowsBetween(Window.unboundedPreceding, 0))
     ends = runs.withColumn("__q_end", end).where("__q_i % 2 = 1 AND __q_n > 0").withColumn("__q_first", F.col("__q_end") - F.col("__q_n"))
@@ -180,10 +181,10 @@ def _tiles(y0: Column, y1: Column) -> Column:
     return F.explode(F.sequence(F.floor(y0 / TILE), F.floor((y1 - 1) / TILE)))
 
 
-def overlaps(a: DataFrame, b: DataFrame, keys: list[str], a_id: str, b_id: str) -> DataFrame:
+def overlaps(a: DataFrame, b: DataFrame, keys: list[str], a_id: str, b_id: str, tasks: int = 0) -> DataFrame:
     """keys, a_id, b_id, shared, iou, iom of the masks of `a` and `b` with equal keys that share pixels.
 
-    Segments meet by column and tile, so pairs without a shared column cost nothing.
+    Segments meet by column and tile, over `tasks` tasks at least, so pairs without a shared column cost nothing.
     """
     left = a.select(*keys, F.col(a_id).alias("__q_a"), "x", F.col("y0").alias("__q_a0"), F.col("y1").alias("__q_a1"), _tiles(F.col("y0"), F.col("y1")).alias("__q_t"))
     right = b.select(*keys, F.col(b_id).alias("__q_b"), "x", F.col("y0").alias("__q_b0"), F.col("y1").alias("__q_b1"), _tiles(F.col("y0"), F.col("y1")).alias("__q_t"))
@@ -191,7 +192,7 @@ def overlaps(a: DataFrame, b: DataFrame, keys: list[str], a_id: str, b_id: str)
     by = [*keys, "x", "__q_t"]
     t = F.col("__q_t") * TILE
     length = F.least("__q_a1", "__q_b1", t + TILE) - F.greatest("__q_a0", "__q_b0", t)
-    shared = dealt(left, *by).join(dealt(right, *by).hint("merge"), by).withColumn("__q_n", length).where("__q_n > 0").groupBy(*keys, "__q_a", "__q_b").agg(F.sum("__q_n").alias("shared"))
+    shared = dealt(left, *by, tasks=tasks).join(dealt(right, *by, tasks=tasks).hint("merge"), by).withColumn("__q_n", length).where("__q_n > 0").groupBy(*keys, "__q_a", "__q_b").agg(F.sum("__q_n").alias("shared"))
     whole = shared.join(areas(a.withColumnRenamed(a_id, "__q_a"), [*keys, "__q_a"], "__q_s"), [*keys, "__q_a"]).join(areas(b.withColumnRenamed(b_id, "__q_b"), [*keys, "__q_b"], "__q_r"), [*keys, "__q_b"])
     s, one, two = F.col("shared"), F.col("__q_s"), F.col("__q_r")
     return whole.select(*keys, F.col("__q_a").alias(a_id), F.col("__q_b").alias(b_id), "shared", (s / F.greatest(one + two - s, F.lit(1))).alias("iou"), (s / (F.least(one, two) + 1e-8)).alias("iom"))

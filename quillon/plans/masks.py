@@ -12,17 +12,24 @@ from pyspark.sql import functions as F
 
 from quillon.operators import points as P
 from quillon.operators import runs as R
+from quillon.operators.partitions import tasks_for
 from quillon.plans.relational import query
 from quillon.plans.tables import table
 
 _H, _W = 24, 32
 #: Lengths of runs of zeros and of ones for a number of size 1.
 _TRUTH, _FOUND = (100, 80), (95, 86)
+#: Vectors of a task: the sweep over boundaries sorts some 0.2 MB of rows for each.
+_EACH = 1000
 
 
-def _masks(spark: SparkSession, sf_dir: str, scales: tuple[int, int]) -> DataFrame:
+def _tasks(spark: SparkSession, sf_dir: str) -> int:
+    return tasks_for(table(spark, sf_dir, "embeddings"), _EACH)
+
+
+def _masks(spark: SparkSession, sf_dir: str, scales: tuple[int, int], tasks: int | None = None) -> DataFrame:
     counts = F.transform("embedding", lambda v, i: F.lit(1) + F.floor(F.abs(v.cast("double")) * F.when(i % 2 == 0, scales[0]).otherwise(scales[1])))
-    return R.segments(table(spark, sf_dir, "embeddings", "vec_id", "embedding").select(F.col("vec_id").alias("c"), counts.alias("counts")), ["c"], "counts", _H, _W)
+    return R.segments(table(spark, sf_dir, "embeddings", "vec_id", "embedding").select(F.col("vec_id").alias("c"), counts.alias("counts")), ["c"], "counts", _H, _W, _tasks(spark, sf_dir) if tasks is None else tasks)
 
 
 def _every(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,14 +71,14 @@ _SCORES = f"""{_PIXELS}, k AS (SELECT * FROM (VALUES (0, 0), (0, 1), (1, 0), (1,
   s AS (SELECT c, CASE WHEN nd = 0 THEN 1.0 WHEN ng = 0 THEN 0.0 ELSE hd / nd END AS p, CASE WHEN ng = 0 THEN 1.0 WHEN nd = 0 THEN 0.0 ELSE hg / ng END AS r FROM n), f AS (SELECT c, p, r, CASE WHEN p + r = 0 THEN 0 ELSE 2 * p * r / (p + r) END AS f FROM s)"""
 
 
-def _boundary_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.boundary_scores(_masks(spark, sf_dir, _TRUTH), _masks(spark, sf_dir, _FOUND), _every(spark, sf_dir), ["c"], _H, _W, _RADIUS)
+def _boundary_scores(spark: SparkSession, sf_dir: str, tasks: int) -> DataFrame:
+    return R.boundary_scores(_masks(spark, sf_dir, _TRUTH, tasks), _masks(spark, sf_dir, _FOUND, tasks), _every(spark, sf_dir), ["c"], _H, _W, _RADIUS)
 
 
 @query(f"WITH {_SCORES} SELECT c, round(p, 6) AS precision, round(r, 6) AS recall, round(f, 6) AS f FROM f")
 def boundary_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boundary precision, recall and F of each vector's masks."""
-    return _boundary_scores(spark, sf_dir).select("c", *[F.round(n, 6).alias(n) for n in ("precision", "recall", "f")])
+    return _boundary_scores(spark, sf_dir, _tasks(spark, sf_dir)).select("c", *[F.round(n, 6).alias(n) for n in ("precision", "recall", "f")])
 
 
 _IOU = "iou AS (SELECT g.c, count(*) AS i FROM g JOIN d USING (c, p) GROUP BY 1), j AS (SELECT c, i / ((SELECT count(*) FROM g WHERE g.c = iou.c) + (SELECT count(*) FROM d WHERE d.c = iou.c) - i) AS iou FROM iou)"
@@ -81,17 +88,19 @@ _IOU = "iou AS (SELECT g.c, count(*) AS i FROM g JOIN d USING (c, p) GROUP BY 1)
   SELECT unit, round(j, 6) AS j, round(f, 6) AS f, round((j + f) / 2, 6) AS jf FROM u""")
 def jf_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J, F and J&F of units of twenty vectors: matched masks by overlap and boundary."""
-    pairs = R.overlaps(_masks(spark, sf_dir, _TRUTH).withColumn("g", F.col("c")), _masks(spark, sf_dir, _FOUND).withColumn("d", F.col("c")), ["c"], "g", "d")
+    tasks = _tasks(spark, sf_dir)
+    pairs = R.overlaps(_masks(spark, sf_dir, _TRUTH, tasks).withColumn("g", F.col("c")), _masks(spark, sf_dir, _FOUND, tasks).withColumn("d", F.col("c")), ["c"], "g", "d", tasks)
     matched = pairs.select("c", "iou", F.floor(F.col("c") / 20).alias("unit"))
-    return R.jf_scores(matched, _boundary_scores(spark, sf_dir), ["c"], ["unit"]).select("unit", *[F.round(n, 6).alias(n) for n in ("j", "f", "jf")])
+    return R.jf_scores(matched, _boundary_scores(spark, sf_dir, tasks), ["c"], ["unit"]).select("unit", *[F.round(n, 6).alias(n) for n in ("j", "f", "jf")])
 
 
 @query(f"""WITH {_PIXELS}, o AS (SELECT g.c AS a, d.c AS b, count(*) AS shared FROM g JOIN d ON g.c // 20 = d.c // 20 AND g.p = d.p GROUP BY 1, 2), n AS (SELECT c, count(*) AS n FROM g GROUP BY 1), m AS (SELECT c, count(*) AS n FROM d GROUP BY 1)
   SELECT a // 20 AS image, a, b, shared, round(shared / (n.n + m.n - shared), 6) AS iou, round(shared / (least(n.n, m.n) + 1e-8), 6) AS iom FROM o JOIN n ON n.c = a JOIN m ON m.c = b""")
 def mask_ious(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Masks of many runs against those of the same image of twenty, by column and tile."""
-    of = lambda n, lengths: _masks(spark, sf_dir, lengths).withColumn("image", F.floor(F.col("c") / 20)).withColumnRenamed("c", n)
-    pairs = R.overlaps(of("a", _TRUTH), of("b", _FOUND), ["image"], "a", "b")
+    tasks = _tasks(spark, sf_dir)
+    of = lambda n, lengths: _masks(spark, sf_dir, lengths, tasks).withColumn("image", F.floor(F.col("c") / 20)).withColumnRenamed("c", n)
+    pairs = R.overlaps(of("a", _TRUTH), of("b", _FOUND), ["image"], "a", "b", tasks)
     return pairs.select("image", "a", "b", "shared", F.round("iou", 6).alias("iou"), F.round("iom", 6).alias("iom"))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from test_runs import images, relation
 
 from quillon.operators import runs as R
@@ -81,3 +83,17 @@ def test_assigned_groups_stay_dealt(spark):
     got = assign(pairs, ["grp"], "a", "b", "w")
     assert got.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert got.groupBy("grp").count().where("count = 2").count() == 8
+
+
+def numbers_dealt(df) -> set[int]:
+    return {int(n) for n in re.findall(r", (\d+)\), REPARTITION_BY_NUM", plan(df))}
+
+
+def test_tasks_of_masks_follow_the_vectors(spark, monkeypatch):
+    from quillon.plans import QUERIES, masks
+
+    at = "/root/testdata/sf0.001"
+    n = spark.read.parquet(f"{at}/embeddings.parquet").count()
+    monkeypatch.setattr(masks, "_EACH", 2)
+    for name in ("jf_report", "boundary_scores", "mask_algebra", "mask_ious"):
+        assert numbers_dealt(QUERIES[name](spark, at)) == {-(-n // 2)}
