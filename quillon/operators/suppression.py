@@ -20,12 +20,13 @@ from quillon.operators.partitions import dealt
 Overlap = Callable[[Column, Column], Column]
 
 
-def group_pairs(df: DataFrame, keys: list[str], item: str, columns: list[str], cell: float | None = None, box: str | None = None) -> DataFrame:
+def group_pairs(df: DataFrame, keys: list[str], item: str, columns: list[str], cell: float | None = None, box: str | None = None, tasks: int = 0) -> DataFrame:
     """Pairs of different items of one group: keys, a, b (structs of `item` and `columns`), each once with a.item < b.item.
 
     With `cell`, only pairs whose boxes (column `box`) share a grid cell of that
     size; a pair meets in the cell where the boxes' common part begins, and
-    nowhere else, so no pair is repeated.
+    nowhere else, so no pair is repeated.  Cells are dealt over `tasks` tasks at
+    least.
     """
     side = df.select(*keys, F.struct(F.col(item).alias("item"), *columns).alias("s"))
     if cell is None:
@@ -39,7 +40,7 @@ def group_pairs(df: DataFrame, keys: list[str], item: str, columns: list[str], c
     placed = df.select(*keys, F.struct(F.col(item).alias("item"), *columns).alias("s"), *([] if box in columns else [F.col(box).alias("__q_b")]))
     at = F.col("s")[box] if box in columns else F.col("__q_b")
     placed = placed.withColumn("__q_x", F.explode(span(at["x1"], at["x2"]))).withColumn("__q_y", F.explode(span(at["y1"], at["y2"])))
-    placed = dealt(placed, *keys, "__q_x", "__q_y")
+    placed = dealt(placed, *keys, "__q_x", "__q_y", tasks=tasks)
     a = placed.withColumnsRenamed({"s": "a", "__q_b": "__q_ba"})
     b = placed.withColumnsRenamed({"s": "b", "__q_b": "__q_bb"})
     met = a.join(b.hint("merge"), [*keys, "__q_x", "__q_y"]).where("a.item < b.item")
@@ -48,9 +49,9 @@ def group_pairs(df: DataFrame, keys: list[str], item: str, columns: list[str], c
     return met.where(first).select(*keys, "a", "b")
 
 
-def conflicts(df: DataFrame, keys: list[str], item: str, rank: str, box: str, overlap: Overlap, threshold: float, inclusive: bool = False, cell: float | None = None) -> DataFrame:
+def conflicts(df: DataFrame, keys: list[str], item: str, rank: str, box: str, overlap: Overlap, threshold: float, inclusive: bool = False, cell: float | None = None, tasks: int = 0) -> DataFrame:
     """keys, winner, loser: items whose overlap exceeds (or, `inclusive`, reaches) the threshold, the one of smaller rank first."""
-    pairs = group_pairs(df, keys, item, [rank, box], cell, box)
+    pairs = group_pairs(df, keys, item, [rank, box], cell, box, tasks)
     value = overlap(F.col("a")[box], F.col("b")[box])
     pairs = pairs.where(value >= threshold if inclusive else value > threshold)
     ahead = F.col("a")[rank] < F.col("b")[rank]
@@ -71,12 +72,11 @@ def greedy_nms(df: DataFrame, keys: list[str], item: str, rank: str, found: Data
     """Rows that no kept item conflicts with, in rank order: only kept items suppress. `found`: of `conflicts`."""
     against = found.groupBy(*keys, F.col("loser").alias(item)).agg(F.collect_list("winner").alias("__q_against"))
     listed = df.join(against, [*keys, item])
-    # Only items that some better one conflicts with are folded; all others are kept.
-    better = found.select(*keys, F.col("winner").alias(item)).distinct().join(against.select(*keys, item), [*keys, item], "left_anti")
-    free = better.groupBy(*keys).agg(F.collect_list(item).alias("__q_free"))
-    folded = listed.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(rank).alias("r"), F.col(item).alias("i"), F.col("__q_against").alias("c")))).alias("__q_items")).join(free, keys)
-    kept = F.aggregate("__q_items", F.col("__q_free"), lambda s, x: F.when(F.arrays_overlap(s, x["c"]), s).otherwise(F.concat(s, F.array(x["i"]))))
+    # Only items that some better one conflicts with are folded; all others are kept. Winners that nothing is better than begin, so the pairs are needed once.
+    folded = listed.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(rank).alias("r"), F.col(item).alias("i"), F.col("__q_against").alias("c")))).alias("__q_items"))
     items = F.transform("__q_items", lambda x: x["i"])
+    free = F.array_except(F.flatten(F.transform("__q_items", lambda x: x["c"])), items)
+    kept = F.aggregate("__q_items", free, lambda s, x: F.when(F.arrays_overlap(s, x["c"]), s).otherwise(F.concat(s, F.array(x["i"]))))
     gone = folded.select(*keys, F.explode(F.array_except(items, kept)).alias(item))
     return df.join(gone, [*keys, item], "left_anti")
 

@@ -10,6 +10,8 @@ from quillon.functions import rotated as Q
 from quillon.operators import structure as G
 from quillon.operators import suppression as S
 from quillon.operators import transforms as T
+from quillon.operators.partitions import tasks_for
+from quillon.plans.detection import EACH
 from quillon.plans.relational import query
 from quillon.plans.tables import table
 
@@ -29,7 +31,7 @@ def rotated_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = lambda i: F.col("embedding")[i].cast("double")
     b = Q.rotated(50 + 100 * v(0), 50 + 100 * v(1), 10 + 100 * F.abs(v(2)), 5 + 100 * F.abs(v(3)), 720 * v(4))
     boxes = table(spark, sf_dir, "embeddings", "vec_id", "embedding").select("vec_id", F.floor(F.col("vec_id") / 20).alias("grp"), b.alias("r")).withColumn("b", Q.bounds(F.col("r")))
-    pairs = S.group_pairs(boxes, ["grp"], "vec_id", ["r"], 32.0, "b")
+    pairs = S.group_pairs(boxes, ["grp"], "vec_id", ["r"], 32.0, "b", tasks_for(boxes, EACH))
     out = pairs.select(F.col("a.item").alias("i"), F.col("b.item").alias("j"), Q.intersection(F.col("a.r"), F.col("b.r")).alias("n"), (Q.area(F.col("a.r")) + Q.area(F.col("b.r"))).alias("both"))
     iou = F.col("n") / (F.col("both") - F.col("n"))
     return out.where(iou > 0.001).select(F.col("i").alias("a"), F.col("j").alias("b"), F.round("n", 4).alias("shared"), F.round(iou, 6).alias("iou"))

@@ -97,3 +97,21 @@ def test_tasks_of_masks_follow_the_vectors(spark, monkeypatch):
     monkeypatch.setattr(masks, "_EACH", 2)
     for name in ("jf_report", "boundary_scores", "mask_algebra", "mask_ious"):
         assert numbers_dealt(QUERIES[name](spark, at)) == {-(-n // 2)}
+
+
+def test_tasks_of_boxes_follow_the_boxes(spark, monkeypatch):
+    from quillon.plans import QUERIES, detection
+
+    at = "/root/testdata/sf0.001"
+    n = spark.read.parquet(f"{at}/part.parquet").count()
+    monkeypatch.setattr(detection, "EACH", 10)
+    for name in ("nms_greedy", "nms_fast", "box_overlap_pairs"):
+        assert -(-n // 10) in numbers_dealt(QUERIES[name](spark, at))
+
+
+def test_greedy_suppression_joins_pairs_once(spark):
+    from quillon.plans import QUERIES
+
+    for name in ("nms_greedy",):
+        made = plan(QUERIES[name](spark, "/root/testdata/sf0.001")).splitlines()
+        assert len([x for x in made if "SortMergeJoin" in x and "__q_x" in x]) == 1
