@@ -105,13 +105,13 @@ def test_tasks_of_boxes_follow_the_boxes(spark, monkeypatch):
     at = "/root/testdata/sf0.001"
     n = spark.read.parquet(f"{at}/part.parquet").count()
     monkeypatch.setattr(detection, "EACH", 10)
-    for name in ("nms_greedy", "frame_nms", "nms_fast", "box_overlap_pairs"):
+    for name in ("nms_greedy", "frame_nms", "overlap_removal", "nms_fast", "box_overlap_pairs"):
         assert -(-n // 10) in numbers_dealt(QUERIES[name](spark, at))
 
 
 def test_greedy_suppression_joins_pairs_once(spark):
     from quillon.plans import QUERIES
 
-    for name in ("nms_greedy", "frame_nms"):
+    for name in ("nms_greedy", "frame_nms", "overlap_removal"):
         made = plan(QUERIES[name](spark, "/root/testdata/sf0.001")).splitlines()
         assert len([x for x in made if "SortMergeJoin" in x and "__q_x" in x]) == 1
