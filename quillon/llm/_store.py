@@ -30,9 +30,12 @@ def small_batches(spark: SparkSession, most: int = 1000) -> None:
 
 
 @contextmanager
-def bounded_batches(spark: SparkSession, rows: int = 1000, size: int = 16 << 20) -> Iterator[None]:
-    """While open, Arrow batches of what is run inside hold at most `rows` rows and about `size` bytes; the session's settings come back after it."""
+def bounded_batches(spark: SparkSession, rows: int = 1000, size: int = 16 << 20, scanned: int = 0) -> Iterator[None]:
+    """While open, Arrow batches of what is run inside hold at most `rows` rows and about `size` bytes, and batches of
+    the Parquet reader at most `scanned` rows (0: as the session has it); the session's settings come back after it."""
     wanted = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": str(size)}
+    if scanned:
+        wanted["spark.sql.parquet.columnarReaderBatchSize"] = str(scanned)
     before = {k: spark.conf.get(k, None) for k in wanted}
     try:
         for k, v in wanted.items():
@@ -52,8 +55,8 @@ class Workspace:
     def path(self, name: str) -> str:
         return f"{self.at}/{name}"
 
-    def write(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.option("compression", "zstd").parquet(self.path(name))
+    def write(self, df: DataFrame, name: str, options: dict[str, int] | None = None) -> DataFrame:
+        df.write.option("compression", "zstd").options(**options or {}).parquet(self.path(name))
         return self.read(name, df)
 
     def read(self, name: str, like: DataFrame) -> DataFrame:

@@ -32,6 +32,10 @@ SEPARATORS = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 BLOCK, POSTINGS = 64, 1 << 16
 #: Blocks that a task holds at a time.
 HELD = 64
+#: Rows that the Parquet reader takes at a time; its default of 4096 blocks would hold a whole file's postings on the heap.
+SCANNED = 16
+#: How the index is written: pages and row groups end by size after any block, where the default puts 100 blocks at least in a page.
+PAGES = {"parquet.page.size": 1 << 18, "parquet.page.size.row.check.min": 1, "parquet.block.size": 8 << 20}
 #: (query, term) pairs that one pass over the index serves; more queries take more passes over the index, none over the texts.
 CHUNK = 1 << 20
 _INDEX = "ids array<bigint>, n array<bigint>, starts array<int>, terms array<bigint>, tfs array<int>"
@@ -82,8 +86,8 @@ def _index_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 def write_index(work: Workspace, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The forward index of `docs`, one written row (block, ids, n, starts, terms, tfs) a block; documents without terms are in none."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(_index_batches, _INDEX)
-    with bounded_batches(work.spark):
-        return work.write(rows.withColumn("block", F.monotonically_increasing_id()), "index")
+    with bounded_batches(work.spark, scanned=SCANNED):
+        return work.write(rows.withColumn("block", F.monotonically_increasing_id()), "index", PAGES)
 
 
 def _df_batches(batches: Iterator[pa.RecordBatch], most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
@@ -276,10 +280,12 @@ def _search_chunk(work: Workspace, index: DataFrame, part: DataFrame, documents:
         least[r.item] = r.score
     ready = spark.sparkContext.broadcast((queries, least))
     names = spark.createDataFrame([(i, d) for i, d in enumerate(ids)], "item int, item_id bigint")
-    hits = work.write(index.mapInArrow(_pruned_hits(ready, k), _HITS), name)
+    # Merged before it is written: a few files of the best hits, not one of each task over the index.
+    hits = index.mapInArrow(_pruned_hits(ready, k), _HITS)
+    found = work.write(_top(hits, k).join(F.broadcast(names), "item").select("item_id", "rank", "doc_id", "score"), name)
     sent.unpersist()
     ready.unpersist()
-    return _top(hits, k).join(F.broadcast(names), "item").select("item_id", "rank", "doc_id", "score")
+    return found
 
 
 def search(spark: SparkSession, docs: DataFrame, items: DataFrame, k: int = 10, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", chunk: int = 0) -> DataFrame:
@@ -302,11 +308,11 @@ def search(spark: SparkSession, docs: DataFrame, items: DataFrame, k: int = 10,
     empty = spark.createDataFrame([], "item_id bigint, rank int, doc_id bigint, score bigint")
     if not sizes.d:
         return empty
-    with bounded_batches(spark, HELD, 64 << 20):
+    with bounded_batches(spark, HELD, 64 << 20, SCANNED):
         wanted = work.write(items.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).alias("text")).mapInArrow(_item_batches, "item_id bigint, term bigint").distinct(), "queries")
         df = index.select("terms").mapInArrow(_df_batches, "term bigint, df bigint").groupBy("term").agg(F.sum("df").alias("df"))
         weight = F.floor(1000 * F.log(F.lit(2.0 * sizes.d + 2) / (2 * F.col("df") + 1))).cast("long")
-        pairs = work.write(wanted.join(df, "term").select("item_id", "term", weight.alias("weight")), "weighted")
+        pairs = work.write(wanted.join(df, "term").select("item_id", "term", weight.alias("weight")).hint("rebalance"), "weighted")
         parts = max(1, -(-pairs.count() // (chunk or CHUNK)))
         found = empty
         for i in range(parts):

@@ -8,7 +8,9 @@ import math
 import random
 import re
 from collections import Counter
+from pathlib import Path
 
+import pyarrow.parquet as pq
 import pytest
 from conftest_words import words
 
@@ -90,6 +92,33 @@ def test_search_stops_below_the_threshold():
     assert best.rows().num_rows == 0
 
 
+def test_search_index_lies_in_small_pages(spark):
+    """Blocks of some 100 KB: neither a row group nor a batch of the reader holds a file's blocks at once."""
+    base = spark.range(300).selectExpr("id AS doc_id", "concat_ws(' ', transform(sequence(0, 12000), x -> concat('d', id, 'w', x))) AS text").coalesce(1)
+    work = Workspace(spark, "pages")
+    assert lexical_search.write_index(work, base).count() == 50
+    at = Path(work.path("index").removeprefix("file:"))
+    for meta in (pq.ParquetFile(f).metadata for f in at.glob("*.parquet")):
+        assert all(meta.row_group(i).total_byte_size < 12 << 20 for i in range(meta.num_row_groups))
+
+
+def test_search_writes_merged_hits(spark, monkeypatch):
+    """What is written are each query's best ten, not those of every task; blocks are read a few at a time."""
+    written, read = {}, []
+
+    def spy(self, df, name, *rest, write=Workspace.write):
+        read.append(int(spark.conf.get("spark.sql.parquet.columnarReaderBatchSize")))
+        written[name] = write(self, df, name, *rest)
+        return written[name]
+
+    monkeypatch.setattr(Workspace, "write", spy)
+    base = spark.range(400).selectExpr("id AS doc_id", "concat('one two w', id) AS text").repartition(4)
+    before = spark.conf.get("spark.sql.parquet.columnarReaderBatchSize")
+    got = lexical_search.search(spark, base, spark.createDataFrame([(1, "one"), (2, "two w7")], "item_id bigint, text string"))
+    assert got.count() == written["hits-0"].count() == 20
+    assert max(read) <= lexical_search.HELD and spark.conf.get("spark.sql.parquet.columnarReaderBatchSize") == before
+
+
 def test_search_empty(spark, docs, none):
     items = spark.createDataFrame(ITEMS, "item_id bigint, text string")
     assert lexical_search.search(spark, none, items).count() == 0
